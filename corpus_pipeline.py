@@ -9,10 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import linechunks, packing, simhash
+from tokenloom.llm import linechunks, packing, pii, simhash, toxicity
 from tokenloom.llm._common import Scratch
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the classifier learns from the labels of the ones that aren't held out."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated line chunks go. A document that had text and has no word left repeats others wholly, and goes too."""
     found = linechunks.dedup_lines(docs)
@@ -26,12 +31,26 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs)
 
 
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    found = pii.mask_table(docs.withColumn("__was", F.xxhash64("text")))
+    same = F.xxhash64("text") == F.col("__was")
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return found.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(length)).select(*docs.columns)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and where they lie in sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("line_dedup", lines), ("simhash_dedup", near_copies), ("best_fit_packing", packed)]
+STAGES = [
+    ("toxicity", clean),
+    ("line_dedup", lines),
+    ("simhash_dedup", near_copies),
+    ("pii", masked),
+    ("best_fit_packing", packed),
+]
 
 #: The stages can't be expressed in SQL; tests hold them to brute force.
 ORACLE_SQL = None

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tokenloom.llm.bpe import op10_bpe
+from tokenloom.llm.embeddings import op5_embeddings
 from tokenloom.llm.licenses import op4_licenses
 from tokenloom.llm.linechunks import op9_line_chunks
 from tokenloom.llm.packing import op3_packing
@@ -14,12 +15,15 @@ from tokenloom.llm.pii import op1_pii
 from tokenloom.llm.repair import op7_repair
 from tokenloom.llm.simhash import op2_simhash
 from tokenloom.llm.sketches import op8_sketch
+from tokenloom.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_licenses": op4_licenses,
+    "op5_embeddings": op5_embeddings,
+    "op6_toxicity": op6_toxicity,
     "op7_repair": op7_repair,
     "op8_sketch": op8_sketch,
     "op9_line_chunks": op9_line_chunks,
