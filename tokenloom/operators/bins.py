@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -80,14 +80,18 @@ def describe(df: DataFrame, keys: list[str], columns: list[str], score: str = "s
     for c in columns:
         stats += [F.min(c).cast("double").alias(f"{c}_min"), F.percentile(c, 0.25).alias(f"{c}_q25"), F.percentile(c, 0.5).alias(f"{c}_median"), F.percentile(c, 0.75).alias(f"{c}_q75"), F.max(c).cast("double").alias(f"{c}_max"), F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd")]
     s = F.col(score)
-    varied = (F.count_distinct(pair[0]) > 1) & (F.count_distinct(pair[1]) > 1)
     return ranked.groupBy(*keys).agg(
         F.count("*").cast("long").alias("n"), F.count_distinct(cluster).cast("long").alias("clusters"), F.count_if(s < 1).cast("long").alias("with_error"),
         F.count_if(s == 1).cast("long").alias("all_correct"), F.count_if(s == 0).cast("long").alias("all_incorrect"), F.count_if((s > 0) & (s < 1)).cast("long").alias("mixed"),
-        F.count_distinct(pair[0]).cast("long").alias(f"distinct_{pair[0]}"), F.count_distinct(pair[1]).cast("long").alias(f"distinct_{pair[1]}"), F.when(varied, F.corr("__ra", "__rb")).alias("spearman"), *stats,
+        F.count_distinct(pair[0]).cast("long").alias(f"distinct_{pair[0]}"), F.count_distinct(pair[1]).cast("long").alias(f"distinct_{pair[1]}"), correlation("__ra", "__rb").alias("spearman"), *stats,
     )
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation as an aggregate; null where a side is constant, which corr() takes for a division by zero."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def average_rank(df: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
     """Ranks within keys from 1, ties at their mean."""
     order, tie = Window.partitionBy(*keys).orderBy(x), Window.partitionBy(*keys, x)

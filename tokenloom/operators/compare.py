@@ -5,9 +5,11 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.functions.text import normalize_token
+from tokenloom.operators.bins import average_rank, correlation
 from tokenloom.operators.units import unit_of_token
 
 #: Regions in reporting order; others follow by name.
@@ -128,10 +130,6 @@ def reproduction(prior: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame
 
     Own rows without an entropy are dropped and places counted anew on both sides.
     """
-    from pyspark.sql import Window
-
-    from tokenloom.operators.bins import average_rank
-
     def placed(df: DataFrame, name: str) -> DataFrame:
         kept = df.where(F.col("entropy").isNotNull() & ~F.isnan("entropy"))
         return kept.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1).alias("at"), F.col("entropy").alias(name))
@@ -139,15 +137,12 @@ def reproduction(prior: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame
     j = placed(prior, "a").join(placed(own, "b"), [*keys, "at"])
     j = average_rank(average_rank(j, keys, "a", "ra"), keys, "b", "rb")
     e = F.abs(F.col("a") - F.col("b"))
-    varied = (F.min("a") < F.max("a")) & (F.min("b") < F.max("b"))
-    out = j.groupBy(*keys).agg(F.count("*").cast("long").alias("n"), F.avg(e).alias("mae"), F.max(e).alias("max_error"), F.when(varied, F.corr("ra", "rb")).alias("spearman"), F.when(varied, F.corr("a", "b")).alias("pearson"))
+    out = j.groupBy(*keys).agg(F.count("*").cast("long").alias("n"), F.avg(e).alias("mae"), F.max(e).alias("max_error"), correlation("ra", "rb").alias("spearman"), correlation("a", "b").alias("pearson"))
     return out.withColumn("status", F.when(F.col("max_error") == 0, "Perfect").when(F.col("mae") < 1e-2, "Acceptable").otherwise("Error"))
 
 
 def verification(baseline: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame:
     """(status, n) over own files: perfect, high_error (over 1e-3), token_mismatch, length_mismatch, not_in_baseline."""
-    from tokenloom.functions.text import normalize_token
-
     def lists(df: DataFrame, name: str) -> DataFrame:
         row = F.struct("pos", normalize_token(F.col("token_str")).alias("t"), F.col("metric_entropy").alias("e"))
         return df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias(name))

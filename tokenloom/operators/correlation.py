@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import stats
-from tokenloom.operators.bins import average_rank
+from tokenloom.operators.bins import average_rank, correlation
 
 #: Decimals of bucket means before ranking: means that are equal may differ in their last bit.
 DECIMALS = 12
@@ -37,9 +37,9 @@ def bucket_correlation(b: DataFrame, keys: list[str], partial: bool = False) ->
     """
     for x, name in (("median_metric", "__x"), ("mean_score", "__y"), ("median_control", "__z")):
         b = average_rank(b, keys, x, name)
-    varied = lambda c: F.min(c) < F.max(c)
-    corr = lambda p, q: F.when(varied(p) & varied(q), F.corr(p, q))
-    agg = b.groupBy(*keys).agg(F.count("*").cast("long").alias("groups"), corr("__x", "__y").alias("xy"), corr("__x", "__z").alias("xz"), corr("__y", "__z").alias("yz"))
+    agg = b.groupBy(*keys).agg(
+        F.count("*").cast("long").alias("groups"), correlation("__x", "__y").alias("xy"), correlation("__x", "__z").alias("xz"), correlation("__y", "__z").alias("yz")
+    )
     if not partial:
         return agg.select(*keys, "groups", F.when(F.col("groups") >= 2, F.col("xy")).alias("r"))
     rest = (1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2)
@@ -93,5 +93,4 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """(keys, n, r) of average ranks over rows that have both; null for fewer than two rows or a constant side."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_rank(average_rank(both, keys, x, "__x"), keys, y, "__y")
-    varied = (F.min("__x") < F.max("__x")) & (F.min("__y") < F.max("__y"))
-    return ranked.groupBy(*keys).agg(F.count("*").cast("long").alias("n"), F.when(varied, F.corr("__x", "__y")).alias("r"))
+    return ranked.groupBy(*keys).agg(F.count("*").cast("long").alias("n"), correlation("__x", "__y").alias("r"))
