@@ -161,6 +161,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     gone = gone.groupBy("key", "th").agg(F.collect_set("pos").alias("__gone"))
     gone = scratch.save(gone.select(F.col("key").alias("__key"), F.col("th").alias("__hash"), "__gone"), "gone")
     marked = docs.withColumn("__th", F.xxhash64(F.col(text).cast("string")))
+    gone = gone.hint("merge")  # one plan at every size; what is gone grows with the corpus
     marked = marked.join(gone, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__th") == F.col("__hash")), "left")
     marked = marked.select(*[F.col(c) for c in docs.columns], "__gone")
     columns = docs.columns
