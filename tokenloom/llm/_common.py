@@ -118,7 +118,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the graph on range(n)."""
     parent = list(range(n))
     out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+    for edge in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = edge
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
@@ -126,10 +127,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
             parent[y] = parent[parent[y]]
             y = parent[y]
         if x != y:
-            if y < x:
-                x, y = y, x
-            parent[y] = x
-            out.append((x, y))
+            parent[max(x, y)] = min(x, y)
+            out.append(edge)
     return out
 
 

@@ -139,9 +139,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     lines apart) equal those of the first. n_lines counts logical lines, n_removed those that went, cut_from the
     chunks that went. A null text stays null and counts no lines; null keys come first; rows that repeat key and text
     are one document and fare alike; a document none of whose lines stays has an empty text; an empty table gives no
-    rows; other columns pass through.
+    rows; other columns pass through, but for ones of those three names, which are replaced.
     """
     spark = docs.sparkSession
+    docs = docs.drop("n_lines", "n_removed", "cut_from")
     arrow_batches(spark)
     scratch = Scratch(spark, "linechunks")
     kind = docs.schema[key].dataType.simpleString()

@@ -275,7 +275,7 @@ def _scores(docs: DataFrame, model: Model, keep: list[str], text: str) -> DataFr
         m = Model(*shared.value)
         return lambda texts: [[m.score(t) for t in texts]]
 
-    return per_text(docs, text, keep, "score double", make)
+    return per_text(docs, text, keep, "__score double", make)
 
 
 def score_table(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
@@ -287,7 +287,8 @@ def score_table(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     arrow_batches(docs.sparkSession)
     model = train(docs, labels, Scratch(docs.sparkSession, "toxicity"), text, key, label)
     found = _scores(docs, model, [key], text)
-    return found.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    score = F.col("__score")
+    return found.select(key, held_out(F.col(key)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
@@ -295,7 +296,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     arrow_batches(docs.sparkSession)
     model = train(docs, labels, Scratch(docs.sparkSession, "toxicity"), text, key, label)
     marked = docs.withColumn("__scored", F.col(text))
-    return _scores(marked, model, docs.columns, "__scored").where("score < 0.5").drop("score")
+    return _scores(marked, model, docs.columns, "__scored").where("__score < 0.5").drop("__score")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
