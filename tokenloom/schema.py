@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, StructType
+from pyspark.sql.types import BooleanType, DoubleType, FloatType, LongType, StringType, StructField, StructType
+
+_KINDS = {"long": LongType(), "string": StringType(), "double": DoubleType(), "boolean": BooleanType()}
+
+
+def declared(fields: str) -> StructType:
+    """A schema from `name kind, ...`; unlike DDL it needs no running session."""
+    return StructType([StructField(n, _KINDS[k]) for n, k in (f.split() for f in fields.split(","))])
+
 
 #: One row per token. Columns that a file lacks are read as null.
-TOKENS = StructType.fromDDL(
-    "idx long, token_id long, token_str string, line long, `column` long, ast_type string, nesting_depth long, function_id string, "
+TOKENS = declared(
+    "idx long, token_id long, token_str string, line long, column long, ast_type string, nesting_depth long, function_id string, "
     "is_statement_start boolean, is_function_start boolean, metric_surprisal double, metric_entropy double, metric_isolated_surprisal double, "
     "meta_project string, meta_file string, meta_language string, meta_model_name string, meta_model_revision string, meta_tokenizer_name string, "
     "meta_context_strategy string, meta_total_tokens long, meta_created_at string, meta_collector_version string"
 )
 #: One row per file.
-SUMMARY = StructType.fromDDL(
+SUMMARY = declared(
     "avg_context_surprisal_gap double, avg_first_token_surprisal double, cognitive_complexity double, cyclomatic_complexity double, dataset string, "
     "lm_cc double, lm_cc_density double, loc long, num_functions long, num_semantic_units long, ppl double, total_tokens long, uid string"
 )
