@@ -44,8 +44,8 @@ TEMPLATES = [
 #: Words of a template that are looked up, and the least score of an alignment.
 RARE, LEAST = 3, 0.6
 
-#: Word characters before lower-casing: digits, ASCII letters, everything beyond ASCII.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words: anything in ASCII but digits and letters.
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,6 +66,17 @@ def index() -> list[dict]:
     return out
 
 
+def needed(templates: list[dict]) -> list[str]:
+    """Words one of which a text must have for a base phrase, or for a template's key phrases, to stand in it."""
+    out = {"license"} & {w for p in BASE for w in p.split()}
+    for t in templates:
+        words = {w for _, k in t["keys"] for w in k}
+        if not words & out:
+            weight = dict(zip(t["words"], t["weights"], strict=True))
+            out.add(max(sorted(words), key=lambda w: (weight[w], len(w))))
+    return sorted(out)
+
+
 def _texts(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
@@ -80,14 +91,15 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     rows; other columns are not read. The plan has no exchange.
     """
     templates = index()
-    lead = sorted({re.escape(w) for t in templates for w, _ in t["rare"]} | {"license"})
-    likely = "(?i)(?<![a-z0-9])(?:" + "|".join(lead) + ")"
+    likely = "(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, needed(templates))) + ")(?![a-z0-9])"
     rows = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
-    words = F.regexp_extract_all(F.translate("__t", _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
-    # texts without any word of the index need no list of words
+    words = F.array_remove(F.split(F.translate("__t", _UPPER, _LOWER), _BETWEEN), "")
+    parts = F.split("__t", _BETWEEN)
+    edges = (F.get(parts, F.lit(0)) == "").cast("int") + (F.get(parts, F.size(parts) - 1) == "").cast("int")
+    # texts without a word that some phrase must have need no list of words
     rows = rows.select(
         F.col(key),
-        F.regexp_count("__t", F.lit(_WORD)).cast("long").alias("n_words"),
+        F.greatest(F.size(parts) - edges, F.lit(0)).cast("long").alias("n_words"),
         F.when(F.col("__t").rlike(likely), words).otherwise(F.array().cast("array<string>")).alias("w"),
     )
     at = lambda i: F.get(F.col("w"), i)
