@@ -2,7 +2,8 @@
 
 Logical lines end at a newline or at a full stop, exclamation or question mark before a space, since passages are
 also pasted into running lines. A rolling hash over the hashes of neighbouring lines chooses the boundaries, so a
-chunk's ends depend on the lines beside them alone, and a passage falls into the same chunks wherever it stands.
+chunk's ends depend on the lines beside them, and a passage falls into the same chunks wherever it stands. A boundary
+that would leave too short a chunk is passed over; from the next one on, chunks agree again.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql.types import StructType
 
 from tokenloom.llm._common import Scratch, arrow_batches
 
-#: Lines over which boundaries are chosen, one boundary in so many lines on average; the least chunk that counts.
+#: Lines over which boundaries are chosen, one boundary in so many lines on average; the least chunk, in lines and words.
 WINDOW, EVERY, LEAST_LINES, LEAST_WORDS = 2, 3, 2, 10
 #: Bits of the filter that tells which chunks may be repeated: a fixed size, sent to all tasks.
 FILTER_BITS = 1 << 24
@@ -51,15 +52,24 @@ class Chunks:
         rolling = (rolling ^ (rolling >> np.uint64(29))) * _MIX
         last = ((rolling >> np.uint64(33)) % np.uint64(EVERY)) == 0
         last[: WINDOW - 1] = False  # not enough lines before
-        self.ends = np.flatnonzero(last) + 1
-        if n and (not len(self.ends) or self.ends[-1] != n):
-            self.ends = np.append(self.ends, n)
+        #: Words up to each line.
+        self.words = np.cumsum([0, *(t.count(" ") + 1 if t else 0 for t in self.bare)])
+        words, start, ends = self.words.tolist(), 0, []
+        for end in (np.flatnonzero(last) + 1).tolist():
+            if end - start >= LEAST_LINES and words[end] - words[start] >= LEAST_WORDS:
+                ends.append(end)
+                start = end
+        if n > start:  # what is left goes with the last chunk where it is too short for one
+            if ends and (n - start < LEAST_LINES or words[n] - words[start] < LEAST_WORDS):
+                ends.pop()
+            ends.append(n)
+        self.ends = np.array(ends, np.int64)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
 
     def counted(self) -> list[int]:
         """Numbers of the chunks of enough lines and words."""
-        many = np.flatnonzero(self.ends - self.starts >= LEAST_LINES).tolist()
-        return [k for k in many if sum(s.count(" ") + 1 for s in self.bare[self.starts[k] : self.ends[k]] if s) >= LEAST_WORDS]
+        words = self.words[self.ends] - self.words[self.starts]
+        return np.flatnonzero((self.ends - self.starts >= LEAST_LINES) & (words >= LEAST_WORDS)).tolist()
 
     def key(self, k: int) -> tuple[int, int]:
         """128 bits of a chunk, as two signed longs."""
