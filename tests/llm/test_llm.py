@@ -147,8 +147,49 @@ def test_near_duplicates(docs):
     pairs = Counter((k, f, c) for (k, _), f, c in zip(data, fps, want, strict=True))
     assert Counter((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in got) == pairs
     assert simhash.near_duplicates(empty(docs)).count() == 0
+
+
+def test_similar_documents(docs):
+    data = rows_of(docs)
+    fps = [int.from_bytes(simhash.wide_fingerprint(t), "little") for _, t in data]
+    far = [(i, j) for i in range(len(data)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= simhash.wide_radius(0.8)]
+    want = classes([k for k, _ in data], far)
+    got = simhash.similar_documents(docs).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((k, c) for (k, _), c in zip(data, want, strict=True))
     kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter({c for c in want})
+    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(set(want))
+    assert simhash.similar_documents(empty(docs)).count() == 0
+
+
+def test_wide_fingerprints_follow_likeness():
+    rnd = random.Random(14)
+    found = Counter()
+    for _ in range(60):
+        words = [rnd.choice(WORDS) + str(rnd.randrange(99)) for _ in range(200)]
+        for likeness, edits in ((0.9, 2), (0.5, 13)):
+            w = list(words)
+            for k in rnd.sample(range(len(w)), edits):
+                w[k] = "new"
+            a, b = (np.frombuffer(simhash.wide_fingerprint(" ".join(x)), np.uint64).reshape(1, 4) for x in (words, w))
+            near = sum(int(x).bit_count() for x in (a ^ b)[0]) <= simhash.wide_radius(0.8)
+            found[likeness] += near and bool((simhash.wide_buckets(a) == simhash.wide_buckets(b)).any())
+    assert found[0.9] >= 57 and found[0.5] <= 3
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**64 - 1), min_size=4, max_size=4), min_size=2, max_size=90), st.integers(0, 255), st.integers(0, 60))
+def test_wide_comparison(rows, radius, small):
+    fp = np.array(rows, np.uint64)
+    fp[1::2] = fp[::2][: len(fp[1::2])] ^ np.uint64(0xFFFF0)
+    old, simhash.SMALL = simhash.SMALL, small
+    try:
+        edges = simhash.bucket_links(fp, np.array([0]), radius)
+    finally:
+        simhash.SMALL = old
+    n = len(fp)
+    close = [(i, j) for i in range(n) for j in range(i) if sum(int(x).bit_count() for x in fp[i] ^ fp[j]) <= radius]
+    assert {tuple(sorted(e, reverse=True)) for e in edges} <= set(close)
+    assert classes(range(n), edges) == classes(range(n), close)
 
 
 @pytest.mark.parametrize("tile,small", [(4096, 48), (20, 4)])
@@ -540,7 +581,7 @@ def test_pipeline(spark, tmp_path):
         if name == "toxicity":
             assert {r[0] for r in after.select("doc_id").collect()} == {r[0] for r in rows if "drobnik" not in (r[1] or "")}
         if name == "simhash_dedup":
-            assert {r[0] for r in after.collect()} == {r["component_id"] for r in simhash.near_duplicates(before).collect()}
+            assert {r[0] for r in after.collect()} == {r["component_id"] for r in simhash.similar_documents(before).collect()}
         if name == "pii":
             assert after.where("text like '%a@b.c%'").count() == 0 and after.count() == before.count()
         if name != "best_fit_packing":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm._common import Scratch, arrow_batches, forest, group_starts, Merger, per_text, shuffle_partitions, tiled, whole_groups
 from tokenloom.llm.components import component_roots
+from tokenloom.llm.sketches import shingle_hashes
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: The 64 bits fall into these blocks; two fingerprints at distance 3 or less agree on two of the five at least.
@@ -22,6 +24,7 @@ TILE = 4096
 #: Buckets over this size are compared as a matrix, others by shifts over many buckets at once.
 SMALL = 48
 
+_SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -56,33 +59,53 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
 
 def _planes(fp: np.ndarray) -> np.ndarray:
-    """Bit planes (64, words): bit i of plane b is bit b of fp[i]; one spare word at the end."""
-    n = len(fp)
-    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    out = np.zeros((64, (n + 63) // 64 + 1), np.uint64)
-    packed = np.packbits(bits.T, axis=1, bitorder="little")
-    out.view(np.uint8)[:, : packed.shape[1]] = packed
+    """Bit planes (bits, words) of fingerprints (rows, 64-bit words): bit i of plane b is bit b of row i; a spare word ends each."""
+    n, w = fp.shape
+    out = np.zeros((64 * w, (n + 63) // 64 + 1), np.uint64)
+    for k in range(w):
+        bits = np.unpackbits(np.ascontiguousarray(fp[:, k]).view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+        packed = np.packbits(bits.T, axis=1, bitorder="little")
+        out[64 * k : 64 * k + 64].view(np.uint8)[:, : packed.shape[1]] = packed
     return out
 
 
-class _Counter:
-    """Bitwise carry-save counters of differing bits, one lane per pair; lanes saturate over three."""
+def _save_carry(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum and the carry of three bits in every lane."""
+    half = a ^ b
+    return half ^ c, (a & b) | (half & c)
 
-    def __init__(self, shape: tuple[int, ...]):
-        self.one, self.two, self.over = (np.zeros(shape, np.uint64) for _ in range(3))
 
-    def add(self, differ: np.ndarray) -> None:
-        carry = self.one & differ
-        self.one ^= differ
-        self.over |= self.two & carry
-        self.two ^= carry
+class _Counter:
+    """Bit-sliced counters of differing bits, one lane per pair, fed eight planes at a time by carry-save adders."""
+
+    def __init__(self, shape: tuple[int, ...], bits: int):
+        self.digits = [np.zeros(shape, np.uint64) for _ in range(bits.bit_length())]
+
+    def add(self, d: list[np.ndarray]) -> None:
+        c = self.digits
+        one, a = _save_carry(c[0], d[0], d[1])
+        one, b = _save_carry(one, d[2], d[3])
+        two, e = _save_carry(c[1], a, b)
+        one, a = _save_carry(one, d[4], d[5])
+        c[0], b = _save_carry(one, d[6], d[7])
+        c[1], f = _save_carry(two, a, b)
+        c[2], carry = _save_carry(c[2], e, f)
+        for k in range(3, len(c)):
+            c[k], carry = c[k] ^ carry, c[k] & carry
 
     def within(self, radius: int) -> np.ndarray:
-        more = {3: 0, 2: self.one & self.two, 1: self.two, 0: self.one | self.two}[radius]
-        return ~(self.over | more)
+        """Lanes whose count so far is at most radius."""
+        less, equal = np.zeros_like(self.digits[0]), ~np.zeros_like(self.digits[0])
+        for k in range(len(self.digits) - 1, -1, -1):
+            if radius >> k & 1:
+                less |= equal & ~self.digits[k]
+                equal &= self.digits[k]
+            else:
+                equal &= ~self.digits[k]
+        return less | equal
 
     def take(self, keep: np.ndarray) -> None:
-        self.one, self.two, self.over = self.one[keep], self.two[keep], self.over[keep]
+        self.digits = [d[keep] for d in self.digits]
 
 
 def _lanes(words: np.ndarray) -> np.ndarray:
@@ -93,21 +116,21 @@ def _lanes(words: np.ndarray) -> np.ndarray:
 def _by_shift(fp: np.ndarray, left: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, i + s) of one bucket within radius; left[i]: rows of i's bucket after i."""
     planes, n = _planes(fp), len(fp)
-    words = planes.shape[1] - 1
+    bits, words = len(planes), planes.shape[1] - 1
     for s in range(1, int(left.max(initial=0)) + 1):
         mask = np.zeros(words * 64, bool)
         mask[:n] = left >= s
         mask = np.packbits(mask, bitorder="little").view(np.uint64)
         at = np.flatnonzero(mask)
         live, q, r = mask[at], s >> 6, np.uint64(s & 63)
-        count = _Counter(at.shape)
-        for b in range(64):
-            other = planes[b, at + q] >> r
+        count = _Counter(at.shape, bits)
+        for b in range(0, bits, 8):
+            own, low = planes[b : b + 8, at], planes[b : b + 8, at + q] >> r
             if r:
-                other |= planes[b, np.minimum(at + q + 1, words)] << (np.uint64(64) - r)
-            count.add(planes[b, at] ^ other)
-            if b % 8 == 7 and b > 8:  # abandon the words in which all lanes exceed the radius
-                keep = (live & ~count.over) != 0
+                low |= planes[b : b + 8, np.minimum(at + q + 1, words)] << (np.uint64(64) - r)
+            count.add(list(own ^ low))
+            if b % (bits // 4) == bits // 4 - 8:  # abandon the words in which all lanes exceed the radius
+                keep = (live & count.within(radius)) != 0
                 if not keep.all():
                     at, live = at[keep], live[keep]
                     count.take(keep)
@@ -123,18 +146,17 @@ def _by_shift(fp: np.ndarray, left: np.ndarray, radius: int) -> Iterator[tuple[n
 def _by_matrix(fp: np.ndarray, radius: int, rows: int = 128) -> list[tuple[int, int]]:
     """Spanning forest of one large bucket: each block of rows against all rows at once."""
     planes, n = _planes(fp)[:, :-1], len(fp)
-    value = np.ascontiguousarray(fp).view(np.uint64)
-    merger = Merger(n)
+    bits, merger = len(planes), Merger(n)
+    own = np.uint64(0) - np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(n, -1), axis=1, bitorder="little").astype(np.uint64)
     for k in range(0, n, rows):
-        part, at = value[k : k + rows], np.arange(k, min(n, k + rows))
-        count = _Counter((len(at), planes.shape[1]))
-        for b in range(64):
-            flip = (np.uint64(0) - ((part >> np.uint64(b)) & np.uint64(1)))[:, None]
-            count.add(planes[b][None, :] ^ flip)
-            if b % 16 == 15:
-                keep = (count.over != np.uint64(0xFFFFFFFFFFFFFFFF)).any(axis=1)
+        at = np.arange(k, min(n, k + rows))
+        count = _Counter((len(at), planes.shape[1]), bits)
+        for b in range(0, bits, 8):
+            count.add([planes[b + j][None, :] ^ own[at, b + j][:, None] for j in range(8)])
+            if b % (bits // 4) == bits // 4 - 8:
+                keep = count.within(radius).any(axis=1)
                 if not keep.all():
-                    part, at = part[keep], at[keep]
+                    at = at[keep]
                     count.take(keep)
                     if not len(at):
                         break
@@ -147,6 +169,8 @@ def _by_matrix(fp: np.ndarray, radius: int, rows: int = 128) -> list[tuple[int,
 
 def bucket_links(fp: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Edges (positions in fp) that connect what is linked within each bucket; buckets begin at starts."""
+    if fp.ndim == 1:
+        fp = fp.view(np.uint64)[:, None]
     n = len(fp)
     sizes = np.diff(np.append(starts, n))
     out: list[tuple[int, int]] = []
@@ -212,20 +236,105 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     fps = scratch.save(fingerprints(docs.select(F.col(key).alias("__key"), F.col(text).alias("__t")), "__t", ("__key",)), "fps")
     distinct = scratch.save(fps.groupBy("fp").agg(F.min("__key").alias("least")), "distinct")
     edges = scratch.save(links(distinct, scratch, radius), "links")
+    known = _components(distinct, "fp", edges, scratch)
+    return fps.join(known, "fp").select(F.col("__key").alias(key), "fp", "component_id")
+
+
+# -- longer fingerprints for a similarity -----------------------------------------------------------------------------
+
+#: Words of a shingle, bits, and the likeness (Jaccard, of shingles) at which documents count as near-duplicates.
+WIDE_SHINGLE, WIDE_BITS, SIMILARITY = 5, 256, 0.8
+
+
+def wide_radius(similarity: float) -> int:
+    """Differing bits up to which documents link: those expected at a similarity, and one standard deviation more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(WIDE_BITS * p + math.sqrt(WIDE_BITS * p * (1 - p)))
+
+
+def wide_fingerprint(text: str) -> bytes:
+    """A 256-bit SimHash of five-word shingles, ASCII letters lower-cased; zeros for a text without words."""
+    h = shingle_hashes(text, WIDE_SHINGLE)
+    if not len(h):
+        return bytes(WIDE_BITS // 8)
+    ones = np.zeros(WIDE_BITS, np.int64)
+    for k in range(0, len(h), 255):
+        part = h[k : k + 255, None] * _SPREAD
+        part ^= part >> np.uint64(31)
+        part *= _SPREAD[::-1]
+        part ^= part >> np.uint64(29)
+        octets = part.view(np.uint8).reshape(len(part), WIDE_BITS // 8)
+        ones += np.add.reduce(np.unpackbits(octets, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+
+
+def wide_buckets(fp: np.ndarray) -> np.ndarray:
+    """32 keys of each fingerprint (rows, 4 words): its sixteen 16-bit words, and the sixteen made of one bit of each."""
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little").reshape(len(fp), 16, 16)
+    both = np.concatenate([bits, bits.transpose(0, 2, 1)], axis=1)
+    return np.packbits(both, axis=2, bitorder="little").view(np.uint16)[:, :, 0].astype(np.int64) + (np.arange(32) << 16)
+
+
+def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of docs: key and component_id, the least key reachable by links of near-duplicates.
+
+    Documents link when their 256-bit fingerprints of five-word shingles differ in wide_radius(similarity) bits or
+    fewer. Pairs are looked for in 32 tables of 16 bits: at a likeness of 0.8 two documents agree in one with
+    probability 0.91, at 0.9 with 0.99 and more. Equal fingerprints always link. Nodes of the graph are 64-bit hashes
+    of fingerprints. Nulls, repeated rows and empty tables are treated as in near_duplicates.
+    """
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    scratch = Scratch(spark, "similar")
+    radius = wide_radius(similarity)
+    source = docs.select(F.col(key).alias("__key"), F.col(text).alias("__t"))
+    fps = per_text(source, "__t", ["__key"], "fp binary", lambda: lambda texts: [[wide_fingerprint(t) for t in texts]])
+    fps = scratch.save(fps, "fps")
+    distinct = fps.groupBy("fp").agg(F.min("__key").alias("least")).withColumn("node", F.xxhash64("fp"))
+    distinct = scratch.save(distinct, "distinct")
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64)
+            if not len(fp):
+                continue
+            keys = wide_buckets(fp)
+            row = pa.array(np.repeat(np.arange(len(fp)), keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("node").take(row), batch.column("fp").take(row)], names=["bucket", "node", "fp"])
+
+    rows = distinct.select("node", "fp").mapInArrow(deal, "bucket long, node long, fp binary")
+    rows = tiled(rows, scratch, ["bucket"], "node", TILE).select("bucket", "cell", "node", "fp")
+    rows = rows.repartition(shuffle_partitions(spark), "bucket", "cell").sortWithinPartitions("bucket", "cell")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["bucket", "cell"], 1 << 15):
+            fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+            edges = bucket_links(fp, group_starts(table, ["bucket", "cell"]), radius)
+            if edges:
+                a, b = np.array(edges).T
+                node = table.column("node").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    edges = scratch.save(rows.mapInArrow(run, "a long, b long"), "links")
+    known = _components(distinct, "node", edges, scratch)
+    return fps.withColumn("node", F.xxhash64("fp")).join(known, "node").select(F.col("__key").alias(key), "component_id")
+
+
+def _components(distinct: DataFrame, node: str, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component_id): the least key of all nodes that edges reach, for nodes with their least keys."""
     roots = component_roots(edges, scratch)
-    linked = distinct.withColumn("key", F.xxhash64("fp")).join(roots, "key").select("fp", "root", "least")
+    linked = distinct.withColumn("key", F.xxhash64(node)).join(roots, "key").select(node, "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(least, "root").select("fp", "component_id")
-    known = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(known, "fp").select(F.col("__key").alias(key), "fp", "component_id")
+    moved = linked.join(least, "root").select(node, "component_id")
+    return distinct.join(moved, node, "left").select(node, F.coalesce("component_id", "least").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stand for their group of near-duplicates: the one with the group's least key.
 
     Of repeated rows with that key one stays; rows whose group has no key but null stay as one row.
     """
-    found = near_duplicates(docs, text, key).where(F.col(key).eqNullSafe(F.col("component_id")))
+    found = similar_documents(docs, text, key, similarity).where(F.col(key).eqNullSafe(F.col("component_id")))
     first = found.select(F.col(key).alias("__kept")).distinct()
     return docs.join(first, F.col(key).eqNullSafe(F.col("__kept"))).drop("__kept").dropDuplicates([key])
 
