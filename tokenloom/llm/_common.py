@@ -29,7 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written once and reread, which cuts lineage: a lost executor costs a reread, not a recomputation."""
+    """Tables written once and reread, which cuts lineage: a lost executor costs a reread, not a recomputation.
+
+    A result that reads them lazily needs them until it is written itself; they lie in folders named tokenloom-* and
+    can go once no job runs.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tokenloom-{name}-{uuid.uuid4().hex}"
