@@ -4,7 +4,7 @@ A shard is a byte string, all numbers little-endian:
 
     magic   b"TLRP1"
     u32 x 5 documents, terminals (ids below it are tokens), rules, symbols, tokens
-    then four blocks, each u32 raw length, u32 packed length, zlib bytes:
+    then four blocks, each u32 raw length, u32 packed length, Zstandard bytes:
       rules    (left, right) u32 pairs; rule k makes the nonterminal terminals + k
       lengths  u32 tokens that each rule expands to
       ends     u32 symbols of each document and all before it
@@ -18,12 +18,12 @@ Shards are held as binary values of a table: any store that Spark reads and writ
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm._common import Scratch, arrow_batches, shuffle_partitions
@@ -31,11 +31,11 @@ from tokenloom.llm.vocab import encoder, public_file
 
 MAGIC, END_ID = b"TLRP1", 1
 #: A shard closes once it has so many tokens.
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 19
 #: Re-Pair stops after so many rounds, or when no pair stands so often; pairs replaced in one round.
 ROUNDS, LEAST, PAIRS = 8, 8, 8192
-_BITS = 19
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BITS = 18
+_LEFT, _RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
 def compress(seq: np.ndarray, terminals: int, ends_document: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +56,7 @@ def compress(seq: np.ndarray, terminals: int, ends_document: int | None = None)
         if len(seq) < 2 * LEAST:
             break
         left, right = seq[:-1], seq[1:]
-        key = (left.astype(np.uint64) << np.uint64(32)) | right
-        at = ((key * _MIX) >> np.uint64(64 - _BITS)).astype(np.int32)
+        at = ((left * _LEFT + right * _RIGHT) >> np.uint32(32 - _BITS)).astype(np.intp)
         count = np.bincount(at, minlength=1 << _BITS)
         top = np.flatnonzero(count >= LEAST)
         if len(top) > PAIRS:
@@ -65,10 +64,12 @@ def compress(seq: np.ndarray, terminals: int, ends_document: int | None = None)
         number.fill(-1)
         number[top] = np.arange(len(top))
         slot = number[at]
-        where = np.flatnonzero((slot >= 0) & ~closes[left]).astype(np.int32)
+        where = np.flatnonzero(slot >= 0)
+        where = where[~closes[left[where]]]
         slot = slot[where]
         first[slot[::-1]] = where[::-1]  # the first place of each slot gives its pair
-        same = key[where] == key[first[slot]]
+        pair = first[slot]
+        same = (left[where] == left[pair]) & (right[where] == right[pair])
         where, slot = where[same], slot[same]
         start = np.ones(len(where), bool)
         start[1:] = where[1:] != where[:-1] + 1
@@ -82,8 +83,8 @@ def compress(seq: np.ndarray, terminals: int, ends_document: int | None = None)
         keep = good[slot]
         where, slot = where[keep], slot[keep]
         symbol = (np.cumsum(good) - 1).astype(np.uint32)
-        pairs = key[first[np.flatnonzero(good)]]
-        new = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        chosen = first[np.flatnonzero(good)]
+        new = np.stack([left[chosen], right[chosen]], axis=1)
         rules.append(new)
         closes = np.concatenate([closes, closes[new[:, 1]]])
         seq[where] = symbol[slot] + np.uint32(made)
@@ -125,9 +126,10 @@ def write_shard(documents: list[bytes], terminals: int, end_id: int = END_ID) ->
     tokens = np.cumsum([len(d) // 4 for d in documents])
     ends = np.searchsorted(np.cumsum(size[symbols]), tokens) + 1
     head = MAGIC + struct.pack("<5I", len(documents), terminals, len(rules), len(symbols), len(seq))
+    packer = zstandard.ZstdCompressor(level=1)
     for block in (rules, size[terminals:], ends, symbols):
         raw = np.ascontiguousarray(block).astype("<u4").tobytes()
-        packed = zlib.compress(raw, 1)
+        packed = packer.compress(raw)
         head += struct.pack("<2I", len(raw), len(packed)) + packed
     return head
 
@@ -140,10 +142,10 @@ class Shard:
             raise ValueError("not a shard")
         at = len(MAGIC) + 20
         self.documents, self.terminals, n_rules, n_symbols, self.tokens = struct.unpack_from("<5I", data, len(MAGIC))
-        blocks = []
+        blocks, unpacker = [], zstandard.ZstdDecompressor()
         for _ in range(4):
             raw, packed = struct.unpack_from("<2I", data, at)
-            block = zlib.decompress(data[at + 8 : at + 8 + packed])
+            block = unpacker.decompress(data[at + 8 : at + 8 + packed], max_output_size=max(1, raw))
             if len(block) != raw:
                 raise ValueError("a block of the shard is damaged")
             blocks.append(np.frombuffer(block, "<u4"))
@@ -190,7 +192,7 @@ def write_table(
     n = shuffle_partitions(spark)
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = source.schema["key"].dataType.simpleString()
-    source = source.repartitionByRange(n, F.col("key").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    source = source.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
