@@ -13,6 +13,7 @@ import codecs
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,19 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm._common import arrow_batches, per_text
-from tokenloom.llm.vocab import LONGEST, REMEMBERED, SPACED, public_file
+from tokenloom.llm.vocab import POINTS, REMEMBERED, SPACED, Remembered, byte_letters, public_file
 
 #: How the byte-level pretokenizer cuts text; the published pattern of this vocabulary, a fixed value.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Compatible pairs and pretokens that a worker remembers.
-PAIRS, PRETOKENS_KEPT = 1_000_000, 400_000
-
-
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary, by the published rule."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+#: Compatible pairs that a worker remembers.
+PAIRS = 1_000_000
+#: Bytes up to which a pretoken is read at once.
+_SHORT = 48
 
 
 class ByteBPE:
@@ -57,9 +53,12 @@ class ByteBPE:
         for b in self.id_of:
             by_end.setdefault(b[-1], set()).add(len(b))
         self.lengths = [sorted(by_end.get(k, ()), reverse=True) for k in range(256)]
+        #: The same for the first ends of a string: lengths that fit before end, by end and last byte.
+        self.early = [[[n for n in lengths if n <= end] for lengths in self.lengths] for end in range(_SHORT + 1)]
+        self.made = {new: (k, pair) for pair, (k, new) in self.merge.items()}
+        self.spines: tuple[dict, dict] = ({}, {})
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pretoken: dict[str, bytes] = {}
-        self.part: dict[str, bytes] = {}
+        self.part = Remembered(self._part, REMEMBERED)
         self.find = regex.compile(PRETOKENS).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes_of = dict(self.tokens) | {i: s.encode() for s, i in self.special.items()}
@@ -75,15 +74,45 @@ class ByteBPE:
             ids = [*ids[:k], new, *ids[k + 2 :]]
         return ids
 
+    def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
+        """The tokens at one end (0 left, 1 right) of a token as its merges build it, each with the rank that ends it."""
+        found = self.spines[side].get(token)
+        if found is None:
+            chain, rank = [], float("inf")
+            while True:
+                chain.append((token, rank))
+                if token not in self.made:
+                    break
+                rank, parts = self.made[token]
+                token = parts[side]
+            found = self.spines[side][chain[0][0]] = chain[::-1]
+        return found
+
     def compatible(self, a: int, b: int) -> bool:
-        """Whether a and b stay apart as neighbours: the bytes of both encode as [a, b]."""
+        """Whether a and b stay apart as neighbours: the bytes of both encode as [a, b].
+
+        While both are built up, their tokens beside the border must not merge first; among equal ranks the merge
+        further left comes first.
+        """
         found = self.fits.get((a, b))
         if found is None:
             if len(self.fits) >= PAIRS:
                 self.fits.clear()
-            one = self.id_of
-            both = self.tokens[a] + self.tokens[b]
-            found = self.fits[a, b] = self.reduce([one[both[k : k + 1]] for k in range(len(both))]) == [a, b]
+            left, right, merge, i, j = self._spine(a, 1), self._spine(b, 0), self.merge, 0, 0
+            while True:
+                (x, until_x), (y, until_y) = left[i], right[j]
+                across = merge.get((x, y))
+                if across is not None and across[0] < until_x and across[0] <= until_y:
+                    found = False
+                    break
+                if i == len(left) - 1 and j == len(right) - 1:
+                    found = True
+                    break
+                if until_x <= until_y:
+                    i += 1
+                else:
+                    j += 1
+            self.fits[a, b] = found
         return found
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
@@ -133,36 +162,53 @@ class ByteBPE:
         root = live.pop()
         return self._path(last, root), root
 
+    def _short(self, raw: bytes) -> list[int]:
+        """stream() for a whole string so short that nothing need be forgotten."""
+        id_of, known, fits, early = self.id_of, self.fits, self.compatible, self.early
+        last, start = [-1], [0]
+        for end, byte in enumerate(raw, 1):
+            for n in early[end][byte]:
+                begin = end - n
+                t = id_of.get(raw[begin:end])
+                if t is not None:
+                    before = last[begin]
+                    if begin == 0 or (before >= 0 and (known.get((before, t)) or ((before, t) not in known and fits(before, t)))):
+                        last.append(t)
+                        start.append(begin)
+                        break
+            else:
+                last.append(-1)
+                start.append(0)
+        out, end = [], len(raw)
+        while end:
+            out.append(last[end])
+            end = start[end]
+        return out[::-1]
+
     def _word(self, word: str) -> bytes:
         """Ids of one pretoken, as bytes."""
-        found = self.pretoken.get(word)
-        if found is None:
-            raw = word.encode("utf-8", "surrogatepass")
-            whole = self.id_of.get(raw)
+        raw = word.encode("utf-8", "surrogatepass")
+        whole = self.id_of.get(raw)
+        if whole is not None:
+            ids = [whole]
+        elif len(raw) <= _SHORT:
+            ids = self._short(raw)
+        else:
             step = self.lookahead
-            ids = [whole] if whole is not None else [*self.stream(raw[k : k + step] for k in range(0, len(raw), step))]
-            found = np.array(ids, "<u4").tobytes()
-            if len(word) <= LONGEST:
-                if len(self.pretoken) >= PRETOKENS_KEPT:
-                    self.pretoken.clear()
-                self.pretoken[word] = found
-        return found
+            ids = [*self.stream(raw[k : k + step] for k in range(0, len(raw), step))]
+        return array("I", ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        word = part.rstrip(POINTS)  # no pretoken spans a word's end and the points after it
+        if len(word) < len(part) and word and word[-1].isalnum():
+            return self.part[word] + self.part[part[len(word) :]]
+        plain = part[1:] if part[:1] == " " else part
+        if plain.isalpha():  # one pretoken
+            return self._word(part)
+        return b"".join(map(self._word, self.find(part)))
 
     def _plain(self, text: str) -> bytes:
-        parts, known = SPACED.findall(text), self.part
-        new = set(parts).difference(known)
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = set(parts)
-            find, word = self.find, self._word
-            for part in new:
-                known[part] = b"".join(map(word, find(part)))
-        out = b"".join(map(known.__getitem__, parts))
-        for part in new:
-            if len(part) > LONGEST:
-                del known[part]
-        return out
+        return b"".join(map(self.part.__getitem__, SPACED.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit bytes."""
