@@ -21,6 +21,8 @@ from tokenloom.llm._common import arrow_batches, shuffle_partitions
 
 #: Words of a shingle, and one in so many hashes is kept.
 SHINGLE, SCALE = 5, 16
+#: Words whose hashes a worker remembers.
+REMEMBERED = 250_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -29,7 +31,7 @@ _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         value = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:

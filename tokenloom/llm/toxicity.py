@@ -25,7 +25,7 @@ SAMPLE = 12_000
 #: Features of the classifier at most; documents of class 1 that a feature needs; beginnings of words as features.
 FEATURES, LEAST, PREFIXES = 2000, 3, (4, 5, 6)
 #: Words remembered by a worker.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 #: What a character may stand for beside itself.
 LEET = {
@@ -162,7 +162,7 @@ def _document_features(text: str, restorer: Restorer, known: dict) -> set[str]:
         found = known.get(token)
         if found is None:
             found = tuple(f for w in restorer.words(token) for f in features_of(w))
-            if len(known) < 200_000:
+            if len(known) < 100_000:
                 known[token] = found
         out.update(found)
     for w in restorer.spelled(text):
