@@ -205,5 +205,5 @@ ORACLE["remapped_paths"] = "select doc_id, source || '/' || doc_id::varchar || '
 ORACLE["non_blank_lines"] = "select doc_id as uid, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> ''))::bigint as n from documents"
 ORACLE["highlighted_tokens"] = T + ", m as (select *, max(e) over (partition by dataset, uid) as top from tokens) select dataset, uid, count(*) as n, min(pos) as first from m where e >= top * 0.9::double group by 1, 2"
 
-for _name in ("file_summary", "line_statistics"):  # means of thousandths can be exact ties
+for _name in ("file_summary", "line_statistics", "line_comparison"):  # means of thousandths can be exact ties, sums of nothing -0.0
     ORACLE[_name] = ORACLE[_name].replace("round(", "round(1e-9::double + ")

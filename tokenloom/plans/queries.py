@@ -453,7 +453,7 @@ def line_comparison(spark, d):
     b, a = (x.groupBy(*KEYS, "line").agg(F.count("*").alias("n"), F.sum("metric_entropy").alias("e")) for x in _versions(spark, d))
     t = compare.line_table(_line_map(spark, d), b, a, KEYS, ["n", "e"])
     g = t.groupBy(*KEYS, "status").agg(F.count("*").alias("lines"), F.sum("n_delta").alias("n_delta"), F.sum("e_delta").alias("e_delta"))
-    return rounded(g, "e_delta", places=4)
+    return rounded(g, "e_delta", places=4, nudge=1e-9)
 
 
 @query
