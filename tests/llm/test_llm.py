@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -503,6 +504,35 @@ def test_line_chunks(spark, docs):
     assert linechunks.dedup_lines(empty(docs)).count() == 0
 
 
+def test_whole_passages_go(spark):
+    """51-word passages of whole lines pasted at random places: all their lines go, but for the first."""
+    rnd = random.Random(21)
+    line = lambda n: " ".join(rnd.choice(WORDS) + str(rnd.randrange(999)) for _ in range(n)) + rnd.choice([". ", "! ", "? ", ".\n", "\n"])
+    rows, want = [], {}
+    for p in range(60):
+        sizes = [51] if p % 6 == 0 else [rnd.randint(1, 16) for _ in range(3)]
+        sizes += [51 - sum(sizes)] * (sum(sizes) < 51)
+        passage = [line(n) for n in sizes]
+        for c in range(4):
+            own = [line(rnd.randint(1, 30)) for _ in range(rnd.randint(0, 12))]
+            at = rnd.randint(0, len(own))
+            rows.append((4 * p + c, "".join(own[:at] + passage + own[at:])))
+            want[4 * p + c] = rows[-1][1] if c == 0 else "".join(own)
+    got = linechunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want
+    assert linechunks.Chunks("a b c\n" * 40).without(range(1, 37)) == "a b c\n" * 4  # the first of overlapping copies stays
+
+
+def test_keys_that_agree_by_chance():
+    """Chunks are told apart by bytes, and a group of one key goes on over batches."""
+    rows = [(1, 1, 0, "a"), (1, 1, 0, "a"), (1, 2, 0, "b"), (1, 3, 0, "a"), (1, 4, 0, "b"), (1, 4, 1, "b"), (2, 5, 0, "a"), (2, 5, 0, "a"), (2, None, 0, "c"), (2, 6, 0, "c")]
+    schema = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("bytes", pa.string())])
+    table = pa.Table.from_pylist([{"h": h, "key": k, "th": 7, "pos": p, "bytes": b} for h, k, p, b in rows], schema)
+    for n in range(1, 11):
+        gone = [(r["key"], r["pos"]) for batch in linechunks._later(table.to_batches(n)) for r in batch.to_pylist()]
+        assert gone == [(3, 0), (4, 0), (4, 1), (6, 0)]
+
+
 # -- 10 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -1,9 +1,9 @@
-"""Line dedup by content-defined chunks of lines: repeated multi-line chunks go, but for their first occurrence.
+"""Line dedup by chunks of lines chosen by their words: repeated chunks go, but for their first occurrence.
 
 Logical lines end at a newline or at a full stop, exclamation or question mark before a space, since passages are
-also pasted into running lines. A rolling hash over the hashes of neighbouring lines chooses the boundaries, so a
-chunk's ends depend on the lines beside them, and a passage falls into the same chunks wherever it stands. A boundary
-that would leave too short a chunk is passed over; from the next one on, chunks agree again.
+also pasted into running lines. At every line begins the shortest chunk that counts, and at every line ends one; a
+chunk depends on the lines within it alone. So each line of a repeated run of lines lies in a chunk of that run, from
+the run's first line to its last, wherever the run stands.
 """
 
 from __future__ import annotations
@@ -12,19 +12,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tokenloom.llm._common import Scratch, arrow_batches
+from tokenloom.llm._common import Scratch, arrow_batches, shuffle_partitions
 
-#: Lines over which boundaries are chosen, one boundary in so many lines on average; the least chunk, in lines and words.
-WINDOW, EVERY, LEAST_LINES, LEAST_WORDS = 2, 3, 2, 10
+#: The least chunk, in lines and words; a single line of LONG_WORDS words is one too.
+LEAST_LINES, LEAST_WORDS, LONG_WORDS = 2, 10, 20
 #: Bits of the filter that tells which chunks may be repeated: a fixed size, sent to all tasks.
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 26
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
 def lines_of(text: str) -> list[str]:
@@ -37,68 +39,86 @@ def lines_of(text: str) -> list[str]:
     return lines if lines[-1] else lines[:-1]
 
 
+def _powers(x: np.uint64, n: int) -> np.ndarray:
+    """x to the powers 0 to n, modulo 2^64."""
+    out = np.full(n + 1, x, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 class Chunks:
-    """The chunks of a text: chunk k is lines[starts[k]:ends[k]]."""
+    """The chunks of a text: chunk k is lines[low[k]:high[k]]; they overlap. Piece k is lines[starts[k]:ends[k]], one line."""
 
     def __init__(self, text: str):
         self.lines = lines_of(text)
         self.bare = [s.strip() for s in self.lines]
-        digest = xxhash.xxh64_intdigest
-        self.hashes = h = np.array([digest(s.encode("utf-8", "surrogatepass")) for s in self.bare], np.uint64)
-        n = len(h)
-        rolling = h.copy()
-        for k in range(1, WINDOW):
-            rolling[k:] += h[: n - k] * _STEP
-        rolling = (rolling ^ (rolling >> np.uint64(29))) * _MIX
-        last = ((rolling >> np.uint64(33)) % np.uint64(EVERY)) == 0
-        last[: WINDOW - 1] = False  # not enough lines before
+        n = len(self.lines)
+        self.starts, self.ends = np.arange(n), np.arange(1, n + 1)
+        sizes = np.array([t.count(" ") + 1 if t else 0 for t in self.bare], np.int64)
         #: Words up to each line.
-        self.words = np.cumsum([0, *(t.count(" ") + 1 if t else 0 for t in self.bare)])
-        words, start, ends = self.words.tolist(), 0, []
-        for end in (np.flatnonzero(last) + 1).tolist():
-            if end - start >= LEAST_LINES and words[end] - words[start] >= LEAST_WORDS:
-                ends.append(end)
-                start = end
-        if n > start:  # what is left goes with the last chunk where it is too short for one
-            if ends and (n - start < LEAST_LINES or words[n] - words[start] < LEAST_WORDS):
-                ends.pop()
-            ends.append(n)
-        self.ends = np.array(ends, np.int64)
-        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
+        self.words = words = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        long = sizes >= LONG_WORDS
+        end = np.maximum(np.searchsorted(words, words[:-1] + LEAST_WORDS), self.starts + LEAST_LINES)
+        end = np.where(long, self.ends, end)
+        begin = np.minimum(np.searchsorted(words, words[1:] - LEAST_WORDS, "right") - 1, self.ends - LEAST_LINES)
+        begin = np.where(long, self.starts, begin)
+        pairs = np.concatenate([(self.starts * (n + 1) + end)[end <= n], (begin * (n + 1) + self.ends)[begin >= 0]])
+        self.low, self.high = np.divmod(np.unique(pairs), n + 1)
 
     def counted(self) -> list[int]:
-        """Numbers of the chunks of enough lines and words."""
-        words = self.words[self.ends] - self.words[self.starts]
-        return np.flatnonzero((self.ends - self.starts >= LEAST_LINES) & (words >= LEAST_WORDS)).tolist()
-
-    def key(self, k: int) -> tuple[int, int]:
-        """128 bits of a chunk, as two signed longs."""
-        d = xxhash.xxh3_128_digest(self.hashes[self.starts[k] : self.ends[k]].tobytes())
-        return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+        """Numbers of the chunks, in the order of their places."""
+        return list(range(len(self.low)))
+
+    def keys(self) -> np.ndarray:
+        """64 bits of each chunk, as signed longs."""
+        digest, n = xxhash.xxh64_intdigest, len(self.bare)
+        h = np.array([digest(s.encode("utf-8", "surrogatepass")) for s in self.bare], np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_STEP, n)[:n], dtype=np.uint64)])
+        out = (sums[self.high] - sums[self.low]) * _powers(_BACK, n)[self.low]
+        out = (out ^ (out >> np.uint64(29))) * _MIX
+        return (out ^ (out >> np.uint64(32))).view(np.int64)
 
     def bytes(self, k: int) -> str:
-        return "\n".join(self.bare[self.starts[k] : self.ends[k]])
+        return "\n".join(self.bare[self.low[k] : self.high[k]])
+
+    def kept(self, gone: Iterable[int]) -> np.ndarray:
+        """Whether each line stays when chunks go; of a chunk that overlaps its own first place, what is beyond that."""
+        gone = np.unique(np.array(list(gone), np.int64))
+        low = self.low[gone]
+        _, first, which = np.unique(self.keys(), return_index=True, return_inverse=True)
+        first = first[which][gone]
+        for k in np.flatnonzero((self.high[first] > low) & ~np.isin(first, gone)).tolist():
+            if self.bytes(first[k]) == self.bytes(gone[k]):
+                low[k] = self.high[first[k]]
+        cover = np.zeros(len(self.lines) + 1, np.int64)
+        np.add.at(cover, low, 1)
+        np.add.at(cover, self.high[gone], -1)
+        return np.cumsum(cover)[:-1] == 0
 
     def without(self, gone: Iterable[int]) -> str:
-        keep = np.ones(len(self.lines), bool)
-        for k in gone:
-            keep[self.starts[k] : self.ends[k]] = False
-        return "".join(s for s, kept in zip(self.lines, keep, strict=True) if kept)
+        return "".join(s for s, kept in zip(self.lines, self.kept(gone).tolist(), strict=True) if kept)
 
 
-def _places(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+def _places(h: np.ndarray) -> np.ndarray:
     """Four bits of the filter for each key."""
-    a, b = h1.view(np.uint64), h2.view(np.uint64)
-    return np.stack([(a + np.uint64(k) * b) >> np.uint64(40) for k in range(4)]).astype(np.int64) % FILTER_BITS
+    a = h.view(np.uint64)
+    b = (a * _STEP) | np.uint64(1)
+    return np.stack([(a + np.uint64(k) * b) >> np.uint64(37) for k in range(4)]).astype(np.int64) % FILTER_BITS
+
+
+def _passes(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether all bits of each key are set."""
+    at = _places(h)
+    return ((words[at >> 6] >> (at & 63)) & 1).all(axis=0)
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of (h1, h2), as bits; the driver gets words of a fixed number at most."""
+    """A Bloom filter of h, as bits; the driver gets words of a fixed number at most."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
-            bits[_places(batch.column("h1").to_numpy(), batch.column("h2").to_numpy()).ravel()] = True
+            bits[_places(batch.column("h").to_numpy()).ravel()] = True
         words = np.packbits(bits, bitorder="little").view(np.int64)
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
@@ -109,47 +129,79 @@ def _filter(keys: DataFrame) -> np.ndarray:
     return words
 
 
-def _chunk_rows(source: DataFrame, kind: str, only: np.ndarray | None) -> DataFrame:
-    """(h1, h2, key, th, pos) of the chunks that count; with a filter, of those that pass it, and with their bytes."""
-    words = None if only is None else source.sparkSession.sparkContext.broadcast(only)
+def _chunk_keys(source: DataFrame) -> DataFrame:
+    """(h) of all chunks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Chunks(t).keys() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["h"])
+
+    return source.select("text").mapInArrow(run, "h long")
+
+
+def _chunk_rows(source: DataFrame, kind: str, only: np.ndarray) -> DataFrame:
+    """(h, key, th, pos, bytes) of the chunks that pass the filter."""
+    words = source.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if words is None else np.unpackbits(words.value.view(np.uint8), bitorder="little")
         for batch in batches:
-            row, pos, a, b, text = [], [], [], [], []
+            row, pos, h, text = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for k, t in enumerate(batch.column("text").to_pylist()):
                 chunks = Chunks(t)
-                for c in chunks.counted():
-                    x, y = chunks.key(c)
-                    row.append(k)
-                    pos.append(c)
-                    a.append(x)
-                    b.append(y)
-                    if bits is not None:
-                        text.append(chunks)
-            h1, h2 = np.array(a, np.int64), np.array(b, np.int64)
-            passed = np.arange(len(row)) if bits is None else np.flatnonzero(bits[_places(h1, h2)].all(axis=0)) if len(row) else np.zeros(0, np.int64)
-            at = pa.array(np.array(row, np.int64)[passed])
-            columns = [pa.array(h1[passed]), pa.array(h2[passed]), batch.column("key").take(at), batch.column("th").take(at), pa.array(np.array(pos, np.int32)[passed])]
-            names = ["h1", "h2", "key", "th", "pos"]
-            if bits is not None:
-                columns.append(pa.array([text[k].bytes(pos[k]) for k in passed.tolist()], pa.string()))
-                names.append("bytes")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    extra = "" if only is None else ", bytes string"
-    return source.mapInArrow(run, f"h1 long, h2 long, key {kind}, th long, pos int{extra}")
+                keys = chunks.keys()
+                passed = np.flatnonzero(_passes(words.value, keys))
+                row.append(np.full(len(passed), k))
+                pos.append(passed)
+                h.append(keys[passed])
+                text += map(chunks.bytes, passed.tolist())
+            at = pa.array(np.concatenate([np.zeros(0, np.int64), *row]))
+            columns = [pa.array(np.concatenate(h)), batch.column("key").take(at), batch.column("th").take(at), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(text, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "key", "th", "pos", "bytes"])
+
+    return source.mapInArrow(run, f"h long, key {kind}, th long, pos int, bytes string")
+
+
+def _later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, th, pos) of the chunks that stand earlier with the same bytes; rows are sorted by h, key, th, pos.
+
+    Of the rows so far, only the first of the last group is held, and those of its key that have other bytes.
+    """
+    held, others = None, {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        h = table.column("h").to_numpy()
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        of = table.take(pa.array(first))
+        same = pc.equal(table.column("bytes"), of.column("bytes")).to_numpy(zero_copy_only=False)
+        keys = table.column("key").combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        place = (keys == keys[first]) & (table.column("th").to_numpy() == of.column("th").to_numpy()) & (table.column("pos").to_numpy() == of.column("pos").to_numpy())
+        gone = same & ~place
+        if held is None or h[0] != h[-1]:
+            others = {k: v for k, v in others.items() if k[0] in (h[0], h[-1])}
+        for k in np.flatnonzero(~same).tolist():  # keys that agree by chance
+            r = table.slice(k, 1).to_pylist()[0]
+            at = (r["key"], r["th"], r["pos"])
+            gone[k] = others.setdefault((r["h"], r["bytes"]), at) != at
+        held = table.slice(int(first[-1]), 1).to_batches()[0]
+        yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in table.select(["key", "th", "pos"]).filter(pa.array(gone)).columns], names=["key", "th", "pos"])
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with repeated chunks removed from text, plus long columns n_lines, n_removed and cut_from.
 
-    A chunk of two logical lines and ten words or more that stands elsewhere, in this document or another, stays where
-    it comes first by (key, hash of text, place) and goes everywhere else, once its bytes (white space at the ends of
-    lines apart) equal those of the first. n_lines counts logical lines, n_removed those that went, cut_from the
-    chunks that went. A null text stays null and counts no lines; null keys come first; rows that repeat key and text
-    are one document and fare alike; a document none of whose lines stays has an empty text; an empty table gives no
-    rows; other columns pass through, but for ones of those three names, which are replaced.
+    A chunk is two logical lines or more with ten words or more, or one line with twenty. One that stands elsewhere,
+    in this document or another, stays where it comes first by (key, hash of text, place) and goes everywhere else,
+    once its bytes (white space at the ends of lines apart) equal those of the first. So any run of whole lines that
+    is a chunk goes wholly where it stands again, and every line that goes stands earlier in the same chunk. n_lines
+    counts logical lines, n_removed those that went, cut_from the least chunks that went, which overlap. A null text
+    stays null and counts no lines; null keys come first; rows that repeat key and text are one document and fare
+    alike; a document none of whose lines stays has an empty text; an empty table gives no rows; other columns pass
+    through, but for ones of those three names, which are replaced.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_removed", "cut_from")
@@ -158,17 +210,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text is not null")
     source = source.withColumn("th", F.xxhash64("text"))
-    repeated = _chunk_rows(source, kind, None).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("key", "th", "pos")).alias("first"))
-    repeated = scratch.save(repeated.where("n > 1").select("h1", "h2", "first"), "repeated")
-    found = scratch.save(
-        _chunk_rows(source, kind, _filter(repeated.select("h1", "h2")))
-        .join(repeated, ["h1", "h2"])
-        .withColumn("is_first", F.struct("key", "th", "pos").eqNullSafe(F.col("first")))
-        .drop("first"),
-        "found",
-    )
-    first = found.where("is_first").select("h1", "h2", F.col("bytes").alias("first_bytes")).dropDuplicates(["h1", "h2"])
-    gone = found.where("not is_first").join(first, ["h1", "h2"]).where("bytes = first_bytes")
+    repeated = _chunk_keys(source).groupBy("h").count().where("count > 1").select("h")
+    found = _chunk_rows(source, kind, _filter(repeated)).repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h", "key", "th", "pos")
+    gone = found.mapInArrow(_later, f"key {kind}, th long, pos int")
     gone = gone.groupBy("key", "th").agg(F.collect_set("pos").alias("__gone"))
     gone = scratch.save(gone.select(F.col("key").alias("__key"), F.col("th").alias("__hash"), "__gone"), "gone")
     marked = docs.withColumn("__th", F.xxhash64(F.col(text).cast("string")))
@@ -193,9 +237,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
                     cut.append(0)
                     continue
                 chunks = Chunks(t)
-                texts.append(chunks.without(g))
+                kept = chunks.kept(g)
+                texts.append("".join(s for s, stays in zip(chunks.lines, kept.tolist(), strict=True) if stays))
                 n_lines.append(len(chunks.lines))
-                n_removed.append(int((chunks.ends - chunks.starts)[g].sum()))
+                n_removed.append(int((~kept).sum()))
                 cut.append(len(g))
             arrays = [*batch.columns[: len(columns)], *(pa.array(c, pa.int64()) for c in (n_lines, n_removed, cut))]
             arrays[at] = pa.array(texts, pa.string())
