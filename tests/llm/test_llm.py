@@ -162,6 +162,26 @@ def test_similar_documents(docs):
     assert simhash.similar_documents(empty(docs)).count() == 0
 
 
+def test_near_copies_are_those_of_likeness(spark):
+    """Groups of copies with more and more edits, linked as exact likeness of all pairs tells; few pairs at the limit are missed."""
+    rnd = random.Random(17)
+    rows = []
+    for _ in range(40):
+        words = [rnd.choice(WORDS) + str(rnd.randrange(99)) for _ in range(150)]
+        for edits in range(0, 9):
+            w = list(words)
+            for k in rnd.sample(range(len(w)), edits):
+                w[k] = f"new{rnd.random()}"
+            rows.append((len(rows), " ".join(w)))
+    rows.append((len(rows), rows[0][1].upper()))
+    sets = [set(sketches.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = dict(zip((k for k, _ in rows), classes([k for k, _ in rows], links), strict=True))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.keys() == want.keys() and sum(got[k] != want[k] for k in want) <= 2
+    assert all(want[k] == want[c] for k, c in got.items())  # no link below the likeness
+
+
 def test_wide_fingerprints_follow_likeness():
     rnd = random.Random(14)
     found = Counter()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -247,9 +248,9 @@ WIDE_SHINGLE, WIDE_BITS, SIMILARITY = 5, 256, 0.8
 
 
 def wide_radius(similarity: float) -> int:
-    """Differing bits up to which documents link: those expected at a similarity, and one standard deviation more."""
+    """Differing bits up to which documents are compared: those expected at a similarity, and 2.25 standard deviations more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(WIDE_BITS * p + math.sqrt(WIDE_BITS * p * (1 - p)))
+    return round(WIDE_BITS * p + 2.25 * math.sqrt(WIDE_BITS * p * (1 - p)))
 
 
 def wide_fingerprint(text: str) -> bytes:
@@ -269,55 +270,137 @@ def wide_fingerprint(text: str) -> bytes:
 
 
 def wide_buckets(fp: np.ndarray) -> np.ndarray:
-    """32 keys of each fingerprint (rows, 4 words): its sixteen 16-bit words, and the sixteen made of one bit of each."""
+    """64 keys of each fingerprint (rows, 4 words): its sixteen 16-bit words, and those made of one bit of each, by three slopes."""
     bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little").reshape(len(fp), 16, 16)
-    both = np.concatenate([bits, bits.transpose(0, 2, 1)], axis=1)
-    return np.packbits(both, axis=2, bitorder="little").view(np.uint16)[:, :, 0].astype(np.int64) + (np.arange(32) << 16)
+    word, place = np.arange(16), np.arange(16)[:, None]
+    both = np.concatenate([bits, *(bits[:, word, (place + slope * word) % 16] for slope in (0, 1, 3))], axis=1)
+    return np.packbits(both, axis=2, bitorder="little").view(np.uint16)[:, :, 0].astype(np.int32) + (np.arange(64, dtype=np.int32) << 16)
+
+
+def _set(text: str) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes(text, WIDE_SHINGLE))
+
+
+def _node(shingles: np.ndarray) -> int:
+    """The number that stands for a set of shingles."""
+    return xxhash.xxh64_intdigest(shingles.tobytes())
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether the Jaccard likeness of two sorted sets is at least similarity, exactly; two empty sets are alike."""
+    least = Fraction(str(similarity))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * least.denominator >= (len(a) + len(b) - both) * least.numerator
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64)
+
+
+def _dealt(rows: DataFrame, member: str, scratch: Scratch) -> DataFrame:
+    """rows, each in the cells of its 64 buckets, sorted by them."""
+    columns = rows.columns
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = wide_buckets(_matrix(batch.column("fp")))
+            row = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(batch.column(c).take(row) for c in columns)], names=["bucket", *columns])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    found = tiled(rows.mapInArrow(deal, f"bucket int, {kinds}"), scratch, ["bucket"], member, TILE).select("bucket", "cell", *columns)
+    return found.repartition(shuffle_partitions(rows.sparkSession), "bucket", "cell").sortWithinPartitions("bucket", "cell")
+
+
+def _close_pairs(fp: np.ndarray, label: np.ndarray, radius: int, rows: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a bucket within radius whose labels differ."""
+    for k in range(0, len(fp), rows):
+        i, j = np.nonzero(label[k : k + rows, None] != label[None, :])
+        i += k
+        i, j = i[i < j], j[i < j]
+        near = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= radius
+        yield i[near], j[near]
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles are alike."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            good = [alike(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), similarity) for s, t in zip(x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: key and component_id, the least key reachable by links of near-duplicates.
 
-    Documents link when their 256-bit fingerprints of five-word shingles differ in wide_radius(similarity) bits or
-    fewer. Pairs are looked for in 32 tables of 16 bits: at a likeness of 0.8 two documents agree in one with
-    probability 0.91, at 0.9 with 0.99 and more. Equal fingerprints always link. Nodes of the graph are 64-bit hashes
-    of fingerprints. Nulls, repeated rows and empty tables are treated as in near_duplicates.
+    Documents link when the Jaccard likeness of their sets of five-word shingles is at least similarity, computed from
+    the whole sets. Pairs to compute it for are those whose 256-bit fingerprints differ in wide_radius(similarity)
+    bits or fewer and agree in one of 64 tables of 16 bits: at a likeness of 0.8 two documents do with probability
+    0.98. First a forest of such pairs is verified; then all the others between the components so found, so that a
+    group of n copies costs n comparisons. Nodes of the graph are 64-bit hashes of sets; equal sets are one node, the
+    empty set of texts without words among them. Nulls, repeated rows and empty tables are treated as in near_duplicates.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     scratch = Scratch(spark, "similar")
     radius = wide_radius(similarity)
     source = docs.select(F.col(key).alias("__key"), F.col(text).alias("__t"))
-    fps = per_text(source, "__t", ["__key"], "fp binary", lambda: lambda texts: [[wide_fingerprint(t) for t in texts]])
-    fps = scratch.save(fps, "fps")
-    distinct = fps.groupBy("fp").agg(F.min("__key").alias("least")).withColumn("node", F.xxhash64("fp"))
-    distinct = scratch.save(distinct, "distinct")
 
-    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64)
-            if not len(fp):
-                continue
-            keys = wide_buckets(fp)
-            row = pa.array(np.repeat(np.arange(len(fp)), keys.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("node").take(row), batch.column("fp").take(row)], names=["bucket", "node", "fp"])
+    def prints(texts: list[str]) -> list[list]:
+        return [[wide_fingerprint(t) for t in texts], np.array([_node(_set(t)) for t in texts], np.uint64).view(np.int64)]
 
-    rows = distinct.select("node", "fp").mapInArrow(deal, "bucket long, node long, fp binary")
-    rows = tiled(rows, scratch, ["bucket"], "node", TILE).select("bucket", "cell", "node", "fp")
-    rows = rows.repartition(shuffle_partitions(spark), "bucket", "cell").sortWithinPartitions("bucket", "cell")
+    fps = scratch.save(per_text(source, "__t", ["__key"], "fp binary, node long", lambda: prints), "fps")
+    distinct = scratch.save(fps.groupBy("node").agg(F.min("__key").alias("least"), F.min("fp").alias("fp")), "distinct")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["bucket", "cell"], 1 << 15):
-            fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(table.num_rows, -1)
-            edges = bucket_links(fp, group_starts(table, ["bucket", "cell"]), radius)
+            column = table.column("fp").combine_chunks()
+            edges = bucket_links(_matrix(column), group_starts(table, ["bucket", "cell"]), radius)
             if edges:
                 a, b = np.array(edges).T
-                node = table.column("node").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([column.take(pa.array(a)), column.take(pa.array(b))], names=["a", "b"])
+
+    prints_alone = distinct.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n"))
+    loose = _dealt(prints_alone.select("fp"), "fp", scratch).mapInArrow(forests, "a binary, b binary")
+    loose = scratch.save(loose.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "loose")
+    close = loose.select(F.explode(F.array("a", "b")).alias("fp")).union(prints_alone.where("n > 1").select("fp")).distinct()
+    near = scratch.save(distinct.join(close, "fp"), "near")
+
+    def shingles(texts: list[str]) -> list[list]:
+        found = [_set(t) for t in texts]
+        return [np.array([_node(s) for s in found], np.uint64).view(np.int64), [s.tobytes() for s in found]]
 
-    edges = scratch.save(rows.mapInArrow(run, "a long, b long"), "links")
-    known = _components(distinct, "node", edges, scratch)
-    return fps.withColumn("node", F.xxhash64("fp")).join(known, "node").select(F.col("__key").alias(key), "component_id")
+    asked = near.select(F.col("least").alias("__asked")).distinct()
+    sets = per_text(source.join(asked, F.col("__key").eqNullSafe(F.col("__asked")), "left_semi"), "__t", [], "node long, shingles binary", lambda: shingles)
+    sets = scratch.save(sets.join(near.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+    one = near.groupBy("fp").agg(F.min("node").alias("node"))
+    first = loose.join(one.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(one.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b")
+    first = scratch.save(_verified(first.select(F.col("u").alias("a"), F.col("v").alias("b")), sets, similarity), "first")
+    roots = component_roots(first, Scratch(spark, "similar-first"))
+    label = near.withColumn("key", F.xxhash64("node")).join(roots, "key", "left").select("node", "fp", F.coalesce("root", "key").alias("label"))
+
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["bucket", "cell"], 1 << 15):
+            fp, node, label = _matrix(table.column("fp")), table.column("node").to_numpy(), table.column("label").to_numpy()
+            at = np.append(group_starts(table, ["bucket", "cell"]), len(fp))
+            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if e - s < 2:
+                    continue
+                for i, j in _close_pairs(fp[s:e], label[s:e], radius):
+                    a, b = node[s + i], node[s + j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    rest = scratch.save(_dealt(scratch.save(label, "labels"), "node", scratch).mapInArrow(pairs, "a long, b long").distinct(), "rest")
+    second = scratch.save(_verified(rest, sets, similarity), "second")
+    known = _components(distinct, "node", first.union(second), scratch)
+    return fps.join(known, "node").select(F.col("__key").alias(key), "component_id")
 
 
 def _components(distinct: DataFrame, node: str, edges: DataFrame, scratch: Scratch) -> DataFrame:
