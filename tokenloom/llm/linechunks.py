@@ -23,7 +23,7 @@ from tokenloom.llm._common import Scratch, arrow_batches, shuffle_partitions
 #: The least chunk, in lines and words; a single line of LONG_WORDS words is one too.
 LEAST_LINES, LEAST_WORDS, LONG_WORDS = 2, 10, 20
 #: Bits of the filter that tells which chunks may be repeated: a fixed size, sent to all tasks.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 24
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
@@ -103,7 +103,7 @@ def _places(h: np.ndarray) -> np.ndarray:
     """Four bits of the filter for each key."""
     a = h.view(np.uint64)
     b = (a * _STEP) | np.uint64(1)
-    return np.stack([(a + np.uint64(k) * b) >> np.uint64(37) for k in range(4)]).astype(np.int64) % FILTER_BITS
+    return np.stack([(a + np.uint64(k) * b) >> np.uint64(40) for k in range(4)]).astype(np.int64) % FILTER_BITS
 
 
 def _passes(words: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -116,10 +116,10 @@ def _filter(keys: DataFrame) -> np.ndarray:
     """A Bloom filter of h, as bits; the driver gets words of a fixed number at most."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        words = np.zeros(FILTER_BITS // 64, np.int64)
         for batch in batches:
-            bits[_places(batch.column("h").to_numpy()).ravel()] = True
-        words = np.packbits(bits, bitorder="little").view(np.int64)
+            at = _places(batch.column("h").to_numpy()).ravel()
+            np.bitwise_or.at(words, at >> 6, np.int64(1) << (at & 63))
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
 
