@@ -39,11 +39,19 @@ def lines_of(text: str) -> list[str]:
     return lines if lines[-1] else lines[:-1]
 
 
+_known: dict[int, np.ndarray] = {}
+
+
 def _powers(x: np.uint64, n: int) -> np.ndarray:
-    """x to the powers 0 to n, modulo 2^64."""
-    out = np.full(n + 1, x, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """x to the powers 0 to n at least, modulo 2^64; up to a power of two, those of texts under 65,536 lines are remembered."""
+    out = _known.get(int(x))
+    if out is None or len(out) <= n:
+        out = np.full((1 << max(10, n.bit_length())) + 1, x, np.uint64)
+        out[0] = 1
+        out = np.multiply.accumulate(out)
+        if n < 1 << 16:
+            _known[int(x)] = out
+    return out
 
 
 class Chunks:
