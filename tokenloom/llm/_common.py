@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch; texts can be long, so batches are kept short.
@@ -18,10 +19,12 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one for a local master (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="tokenloom-")
@@ -49,9 +52,45 @@ class Scratch:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Short Arrow batches for operators that read whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Short Arrow batches for operators that read whole texts: the one session setting of this subpackage.
+
+    Plans are lazy and read it when they run, so it is left in force; all operators ask for the same, and a session
+    that has smaller batches keeps them.
+    """
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}")
+        if not re.fullmatch(r"\d+b?", now) or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+_caches: list[tuple[str, Callable[[], None]]] = []
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    """Say how a worker forgets what an operator remembers in its module."""
+    _caches.append((operator, forget))
+
+
+def only_remember(operator: str) -> None:
+    """In a worker that goes on from one operator's tasks to another's: forget what the others remember."""
+    for other, forget in _caches:
+        if other != operator:
+            forget()
+
+
+def column(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns named by number, and their names: nothing that an operator adds can clash with them."""
+    return df.toDF(*(f"_{k}" for k in range(len(df.columns)))), df.columns
+
+
+def place_of(names: list[str], name: str) -> str:
+    """The number-name of a column; names that differ only in case are told apart by their spelling."""
+    return f"_{names.index(name)}"
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -65,8 +104,8 @@ def per_text(
 
     keep: columns passed through unchanged; schema: of the added columns.
     """
-    source = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    source = df.select(*map(column, keep), column(text).cast("string").alias("__text"))
+    kept = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -154,6 +193,20 @@ class Merger:
                 self.label[self.label == label] = mine
 
 
+def spread_join(rows: DataFrame, known: DataFrame, on: list[str], count: str, kind: str = "inner") -> DataFrame:
+    """rows joined with known, a written table with one row per key and, in `count`, how many of rows have the key.
+
+    Keys of more than a quarter of a task's even share of rows are broadcast: by their counts they are at most four
+    times the shuffle partitions, whatever the input. The rows of all other keys meet by a shuffle, in which no key
+    makes a task large. kind: inner or left.
+    """
+    spark = rows.sparkSession
+    total = known.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
+    most = max(64, total // (4 * shuffle_partitions(spark)))
+    hot, cold = (known.where(which).drop(count) for which in (F.col(count) > most, F.col(count) <= most))
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, kind))
+
+
 def tiled(df: DataFrame, scratch: Scratch, bucket: list[str], member: str, tile: int) -> DataFrame:
     """Split large buckets into cells that compare at most two tiles, so that no bucket meets in one task.
 

@@ -5,6 +5,10 @@ last token t of the prefix that ends at i is the one token ending at i that is c
 prefix that ends at i - len(t). So the encodings of all prefixes form a tree. Tokens are no longer than L bytes, the
 longest that the merge list can make: whatever comes, the encoding passes through one of the last L prefixes. A token
 is stable once all of these have it among their ancestors; then it is emitted, and what lies before is forgotten.
+
+No token spans two pretokens, so the tree begins anew with each; in one shorter than L the empty prefix is live to the
+end, and its tokens are stable there and no sooner. A text is read window by window, and its ids leave in blocks, which
+the decoder takes as they come: beside the text itself only a window, a block and a few times L bytes are held.
 """
 
 from __future__ import annotations
@@ -21,15 +25,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm._common import arrow_batches, per_text
+from tokenloom.llm._common import arrow_batches, column, only_remember, per_text, remembers
 from tokenloom.llm.vocab import POINTS, REMEMBERED, SPACED, Remembered, byte_letters, public_file
 
 #: How the byte-level pretokenizer cuts text; the published pattern of this vocabulary, a fixed value.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Compatible pairs that a worker remembers.
 PAIRS = 1_000_000
-#: Bytes up to which a pretoken is read at once.
-_SHORT = 48
+#: Characters of a text that are read at once, at least.
+WINDOW = 1 << 16
+
+
+#: The end of a word before a single space: letters and digits on both sides.
+_GAP = re.compile("[A-Za-z0-9] (?=[A-Za-z0-9])")
 
 
 class ByteBPE:
@@ -53,8 +61,8 @@ class ByteBPE:
         for b in self.id_of:
             by_end.setdefault(b[-1], set()).add(len(b))
         self.lengths = [sorted(by_end.get(k, ()), reverse=True) for k in range(256)]
-        #: The same for the first ends of a string: lengths that fit before end, by end and last byte.
-        self.early = [[[n for n in lengths if n <= end] for lengths in self.lengths] for end in range(_SHORT + 1)]
+        #: The same for the first ends of a string, shorter than the lookahead: lengths that fit before end, by end and last byte.
+        self.early = [[[n for n in lengths if n <= end] for lengths in self.lengths] for end in range(self.lookahead)]
         self.made = {new: (k, pair) for pair, (k, new) in self.merge.items()}
         self.spines: tuple[dict, dict] = ({}, {})
         self.fits: dict[tuple[int, int], bool] = {}
@@ -163,7 +171,7 @@ class ByteBPE:
         return self._path(last, root), root
 
     def _short(self, raw: bytes) -> list[int]:
-        """stream() for a whole string so short that nothing need be forgotten."""
+        """stream() for a whole string shorter than the lookahead: all prefixes stay live to its end."""
         id_of, known, fits, early = self.id_of, self.fits, self.compatible, self.early
         last, start = [-1], [0]
         for end, byte in enumerate(raw, 1):
@@ -191,7 +199,7 @@ class ByteBPE:
         whole = self.id_of.get(raw)
         if whole is not None:
             ids = [whole]
-        elif len(raw) <= _SHORT:
+        elif len(raw) < self.lookahead:
             ids = self._short(raw)
         else:
             step = self.lookahead
@@ -210,17 +218,37 @@ class ByteBPE:
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.part.__getitem__, SPACED.findall(text)))
 
+    def _windows(self, text: str) -> Iterator[str]:
+        """The text in windows cut before a space that follows a word: no pretoken spans such a place."""
+        start = 0
+        while len(text) - start > 2 * WINDOW:
+            at = start + WINDOW
+            m = _GAP.search(text, at)
+            if m is None:
+                break
+            at = m.start() + 1
+            yield text[start:at]
+            start = at
+        yield text[start:]
+
+    def blocks(self, text: str) -> Iterator[bytes]:
+        """Ids of a whole text as little-endian 32-bit bytes, a block for each window."""
+        if self.cut is None or not any(s in text for s in self.special):
+            for window in self._windows(text):
+                yield self._plain(window)
+            return
+        at = 0
+        for m in self.cut.finditer(text):
+            for window in self._windows(text[at : m.start()]):
+                yield self._plain(window)
+            yield self.special[m.group()].to_bytes(4, "little")
+            at = m.end()
+        for window in self._windows(text[at:]):
+            yield self._plain(window)
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit bytes."""
-        if self.cut is None or not any(s in text for s in self.special):
-            return self._plain(text)
-        out = []
-        for piece in self.cut.split(text):
-            if piece in self.special:
-                out.append(self.special[piece].to_bytes(4, "little"))
-            elif piece:
-                out.append(self._plain(piece))
-        return b"".join(out)
+        return b"".join(self.blocks(text))
 
     def decode(self, ids: Iterable[list[int]]) -> Iterator[str]:
         """Text of blocks of ids, each as soon as its characters are whole; malformed bytes become U+FFFD."""
@@ -232,6 +260,7 @@ class ByteBPE:
 
 
 _loaded: dict[str, ByteBPE] = {}
+remembers("bpe", _loaded.clear)
 
 
 def byte_bpe(path: str) -> ByteBPE:
@@ -241,14 +270,22 @@ def byte_bpe(path: str) -> ByteBPE:
 
 
 def encode_table(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, ids binary (little-endian 32-bit) for each row; a null text counts as empty and has no ids."""
+    """key, ids binary (little-endian 32-bit) for each row of docs.
+
+    A null or empty text has no ids. Keys pass through, null and repeated ones too; other columns are not read; an
+    empty table gives no rows.
+    """
     arrow_batches(docs.sparkSession)
     path = path or public_file("byte_bpe_50k.json")
     return per_text(docs, text, [key], "ids binary", lambda: lambda texts: [[byte_bpe(path).encode(t) for t in texts]])
 
 
 def decode_table(encoded: DataFrame, path: str | None = None, ids: str = "ids", key: str = "doc_id") -> DataFrame:
-    """key, text string for each row of ids, as decode(ids, skip_special_tokens=False) gives it."""
+    """key, text string for each row of ids, as decode(ids, skip_special_tokens=False) gives it.
+
+    Null ids count as none and give the empty text; an unknown id is an error. Keys pass through, null and repeated
+    ones too; other columns are not read; an empty table gives no rows.
+    """
     path = path or public_file("byte_bpe_50k.json")
     kind = encoded.schema[key].dataType.simpleString()
 
@@ -260,7 +297,7 @@ def decode_table(encoded: DataFrame, path: str | None = None, ids: str = "ids",
             texts = ["".join(bpe.decode(_blocks(b or b""))) for b in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], names=[key, "text"])
 
-    return encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"`{key}` {kind}, text string")
+    return encoded.select(column(key).alias("key"), column(ids).alias("ids")).mapInArrow(run, f"`{key}` {kind}, text string")
 
 
 def _blocks(ids: bytes, n: int = 1 << 14) -> Iterator[list[int]]:
@@ -272,25 +309,33 @@ def round_trip(docs: DataFrame, path: str | None = None, text: str = "text", key
     """key, n_tokens, ids_sha256, decoded_sha256 of each row: its encoding, and the text decoded from those ids.
 
     A null or empty text has no tokens and decodes to the empty text. Keys pass through, null and repeated ones too;
-    other columns are not read; an empty table gives no rows. A text of any length is encoded in memory bounded by
-    its own size: the transducer holds a few times its lookahead.
+    other columns are not read; an empty table gives no rows. A text of any length is encoded, hashed and decoded block
+    by block, in memory that does not grow with it beside the text itself.
     """
     arrow_batches(docs.sparkSession)
     path = path or public_file("byte_bpe_50k.json")
 
     def make():
+        only_remember("bpe")
         bpe = byte_bpe(path)
 
         def work(texts: list[str]) -> list[list]:
             count, ids_hash, text_hash = [], [], []
             for t in texts:
-                ids = bpe.encode(t)
-                count.append(len(ids) // 4)
-                ids_hash.append(hashlib.sha256(ids).hexdigest())
-                digest = hashlib.sha256()
-                for piece in bpe.decode(_blocks(ids)):
-                    digest.update(piece.encode())
-                text_hash.append(digest.hexdigest())
+                n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+
+                def passed():
+                    nonlocal n
+                    for block in bpe.blocks(t):  # noqa: B023
+                        n += len(block) // 4
+                        of_ids.update(block)  # noqa: B023
+                        yield from _blocks(block)
+
+                for piece in bpe.decode(passed()):
+                    of_text.update(piece.encode())
+                count.append(n)
+                ids_hash.append(of_ids.hexdigest())
+                text_hash.append(of_text.hexdigest())
             return [count, ids_hash, text_hash]
 
         return work

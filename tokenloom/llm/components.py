@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm._common import Scratch
+from tokenloom.llm._common import Scratch, spread_join
 
 
 def component_roots(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -23,21 +23,24 @@ def component_roots(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while now.take(1):
         k = len(maps)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        up = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
-        maps.append(scratch.save(up, f"map{k}"))
-        left = maps[-1].select("u", F.col("p").alias("pu"))
-        right = maps[-1].select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        joined = now.join(left, "u").join(right, "v")
+        up = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("p"), "n")
+        maps.append(scratch.save(up, f"map{k}"))  # n: a node's edges, at least as many as it has on either side
+        left = maps[-1].select("u", F.col("p").alias("pu"), "n")
+        right = maps[-1].select(F.col("u").alias("v"), F.col("p").alias("pv"), "n")
+        joined = spread_join(spread_join(now, left, ["u"], "n"), right, ["v"], "n")
         new = joined.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).where("u <> v").distinct()
         now = scratch.save(new, f"edges{k + 1}")
         scratch.drop(f"edges{k}")
     if not maps:
         return now.select(F.col("u").alias("key"), F.col("v").alias("root"))
     roots = maps[-1].select(F.col("u").alias("key"), F.col("p").alias("root"))
-    for up in maps[-2::-1]:
-        later = roots.select(F.col("key").alias("p"), "root")
-        roots = up.join(later, "p", "left").select(F.col("u").alias("key"), F.coalesce("root", "p").alias("root"))
+    for k, up in [*enumerate(maps[:-1])][::-1]:
+        # one row for each p that nodes of this round point to, with their number
+        targets = up.groupBy("p").agg(F.count("*").alias("n")).join(roots.select(F.col("key").alias("p"), "root"), "p", "left")
+        later = scratch.save(targets, f"targets{k}")
+        roots = spread_join(up.select("u", "p"), later, ["p"], "n").select(F.col("u").alias("key"), F.coalesce("root", "p").alias("root"))
     roots = scratch.save(roots, "roots")
     for k in range(len(maps)):
         scratch.drop(f"map{k}")
+        scratch.drop(f"targets{k}")
     return roots

@@ -2,13 +2,14 @@
 
 A rotation learned on a bounded sample makes the signs of a vector's coordinates a balanced binary code. The code is
 cut into substrings, one table each: vectors that agree in a substring meet in a bucket. At cosine c a bit differs
-with probability acos(c) / pi, so a pair at 0.93 agrees in one of ten 12-bit substrings with probability 0.91, at 0.97
-with 0.99. Pairs of a bucket are compared by their original vectors in double precision. Larger corpora take longer
-substrings and more tables.
+with probability acos(c) / pi. The length of a substring follows the number of rows, so that buckets stay small, and
+the number of tables follows that length, so that a pair at the threshold itself is found with a given probability
+and one beyond it more surely. Pairs of a bucket are compared by their original vectors in double precision.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm._common import Merger, Scratch, arrow_batches, forest, group_starts, shuffle_partitions, tiled, whole_groups
+from tokenloom.llm._common import Merger, Scratch, arrow_batches, column, forest, group_starts, shuffle_partitions, spread_join, tiled, whole_groups
 from tokenloom.llm.components import component_roots
 
 COSINE = 0.93
-#: Tables, bits of a substring; rows that the rotation is learned on at most, and rounds of learning.
-TABLES, BITS, SAMPLE, ROUNDS = 10, 12, 10_000, 30
+#: Probability that a pair at the threshold is found, rows of one label that a bucket is meant for, bits of a substring at most.
+FOUND, BUCKET, MOST_BITS = 0.995, 32, 30
+#: Rows that the rotation is learned on at most, and rounds of learning.
+SAMPLE, ROUNDS = 10_000, 30
 #: Rows of a tile of a large bucket; buckets up to SMALL are compared by shifts over many at once.
 TILE, SMALL = 1024, 24
 
@@ -47,17 +50,27 @@ def learn(x: np.ndarray, bits: int, seed: int = 11) -> np.ndarray:
     return np.concatenate(blocks, axis=1)
 
 
-def codes(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """Substrings (rows, TABLES) of the binary codes; bits of all blocks are dealt to the tables in turn."""
-    bits = (x @ projection >= 0)[:, : TABLES * BITS].reshape(len(x), BITS, TABLES)
-    return (bits * (1 << np.arange(BITS))[None, :, None]).sum(axis=1).astype(np.int32)
+def shape_of(rows: int, cosine: float) -> tuple[int, int]:
+    """(tables, bits of a substring) for so many rows of the largest label."""
+    bits = min(MOST_BITS, max(8, math.ceil(math.log2(max(1, rows) / BUCKET))))
+    agree = (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** bits
+    return max(1, math.ceil(math.log(1 - FOUND) / math.log1p(-min(agree, 0.999)))), bits
+
+
+def codes(x: np.ndarray, projection: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """Substrings (rows, tables) of the binary codes; bits of all blocks are dealt to the tables in turn."""
+    signs = (x @ projection >= 0)[:, : tables * bits].reshape(len(x), bits, tables)
+    return (signs * (1 << np.arange(bits))[None, :, None]).sum(axis=1).astype(np.int32)
 
 
 class _Projections(dict):
     """A projection for each dimension: learned where the sample has vectors of it, else a fixed random one."""
 
+    def __init__(self, size: int):
+        self.size = size
+
     def __missing__(self, d: int) -> np.ndarray:
-        self[d] = learn(np.zeros((0, d)), TABLES * BITS)
+        self[d] = learn(np.zeros((0, d)), self.size)
         return self[d]
 
 
@@ -84,14 +97,14 @@ def _bucket_links(x: np.ndarray, code: np.ndarray, copies: np.ndarray, tile: np.
 
 def bucket_table(table: pa.Table, cosine: float) -> pa.RecordBatch:
     """Rows (kind, a, b): kind 0, representative a has b links here; kind 1, an edge from a to b."""
-    keys = ["label", "dim", "slot", "cell"]
+    keys = ["label", "dim", "number", "slot", "cell"]
     starts = group_starts(table, keys)
     n = table.num_rows
     sizes = np.diff(np.append(starts, n))
     rep, copies, dim = (table.column(c).to_numpy() for c in ("rep", "copies", "dim"))
-    slot, cell, tile = (table.column(c).to_numpy() for c in ("slot", "cell", "own_tile"))
+    number, cell, tile = (table.column(c).to_numpy() for c in ("number", "cell", "own_tile"))
     flat = table.column("code").combine_chunks()
-    code = np.frombuffer(b"".join(flat.to_pylist()), np.int32).reshape(n, TABLES)
+    code = np.frombuffer(b"".join(flat.to_pylist()), np.int32).reshape(n, -1)
     vectors = table.column("vector").combine_chunks().to_pylist()
     count, edges = np.zeros(n, np.int64), []
     kept = np.flatnonzero((sizes > SMALL))
@@ -99,7 +112,7 @@ def bucket_table(table: pa.Table, cosine: float) -> pa.RecordBatch:
         s, e = int(starts[g]), int(starts[g] + sizes[g])
         x = np.frombuffer(b"".join(vectors[s:e]), np.float64).reshape(e - s, int(dim[s]))
         split = (int(cell[s]) >> 31) != (int(cell[s]) & ((1 << 31) - 1))
-        got, found = _bucket_links(x, code[s:e], copies[s:e], tile[s:e], int(slot[s]) >> BITS, split, cosine)
+        got, found = _bucket_links(x, code[s:e], copies[s:e], tile[s:e], int(number[s]), split, cosine)
         count[s:e] += got
         edges += [(s + a, s + b) for a, b in found]
     small = (sizes > 1) & (sizes <= SMALL)
@@ -115,7 +128,7 @@ def bucket_table(table: pa.Table, cosine: float) -> pa.RecordBatch:
                 break
             i = i[np.einsum("ij,ij->i", x[i], x[i + s]) >= cosine]
             a, b = at[i], at[i + s]
-            good = (code[a] == code[b]).argmax(axis=1) == (slot[a] >> BITS)
+            good = (code[a] == code[b]).argmax(axis=1) == number[a]
             # a cell of two tiles has only the pairs between them
             good &= ((cell[a] >> 31) == (cell[a] & ((1 << 31) - 1))) | (tile[a] != tile[b])
             a, b = a[good], b[good]
@@ -150,21 +163,23 @@ def near_vectors(
     arrow_batches(spark)
     scratch = Scratch(spark, "embeddings")
     v = F.col("v")
-    number = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))
-    rows = table.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    sound = v.isNotNull() & F.col("label").isNotNull() & (F.size(v) > 0) & F.forall(v, number) & F.exists(v, lambda x: x != 0)
+    finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))
+    rows = table.select(column(key).cast("long").alias("id"), column(label).cast("long").alias("label"), column(vector).cast("array<double>").alias("v"))
+    sound = v.isNotNull() & F.col("label").isNotNull() & (F.size(v) > 0) & F.forall(v, finite) & F.exists(v, lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    h = [F.when(F.col("sound"), F.xxhash64(F.lit(s), "label", "v")) for s in (1, 2)]
-    rows = rows.withColumns({"h1": h[0], "h2": h[1]})
-    ids = scratch.save(rows.select("id", "h1", "h2"), "ids")
-    good = rows.where("sound")
+    alone = rows.where("not sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    good = rows.where("sound").select("*", *(F.xxhash64(F.lit(s), "label", "v").alias(f"h{s}") for s in (1, 2)))
+    ids = scratch.save(good.select("id", "h1", "h2"), "ids")
     distinct = good.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v"))
     distinct = scratch.save(distinct.withColumn("rep", F.xxhash64("h1", "h2")), "distinct")
+    most = distinct.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    tables, bits = shape_of(most, cosine)
     sample = distinct.orderBy("rep").limit(SAMPLE).select("v").toPandas()["v"].tolist()
-    projections = _Projections()
+    projections = _Projections(tables * bits)
     for d in sorted({len(x) for x in sample}):
         x = np.array([s for s in sample if len(s) == d], np.float64)
-        projections[d] = learn(x / np.linalg.norm(x, axis=1, keepdims=True), TABLES * BITS)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        projections[d] = learn(x / np.linalg.norm(x, axis=1, keepdims=True), tables * bits)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +193,7 @@ def near_vectors(
                 x = values[begin[at][:, None] + np.arange(d)]
                 x = x / np.abs(x).max(axis=1, keepdims=True)  # squares stay finite
                 x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-                for k, c, u in zip(at.tolist(), codes(x, projections[d]), x, strict=True):
+                for k, c, u in zip(at.tolist(), codes(x, projections[d], tables, bits), x, strict=True):
                     code[k], raw[k] = c.tobytes(), u.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("rep"), batch.column("copies"), batch.column("label"), pa.array(dim), pa.array(code, pa.binary()), pa.array(raw, pa.binary())],
@@ -188,10 +203,10 @@ def near_vectors(
     coded = scratch.save(distinct.select("rep", "copies", "label", "v").mapInArrow(encode, "rep long, copies long, label long, dim int, code binary, vector binary"), "coded")
     # the substring of table t is the t-th little-endian integer of the code
     octet = lambda t, k: F.conv(F.hex(F.substring("code", 4 * t + k + 1, 1)), 16, 10).cast("int")
-    slots = [(F.lit(t << BITS) + octet(t, 1) * 256 + octet(t, 0)).cast("int") for t in range(TABLES)]
-    spread = coded.select("*", F.explode(F.array(*slots)).alias("slot"))
-    keys = ["label", "dim", "slot", "cell"]
-    cells = tiled(spread, scratch, ["label", "dim", "slot"], "rep", TILE)
+    slots = [F.struct(F.lit(t).alias("number"), (octet(t, 3) * (1 << 24) + octet(t, 2) * (1 << 16) + octet(t, 1) * 256 + octet(t, 0)).alias("slot")) for t in range(tables)]
+    spread = coded.select("*", F.explode(F.array(*slots)).alias("s")).select("*", "s.*").drop("s")
+    keys = ["label", "dim", "number", "slot", "cell"]
+    cells = tiled(spread, scratch, ["label", "dim", "number", "slot"], "rep", TILE)
     cells = cells.repartition(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,12 +218,12 @@ def near_vectors(
     roots = component_roots(found.where("kind = 1").select("a", "b"), scratch)
     narrow = distinct.select("rep", "h1", "h2", "copies", "least").join(count, "rep", "left").withColumn("key", F.xxhash64("rep"))
     narrow = scratch.save(narrow.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "narrow")
-    least = narrow.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = narrow.join(least, "root").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = ids.join(known, ["h1", "h2"], "left").select(
-        F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
-    )
-    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
+    least = scratch.save(narrow.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "least")
+    known = spread_join(narrow.drop("least"), least, ["root"], "members")
+    known = scratch.save(known.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", "copies"), "known")
+    out = spread_join(ids, known, ["h1", "h2"], "copies").select("id", "n_links", F.coalesce("component_id", "id").alias("component_id"))
+    out = out.unionByName(alone).select(F.col("id").alias(key), F.col("n_links").cast("long").alias("n_links"), "component_id")
+    return out.withColumn("kept", F.coalesce(column(key) == F.col("component_id"), F.lit(False)))
 
 
 def op5_embeddings(spark, sf_dir: str) -> DataFrame:

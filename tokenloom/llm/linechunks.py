@@ -16,14 +16,17 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tokenloom.llm._common import Scratch, arrow_batches, shuffle_partitions
+from tokenloom.llm._common import Scratch, arrow_batches, numbered, only_remember, place_of, remembers, shuffle_partitions
 
 #: The least chunk, in lines and words; a single line of LONG_WORDS words is one too.
 LEAST_LINES, LEAST_WORDS, LONG_WORDS = 2, 10, 20
-#: Bits of the filter that tells which chunks may be repeated: a fixed size, sent to all tasks.
-FILTER_BITS = 1 << 24
+#: Bits of the filter that tells which chunks may be repeated: sixteen for each, within these bounds. It is sent to all
+#: tasks; past the upper bound more chunks pass in vain, which costs time and no result.
+FILTER_BITS = (1 << 20, 1 << 26)
+#: Bytes of chunks that go into one Arrow batch.
+BATCH_BYTES = 4 << 20
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
@@ -40,6 +43,7 @@ def lines_of(text: str) -> list[str]:
 
 
 _known: dict[int, np.ndarray] = {}
+remembers("linechunks", _known.clear)
 
 
 def _powers(x: np.uint64, n: int) -> np.ndarray:
@@ -107,32 +111,33 @@ class Chunks:
         return "".join(s for s, kept in zip(self.lines, self.kept(gone).tolist(), strict=True) if kept)
 
 
-def _places(h: np.ndarray) -> np.ndarray:
+def _places(h: np.ndarray, bits: int) -> np.ndarray:
     """Four bits of the filter for each key."""
     a = h.view(np.uint64)
     b = (a * _STEP) | np.uint64(1)
-    return np.stack([(a + np.uint64(k) * b) >> np.uint64(40) for k in range(4)]).astype(np.int64) % FILTER_BITS
+    return (np.stack([(a + np.uint64(k) * b) >> np.uint64(36) for k in range(4)]) % np.uint64(bits)).astype(np.int64)
 
 
 def _passes(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether all bits of each key are set."""
-    at = _places(h)
+    at = _places(h, 64 * len(words))
     return ((words[at >> 6] >> (at & 63)) & 1).all(axis=0)
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of h, as bits; the driver gets words of a fixed number at most."""
+    """A Bloom filter of h, as 64-bit words; the driver gets a bounded number of them at most."""
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (16 * keys.count()).bit_length()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(FILTER_BITS // 64, np.int64)
+        words = np.zeros(bits // 64, np.int64)
         for batch in batches:
-            at = _places(batch.column("h").to_numpy()).ravel()
+            at = _places(batch.column("h").to_numpy(), bits).ravel()
             np.bitwise_or.at(words, at >> 6, np.int64(1) << (at & 63))
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
 
     found = keys.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words = np.zeros(bits // 64, np.int64)
     words[found.column("at").to_numpy()] = found.column("word").to_numpy()
     return words
 
@@ -141,8 +146,9 @@ def _chunk_keys(source: DataFrame) -> DataFrame:
     """(h) of all chunks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_remember("linechunks")
         for batch in batches:
-            found = [Chunks(t).keys() for t in batch.column("text").to_pylist()]
+            found = [Chunks(t.as_py()).keys() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["h"])
 
     return source.select("text").mapInArrow(run, "h long")
@@ -154,24 +160,71 @@ def _chunk_rows(source: DataFrame, kind: str, only: np.ndarray) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, pos, h, text = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-            for k, t in enumerate(batch.column("text").to_pylist()):
-                chunks = Chunks(t)
+            row, pos, h, text, size = [], [], [], [], 0
+
+            def part() -> pa.RecordBatch:
+                at = pa.array(np.concatenate(row))
+                columns = [pa.array(np.concatenate(h)), batch.column("key").take(at), batch.column("th").take(at), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(text, pa.string())]  # noqa: B023
+                for held in (row, pos, h, text):
+                    held.clear()
+                return pa.RecordBatch.from_arrays(columns, names=["h", "key", "th", "pos", "bytes"])
+
+            for k, t in enumerate(batch.column("text")):
+                chunks = Chunks(t.as_py())
                 keys = chunks.keys()
                 passed = np.flatnonzero(_passes(words.value, keys))
-                row.append(np.full(len(passed), k))
-                pos.append(passed)
-                h.append(keys[passed])
-                text += map(chunks.bytes, passed.tolist())
-            at = pa.array(np.concatenate([np.zeros(0, np.int64), *row]))
-            columns = [pa.array(np.concatenate(h)), batch.column("key").take(at), batch.column("th").take(at), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(text, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["h", "key", "th", "pos", "bytes"])
+                for s in range(0, len(passed), 1000):
+                    some = passed[s : s + 1000]
+                    row.append(np.full(len(some), k))
+                    pos.append(some)
+                    h.append(keys[some])
+                    mine = [*map(chunks.bytes, some.tolist())]
+                    text += mine
+                    size += sum(map(len, mine))
+                    if size >= BATCH_BYTES:
+                        yield part()
+                        size = 0
+            if row:
+                yield part()
 
     return source.mapInArrow(run, f"h long, key {kind}, th long, pos int, bytes string")
 
 
-def _later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, th, pos) of the chunks that stand earlier with the same bytes; rows are sorted by h, key, th, pos.
+def _hot(keys: DataFrame, most: int) -> dict[int, int]:
+    """The keys of more than `most` rows, with their counts. The caller's bound is a share of all rows, so they are few."""
+    return {r["h"]: r["count"] for r in keys.where(F.col("count") > most).collect()}
+
+
+def _deal(rows: DataFrame, hot: dict[int, int], most: int) -> DataFrame:
+    """rows with a column `salt`: rows of a hot key are dealt to ceil(count / most) salts by a hash of their place, others have none."""
+    if not hot:
+        return rows.withColumn("salt", F.lit(0))
+    salts = rows.sparkSession.createDataFrame([(h, 1 + n // most) for h, n in hot.items()], "h long, salts int")
+    dealt = rows.join(F.broadcast(salts), "h", "left")  # as few rows as hot keys
+    return dealt.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("key", "th", "pos"), F.col("salts")) + 1, F.lit(0)).cast("int")).drop("salts")
+
+
+def _firsts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, th, pos, h, bytes) out of rows sorted by h, salt, key, th, pos: chunks that stand earlier with the same bytes,
+    their h and bytes null; and of salted rows the first of each bytes, which have still to meet those of other salts."""
+    for batch in _later(batches, ["h", "salt"]):
+        first = batch.column("first")
+        keep = pc.or_(pc.invert(first), pc.greater(batch.column("salt"), 0))
+        batch = batch.filter(keep)
+        first = batch.column("first")
+        h, text = (pc.if_else(first, batch.column(c), pa.scalar(None, batch.schema.field(c).type)) for c in ("h", "bytes"))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "th", "pos")), h, text], names=["key", "th", "pos", "h", "bytes"])
+
+
+def _rest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, th, pos) out of rows sorted by h, key, th, pos: chunks that stand earlier with the same bytes."""
+    for batch in _later(batches, ["h"]):
+        yield batch.filter(pc.invert(batch.column("first"))).select(["key", "th", "pos"])
+
+
+def _later(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows with a column `first`: whether no row of the same group and bytes stands earlier. Rows are sorted by the
+    group's columns, key, th, pos; one that repeats a place is none of its own and goes.
 
     Of the rows so far, only the first of the last group is held, and those of its key that have other bytes.
     """
@@ -180,23 +233,27 @@ def _later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        h = table.column("h").to_numpy()
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        of = table.take(pa.array(first))
-        same = pc.equal(table.column("bytes"), of.column("bytes")).to_numpy(zero_copy_only=False)
-        keys = table.column("key").combine_chunks().dictionary_encode("encode").indices.to_numpy()
-        place = (keys == keys[first]) & (table.column("th").to_numpy() == of.column("th").to_numpy()) & (table.column("pos").to_numpy() == of.column("pos").to_numpy())
-        gone = same & ~place
-        if held is None or h[0] != h[-1]:
-            others = {k: v for k, v in others.items() if k[0] in (h[0], h[-1])}
-        for k in np.flatnonzero(~same).tolist():  # keys that agree by chance
-            r = table.slice(k, 1).to_pylist()[0]
-            at = (r["key"], r["th"], r["pos"])
-            gone[k] = others.setdefault((r["h"], r["bytes"]), at) != at
-        held = table.slice(int(first[-1]), 1).to_batches()[0]
-        yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in table.select(["key", "th", "pos"]).filter(pa.array(gone)).columns], names=["key", "th", "pos"])
+        groups = [table.column(c).to_numpy() for c in by]
+        place = [table.column("key").combine_chunks().dictionary_encode("encode").indices.to_numpy(), table.column("th").to_numpy(), table.column("pos").to_numpy()]
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.logical_or.reduce([g[1:] != g[:-1] for g in groups])
+        again = ~new
+        again[1:] &= np.logical_and.reduce([p[1:] == p[:-1] for p in place])  # rows that repeat key and text
+        start = np.flatnonzero(new)[np.cumsum(new) - 1]
+        same = pc.equal(table.column("bytes"), table.column("bytes").take(pa.array(start))).to_numpy(zero_copy_only=False)
+        first = new & (np.arange(len(new)) >= (held is not None))
+        group_of = lambda k: tuple(int(g[k]) for g in groups)  # noqa: E731, B023
+        others = {k: v for k, v in others.items() if k[0] == group_of(0)}
+        for k in np.flatnonzero(~same & ~again).tolist():  # keys that agree by chance
+            r = (group_of(k), table.column("bytes")[k].as_py())
+            at = tuple(table.column(c)[k].as_py() for c in ("key", "th", "pos"))
+            first[k] = others.setdefault(r, at) == at
+        others = {k: v for k, v in others.items() if k[0] == group_of(-1)}
+        keep = ~again
+        keep[: int(held is not None)] = False
+        held = table.slice(int(start[-1]), 1).to_batches()[0]
+        out = table.append_column("first", pa.array(first)).filter(pa.array(keep)).combine_chunks().to_batches()
+        yield from out
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -215,29 +272,34 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     docs = docs.drop("n_lines", "n_removed", "cut_from")
     arrow_batches(spark)
     scratch = Scratch(spark, "linechunks")
-    kind = docs.schema[key].dataType.simpleString()
-    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text is not null")
+    rows, names = numbered(docs)
+    k, t = place_of(names, key), place_of(names, text)
+    kind = rows.schema[k].dataType.simpleString()
+    source = rows.select(F.col(k).alias("key"), F.col(t).cast("string").alias("text")).where("text is not null")
     source = source.withColumn("th", F.xxhash64("text"))
-    repeated = _chunk_keys(source).groupBy("h").count().where("count > 1").select("h")
-    found = _chunk_rows(source, kind, _filter(repeated)).repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h", "key", "th", "pos")
-    gone = found.mapInArrow(_later, f"key {kind}, th long, pos int")
-    gone = gone.groupBy("key", "th").agg(F.collect_set("pos").alias("__gone"))
-    gone = scratch.save(gone.select(F.col("key").alias("__key"), F.col("th").alias("__hash"), "__gone"), "gone")
-    marked = docs.withColumn("__th", F.xxhash64(F.col(text).cast("string")))
-    gone = gone.hint("merge")  # one plan at every size; what is gone grows with the corpus
-    marked = marked.join(gone, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__th") == F.col("__hash")), "left")
-    marked = marked.select(*[F.col(c) for c in docs.columns], "__gone")
-    columns = docs.columns
-    out = StructType.fromJson(docs.schema.jsonValue())
-    out[text].dataType = marked.select(F.col(text).cast("string")).schema[0].dataType
-    for c in ("n_lines", "n_removed", "cut_from"):
-        out = out.add(c, "long")
+    repeated = scratch.save(_chunk_keys(source).groupBy("h").count().where("count > 1"), "repeated")
+    n = shuffle_partitions(spark)
+    total = repeated.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    most = max(1000, total // (4 * n))
+    order = ["h", "salt", "key", "th", "pos"]
+    found = _deal(_chunk_rows(source, kind, _filter(repeated.select("h"))), _hot(repeated, most), most)
+    found = found.repartition(n, "h", "salt").sortWithinPartitions(*order).select(*order, "bytes")
+    first = scratch.save(found.mapInArrow(_firsts, f"key {kind}, th long, pos int, h long, bytes string"), "first")
+    others = first.where("h is not null").repartition(n, "h").sortWithinPartitions("h", "key", "th", "pos").select("h", "key", "th", "pos", "bytes")
+    gone = first.where("h is null").select("key", "th", "pos").unionByName(others.mapInArrow(_rest, f"key {kind}, th long, pos int"))
+    gone = gone.groupBy("key", "th").agg(F.collect_set("pos").alias("gone"))
+    gone = gone.select(F.col("key").alias("gone_key"), F.col("th").alias("gone_th"), "gone").hint("merge")  # one plan at every size; what is gone grows with the corpus
+    marked = rows.withColumn("th", F.xxhash64(F.col(t).cast("string")))
+    marked = marked.join(gone, F.col(k).eqNullSafe(F.col("gone_key")) & (F.col("th") == F.col("gone_th")), "left")
+    at = names.index(text)
+    marked = marked.select(*(F.col(c).cast("string") if c == t else F.col(c) for c in rows.columns), "gone")
+    out = StructType([*marked.drop("gone").schema.fields, *(StructField(c, LongType()) for c in ("n_lines", "n_removed", "cut_from"))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = columns.index(text)
+        only_remember("linechunks")
         for batch in batches:
             texts, n_lines, n_removed, cut = [], [], [], []
-            for t, g in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
+            for t, g in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 if not t or not g:
                     texts.append(t)
                     n_lines.append(len(lines_of(t)) if t else 0)
@@ -250,11 +312,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
                 n_lines.append(len(chunks.lines))
                 n_removed.append(int((~kept).sum()))
                 cut.append(len(g))
-            arrays = [*batch.columns[: len(columns)], *(pa.array(c, pa.int64()) for c in (n_lines, n_removed, cut))]
+            arrays = [*batch.columns[:-1], *(pa.array(c, pa.int64()) for c in (n_lines, n_removed, cut))]
             arrays[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "n_lines", "n_removed", "cut_from"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "n_lines", "n_removed", "cut_from"])
 
-    return marked.mapInArrow(run, out)
+    return marked.mapInArrow(run, out).toDF(*names, "n_lines", "n_removed", "cut_from")
 
 
 def op9_line_chunks(spark, sf_dir: str) -> DataFrame:

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm._common import Scratch, arrow_batches, per_text
+from tokenloom.llm._common import Scratch, arrow_batches, column, only_remember
 from tokenloom.llm.vocab import encoder, public_file
 
 CAPACITY, END_ID = 1024, 2
-#: Pieces of one length are numbered within so many groups, so that no length meets in one task.
-GROUPS = 512
+#: Pieces of one length are numbered in groups of about so many.
+GROUP = 4096
 
 
 class CapacityTree:
@@ -104,9 +104,14 @@ def cut(n: int, capacity: int) -> list[int]:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, and the group by which ranks are dealt."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, and a hash by which pieces are dealt to groups.
+
+    The hash also hangs on the place that the row has while it is written, so that repeated rows are dealt apart; what
+    was written stands.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_remember("vocab")
         encode, end = encoder(path, True), struct.pack("<I", end_id)
         for batch in batches:
             row, at, start, length, crc = [], [], [], [], []
@@ -124,10 +129,10 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, text: str = "
             id_ = batch.column("id").take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([id_, *new], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    source = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    source = docs.select(column(key).alias("id"), column(text).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     found = source.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
-    return found.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(GROUPS)).cast("int"))
+    return found.withColumn("deal", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()))
 
 
 def pack(
@@ -137,14 +142,16 @@ def pack(
 
     A document is its ids and the end id; one longer than the capacity is cut into whole pieces, after a shorter
     first one. Pieces are packed by best-fit decreasing over the whole table. A null or empty text is the end id
-    alone; a null key is kept; repeated rows are packed as often as they stand; an empty table gives no rows.
-    The driver gets one count per length, `capacity` at most.
+    alone; a null key is kept; repeated rows are packed as often as they stand; an empty table gives no rows; other
+    columns are not read. Pieces of one length are numbered in groups whose number follows that of all pieces. The driver gets one count per length, `capacity` at most.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     path = path or public_file("byte_bpe_50k.json")
     scratch = Scratch(spark, "packing")
     table = scratch.save(pieces(docs, path, capacity, end_id, text, key), "pieces")
+    groups = 1 + table.count() // GROUP
+    table = table.withColumn("part", F.pmod("deal", F.lit(groups))).drop("deal")
     counts = scratch.save(table.groupBy("length", "part").count(), "counts")
     by_length = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}
     plan, _ = best_fit_decreasing(by_length, capacity)

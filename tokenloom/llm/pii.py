@@ -11,18 +11,18 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-from tokenloom.llm._common import arrow_batches, per_text
+from tokenloom.llm._common import arrow_batches, numbered, only_remember, per_text
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: Tokens of a segment at most, digits of one at least, and characters of context on either side of a trigger.
-SEGMENT, DIGITS, CONTEXT = 34, 7, 48
+#: Tokens of a segment at most, digits of a number at least and at most, characters before a segment that its cues are sought in.
+SEGMENT, DIGITS, MOST_DIGITS, CONTEXT = 40, 7, 19, 32
 #: Log-odds by which the best labelling must beat the one without a span for the span to be reported.
 MARGIN = 1.0
 
@@ -79,90 +79,134 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # -- the semi-Markov field --------------------------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\S\n]+|.", re.S)
+_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[\n+(@]|[^A-Za-z0-9\n+(@]+")
 _OBSCURED = re.compile(r"[\[({] ?(?:at|AT) ?[\])}]")
-_TRIGGER = re.compile(r"[0-9](?:[ ()./:,_-]{0,3}[0-9]){6,}")
+_SPOKEN = re.compile(r"(?<=[A-Za-z0-9]) (?:at|AT) (?=[A-Za-z0-9-]+(?: (?:dot|DOT) [A-Za-z0-9-]+)+)")
+#: A stretch of numbers: digits with at most four signs between two of them, and the sign that can stand before.
+_STRETCH = re.compile(r"[+(]{0,2}[0-9](?:[^0-9A-Za-z@\n]{0,4}[0-9]){6,}")
 _CUES = {
     "email": ("email", "mail", "contact", "write"), "ip": ("ip", "host", "server", "address", "login"),
     "card": ("card", "visa", "mastercard", "credit", "payment"), "phone": ("phone", "tel", "call", "mobile", "fax", "telephone"),
 }
-_DOTTED = re.compile(r" ?[\[({] ?(?:dot|DOT) ?[\])}] ?")
+_DOTTED = re.compile(r" ?[\[({] ?(?:dot|DOT) ?[\])}] ?| (?:dot|DOT) ")
+_ENDINGS = frozenset("com org net edu gov io de fr es it uk eu info".split())
 _EMAIL_LIKE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 
 
-def span_features(kind: str, span: str, before: str, after: str) -> list[str]:
-    """Names of the features of a whole candidate span with its context on both sides."""
-    d = _digits(span)
-    words = re.findall(r"[A-Za-z]+", before)[-3:]
-    out = ["bias"]
+def shape_features(kind: str, shape: str, cue: bool) -> list[str]:
+    """Features that hang on a span's shape alone: a number with every digit as 0, an address as it stands."""
+    out = ["bias", f"cue={cue}"]
     if kind == "email":
-        plain = _OBSCURED.sub("@", _DOTTED.sub(".", span)).replace(" @ ", "@").replace(" @", "@").replace("@ ", "@")
+        plain = _DOTTED.sub(".", _OBSCURED.sub("@", _SPOKEN.sub("@", shape))).replace(" @ ", "@").replace(" @", "@").replace("@ ", "@")
         out.append(f"whole={bool(_EMAIL_LIKE.fullmatch(plain))}")
         out.append(f"spaces={plain.count(' ') > 0}")
-    else:
-        seps = "".join(sorted(set(re.sub(r"[0-9A-Za-z]", "", span))))
-        groups = [len(g) for g in re.findall(r"[0-9]+", span)]
-        letters = bool(re.search(r"[A-Za-z]", span))
-        out += [f"digits={min(len(d), 20)}", f"seps={seps}", f"groups={'-'.join(map(str, groups)) if len(groups) <= 6 else 'many'}", f"letters={letters}", f"plus={span[0] == '+'}", f"even={len(set(groups[:-1])) == 1}"]
-        if kind == "card":
-            out.append(f"luhn={luhn(d) and 13 <= len(d) <= 19}")
-        if kind == "ip":
-            parts = span.split(".")
-            out.append(f"parts={len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)}")
-    cue = any(w.lower().startswith(c) for w in words for c in _CUES[kind])
-    out.append(f"cue={cue}")
-    if kind != "email":
-        out.append(f"cue={cue},{out[1]}")
-        out.append(f"cue={cue},{out[3]}")
-    out.append("left=" + ("edge" if not before else "word" if before[-1].isalnum() else before[-1] if before[-1] in " \n\"'(:=,." else "mark"))
-    out.append("right=" + ("edge" if not after else "word" if after[0].isalnum() else "sign" if after[0] in "-+/=%" else "mark"))
-    return [f"{kind}:{f}" for f in out]
-
-
-def candidates(text: str) -> tuple[list[int], list[tuple[int, int]]]:
-    """Token ends of a region and the segments (first token, past the last) that can be a span."""
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    digits, ats = [0], [0]
-    for a, b in tokens:
-        digits.append(digits[-1] + (b - a if "0" <= text[a] <= "9" else 0))
-        ats.append(ats[-1] + (text[a] == "@" or text[a:b] in ("at", "AT")))
-    can_end = [text[a].isalnum() for a, _ in tokens]
-    out = []
-    for i, (a, _) in enumerate(tokens):
-        if not (can_end[i] or text[a] in "+("):
-            continue
-        for j in range(i + 1, min(len(tokens), i + SEGMENT) + 1):
-            if text[tokens[j - 1][0]] == "\n":
-                break
-            if can_end[j - 1] and (digits[j] - digits[i] >= DIGITS or (ats[j] - ats[i] == 1 and can_end[i])):
-                out.append((i, j))
-    return tokens, out
-
-
-def _kinds_of(span: str) -> list[str]:
-    """Kinds that a segment is tried as; the shape rules out the others."""
-    found = []
-    if ("@" in span or _OBSCURED.search(span)) and not span[0] in "+(":
-        found.append("email")
-    n = len(_DIGIT.findall(span))
-    if n >= DIGITS and not re.search(r"[A-Za-z@]", span):
-        if 7 <= n <= 15:
-            found.append("phone")
-        if 13 <= n <= 19:
-            found.append("card")
-        if n <= 12 and span.count(".") == 3:
-            found.append("ip")
-    return found
+        out.append(f"spoken={bool(_SPOKEN.search(shape))},{plain.rpartition('.')[2].lower() in _ENDINGS}")
+        return out
+    seps = "".join(sorted(set(re.sub(r"[0-9A-Za-z]", "", shape))))
+    groups = [len(g) for g in re.findall(r"[0-9]+", shape)]
+    digits = f"digits={min(sum(groups), 20)}"
+    grouped = f"groups={'-'.join(map(str, groups)) if len(groups) <= 6 else 'many'}"
+    letters = bool(re.search(r"[A-Za-z]", shape))
+    return [*out, digits, f"seps={seps}", grouped, f"letters={letters}", f"plus={shape[0] == '+'}", f"even={len(set(groups[:-1])) == 1}", f"cue={cue},{digits}", f"cue={cue},{grouped}"]
+
+
+def value_features(kind: str, span: str) -> list[str]:
+    """Features of a number's digits."""
+    if kind == "card":
+        d = _digits(span)
+        return [f"luhn={13 <= len(d) <= 19 and luhn(d)}"]
+    if kind == "ip":
+        parts = span.split(".")
+        return [f"parts={len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)}"]
+    return []
+
+
+def side_features(before: str, after: str) -> list[str]:
+    """Features of the characters on both sides."""
+    left = "edge" if not before else "word" if before[-1].isalnum() else before[-1] if before[-1] in " \n\"'(:=,." else "mark"
+    right = "edge" if not after else "word" if after[0].isalnum() else "sign" if after[0] in "-+/=%" else "mark"
+    return [f"left={left}", f"right={right}"]
+
+
+_ZEROS = str.maketrans("123456789", "000000000")
+
+
+def _shape(kind: str, span: str) -> str:
+    return span if kind == "email" else span.translate(_ZEROS)
+
+
+def has_cue(kind: str, before: str) -> bool:
+    """Whether one of the last three words before a span begins as a cue word of the kind does."""
+    return any(w.lower().startswith(c) for w in re.findall(r"[A-Za-z]+", before)[-3:] for c in _CUES[kind])
+
+
+def span_features(kind: str, span: str, before: str, after: str) -> list[str]:
+    """Names of the features of a whole candidate span with its context on both sides."""
+    found = shape_features(kind, _shape(kind, span), has_cue(kind, before)) + value_features(kind, span) + side_features(before, after)
+    return [f"{kind}:{f}" for f in found]
+
+
+def _kinds_of(digits: int, dots: int) -> list[str]:
+    """Kinds that a number is tried as; its shape rules out the others."""
+    return [kind for kind, fits in (("phone", DIGITS <= digits <= 15), ("card", 13 <= digits <= MOST_DIGITS), ("ip", digits <= 12 and dots == 3)) if fits]
+
+
+def _address(span: str) -> bool:
+    """Whether a segment is tried as an address."""
+    return "@" in span or bool(_OBSCURED.search(span) or _SPOKEN.search(span))
+
+
+def segments(text: str, low: int, high: int, taken: list[tuple[int, int]] = ()) -> tuple[list[tuple[int, int]], Iterator[list[tuple[int, str]]]]:
+    """Tokens of text[low:high], and for each token's end the segments (first token, kind) that end there, one after another.
+
+    A segment has at most SEGMENT tokens, no newline, a letter or digit at its end, one or +( at its beginning, and
+    overlaps none of the stretches taken. A number has up to MOST_DIGITS digits and no letter; an address one sign or
+    word for @.
+    """
+    tokens = [m.span() for m in _TOKEN.finditer(text, low, high)]
+
+    def ending() -> Iterator[list[tuple[int, str]]]:
+        taken_at = 0
+        for j, (last, end) in enumerate(tokens):
+            found: list[tuple[int, str]] = []
+            while taken_at < len(taken) and taken[taken_at][1] <= last:
+                taken_at += 1
+            floor = taken[taken_at - 1][1] if taken_at else 0
+            inside = taken_at < len(taken) and taken[taken_at][0] < end
+            if text[last].isalnum() and not inside:
+                digits, dots, ats, letters = 0, 0, 0, False
+                for i in range(j, max(-1, j - SEGMENT), -1):
+                    a, b = tokens[i]
+                    c = text[a]
+                    if a < floor or c == "\n":
+                        break
+                    if "0" <= c <= "9":
+                        digits += b - a
+                    elif c == "@" or text[a:b] in ("at", "AT"):
+                        ats, letters = ats + 1, True
+                    elif c.isascii() and c.isalpha():
+                        letters = True
+                    else:
+                        dots += text.count(".", a, b)
+                    if ats > 1 or not letters and digits > MOST_DIGITS:
+                        break
+                    if letters:
+                        if ats and c.isalnum() and _address(text[a:end]):
+                            found.append((i, "email"))
+                    elif digits >= DIGITS and (c.isalnum() or c in "+("):
+                        found += [(i, kind) for kind in _kinds_of(digits, dots)]
+            yield found
+
+    return tokens, ending()
 
 
 def lattice(text: str) -> tuple[list[tuple[int, int]], list[list[tuple[int, str, list[str]]]]]:
-    """Tokens, and for each token end the segments (first token, kind, features) that end there."""
-    tokens, segments = candidates(text)
-    ending: list[list] = [[] for _ in range(len(tokens) + 1)]
-    for i, j in segments:
-        a, b = tokens[i][0], tokens[j - 1][1]
-        for kind in _kinds_of(text[a:b]):
-            ending[j].append((i, kind, span_features(kind, text[a:b], text[max(0, a - 32) : a], text[b : b + 2])))
+    """Tokens of a whole text, and for each token end the segments (first token, kind, features) that end there."""
+    tokens, ends = segments(text, 0, len(text))
+    ending: list[list] = [[]]
+    for found in ends:
+        end = tokens[len(ending) - 1][1]
+        ending.append([(i, kind, span_features(kind, text[(a := tokens[i][0]) : end], text[max(0, a - CONTEXT) : a], text[end : end + 1])) for i, kind in found])
     return tokens, ending
 
 
@@ -172,16 +216,49 @@ def _add(a: float, b: float) -> float:
     return a + math.log1p(math.exp(b - a)) if b > -math.inf else a
 
 
-def decode(text: str, weights: dict[str, float]) -> list[tuple[int, int, str]]:
-    """Spans of the best labelling of a region. A segment that does not beat its tokens unlabelled by MARGIN is none."""
-    tokens, ending = lattice(text)
-    best, back = [0.0] + [-math.inf] * len(tokens), [None] * (len(tokens) + 1)
-    for j in range(1, len(tokens) + 1):
-        best[j] = best[j - 1]
-        for i, kind, features in ending[j]:
-            score = best[i] + sum(weights.get(f, 0.0) for f in features) - MARGIN
-            if score > best[j]:
-                best[j], back[j] = score, (i, kind)
+class Scorer:
+    """Scores of segments: the sum of their features' weights. Sums are remembered by shape and sides within a bound."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights, self.shapes, self.sides, self.cues = weights, {}, {}, {}
+
+    def _sum(self, kind: str, names: list[str]) -> float:
+        return sum(self.weights.get(f"{kind}:{f}", 0.0) for f in names)
+
+    @staticmethod
+    def _held(known: dict, key, make, most: int = 20_000):
+        value = known.get(key)
+        if value is None:
+            if len(known) >= most:
+                known.clear()
+            value = known[key] = make()
+        return value
+
+    def __call__(self, kind: str, text: str, a: int, b: int) -> float:
+        span, before, after = text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + 1]
+        cue = self._held(self.cues, (kind, before), lambda: has_cue(kind, before))
+        key = (kind, _shape(kind, span), cue)
+        score = self._held(self.shapes, key, lambda: self._sum(kind, shape_features(*key)))
+        score += self._held(self.sides, (kind, before[-1:], after), lambda: self._sum(kind, side_features(before, after)))
+        return score + self._sum(kind, value_features(kind, span)) if kind in ("card", "ip") else score
+
+
+def decode(text: str, scorer: Scorer, low: int = 0, high: int | None = None, taken: list[tuple[int, int]] = ()) -> list[tuple[int, int, str]]:
+    """Spans of the best labelling of text[low:high]. A segment that does not beat its tokens unlabelled by MARGIN is none.
+
+    Segments are made and scored as the search comes to their ends, and forgotten: what is held is a number and at most
+    one segment for each token.
+    """
+    tokens, ends = segments(text, low, len(text) if high is None else high, taken)
+    best, back = [0.0], [None]
+    for j, found in enumerate(ends, 1):
+        top, choice = best[j - 1], None
+        for i, kind in found:
+            score = best[i] + scorer(kind, text, tokens[i][0], tokens[j - 1][1]) - MARGIN
+            if score > top:
+                top, choice = score, (i, kind)
+        best.append(top)
+        back.append(choice)
     out, j = [], len(tokens)
     while j:
         if back[j]:
@@ -209,7 +286,7 @@ def _sentences(rnd: random.Random):
         return rnd.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{num(1)} {a} {b} {c}", f"0{num(2)} {num(4)} {num(4)}", f"{b}-{c}", f"00{num(2)} {a} {num(6)}", f"1-{a}-{b}-{c}", f"+{num(2)}/{a}/{num(6)}"))
 
     def email() -> str:
-        at, dot = rnd.choice(((" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "."), (" (at) ", "."), (" @ ", "."), ("@", ".")))
+        at, dot = rnd.choice(((" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "."), (" (at) ", "."), (" @ ", "."), ("@", "."), (" at ", " dot "), (" at ", " dot ")))
         return f"{word()}{rnd.choice(('', '.' + word(), num(2)))}{at}{word()}{dot}{rnd.choice(('com', 'org', 'net', 'de', 'fr'))}"
 
     def positive():
@@ -222,14 +299,14 @@ def _sentences(rnd: random.Random):
         return rnd.choice((
             num(rnd.randint(7, 20)), num(rnd.randint(7, 20)), f"{rnd.randint(1900, 2030)}-{num(2)}-{num(2)} {num(2)}:{num(2)}", f"{num(2)}.{num(2)}.{rnd.randint(1900, 2030)}", f"{num(1)},{num(3)},{num(3)}.{num(2)}",
             f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"{num(2)}.{num(5)}, {num(2)}.{num(5)}", f"{rnd.randint(1900, 2030)}/{num(2)}/{num(4)}", f"3.{num(12)}", f"{num(3)}.{num(3)}.{rnd.randint(256, 999)}.{num(3)}",
-            f"{num(4)} {num(4)} {num(4)} {num(4)}", f"{num(1)}.{num(2)}.{num(3)}.{num(5)}", f"{num(8)}-{num(4)}-{num(4)}-{num(12)}", f"{num(3)} {num(2)} {num(4)} {num(1)} {num(2)}", f"{num(2)}:{num(2)}:{num(2)}.{num(3)}", f"{word()} @ {num(3)}", f"@{word()}", f"{rnd.randint(1900, 2030)} {rnd.randint(1900, 2030)} {rnd.randint(1900, 2030)}",
+            f"{num(4)} {num(4)} {num(4)} {num(4)}", f"{num(1)}.{num(2)}.{num(3)}.{num(5)}", f"{num(8)}-{num(4)}-{num(4)}-{num(12)}", f"{num(3)} {num(2)} {num(4)} {num(1)} {num(2)}", f"{num(2)}:{num(2)}:{num(2)}.{num(3)}", f"{word()} @ {num(3)}", f"@{word()}", f"{word()} at {word()} dot {word()}", f"{rnd.randint(1900, 2030)} {rnd.randint(1900, 2030)} {rnd.randint(1900, 2030)}",
         ))
 
     cues = {"email": "e-mail", "ip": "host", "card": "card", "phone": "phone"}
     while True:
         parts, spans, at = [], [], 0
         for _ in range(rnd.randint(1, 2)):
-            lead = " ".join(word() for _ in range(rnd.randint(1, 4))) + " "
+            lead = " ".join(word() for _ in range(rnd.randint(1, 4))) + " " if parts or rnd.random() < 0.9 else ""
             if rnd.random() < 0.5:
                 kind, s = positive()
                 # writings that numbers of other sorts share count as personal only beside a cue
@@ -242,7 +319,7 @@ def _sentences(rnd: random.Random):
                 s = negative()
             parts.append(lead + s + rnd.choice((" ", ". ", ", ")))
             at += len(parts[-1])
-        yield "".join(parts) + word(), spans
+        yield "".join(parts) + word() if rnd.random() < 0.85 else "".join(parts).rstrip(" .,"), spans
 
 
 @lru_cache(1)
@@ -285,58 +362,93 @@ def train(sentences: int = 900, passes: int = 4, rate: float = 0.3, seed: int =
 
 
 def regions(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Stretches around triggers that no fixed pattern explains; elsewhere no segment is a candidate."""
-    found = []
-    if _DIGIT.search(text):
-        found += [m.span() for m in _TRIGGER.finditer(text)]
+    """Stretches that hold all candidate segments: whole stretches of numbers, and SEGMENT tokens about each sign for @.
+
+    A number is a part of one stretch, and an address of at most SEGMENT tokens lies within so many of its sign, so no
+    candidate goes past a region's edge. Stretches and signs inside one of the fixed patterns' spans give none.
+    """
+    found = [(*m.span(), False) for m in _STRETCH.finditer(text)] if _DIGIT.search(text) else []
     if "@" in text:
-        found += [(k, k + 1) for k, c in enumerate(text) if c == "@"] if text.count("@") < 64 else [m.span() for m in re.finditer("@", text)]
+        found += [(*m.span(), True) for m in re.finditer("@", text)]
     if "at" in text or "AT" in text:
-        found += [m.span() for m in _OBSCURED.finditer(text)]
+        found += [(*m.span(), True) for pattern in (_OBSCURED, _SPOKEN) for m in pattern.finditer(text)]
     if not found:
         return []
     found.sort()
     taken, out, k = sorted((a, b) for a, b, _ in base), [], 0
-    for a, b in found:
+    for a, b, address in found:
         while k < len(taken) and taken[k][1] <= a:
             k += 1
         if k < len(taken) and taken[k][0] <= a and b <= taken[k][1]:
             continue
-        a, b = max(0, a - CONTEXT), min(len(text), b + CONTEXT)
+        if address:
+            a, b = _tokens_back(text, a), _tokens_on(text, b)
         if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
+            out[-1] = (min(a, out[-1][0]), max(b, out[-1][1]))
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            out.append((a, b))
+        while len(out) > 1 and out[-1][0] <= out[-2][1]:
+            last = out.pop()
+            out[-1] = (min(out[-1][0], last[0]), max(out[-1][1], last[1]))
+    return out
+
+
+def _tokens_on(text: str, at: int) -> int:
+    for k, m in enumerate(_TOKEN.finditer(text, at)):
+        if k >= SEGMENT or m.group() == "\n":
+            return m.start()
+    return len(text)
+
+
+def _kind_of_character(c: str) -> str:
+    return "a" if c.isascii() and c.isalpha() else "0" if "0" <= c <= "9" else c if c in "\n+(@" else "."
+
+
+def _tokens_back(text: str, at: int) -> int:
+    """The place SEGMENT tokens before `at`, or after the last newline or at the beginning if that is nearer."""
+    n = 0
+    while at and n < SEGMENT and text[at - 1] != "\n":
+        kind = _kind_of_character(text[at - 1])
+        at -= 1
+        while at and kind not in "+(@" and _kind_of_character(text[at - 1]) == kind:
+            at -= 1
+        n += 1
+    return at
 
 
 class Finder:
-    """Base spans and added spans of a text; remembers regions that it has decoded."""
+    """Base spans and added spans of a text."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights, self.known = weights, {}
-
-    def _decode(self, region: str) -> list[tuple[int, int, str]]:
-        found = self.known.get(region)
-        if found is None:
-            found = decode(region, self.weights)
-            if len(self.known) >= 50_000:
-                self.known.clear()
-            if len(region) <= 512:
-                self.known[region] = found
-        return found
+        self.scorer = Scorer(weights)
 
     def __call__(self, text: str) -> tuple[list, list]:
-        base = base_spans(text)
-        added = []
-        for a, b in regions(text, base):
-            for s, e, kind in self._decode(text[a:b]):
-                whole = (s > 0 or a == 0) and (e < b - a or b == len(text))
-                if whole and all(a + e <= x or y <= a + s for x, y, _ in base):
-                    added.append((a + s, a + e, kind))
+        base, added = base_spans(text), []
+        where = regions(text, base)
+        if where:
+            taken = _merged(base)
+            for a, b in where:
+                added += decode(text, self.scorer, a, b, _within(taken, a, b))
         return base, added
 
 
+def _merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Spans as stretches that don't overlap."""
+    out: list[tuple[int, int]] = []
+    for a, b, _ in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _within(taken: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
+    """Those of stretches in order that overlap [a, b)."""
+    first = bisect_right(taken, a, key=lambda t: t[1])
+    return taken[first : bisect_left(taken, b, first, key=lambda t: t[0])]
+
+
 def spans_string(spans: list[tuple[int, int, str]]) -> str:
     """kind:start:end by start, then kind as listed, comma-joined."""
     order = sorted(set(spans), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
@@ -353,6 +465,7 @@ def find_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     weights = train()
 
     def make():
+        only_remember("pii")
         find = Finder(weights)
 
         def work(texts: list[str]) -> list[list]:
@@ -382,15 +495,18 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def mask_table(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span in text masked; a null text stays null, all other columns pass through."""
+    """docs with every span in text masked: a null text stays null, an empty one empty; all other columns, null keys and
+    repeated rows pass through, whatever the columns' names; an empty table gives no rows."""
     arrow_batches(docs.sparkSession)
     weights = train()
-    columns = docs.columns
+    rows, names = numbered(docs)
+    at = names.index(text)
 
     def run(batches):
         import pyarrow as pa
 
-        find, at = Finder(weights), columns.index(text)
+        only_remember("pii")
+        find = Finder(weights)
         for batch in batches:
             texts = []
             for t in batch.column(at).to_pylist():
@@ -398,10 +514,10 @@ def mask_table(docs: DataFrame, text: str = "text") -> DataFrame:
                 texts.append(mask(t, [*base, *added]) if base or added else t)
             arrays = list(batch.columns)
             arrays[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
-    out = StructType.fromJson(docs.schema.jsonValue())
-    return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(run, out)
+    rows = rows.withColumn(f"_{at}", F.col(f"_{at}").cast("string"))
+    return rows.mapInArrow(run, rows.schema).toDF(*names)
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tokenloom.llm import licenses
 from tokenloom.llm.bpe import op10_bpe
 from tokenloom.llm.embeddings import op5_embeddings
 from tokenloom.llm.licenses import op4_licenses
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The others can't be had in SQL, or not over whole tables in reasonable time; tests hold them to brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op4_licenses": licenses.oracle(),
     "op5_embeddings": """with recursive v as (
   select row_number() over () as r, vec_id, label, embedding::double[] as e from embeddings
   where label is not null and embedding is not null and len(embedding) > 0

@@ -26,24 +26,26 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm._common import Scratch, arrow_batches, shuffle_partitions
+from tokenloom.llm._common import Scratch, arrow_batches, column, only_remember, shuffle_partitions
 from tokenloom.llm.vocab import encoder, public_file
 
 MAGIC, END_ID = b"TLRP1", 1
 #: A shard closes once it has so many tokens.
 SHARD_TOKENS = 1 << 19
-#: Re-Pair stops after so many rounds, or when no pair stands so often; pairs replaced in one round.
-ROUNDS, LEAST, PAIRS = 8, 8, 8192
-_BITS = 18
+#: A pair is replaced from so many places on, and so many pairs at most in a round: beyond that a packed shard grows
+#: again. Scans over all places; after each come rounds beside the newest nonterminals, until one takes less than one
+#: symbol in SMALL.
+LEAST, PAIRS, SCANS, SMALL = 8, 4096, 1, 1000
 _LEFT, _RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
 def compress(seq: np.ndarray, terminals: int, ends_document: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, rules). Each round replaces the most frequent pairs by new nonterminals.
 
-    Pairs are counted by a hash; of the pairs that share a slot one is replaced, so collisions cost size only.
-    Where chosen pairs overlap, those at even places of the run are taken, from the left. A pair whose left symbol
-    ends with the id `ends_document` is never taken.
+    Pairs are counted by a hash, another one each round; of the pairs that share a slot one is replaced. After a round
+    over all places come rounds over those beside the newest nonterminals. Where chosen pairs overlap, those at even
+    places of the run are taken, from the left. A pair whose left symbol ends with the id `ends_document` is never
+    taken. What is left unreplaced costs size only: the symbols expand to the same ids.
     """
     seq = seq.astype(np.uint32)
     rules: list[np.ndarray] = []
@@ -51,26 +53,36 @@ def compress(seq: np.ndarray, terminals: int, ends_document: int | None = None)
     closes = np.zeros(terminals, bool)
     if ends_document is not None:
         closes[ends_document] = True
-    first, number = np.empty(1 << _BITS, np.int32), np.empty(1 << _BITS, np.int32)
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST:
-            break
-        left, right = seq[:-1], seq[1:]
-        at = ((left * _LEFT + right * _RIGHT) >> np.uint32(32 - _BITS)).astype(np.intp)
-        count = np.bincount(at, minlength=1 << _BITS)
+    scans, turn, newest = 0, 0, None
+    while len(seq) >= 2 * LEAST:
+        if newest is None:
+            if scans == SCANS:
+                break
+            scans += 1
+            where = np.arange(len(seq) - 1)
+        else:
+            beside = np.zeros(len(seq) + 1, bool)
+            at = np.flatnonzero(seq >= newest)
+            beside[at] = beside[at + 1] = True  # place k + 1 for the pair that begins at k
+            where = np.flatnonzero(beside[1:-1])
+        left, right = seq[where], seq[where + 1]
+        turn += 1
+        bits = min(18, max(10, len(where).bit_length() + 2))
+        at = ((left * _LEFT + right * (_RIGHT + np.uint32(2 * turn))) >> np.uint32(32 - bits)).astype(np.intp)
+        count = np.bincount(at, minlength=1 << bits)
         top = np.flatnonzero(count >= LEAST)
         if len(top) > PAIRS:
             top = top[np.argpartition(count[top], -PAIRS)[-PAIRS:]]
-        number.fill(-1)
+        number = np.full(1 << bits, -1, np.int32)
         number[top] = np.arange(len(top))
         slot = number[at]
-        where = np.flatnonzero(slot >= 0)
-        where = where[~closes[left[where]]]
-        slot = slot[where]
-        first[slot[::-1]] = where[::-1]  # the first place of each slot gives its pair
+        kept = np.flatnonzero((slot >= 0) & ~closes[left])
+        where, slot, left, right = where[kept], slot[kept], left[kept], right[kept]
+        first = np.zeros(len(top), np.int64)
+        first[slot[::-1]] = np.arange(len(slot))[::-1]  # the first place of each slot gives its pair
         pair = first[slot]
-        same = (left[where] == left[pair]) & (right[where] == right[pair])
-        where, slot = where[same], slot[same]
+        kept = np.flatnonzero((left == left[pair]) & (right == right[pair]))
+        where, slot = where[kept], slot[kept]
         start = np.ones(len(where), bool)
         start[1:] = where[1:] != where[:-1] + 1
         place = np.arange(len(where), dtype=np.int32)
@@ -79,9 +91,10 @@ def compress(seq: np.ndarray, terminals: int, ends_document: int | None = None)
         often = np.bincount(slot, minlength=len(top))
         good = often >= LEAST
         if not good.any():
-            break
-        keep = good[slot]
-        where, slot = where[keep], slot[keep]
+            newest = None
+            continue
+        kept = good[slot]
+        where, slot = where[kept], slot[kept]
         symbol = (np.cumsum(good) - 1).astype(np.uint32)
         chosen = first[np.flatnonzero(good)]
         new = np.stack([left[chosen], right[chosen]], axis=1)
@@ -90,12 +103,23 @@ def compress(seq: np.ndarray, terminals: int, ends_document: int | None = None)
         seq[where] = symbol[slot] + np.uint32(made)
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
+        newest = made if len(where) >= len(seq) // SMALL else None
         seq, made = seq[keep], made + len(new)
-        if len(where) < len(seq) // 100:
-            break
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
+def sizes(rules: np.ndarray, terminals: int) -> np.ndarray:
+    """Tokens that each symbol expands to."""
+    out = np.ones(terminals + len(rules), np.int64)
+    k = 0
+    while k < len(rules):  # as far as rules use known symbols; those of one round use symbols of earlier rounds
+        known = (rules[k:] < terminals + k).all(axis=1)
+        n = len(known) if known.all() else int(np.argmin(known))
+        out[terminals + k : terminals + k + n] = out[rules[k : k + n]].sum(axis=1)
+        k += n
+    return out
+
+
 class Grammar:
     """Rules with their expansions: `size` and the place in `flat` of what each symbol stands for."""
 
@@ -122,7 +146,7 @@ def write_shard(documents: list[bytes], terminals: int, end_id: int = END_ID) ->
     """A shard of documents given as little-endian 32-bit ids, each with the end id last and nowhere else."""
     seq = np.frombuffer(b"".join(documents), "<u4")
     symbols, rules = compress(seq, terminals, end_id)
-    size = Grammar(rules, terminals).size
+    size = sizes(rules, terminals)
     tokens = np.cumsum([len(d) // 4 for d in documents])
     ends = np.searchsorted(np.cumsum(size[symbols]), tokens) + 1
     head = MAGIC + struct.pack("<5I", len(documents), terminals, len(rules), len(symbols), len(seq))
@@ -183,20 +207,22 @@ def write_table(
     """Encode whole texts and write them as shards under path, in ascending order of key.
 
     Columns: part int and shard int (their order is the documents' order), first long (tokens of the part before this
-    shard), tokens long, keys array, data binary (the shard). Texts are dealt by ranges of the key and sorted; nulls
-    come first, repeated keys stand together, and an empty table gives no shards. A part is one range of the sort.
+    shard), tokens long, keys array, data binary (the shard). Texts are dealt by ranges of the key and their hash, and
+    sorted; nulls come first, repeated keys stand together, and an empty table gives no shards. A part is one range of the sort.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     tokenizer = tokenizer or public_file("word_bpe_49k.json")
     n = shuffle_partitions(spark)
-    source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    source = docs.select(column(key).alias("key"), F.coalesce(column(text).cast("string"), F.lit("")).alias("text"))
     kind = source.schema["key"].dataType.simpleString()
-    source = source.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    source = source.withColumn("h", F.xxhash64("text"))  # a key of many texts, or none, is dealt out by them
+    source = source.repartitionByRange(n, F.col("key").asc_nulls_first(), "h").sortWithinPartitions(F.col("key").asc_nulls_first(), "h", "text").drop("h")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        only_remember("vocab")
         encode, end, part = encoder(tokenizer, spaced), struct.pack("<I", end_id), TaskContext.get().partitionId()
         keys, held, n_held, shard, first = [], [], 0, 0, 0
 
@@ -253,7 +279,7 @@ def read_table(spark, path: str, key: str = "doc_id") -> DataFrame:
                         names=[key, "start", "n_tokens", "ids"],
                     )
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    arrow_batches(spark)  # shards of some megabytes: a batch is bounded by its bytes
     return shards.select("part", "first", "keys", "data").mapInArrow(run, f"`{key}` {kind}, start long, n_tokens long, ids binary")
 
 

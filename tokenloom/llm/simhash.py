@@ -13,7 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm._common import Scratch, arrow_batches, forest, group_starts, Merger, per_text, shuffle_partitions, tiled, whole_groups
+from tokenloom.llm._common import (
+    Merger, Scratch, arrow_batches, column, forest, group_starts, numbered, only_remember, per_text, place_of, shuffle_partitions, spread_join, tiled, whole_groups,
+)
 from tokenloom.llm.components import component_roots
 from tokenloom.llm.sketches import shingle_hashes
 
@@ -234,11 +236,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     spark = docs.sparkSession
     arrow_batches(spark)
     scratch = Scratch(spark, "simhash")
-    fps = scratch.save(fingerprints(docs.select(F.col(key).alias("__key"), F.col(text).alias("__t")), "__t", ("__key",)), "fps")
-    distinct = scratch.save(fps.groupBy("fp").agg(F.min("__key").alias("least")), "distinct")
+    fps = scratch.save(fingerprints(docs.select(column(key).alias("__key"), column(text).alias("__t")), "__t", ("__key",)), "fps")
+    distinct = scratch.save(fps.groupBy("fp").agg(F.min("__key").alias("least"), F.count("*").alias("n")), "distinct")
     edges = scratch.save(links(distinct, scratch, radius), "links")
-    known = _components(distinct, "fp", edges, scratch)
-    return fps.join(known, "fp").select(F.col("__key").alias(key), "fp", "component_id")
+    known = scratch.save(_components(distinct, "fp", edges, scratch), "known")
+    return spread_join(fps, known, ["fp"], "n").select(F.col("__key").alias(key), "fp", F.col("least").alias("component_id"))
 
 
 # -- longer fingerprints for a similarity -----------------------------------------------------------------------------
@@ -336,27 +338,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: key and component_id, the least key reachable by links of near-duplicates.
+#: A text without words: it has no shingle and is like no other.
+_WORD = "[^ \\t-\\r]"
 
-    Documents link when the Jaccard likeness of their sets of five-word shingles is at least similarity, computed from
-    the whole sets. Pairs to compute it for are those whose 256-bit fingerprints differ in wide_radius(similarity)
-    bits or fewer and agree in one of 64 tables of 16 bits: at a likeness of 0.8 two documents do with probability
-    0.98. First a forest of such pairs is verified; then all the others between the components so found, so that a
-    group of copies costs a forest a bucket; pairs in the radius but below the likeness are all compared. Nodes of the graph are 64-bit hashes of sets; equal sets are one node, the
-    empty set of texts without words among them. Nulls, repeated rows and empty tables are treated as in near_duplicates.
+
+def _similar(source: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of rows (key, th, text), all with words: rows (key, th, node), and (node, least, n) for each node of the graph.
+
+    least: the least (whether the key is null, key, th) of all that links reach; n: rows of the node.
     """
-    spark = docs.sparkSession
-    arrow_batches(spark)
+    spark = source.sparkSession
     scratch = Scratch(spark, "similar")
     radius = wide_radius(similarity)
-    source = docs.select(F.col(key).alias("__key"), F.col(text).alias("__t"))
 
     def prints(texts: list[str]) -> list[list]:
         return [[wide_fingerprint(t) for t in texts], np.array([_node(_set(t)) for t in texts], np.uint64).view(np.int64)]
 
-    fps = scratch.save(per_text(source, "__t", ["__key"], "fp binary, node long", lambda: prints), "fps")
-    distinct = scratch.save(fps.groupBy("node").agg(F.min("__key").alias("least"), F.min("fp").alias("fp")), "distinct")
+    def fresh():
+        only_remember("sketches")
+        return prints
+
+    fps = scratch.save(per_text(source, "text", ["key", "th"], "fp binary, node long", fresh), "fps")
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "th")
+    distinct = scratch.save(fps.groupBy("node").agg(F.min(order).alias("least"), F.min("fp").alias("fp"), F.count("*").alias("n")), "distinct")
 
     def forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["bucket", "cell"], 1 << 15):
@@ -376,15 +380,15 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
         found = [_set(t) for t in texts]
         return [np.array([_node(s) for s in found], np.uint64).view(np.int64), [s.tobytes() for s in found]]
 
-    asked = near.select(F.col("least").alias("__asked")).distinct()
-    sets = per_text(source.join(asked, F.col("__key").eqNullSafe(F.col("__asked")), "left_semi"), "__t", [], "node long, shingles binary", lambda: shingles)
-    sets = scratch.save(sets.join(near.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    asked = near.select(F.col("least.key").alias("k"), F.col("least.th").alias("h"))
+    texts = source.join(asked, F.col("key").eqNullSafe(F.col("k")) & (F.col("th") == F.col("h")), "left_semi")
+    sets = scratch.save(per_text(texts, "text", [], "node long, shingles binary", lambda: shingles).dropDuplicates(["node"]), "sets")
 
     one = near.groupBy("fp").agg(F.min("node").alias("node"))
     first = loose.join(one.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(one.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b")
     first = scratch.save(_verified(first.select(F.col("u").alias("a"), F.col("v").alias("b")), sets, similarity), "first")
     roots = component_roots(first, Scratch(spark, "similar-first"))
-    label = near.withColumn("key", F.xxhash64("node")).join(roots, "key", "left").select("node", "fp", F.coalesce("root", "key").alias("label"))
+    label = near.withColumn("hash", F.xxhash64("node")).join(roots.withColumnRenamed("key", "hash"), "hash", "left").select("node", "fp", F.coalesce("root", "hash").alias("label"))
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["bucket", "cell"], 1 << 15):
@@ -399,27 +403,65 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
     rest = scratch.save(_dealt(scratch.save(label, "labels"), "node", scratch).mapInArrow(pairs, "a long, b long").distinct(), "rest")
     second = scratch.save(_verified(rest, sets, similarity), "second")
-    known = _components(distinct, "node", first.union(second), scratch)
-    return fps.join(known, "node").select(F.col("__key").alias(key), "component_id")
+    known = _components(distinct.drop("fp"), "node", first.union(second), scratch)
+    return fps.select("key", "th", "node"), scratch.save(known, "known")
+
+
+def _source(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, th, text) with words, and those without."""
+    rows = docs.select(column(key).alias("key"), F.coalesce(column(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("key", F.xxhash64("text").alias("th"), "text")
+    worded = F.col("text").rlike(_WORD)
+    return rows.where(worded), rows.where(~worded)
+
+
+def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of docs: key and component_id, the least key reachable by links of near-duplicates.
+
+    Documents link when the Jaccard likeness of their sets of five-word shingles is at least similarity, computed from
+    the whole sets. Pairs to compute it for are those whose 256-bit fingerprints differ in wide_radius(similarity)
+    bits or fewer and agree in one of 64 tables of 16 bits: at a likeness of 0.8 two documents do with probability
+    0.98. First a forest of such pairs is verified; then all the others between the components so found, so that a
+    group of copies costs a forest a bucket; pairs in the radius but below the likeness are all compared. Nodes of the
+    graph are 64-bit hashes of sets; equal sets are one node. A text without words (null, empty, white space) links
+    with nothing and names its own component; other nulls, repeated rows and empty tables are treated as in
+    near_duplicates.
+    """
+    arrow_batches(docs.sparkSession)
+    worded, bare = _source(docs, text, key)
+    rows, known = _similar(worded, similarity)
+    found = spread_join(rows, known, ["node"], "n").select("key", F.col("least.key").alias("component_id"))
+    return found.unionByName(bare.select("key", F.col("key").alias("component_id"))).toDF(key, "component_id")
 
 
 def _components(distinct: DataFrame, node: str, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component_id): the least key of all nodes that edges reach, for nodes with their least keys."""
+    """(node, least, n) with the least `least` of all nodes that edges reach, for nodes with their own and their n rows."""
     roots = component_roots(edges, scratch)
     linked = distinct.withColumn("key", F.xxhash64(node)).join(roots, "key").select(node, "root", "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(least, "root").select(node, "component_id")
-    return distinct.join(moved, node, "left").select(node, F.coalesce("component_id", "least").alias("component_id"))
+    linked = scratch.save(linked, "linked")
+    least = scratch.save(linked.groupBy("root").agg(F.min("least").alias("moved"), F.count("*").alias("members")), "least")
+    moved = spread_join(linked.select(node, "root"), least, ["root"], "members").select(node, "moved")
+    return distinct.join(moved, node, "left").select(node, F.coalesce("moved", "least").alias("least"), "n")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that stand for their group of near-duplicates: the one with the group's least key.
+    """The rows of docs that stand for their group of near-duplicates: the one with the least key, and of several texts
+    under one key the one with the least hash.
 
-    Of repeated rows with that key one stays; rows whose group has no key but null stay as one row.
+    A document is a key and a text: unlike texts under one key are judged apart, and rows that repeat both are one
+    document, of which one row stays. A null key comes after all others. Texts without words are like no other: all
+    their rows stay. All columns pass through, whatever their names; an empty table gives no rows.
     """
-    found = similar_documents(docs, text, key, similarity).where(F.col(key).eqNullSafe(F.col("component_id")))
-    first = found.select(F.col(key).alias("__kept")).distinct()
-    return docs.join(first, F.col(key).eqNullSafe(F.col("__kept"))).drop("__kept").dropDuplicates([key])
+    arrow_batches(docs.sparkSession)
+    rows, names = numbered(docs)
+    k, t = place_of(names, key), place_of(names, text)
+    worded, _ = _source(rows, t, k)
+    _, known = _similar(worded, similarity)
+    kept = known.select(F.col("least.key").alias("kept"), F.col("least.th").alias("kept_th")).distinct()
+    rows = rows.withColumn("th", F.xxhash64(F.coalesce(F.col(t).cast("string"), F.lit(""))))
+    has_word = F.coalesce(F.col(t).cast("string").rlike(_WORD), F.lit(False))
+    found = rows.where(has_word).join(kept, F.col(k).eqNullSafe(F.col("kept")) & (F.col("th") == F.col("kept_th")), "left_semi")
+    return found.dropDuplicates([k, "th"]).unionByName(rows.where(~has_word)).drop("th").toDF(*names)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm._common import Scratch, arrow_batches, per_text
+from tokenloom.llm._common import Scratch, arrow_batches, column, numbered, only_remember, per_text, place_of
 
-#: Labelled rows that the classifier is fitted on, at most; the first in order of a hash of their ids.
+#: Labelled rows that the classifier is fitted on, at most; ids in order of a hash.
 SAMPLE = 12_000
 #: Features of the classifier at most; documents of class 1 that a feature needs; beginnings of words as features.
 FEATURES, LEAST, PREFIXES = 2000, 3, (4, 5, 6)
-#: Words remembered by a worker.
-REMEMBERED = 400_000
+#: Words remembered by a worker, and the longest one that is; results do not depend on it.
+REMEMBERED, LONGEST = 200_000, 64
 
 #: What a character may stand for beside itself.
 LEET = {
@@ -34,7 +34,7 @@ LEET = {
 }
 SEPARATORS = "._-*~^'`´"
 #: Log costs of the channel: another character, a dropped separator, a stretched letter told as one or as two.
-SUBSTITUTED, DROPPED, STRETCHED, BEAM = -1.0, -0.2, -0.3, 48
+SUBSTITUTED, DROPPED, STRETCHED = -1.0, -0.2, -0.3
 
 _CLASSES = 64
 
@@ -71,7 +71,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    found = docs.select(F.col(text).cast("string")).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select(column(text).cast("string").alias("text")).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(_CLASSES**3, np.int64)
     out[found.column("at").to_numpy()] = found.column("n").to_numpy()
     return out
@@ -88,41 +88,63 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(three).astype(np.float32)
 
 
+def _options(c: str, n: int) -> list[tuple[str, float]]:
+    """What a run of n characters c may stand for, with the channel's log costs."""
+    if c == " ":
+        return [("", DROPPED), (" ", 0.0)]
+    options: list[tuple[str, float]] = []
+    if c.isalpha():
+        options = [(c, 0.0)] if n == 1 else [(c, STRETCHED * (n > 1)), (c + c, STRETCHED * (n > 2))]
+    for letter in LEET.get(c, ""):
+        options += [(letter, SUBSTITUTED + STRETCHED * (n > 1))] + ([(letter * 2, SUBSTITUTED)] if n == 2 else [])
+    if c in SEPARATORS:
+        options.append(("", DROPPED))
+    return options or [(c, 0.0)]
+
+
 def restore(word: str, lm: np.ndarray) -> str:
-    """The likeliest plain word behind a lower-case word, by Viterbi search over its lattice."""
+    """The likeliest plain text behind a lower-case writing, by Viterbi search over its lattice of runs of characters.
+
+    A state is the last two classes of what has been written; of the paths to a state the best goes on, and all states
+    do. A space in the writing may go or stay: what is spelled letter by letter falls into words as the model likes it.
+    Paths are chains shared from their ends; once one state is left its path is written out. Time and memory are linear
+    in the number of runs.
+    """
     if not _table:
         _table.append(_class_table())
-    table = _table[0]
-    runs = [(m.group()[0], len(m.group())) for m in re.finditer(r"(.)\1*", word, re.S)]
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for c, n in runs:
-        options: list[tuple[str, float]] = []
-        if c.isalpha():
-            options = [(c, 0.0)] if n == 1 else [(c, STRETCHED * (n > 1)), (c + c, STRETCHED * (n > 2))]
-        for letter in LEET.get(c, ""):
-            options += [(letter, SUBSTITUTED + STRETCHED * (n > 1))] + ([(letter * 2, SUBSTITUTED)] if n == 2 else [])
-        if c in SEPARATORS:
-            options.append(("", DROPPED))
-        if not options:
-            options = [(c, 0.0)]
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
-            for letters, cost in options:
+    table, done = _table[0], []
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    for m in re.finditer(r"(.)\1*", word, re.S):
+        steps = [([int(table[ord(ch)]) for ch in letters], letters, cost) for letters, cost in _options(m.group(1), m.end() - m.start())]
+        new: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for (a, b), (score, path) in states.items():
+            for kinds, letters, cost in steps:
                 x, y, s = a, b, score + cost
-                for ch in letters:
-                    k = int(table[ord(ch)])
+                for k in kinds:
                     s += float(lm[x, y, k])
                     x, y = y, k
                 if (x, y) not in new or s > new[x, y][0]:
-                    new[x, y] = (s, text + letters)
-        states = dict(sorted(new.items(), key=lambda kv: (-kv[1][0], kv[1][1]))[:BEAM])
-    return max(((s + float(lm[a, b, 0]), t) for (a, b), (s, t) in states.items()), key=lambda st: (st[0], st[1]))[1]
+                    new[x, y] = (s, (path, letters) if letters else path)
+        states = new
+        if len(states) == 1:
+            (state, (score, path)), = states.items()
+            done.append(_written(path))
+            states = {state: (score, ())}
+    return "".join(done) + _written(max((s + float(lm[a, b, 0]), k, path) for k, ((a, b), (s, path)) in enumerate(states.items()))[2])
+
+
+def _written(path: tuple) -> str:
+    out = []
+    while path:
+        path, letters = path
+        out.append(letters)
+    return "".join(out[::-1])
 
 
 _EDGE = ".,;:!?\"'()[]{}<>*&%$#@+=~^|/\\-_`´«»„“”’…"
 _ODD = re.compile(r"[^\W\d_][0-9@$!|+(€£¥§#*._~^'`´-]+[^\W\d_]|[0-9@$!|+][^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|+]|([^\W\d_])\1\1")
 _SPELLED = re.compile(r"[\s.,_*-](?:[^\W_]|[@$!|])(?:[ ._*-](?:[^\W_]|[@$!|])){3,}(?=[\s.,_*-])")
-_LONGEST = 40
+_SIGNS = re.compile(r"[\W_]+")
 
 
 class Restorer:
@@ -132,38 +154,50 @@ class Restorer:
         self.lm = lm
 
     def words(self, token: str) -> tuple[str, ...]:
-        """Words that one token between white space gives."""
+        """Words that one token between white space gives, of any length: itself, what it stands for, and parts joined by signs."""
         token = token.lower()
         plain = token.strip(_EDGE)
         if len(plain) < 3 and len(token) < 4:
             return (plain,) if plain else ()
         out = [plain] if plain else []
         kept = token.rstrip(_EDGE).lstrip(_EDGE.replace("$", "").replace("@", ""))
-        if len(kept) <= _LONGEST:
-            if _ODD.search(kept):
-                out.append(restore(kept, self.lm))
-        elif not kept.isalpha():  # words joined by signs
-            out += [w for w in re.split(r"[\W_]+", kept) if w]
+        if _ODD.search(kept):
+            found = restore(kept, self.lm)
+            out.append(found)
+            if not found.isalpha():
+                out += filter(None, _SIGNS.split(found))
+        if not plain.isalpha():
+            out += filter(None, _SIGNS.split(plain))
         return tuple(dict.fromkeys(out))
 
     def spelled(self, text: str) -> list[str]:
-        """Words written letter by letter."""
-        found = [re.sub(r"[\s.,_*-]", "", m.group()).lower() for m in _SPELLED.finditer(f" {text} ")]
-        return [w if w.isalpha() else restore(w[:_LONGEST], self.lm) for w in found]
+        """Words written letter by letter: each run of single letters joined, and as the model parts it into words."""
+        out = []
+        for m in _SPELLED.finditer(f" {text} "):
+            letters = re.sub(r"[\s.,_*-]", "", m.group()).lower()
+            joined = letters if letters.isalpha() else restore(letters, self.lm)
+            out += dict.fromkeys([joined, *restore(" ".join(letters), self.lm).split()])
+        return out
 
 
 def features_of(word: str) -> list[str]:
     return [word] if len(word) < PREFIXES[0] else ["=" + word, *(word[:k] for k in PREFIXES if k <= len(word))]
 
 
+def _remember(known: dict, token: str, found: tuple) -> None:
+    if len(token) <= LONGEST:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        known[token] = found
+
+
 def _document_features(text: str, restorer: Restorer, known: dict) -> set[str]:
     out: set[str] = set()
     for token in set(text.split()):
         found = known.get(token)
         if found is None:
             found = tuple(f for w in restorer.words(token) for f in features_of(w))
-            if len(known) < 100_000:
-                known[token] = found
+            _remember(known, token, found)
         out.update(found)
     for w in restorer.spelled(text):
         out.update(features_of(w))
@@ -186,10 +220,7 @@ class Model:
             found = known.get(token)
             if found is None:
                 found = self._of(self.restorer.words(token))
-                if len(token) <= _LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[token] = found
+                _remember(known, token, found)
             if found:
                 hit.update(found)
         for w in self.restorer.spelled(text):
@@ -222,17 +253,37 @@ def _fit(rows: list[list[int]], y: np.ndarray, n: int, penalty: float = 0.02, st
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
+def _sample(docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str, key: str, label: str, most: int) -> DataFrame:
+    """(y, text) of labelled rows that are not held out, `most` rows at most: ids in order of a hash, with all their rows,
+    as long as these are no more than that. The driver gets `most` ids with their numbers of rows at most."""
+    known = labels.where(column(label).isNotNull() & column(key).isNotNull()).groupBy(column(key).alias("key")).agg(F.max(column(label)).cast("int").alias("y"))
+    rows = docs.select(column(key).alias("key"), F.coalesce(column(text).cast("string"), F.lit("")).alias("text"))
+    ids = known.where(~held_out(F.col("key"))).withColumn("h", F.xxhash64("key")).orderBy("h", "key").limit(most)
+    ids = scratch.save(rows.select("key").join(F.broadcast(ids), "key").groupBy("h", "key", "y").count(), "ids")  # `most` narrow rows
+    found = sorted(((r["h"], r["key"], r["y"], r["count"]) for r in ids.collect()), key=lambda r: r[:2])
+    size = np.array([min(r[3], most + 1) for r in found], np.int64)
+    taken, room = [], most
+    for r, n in zip(found, size.tolist(), strict=True):
+        if n <= room:
+            taken.append((r[1], r[2]))
+            room -= n
+    kind = known.schema["key"].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(taken, f"key {kind}, y int")
+    return scratch.save(rows.join(F.broadcast(chosen), "key").select("y", "text"), "sample")
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", label: str = "toxic",
+    sample: int = SAMPLE, features: int = FEATURES, least: int = LEAST,
+) -> Model:
     """The character model over all texts, and a classifier fitted on labelled rows that are not held out.
 
-    A row's label is the greatest of its id's labels; null ids and labels teach nothing. Without a labelled row of
-    each class every text scores the share of class 1.
+    sample: labelled rows that it learns from at most; features: how many it weighs at most; least: documents of class
+    1 that a feature needs. A row's label is the greatest of its id's labels; null ids and labels teach nothing.
+    Without a labelled row of each class every text scores the share of class 1.
     """
     lm = language_model(trigram_counts(docs, text))
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
-    sample = known.where(~held_out(F.col("key"))).orderBy(F.xxhash64("key"), "key").limit(SAMPLE)
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = scratch.save(rows.join(F.broadcast(sample), "key").select("y", "text"), "sample")  # SAMPLE narrow rows
+    rows = _sample(docs, labels, scratch, text, key, label, sample)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, seen = Restorer(lm), {}
@@ -251,8 +302,8 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str = "tex
         return Model(lm, {}, math.log((pos + 0.5) / (n - pos + 0.5)))
     counted = rows.mapInArrow(count, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = (F.col("pos") + 0.1) / (pos + 1) / ((F.col("neg") + 0.5) / (n - pos + 1))
-    counted = counted.where((F.col("pos") >= LEAST) & (odds >= 4)).withColumn("gain", F.col("pos") * F.log(odds))
-    chosen = [r["f"] for r in counted.orderBy(F.desc("gain"), "f").limit(FEATURES).select("f").collect()]
+    counted = counted.where((F.col("pos") >= least) & (odds >= 4)).withColumn("gain", F.col("pos") * F.log(odds))
+    chosen = [r["f"] for r in counted.orderBy(F.desc("gain"), "f").limit(features).select("f").collect()]
     number = {f: k for k, f in enumerate(chosen)}
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,6 +323,7 @@ def _scores(docs: DataFrame, model: Model, keep: list[str], text: str) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast((lm, weights, bias))
 
     def make():
+        only_remember("toxicity")
         m = Model(*shared.value)
         return lambda texts: [[m.score(t) for t in texts]]
 
@@ -288,15 +340,19 @@ def score_table(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     model = train(docs, labels, Scratch(docs.sparkSession, "toxicity"), text, key, label)
     found = _scores(docs, model, [key], text)
     score = F.col("__score")
-    return found.select(key, held_out(F.col(key)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    return found.select(column(key), held_out(column(key)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """The rows of docs whose texts score under 0.5, with all their columns."""
+    """The rows of docs whose texts score under 0.5, with all their columns, whatever their names.
+
+    A null or empty text scores by the bias and so stays where most labelled texts are clean; null keys and repeated
+    rows stay or go by their texts; an empty table gives no rows.
+    """
     arrow_batches(docs.sparkSession)
     model = train(docs, labels, Scratch(docs.sparkSession, "toxicity"), text, key, label)
-    marked = docs.withColumn("__scored", F.col(text))
-    return _scores(marked, model, docs.columns, "__scored").where("__score < 0.5").drop("__score")
+    rows, names = numbered(docs)
+    return _scores(rows, model, rows.columns, place_of(names, text)).where("__score < 0.5").drop("__score").toDF(*names)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

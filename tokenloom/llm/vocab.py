@@ -7,6 +7,8 @@ import re
 from array import array
 from unicodedata import is_normalized
 
+from tokenloom.llm._common import remembers
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space by Unicode's property, which the tokenizers' \s follows (Python's own \s has four more).
@@ -120,6 +122,7 @@ class PartEncoder:
 
 
 _encoders: dict[tuple[str, bool], PartEncoder] = {}
+remembers("vocab", _encoders.clear)
 
 
 def encoder(path: str, spaced: bool) -> PartEncoder:
