@@ -52,7 +52,7 @@ def test_tree_metrics(spark):
 def test_frequency_table(spark):
     df = spark.createDataFrame([(0, 0.2, 1.0), (4, 0.4, 1.0), (5, 0.5, 1.0), (9, 0.7, 1.0), (10, 0.8, 1.0)], "num_semantic_units long, pass_at_1 double, lm_cc double")
     rows = bins.frequency_table(df, [], 5).orderBy("bin_start").collect()
-    assert len(rows) == 40 and [r["n"] for r in rows[:4]] == [2, 2, 1, 0]
+    assert len(rows) == 41 and [r["n"] for r in rows[:4]] == [2, 2, 1, 0]
     assert [round(r["pass_at_1_mean"], 6) for r in rows[:3]] == [0.3, 0.6, 0.8] and rows[2]["pass_at_1_std"] is None
 
 
@@ -76,13 +76,55 @@ def test_unique_keys(spark):
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("[ANSWER] \"a b\" [/ANSWER]", "u12__3", ["a", "▁b", "<0xC3>", "<0xA9>"], 0.004)], "r string, u string, t array<string>, p double")
+    df = spark.createDataFrame([("x <<<Output>>> no <<<Output>>>\"a b\"[END-OF-RESPONSE] y", "u12__3", ["a", "▁b", "<0xC3>", "<0xA9>"], 0.004)], "r string, u string, t array<string>, p double")
     r = df.select(fx.plain_answer(fx.answer_of(F.col("r"))), fx.base_id(F.col("u")), fx.first_number(F.col("u")), fx.decode_tokens(F.col("t")), fx.significance(F.col("p"))).first()
     assert tuple(r) == ("ab", "u12", 12.0, "a bé", "<0.01 ")
     with pytest.raises(Exception, match="multiple"):
         spark.range(1).select(fx.recovered_count(F.lit(0.3), F.lit(7))).collect()
 
 
+def test_answers_and_outputs(spark):
+    rows = [("<<<Output>>> 'a b'[END-OF-RESPONSE] x", '"ab"', True), ("`7`\n", "7", True), ("<<<Output>>>3 [END-OF -RESPONSE]", "3", True), ("[1, 2]", "[1,2]", True), ("<<<Output>>>[END-OF-RESPONSE]7", "7", False), (None, "7", False)]
+    got = accuracy.score_answers(spark.createDataFrame(rows, "response string, truth string, want boolean")).collect()
+    assert all(r["correct"] == r["want"] for r in got)
+    outs = [(" 3\t\n", ["3"], True), ("3", ["3", "4"], False), ("", [], True), (" \n", [], True), ("", [""], False), ("3 ", ["3 "], False), ("3", [], False)]
+    got = spark.createDataFrame(outs, "o string, e array<string>, want boolean").select(fx.same_output(F.col("o"), F.col("e")).alias("same"), "want").collect()
+    assert all(r["same"] == r["want"] for r in got)
+    trials = spark.createDataFrame([("a", "scored", True), ("a", "scored", False), ("b", "scored", True), ("b", "error", None)], "uid string, status string, correct boolean")
+    assert {r["uid"]: r["pass_at_1"] for r in accuracy.pass_rates(trials, ["uid"]).collect()} == {"a": 0.5, "b": None}
+
+
+def test_paths(spark):
+    paths = ["/Users/x/y/data/humaneval/HumanEval_0.py", "/nonexistent/file.py", "/a/data/b/data/c.py"]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select(readers.relative_data_path(F.col("p"))).collect()
+    assert [r[0] for r in got] == ["humaneval/HumanEval_0.py", "/nonexistent/file.py", "c.py"]
+
+
+def test_reproduction_status(spark):
+    errors = {"same": [0.0] * 9, "small": [0.005] * 9, "one": [0.05] + [0.0] * 8, "short": [0.0]}
+    own = spark.createDataFrame([("d", u, k, float(k % 4)) for u, e in errors.items() for k in range(len(e))], "dataset string, uid string, pos long, entropy double")
+    prior = spark.createDataFrame([("d", u, k, k % 4 + x) for u, e in errors.items() for k, x in enumerate(e)], "dataset string, uid string, pos long, entropy double")
+    assert {r["uid"]: r["status"] for r in compare.reproduction(prior, own, K).collect()} == {"same": "Perfect", "small": "Acceptable", "one": "Error"}
+
+
+def test_verification(spark):
+    row = lambda u, k, t, e: ("d", u, k, t, e)
+    own = [row("a", 0, "x", 1.0), row("b", 0, "x", 1.0), row("b", 1, "y", None), row("c", 0, "x", None), row("e", 0, "x", 1.0)]
+    base = [row("a", 0, "x", 1.0), row("b", 0, "x", 1.5), row("c", 0, "x", 1.0)]
+    kind = "dataset string, uid string, pos long, token_str string, metric_entropy double"
+    got = compare.verification(spark.createDataFrame(base, kind), spark.createDataFrame(own, kind), K)
+    assert {r["status"]: r["n"] for r in got.collect()} == {"perfect": 1, "high_error": 1, "read_error": 1, "not_in_baseline": 1}
+
+
+def test_pooled_percentiles(spark):
+    rnd = np.random.default_rng(8)
+    for x in (rnd.exponential(size=999), rnd.integers(0, 4, 500).astype(float), np.array([2.0]), np.array([5.0, 5.0, 5.0])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "metric_entropy double")
+        got = {r["percentile"]: r["value"] for r in bins.entropy_percentiles(df).collect()}
+        assert len(got) == 21 and all(math.isclose(v, np.percentile(x, p), rel_tol=1e-12) for p, v in got.items())
+    assert bins.entropy_percentiles(spark.createDataFrame([], "metric_entropy double")).count() == 0
+
+
 def test_distributions():
     assert math.isclose(stats.t_sf(2.0, 10), 0.03669401738537018, rel_tol=1e-9)
     assert math.isclose(stats.t_quantile(0.975, 5), 2.570581835636314, rel_tol=1e-9)
@@ -105,6 +147,46 @@ def test_partial_correlation(spark):
     assert math.isclose(got["r"], want, rel_tol=1e-9) and math.isclose(got["p"], stats.correlation_p(want, got["groups"] - 3), rel_tol=1e-9)
 
 
+def test_sweep_by_running_sums(spark):
+    rnd = random.Random(6)
+    rows = [(g, f"{k:03d}", rnd.random(), float(rnd.randint(1, 40)), float(rnd.randint(1, 50))) for g, n in (("a", 97), ("b", 40), ("c", 5)) for k in range(n)]
+    df = spark.createDataFrame(rows, "dataset string, uid string, score double, metric double, loc double")
+    for partial in (False, True):
+        got = {(r["dataset"], r["min_cnt"]): r for r in correlation.sweep(df, ["dataset"], partial=partial).collect()}
+        want = {}
+        for g in "abc":
+            n = sum(r[0] == g for r in rows)
+            for size in range(max(1, n // 20), max(1, n // 8) + 1):
+                if 9 <= n // size <= 11:
+                    want[g, size] = correlation.bucket_correlation(correlation.buckets(df.where(F.col("dataset") == g), ["dataset"], size), ["dataset"], partial).first()
+        assert got.keys() == want.keys() and len(got) >= 3
+        assert all(got[k]["groups"] == w["groups"] and math.isclose(got[k]["r"], w["r"], rel_tol=1e-9) for k, w in want.items())
+
+
+def test_hinges_are_least_squares(spark):
+    rnd = np.random.default_rng(13)
+    rows = [(g, float(x), float(0.9 - 0.02 * max(0, x - 20) + 0.1 * k + rnd.normal(0, 0.1))) for k, g in enumerate("ab") for x in rnd.integers(0, 50, 120)]
+    df = spark.createDataFrame(rows, "dataset string, x double, y double").withColumn("scope", F.lit("all"))
+    x, y, g = (np.array(v) for v in ([r[1] for r in rows], [r[2] for r in rows], [r[0] == "b" for r in rows]))
+
+    def best(columns):
+        fits = []
+        for bp in np.linspace(*np.percentile(x, [5, 95]), 300):
+            d = np.stack([*columns, x, np.maximum(0, x - bp)], axis=1)
+            b = np.linalg.lstsq(d, y, rcond=None)[0]
+            fits.append((round(((y - d @ b) ** 2).sum(), 9), bp, b))
+        return min(fits, key=lambda f: f[0])
+
+    one, two = models.hinge(df, ["scope"]).first(), models.hinge_by_dataset(df, ["scope"]).first()
+    rss, bp, b = best([np.ones_like(x)])
+    assert math.isclose(one["rss"], rss, abs_tol=1e-8) and math.isclose(one["bp"], bp) and np.allclose([one["a"], one["b"], one["c"]], b, rtol=1e-6)
+    rss, bp, b = best([~g, g])
+    assert math.isclose(two["rss"], rss, abs_tol=1e-8) and math.isclose(two["bp"], bp) and np.allclose([two["b"], two["c"]], b[2:], rtol=1e-6)
+    flat = models.hinge(spark.createDataFrame([("g", 3.0, 0.5), ("g", 3.0, 0.7)], "g string, x double, y double"), ["g"]).first()
+    assert math.isclose(flat["rss"], 0.02) and flat["b"] == flat["c"] == 0
+    assert models._weighted_median(np.array([5.0, 1.0, 3.0]), np.array([2.0, 1.0, 1.0])) == 4.0
+
+
 def test_curves(spark):
     rnd = np.random.default_rng(3)
     x = rnd.integers(0, 60, 300).astype(float)
@@ -180,7 +262,20 @@ def test_statements_and_owners():
     assert [p["match"] for p in found["pairs"]][:3] == ["same_head", "same_head", "same_subtree"] and len(found["only_before"]) == 1
 
 
+def test_runs_are_the_longest():
+    rnd = random.Random(5)
+    for _ in range(300):
+        a, b = (np.array([rnd.randint(0, 4) for _ in range(rnd.randint(0, 12))], int) for _ in "ab")
+        runs = code.common_runs(a, b)
+        assert all((a[i : i + n] == b[j : j + n]).all() for i, j, n in runs)
+        assert all(i + n <= k and j + n <= m for (i, j, n), (k, m, _) in zip(runs, runs[1:], strict=False))
+        longest = max((n for i in range(len(a)) for j in range(len(b)) for n in range(1, min(len(a) - i, len(b) - j) + 1) if (a[i : i + n] == b[j : j + n]).all()), default=0)
+        assert max((n for _, _, n in runs), default=0) == longest
+
+
 def test_complexity():
+    assert code.cognitive("if a:\n    pass\nelif b:\n    if c:\n        pass\n") == 4
+    assert code.cognitive("if a:\n    pass\nelif b:\n    pass\nelif c:\n    if d:\n        pass\n") == 5
     assert code.cyclomatic("def f(a):\n    if a and a > 1:\n        return 1\n    for i in a:\n        pass\n") == 4
     assert code.cognitive("def f(a):\n    if a:\n        for i in a:\n            if i:\n                pass\n    else:\n        pass\n") == 10  # the wrapped file nests the function
     assert code.without_comments('def f():\n    """doc"""\n    # c\n    return "#"  # d\n') == 'def f():\n    return "#"'
@@ -211,6 +306,28 @@ def test_token_positions(spark):
     t = tok.tokenize(spark.createDataFrame([("d", "u", "ab\tc\n  d")], "dataset string, uid string, text string"), K).orderBy("pos").collect()
     assert [(r["tok"], r["char_start"], r["line"], r["column"]) for r in t] == [("ab", 0, 1, 0), ("c", 3, 1, 3), ("\n", 4, 1, 4), ("  d", 5, 2, 0)]
     assert [r["token_id"] for r in t] == [3, 4, 5, 6]
+    odd = tok.tokenize(spark.createDataFrame([("d", "u", "a\u00a0b \u0663\u0664 é\x1c\r\n")], "dataset string, uid string, text string"), K).orderBy("pos").collect()
+    assert [(r["tok"], r["char_start"]) for r in odd] == [("a", 0), ("b", 2), (" \u0663\u0664", 3), (" ", 6), ("é", 7), ("\n", 10)]
+
+
+def test_one_pass_gives_what_windows_give(spark):
+    rnd = random.Random(9)
+    rows = [("d", f"u{k}", "".join(rnd.choice(["a", " b1", "\n", "  ", "é", ", ", "x_y"]) for _ in range(rnd.randint(0, 80)))) for k in range(20)] + [("d", "none", None)]
+    docs = spark.createDataFrame(rows, "dataset string, uid string, text string")
+    t = tok.tokenize(docs, K)
+    w = tok.dummy_metrics(units.segments(tok.paragraph_attributes(tok.dummy_metrics(t, K), K), K), K, window=["function_id"], isolated=True)
+    m = tok.measure(docs, K)
+    order = sorted(m.columns)
+    assert sorted(map(tuple, m.select(*order).collect())) == sorted(map(tuple, w.select(*order).collect()))
+    by_line = compare.line_stats(m, K, {"a": 1.0, "b": 2.5})
+    owned = units.unit_of_token(m, K, 2.5).groupBy(*K, "line").agg(F.count_if("trigger").alias("t"), F.bool_or("trigger").alias("b"), F.min_by("su", "pos").alias("su"))
+    assert sorted(map(tuple, by_line.select(*K, "line", "triggers_b", "boundary_b", "su_b").collect())) == sorted(map(tuple, owned.collect()))
+
+
+def test_span_starts(spark):
+    t = tok.tokenize(spark.createDataFrame([("d", "u", "ab cd" + "x" * 700 + " e")], "dataset string, uid string, text string"), K)
+    spans = spark.createDataFrame([("d", "u", k) for k in (3, 600, 705)], "dataset string, uid string, span_start long")
+    assert [r["is_function_start"] for r in tok.starts_span(t, spans, K).orderBy("pos").collect()] == [False, True, True]
 
 
 def test_package(tmp_path, spark):

@@ -61,10 +61,14 @@ def significance(p: Column) -> Column:
     return F.when(p.isNull() | F.isnan(p), "").when(p < 0.001, "0.001 ").when(p < 0.01, "<0.01 ").when(p < 0.05, "<0.05 ").otherwise("n.s.")
 
 
-def answer_of(response: Column, start: str = "[ANSWER]", end: str = "[/ANSWER]") -> Column:
-    """What a response has between its last start mark and the first end mark after it."""
+#: The marks that an answer stands between.
+START_MARK, END_MARK = "<<<Output>>>", "[END-OF-RESPONSE]"
+
+
+def answer_of(response: Column, start: str = START_MARK, end: str = END_MARK) -> Column:
+    """What a response has between its last start mark and the first end mark after it, as it stands."""
     tail = F.element_at(F.split(response, _quoted(start)), -1)
-    return F.trim(F.element_at(F.split(tail, _quoted(end)), 1))
+    return F.element_at(F.split(tail, _quoted(end)), 1)
 
 
 def _quoted(mark: str) -> str:
@@ -78,8 +82,9 @@ def plain_answer(c: Column) -> Column:
 
 
 def same_output(stdout: Column, expected: Column) -> Column:
-    """Whether trimmed output is among the trimmed expected ones."""
-    return F.exists(expected, lambda e: F.trim(e) == F.trim(stdout))
+    """Whether output, without white space at its ends, is the one expected; no output asks for no expected one."""
+    plain = F.regexp_replace(stdout, r"(?U)^\s+|\s+$", "")
+    return F.when(plain == "", F.size(expected) == 0).otherwise((F.size(expected) == 1) & (F.get(expected, F.lit(0)) == plain))
 
 
 def short_hash(c: Column) -> Column:

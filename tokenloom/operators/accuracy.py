@@ -11,22 +11,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.functions.text import answer_of, plain_answer
+from tokenloom.functions.text import END_MARK, answer_of, plain_answer
+
+
+#: Fixed value: the status of an answer that has been scored.
+SCORED = "scored"
 
 
 def score_answers(answers: DataFrame, response: str = "response", truth: str = "truth") -> DataFrame:
     """answers with prediction and correct: the marked answer against the truth, both made plain."""
     prediction = answer_of(F.col(response))
-    correct = F.coalesce(plain_answer(prediction) == plain_answer(F.col(truth)), F.lit(False))
+    given = F.replace(plain_answer(prediction), F.lit(END_MARK), F.lit(""))  # what spaces had kept from being the mark
+    correct = F.coalesce(given == plain_answer(F.col(truth)), F.lit(False))
     return answers.withColumns({"prediction": prediction, "correct": correct})
 
 
 def pass_rates(answers: DataFrame, keys: list[str], planned: int | None = None) -> DataFrame:
     """planned, scored, n_correct, complete and pass_at_1 (only where every planned trial is scored).
 
-    planned: trials per item; None takes the item's rows. A row is scored where status is ok.
+    planned: trials per item; None takes the item's rows.
     """
-    scored = F.coalesce(F.col("status") == "ok", F.lit(False))
+    scored = F.coalesce(F.col("status") == SCORED, F.lit(False))
     agg = answers.groupBy(*keys).agg(F.count("*").cast("long").alias("rows"), F.count_if(scored).cast("long").alias("scored"), F.count_if(scored & F.coalesce("correct", F.lit(False))).cast("long").alias("n_correct"))
     agg = agg.withColumn("planned", F.lit(planned).cast("long") if planned else F.col("rows")).drop("rows")
     complete = F.col("scored") == F.col("planned")
@@ -43,7 +48,7 @@ def against_original(rates: DataFrame, keys: list[str], variant: str = "variant_
 def imported_answers(details: DataFrame, items: DataFrame) -> DataFrame:
     """Trials of known items: details (task_id, test_results array<boolean>) exploded, the trial its place."""
     each = details.select("task_id", F.posexplode("test_results").alias("trial", "correct"))
-    return each.join(items, "task_id").withColumn("status", F.lit("ok"))
+    return each.join(items, "task_id").withColumn("status", F.lit(SCORED))
 
 
 def behaviour(observations: DataFrame, keys: list[str]) -> DataFrame:

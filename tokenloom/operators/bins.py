@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def frequency_table(df: DataFrame, keys: list[str], width: int, x: str = "num_semantic_units", y: str = "pass_at_1", z: str = "lm_cc", least_limit: int = 200) -> DataFrame:
-    """Equal-width bins [a, b) from 0 with empty ones kept, up to the greater of the limit and the group's maximum.
+    """Equal-width bins [a, b) from 0 with empty ones kept, so many that they hold the greater of the limit and the
+    group's maximum.
 
     n, mean and sample deviation of y (null for n = 1), mean of z.
     """
@@ -15,7 +16,7 @@ def frequency_table(df: DataFrame, keys: list[str], width: int, x: str = "num_se
     counted = df.where(F.col(x).isNotNull()).groupBy(*keys, b.alias("__b")).agg(
         F.count(y).cast("long").alias("n"), F.avg(y).alias(f"{y}_mean"), F.stddev_samp(y).alias(f"{y}_std"), F.avg(z).alias(f"{z}_mean")
     )
-    limit = F.greatest(F.max(F.col(x).cast("double")) + 1, F.lit(float(least_limit)))
+    limit = F.greatest(F.max(F.col(x).cast("double")), F.lit(float(least_limit))) + 1
     ranges = df.groupBy(*keys).agg(F.ceil(limit / width).alias("__n")) if keys else df.agg(F.ceil(limit / width).alias("__n"))
     every = ranges.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__b"))
     joined = every.join(counted, [*keys, "__b"], "left")
@@ -55,11 +56,36 @@ def quantile_bins(df: DataFrame, keys: list[str], x: str, y: str, most: int = 10
     return joined.groupBy(*keys, at.alias("bin")).agg(F.median(x).alias(f"{x}_median"), F.avg(y).alias(f"{y}_mean"), F.count("*").cast("long").alias("n"))
 
 
+#: Cells of the histogram by which pooled percentiles are found.
+CELLS = 4096
+
+
 def entropy_percentiles(tokens: DataFrame, x: str = "metric_entropy", extra: tuple[int, ...] = (67,)) -> DataFrame:
-    """(percentile, value) of the pooled column at 0, 5, ... 95 and the extra ones, exact with linear interpolation."""
+    """(percentile, value) of the pooled column at 0, 5, ... 95 and the extra ones, exact with linear interpolation.
+
+    Values are counted, and their counts summed in cells of equal width; the cells' running sums tell in which a rank
+    lies, and only those cells' values are put in order. One task holds the cells, at most CELLS, or one cell's values.
+    """
     points = sorted({*range(0, 100, 5), *extra})
-    row = tokens.agg(F.percentile(x, [p / 100 for p in points]).alias("v"))
-    return row.select(F.posexplode("v").alias("k", "value")).select(F.element_at(F.lit(points), F.col("k") + 1).alias("percentile"), "value")
+    v = F.col(x).cast("double")
+    values = tokens.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("v")).agg(F.count("*").alias("c"))
+    ends = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
+    share = (F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
+    placed = values.crossJoin(F.broadcast(ends)).withColumn("cell", F.coalesce(F.least(F.floor(share * CELLS), F.lit(CELLS - 1)), F.lit(0)))  # one row
+    upto = F.sum("c").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+    cells = placed.groupBy("cell", "n").agg(F.sum("c").alias("c")).select("cell", "n", (upto - F.col("c")).alias("before"), upto.alias("upto"))
+    place = F.col("p") / 100.0 * (F.col("n") - 1)
+    asked = cells.withColumn("p", F.explode(F.lit(points))).withColumn("rank", F.explode(F.array(F.floor(place), F.ceil(place))))
+    asked = asked.where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto"))).select("cell", "before", "n", "p", "rank").distinct()
+    order = Window.partitionBy("cell").orderBy("v")
+    within = placed.join(F.broadcast(asked.select("cell").distinct()), "cell").withColumn("last", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))  # two cells a percentile
+    hit = within.select("cell", "v", "c", "last").join(F.broadcast(asked), "cell")
+    at = F.col("rank") - F.col("before")
+    hit = hit.where((F.col("last") - F.col("c") <= at) & (at < F.col("last")))
+    low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
+    return hit.groupBy("p", "n").agg(low.alias("low"), high.alias("high")).select(
+        F.col("p").cast("int").alias("percentile"), (F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place))).alias("value")
+    )
 
 
 def tercile_cuts(df: DataFrame, keys: list[str], x: str) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import normalize_token
+from tokenloom.schema import known
 from tokenloom.operators.bins import average_rank, correlation
-from tokenloom.operators.units import unit_of_token
+from tokenloom.operators.units import boundary_lines, trigger
 
 #: Regions in reporting order; others follow by name.
 REGIONS = ["condition", "if_body", "else_body", "else_line", "outside"]
@@ -18,16 +19,16 @@ REGIONS = ["condition", "if_body", "else_body", "else_line", "outside"]
 
 def line_stats(tokens: DataFrame, keys: list[str], thresholds: dict[str, float]) -> DataFrame:
     """Per line: n, mean, max and sum of entropy, and for each threshold triggers, any boundary, first unit."""
-    out = None
-    for label, t in thresholds.items():
-        owned = unit_of_token(tokens, keys, t)
-        agg = [F.count_if("trigger").cast("long").alias(f"triggers_{label}"), F.bool_or("trigger").alias(f"boundary_{label}"), F.min_by("su", "pos").alias(f"su_{label}")]
-        if out is None:
-            base = [F.count("*").cast("long").alias("n"), F.avg("metric_entropy").alias("mean_entropy"), F.max("metric_entropy").alias("max_entropy"), F.sum("metric_entropy").alias("sum_entropy")]
-            out = owned.groupBy(*keys, "line").agg(*base, *agg)
-        else:
-            out = out.join(owned.groupBy(*keys, "line").agg(*agg), [*keys, "line"])
-    return out
+    e = F.col("metric_entropy")
+    lines = boundary_lines(tokens, keys, ["line"], thresholds, [
+        F.count("*").alias("rows"), F.count(e).alias("known"), F.max(e).alias("top"), F.sum(e).alias("total"), *(F.count_if(trigger(t)).alias(f"hits_{k}") for k, t in thresholds.items()),
+    ])
+    own = [c for k in thresholds for c in (
+        F.sum(f"hits_{k}").cast("long").alias(f"triggers_{k}"), F.bool_or(f"hot_{k}").alias(f"boundary_{k}"), F.min_by(f"su_{k}", "first_pos").alias(f"su_{k}"),
+    )]
+    return lines.groupBy(*keys, "line").agg(
+        F.sum("rows").cast("long").alias("n"), (F.sum("total") / F.nullif(F.sum("known"), F.lit(0))).alias("mean_entropy"), F.max("top").alias("max_entropy"), F.sum("total").alias("sum_entropy"), *own
+    )
 
 
 def line_table(line_map: DataFrame, before: DataFrame, after: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -44,22 +45,24 @@ def line_table(line_map: DataFrame, before: DataFrame, after: DataFrame, keys: l
 
 
 def region_table(before: DataFrame, after: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Per region in fixed order: tokens, mean and sum of entropy, triggers and boundary lines, before, after, delta.
+    """Per region in fixed order: tokens, sum and mean of entropy, triggers and boundary lines, before, after, delta.
 
-    Both sides have keys, region, line, metric_entropy and trigger_<label>.
+    Both sides have keys, region, line, metric_entropy and trigger_<label>; where keys are coarser than a file, a
+    column `file` tells lines of one number apart.
     """
     t = F.col(f"trigger_{label}")
+    spot = [c for c in ("file", "line") if c in before.columns]
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*keys, "region").agg(
-            F.count("*").cast("long").alias(f"n_{name}"), F.sum("metric_entropy").alias(f"sum_entropy_{name}"), F.count_if(t).cast("long").alias(f"triggers_{name}"),
-            F.count_distinct(F.when(t, F.col("line"))).cast("long").alias(f"boundary_lines_{name}"),
+            F.count("*").cast("long").alias(f"n_{name}"), F.sum("metric_entropy").alias(f"sum_entropy_{name}"), F.avg("metric_entropy").alias(f"mean_entropy_{name}"), F.count_if(t).cast("long").alias(f"triggers_{name}"),
+            F.count_distinct(F.when(t, F.struct(*spot))).cast("long").alias(f"boundary_lines_{name}"),
         )
 
     joined = side(before, "before").join(side(after, "after"), [*keys, "region"], "full_outer")
     zero = {f"{c}_{s}": F.coalesce(F.col(f"{c}_{s}"), F.lit(0)) for c in ("n", "triggers", "boundary_lines") for s in ("before", "after")}
     out = joined.withColumns(zero)
-    out = out.withColumns({f"{c}_delta": F.col(f"{c}_after") - F.col(f"{c}_before") for c in ("n", "triggers", "boundary_lines", "sum_entropy")})
+    out = out.withColumns({f"{c}_delta": F.col(f"{c}_after") - F.col(f"{c}_before") for c in ("n", "triggers", "boundary_lines", "sum_entropy", "mean_entropy")})
     order = F.coalesce(F.nullif(F.array_position(F.lit(REGIONS), F.col("region")), F.lit(0)), F.lit(len(REGIONS) + 1))
     return out.withColumn("region_order", order.cast("long"))
 
@@ -128,7 +131,8 @@ def repeatability(tokens: DataFrame, keys: list[str], repetition: str = "repetit
 def reproduction(prior: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame:
     """Entropy of own tokens against prior ones by place, over the shorter of both: errors, correlations, status.
 
-    Own rows without an entropy are dropped and places counted anew on both sides.
+    Own rows without an entropy are dropped and places counted anew on both sides. The greatest error decides: Perfect
+    is none, Acceptable less than 0.01. A file of fewer than two values has no row.
     """
     def placed(df: DataFrame, name: str) -> DataFrame:
         kept = df.where(F.col("entropy").isNotNull() & ~F.isnan("entropy"))
@@ -138,17 +142,19 @@ def reproduction(prior: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame
     j = average_rank(average_rank(j, keys, "a", "ra"), keys, "b", "rb")
     e = F.abs(F.col("a") - F.col("b"))
     out = j.groupBy(*keys).agg(F.count("*").cast("long").alias("n"), F.avg(e).alias("mae"), F.max(e).alias("max_error"), correlation("ra", "rb").alias("spearman"), correlation("a", "b").alias("pearson"))
-    return out.withColumn("status", F.when(F.col("max_error") == 0, "Perfect").when(F.col("mae") < 1e-2, "Acceptable").otherwise("Error"))
+    return out.where("n >= 2").withColumn("status", F.when(F.col("max_error") == 0, "Perfect").when(F.col("max_error") < 1e-2, "Acceptable").otherwise("Error"))
 
 
 def verification(baseline: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame:
-    """(status, n) over own files: perfect, high_error (over 1e-3), token_mismatch, length_mismatch, not_in_baseline."""
+    """(status, n) over own files: perfect, high_error (over 1e-3), token_mismatch, length_mismatch, not_in_baseline,
+    read_error (a file of own without a row that has an entropy). Rows without an entropy are dropped first."""
     def lists(df: DataFrame, name: str) -> DataFrame:
         row = F.struct("pos", normalize_token(F.col("token_str")).alias("t"), F.col("metric_entropy").alias("e"))
+        row = F.when(known(F.col("metric_entropy")).isNotNull(), row)
         return df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias(name))
 
     j = lists(own, "o").join(lists(baseline, "b"), keys, "left")
     same = F.transform("o", lambda r: r["t"]) == F.transform("b", lambda r: r["t"])
     gap = F.array_max(F.zip_with("o", "b", lambda x, y: F.abs(x["e"] - y["e"])))
-    status = F.when(F.col("b").isNull(), "not_in_baseline").when(F.size("o") != F.size("b"), "length_mismatch").when(~same, "token_mismatch").when(gap > 1e-3, "high_error").otherwise("perfect")
+    status = F.when(F.size("o") == 0, "read_error").when(F.col("b").isNull(), "not_in_baseline").when(F.size("o") != F.size("b"), "length_mismatch").when(~same, "token_mismatch").when(gap > 1e-3, "high_error").otherwise("perfect")
     return j.groupBy(status.alias("status")).agg(F.count("*").cast("long").alias("n"))

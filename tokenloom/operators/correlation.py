@@ -50,17 +50,38 @@ def bucket_correlation(b: DataFrame, keys: list[str], partial: bool = False) ->
 def sweep(df: DataFrame, keys: list[str], score: str = "score", metric: str = "metric", control: str = "loc", uid: str = "uid", partial: bool = False) -> DataFrame:
     """r for each bucket size from n // 20 to n // 8 that leaves 9 to 11 full buckets: (keys, min_cnt, groups, r).
 
-    The rows are ranked once; each row is repeated for the bucket sizes and dealt by its rank.
+    The rows are ranked once, with running sums of the score. A bucket is its size and number: its mean score is the
+    difference of two running sums, its median metric is looked up at its middle ranks. So the rows of the plan are
+    those of df and a few for each bucket. For the partial correlation the control has no order to look its median up
+    in, and each row is dealt to its bucket of every size.
     """
     order = Window.partitionBy(*keys).orderBy(metric, control, uid)
-    ranked = df.select(*keys, score, metric, control, (F.row_number().over(order) - 1).alias("__at"), F.count("*").over(Window.partitionBy(*keys)).alias("__n"))
+    before = order.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = df.select(
+        *keys, score, metric, control, (F.row_number().over(order) - 1).cast("long").alias("__at"), F.sum(F.col(score).cast("decimal(30, 15)")).over(before).alias("__sum")
+    )
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("__n"))
     low, high = F.greatest(F.lit(1), F.floor(F.col("__n") / 20)), F.greatest(F.lit(1), F.floor(F.col("__n") / 8))
-    many = ranked.withColumn("min_cnt", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
-    many = many.where(F.floor(F.col("__n") / F.col("min_cnt")).between(9, 11))
-    dealt = many.groupBy(*keys, "min_cnt", F.floor(F.col("__at") / F.col("min_cnt")).alias("bucket")).agg(
-        F.round(F.avg(score), DECIMALS).alias("mean_score"), F.round(F.median(metric), DECIMALS).alias("median_metric"), F.round(F.median(control), DECIMALS).alias("median_control"), F.count("*").alias("n")
+    sizes = sizes.withColumn("min_cnt", F.explode(F.sequence(low.cast("long"), high.cast("long")))).withColumn("__full", F.floor(F.col("__n") / F.col("min_cnt")))
+    sizes = sizes.where(F.col("__full").between(9, 11))
+    if partial:
+        many = ranked.join(sizes, keys).where(F.col("__at") < F.col("__full") * F.col("min_cnt"))
+        dealt = many.groupBy(*keys, "min_cnt", F.floor(F.col("__at") / F.col("min_cnt")).alias("bucket")).agg(
+            F.round(F.avg(score), DECIMALS).alias("mean_score"), F.round(F.median(metric), DECIMALS).alias("median_metric"), F.round(F.median(control), DECIMALS).alias("median_control")
+        )
+        return bucket_correlation(dealt, [*keys, "min_cnt"], True)
+    size, first = F.col("min_cnt"), F.col("bucket") * F.col("min_cnt")
+    marks = sizes.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__full") - 1)))
+    spot = lambda what, at: F.struct(F.lit(what).alias("what"), at.cast("long").alias("__at"))
+    spots = F.array(spot("before", first - 1), spot("last", first + size - 1), spot("middle", first + F.floor((size - 1) / 2)), spot("middle", first + F.floor(size / 2)))
+    marks = marks.select(*keys, "min_cnt", "bucket", F.explode(spots).alias("s")).select(*keys, "min_cnt", "bucket", "s.*")
+    found = marks.join(ranked.select(*keys, "__at", "__sum", F.col(metric).alias("__m")), [*keys, "__at"])
+    at = lambda what, c: F.when(F.col("what") == what, F.col(c))
+    total = F.max(at("last", "__sum")) - F.coalesce(F.max(at("before", "__sum")), F.lit(0))
+    dealt = found.groupBy(*keys, "min_cnt", "bucket").agg(
+        F.round(total.cast("double") / F.first("min_cnt"), DECIMALS).alias("mean_score"), F.round(F.avg(at("middle", "__m")), DECIMALS).alias("median_metric"), F.lit(0.0).alias("median_control")
     )
-    return bucket_correlation(dealt.where(F.col("n") >= F.col("min_cnt")), [*keys, "min_cnt"], partial)
+    return bucket_correlation(dealt, [*keys, "min_cnt"])
 
 
 def strongest(swept: DataFrame, keys: list[str]) -> DataFrame:

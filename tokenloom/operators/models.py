@@ -27,7 +27,7 @@ def _with(df: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
 
 def grid(df: DataFrame, keys: list[str], x: str = "x", points: int = GRID) -> DataFrame:
     """(keys, k, bp): breakpoints evenly from the 5th to the 95th percentile."""
-    ends = df.groupBy(*keys).agg(F.percentile(x, [LOW, HIGH]).alias("q"))
+    ends = df.groupBy(*keys, x).agg(F.count("*").alias("__n")).groupBy(*keys).agg(F.percentile(x, [LOW, HIGH], F.col("__n")).alias("q"))
     at = ends.select(*keys, "q", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
     return at.select(*keys, "k", (F.col("q")[0] + (F.col("q")[1] - F.col("q")[0]) * F.col("k") / (points - 1)).alias("bp"))
 
@@ -58,31 +58,53 @@ def _least(per: DataFrame, keys: list[str]) -> DataFrame:
     return per.withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k", "k")
 
 
+def _products(df: DataFrame, keys: list[str], by: list[str], x: str, y: str, points: int) -> DataFrame:
+    """(keys, k, bp, n, xx, xh, hh, xy, hy, yy, mx, mh, my): for each breakpoint with h = max(0, x - bp), sums of products
+    about the means within `by`, and overall means.
+
+    Rows are first summed by distinct x about the group's means; what meets the breakpoints are these sums.
+    """
+    df = df.withColumns({"__x": F.col(x).cast("double"), "__y": F.col(y).cast("double")})
+    mean = df.groupBy(*keys).agg(F.avg("__x").alias("__mx"), F.avg("__y").alias("__my"))
+    c = F.col("__y") - F.col("__my")
+    sums = _with(df, mean, keys).groupBy(*keys, *by, "__x", "__mx", "__my").agg(F.count("*").alias("n"), F.sum(c).alias("s"), F.sum(c * c).alias("ss"))
+    steps = grid(df, keys, "__x", points)
+    cells = sums.join(steps, keys) if keys else sums.crossJoin(F.broadcast(steps))  # `points` rows
+    u, h, n, s = F.col("__x") - F.col("__mx"), F.greatest(F.lit(0.0), F.col("__x") - F.col("bp")), F.col("n"), F.col("s")
+    terms = {"n": n, "x": n * u, "h": n * h, "y": s, "xx": n * u * u, "xh": n * u * h, "hh": n * h * h, "xy": u * s, "hy": h * s, "yy": F.col("ss")}
+    per = cells.groupBy(*keys, "k", "bp", "__mx", "__my", *by).agg(*(F.sum(t).alias(f"s_{name}") for name, t in terms.items()))
+    about = lambda a, b: F.sum(F.col(f"s_{a}{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("s_n")).alias(a + b)
+    whole = lambda a: F.sum(f"s_{a}") / F.sum("s_n")
+    return per.groupBy(*keys, "k", "bp", "__mx", "__my").agg(
+        F.sum("s_n").cast("long").alias("n"), *(about(a, b) for a, b in ("xx", "xh", "hh", "xy", "hy", "yy")),
+        (F.col("__mx") + whole("x")).alias("mx"), whole("h").alias("mh"), (F.col("__my") + whole("y")).alias("my"),
+    )
+
+
+def _hinges(products: DataFrame, keys: list[str]) -> DataFrame:
+    """The two normal equations of each breakpoint solved: (keys, n, bp, a, b, c, rss) of the least RSS. Where h is no
+    direction of its own the line is the fit."""
+    v = lambda name: F.col(name)
+    det = v("xx") * v("hh") - v("xh") ** 2
+    own = det > 1e-9 * v("xx") * v("hh")
+    b = F.when(own, (v("xy") * v("hh") - v("hy") * v("xh")) / F.nullif(det, F.lit(0.0))).otherwise(v("xy") / F.nullif(v("xx"), F.lit(0.0)))
+    c = F.when(own, (v("hy") * v("xx") - v("xy") * v("xh")) / F.nullif(det, F.lit(0.0))).otherwise(F.lit(0.0))
+    solved = products.withColumns({"b": F.coalesce(b, F.lit(0.0)), "c": c})
+    rss = v("yy") - v("b") * v("xy") - v("c") * v("hy")
+    return _least(solved.select(*keys, "k", "n", "bp", (v("my") - v("b") * v("mx") - v("c") * v("mh")).alias("a"), "b", "c", rss.alias("rss")), keys)
+
+
 def hinge(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", points: int = GRID) -> DataFrame:
-    """(keys, n, bp, a, b, c, rss) of y = a + b x + c max(0, x - bp): the normal equations of all breakpoints are
-    sums over distinct x, solved where they are grouped."""
-    own = keys or ["__all"]
-    df = df if keys else df.withColumn("__all", F.lit(0))
-    sums = df.groupBy(*own, F.col(x).cast("double").alias("x")).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("ss"))
-    kind = ", ".join(f"`{k}` {sums.schema[k].dataType.simpleString()}" for k in own)
+    """(keys, n, bp, a, b, c, rss) of y = a + b x + c max(0, x - bp)."""
+    return _hinges(_products(df, keys, [], x, y, points), keys)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        xs, n, s, ss = (pdf[c].to_numpy(float) for c in ("x", "n", "s", "ss"))
-        flat = np.repeat(xs, n.astype(int))
-        best = None
-        for bp in np.linspace(*np.percentile(flat, [100 * LOW, 100 * HIGH]), points):
-            d = np.stack([np.ones_like(xs), xs, np.maximum(0, xs - bp)], axis=1)
-            w = np.sqrt(n)[:, None]
-            coef = np.linalg.lstsq(d * w, s / np.sqrt(n), rcond=None)[0]
-            mean = d @ coef
-            rss = float((ss - 2 * mean * s + n * mean * mean).sum())
-            if best is None or rss < best[-1]:
-                best = (bp, *coef, rss)
-        return pd.DataFrame([[*pdf.iloc[0][own], int(n.sum()), *best]], columns=[*own, "n", "bp", "a", "b", "c", "rss"])
-
-    out = sums.groupBy(*own).applyInPandas(fit, f"{kind}, n long, bp double, a double, b double, c double, rss double")
-    return out if keys else out.drop("__all")
+
+def _weighted_median(x: np.ndarray, n: np.ndarray) -> float:
+    """The median of values that stand n times each."""
+    order = np.argsort(x, kind="stable")
+    upto, total = np.cumsum(n[order]), int(n.sum())
+    low, high = (x[order][np.searchsorted(upto, k, "right")] for k in ((total - 1) // 2, total // 2))
+    return float(low + high) / 2
 
 
 def logistic(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", intercepts: str | None = None) -> DataFrame:
@@ -107,7 +129,7 @@ def logistic(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", interce
             shift = np.concatenate([[0.0], p[4:]])[group]
             return w * (p[0] + (p[1] - p[0]) / (1 + np.exp(-np.clip(p[2] * (xs - p[3]), -500, 500))) + shift - mean)
 
-        lo, hi, mid = max(pdf["lo"].min(), 0.0), min(pdf["hi"].max(), 1.0), float(np.median(np.repeat(xs, n.astype(int))))
+        lo, hi, mid = max(pdf["lo"].min(), 0.0), min(pdf["hi"].max(), 1.0), _weighted_median(xs, n)
         low = np.array([-0.5, -0.5, 1e-5, xs.min(), *[-1.0] * extra])
         high = np.array([1.5, 1.5, 10.0, max(xs.max(), xs.min() + 1e-9), *[1.0] * extra])
         starts = [(a, b, k, c) for a, b in ((lo, hi), (hi, lo)) for k in (0.1, 1.0) for c in (mid, *np.percentile(xs, [25, 75]))]
@@ -133,16 +155,8 @@ def linear_by_dataset(df: DataFrame, keys: list[str], by: str = "dataset", x: st
 
 
 def hinge_by_dataset(df: DataFrame, keys: list[str], by: str = "dataset", x: str = "x", y: str = "y", points: int = GRID) -> DataFrame:
-    """(keys, n, bp, b, c, rss): a hinge with an intercept per dataset, by sums over demeaned columns of each breakpoint."""
-    steps = _with(df, grid(df, keys, x, points), keys)
-    h = steps.withColumn("h", F.greatest(F.lit(0.0), F.col(x) - F.col("bp")))
-    m = demeaned(h, [*keys, "k"], by, [x, y, "h"])
-    p = lambda a, b: F.sum(F.col(a) * F.col(b))
-    s = m.groupBy(*keys, "k", "bp").agg(F.count("*").cast("long").alias("n"), p(x, x).alias("xx"), p(x, "h").alias("xh"), p("h", "h").alias("hh"), p(x, y).alias("xy"), p("h", y).alias("hy"), p(y, y).alias("yy"))
-    det = F.col("xx") * F.col("hh") - F.col("xh") ** 2
-    b, c = (F.col("xy") * F.col("hh") - F.col("hy") * F.col("xh")) / det, (F.col("hy") * F.col("xx") - F.col("xy") * F.col("xh")) / det
-    fitted = s.where(det > 1e-9).select(*keys, "k", "n", "bp", b.alias("b"), c.alias("c"), (F.col("yy") - b * F.col("xy") - c * F.col("hy")).alias("rss"))
-    return _least(fitted, keys)
+    """(keys, n, bp, b, c, rss): a hinge with an intercept per dataset."""
+    return _hinges(_products(df, keys, [by], x, y, points), keys).drop("a")
 
 
 def information(rss: F.Column, n: F.Column, parameters) -> tuple[F.Column, F.Column]:

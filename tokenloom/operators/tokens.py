@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import re
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tokenloom.functions.text import NEWLINE_TOKEN, SPACE_MARK
 
-#: Tokens of the model-free tokenizer, in ASCII classes; the last alternative is white space that gives no token.
-PATTERN = r"\n| *[A-Za-z_][A-Za-z0-9_]*| *[0-9]+| +|[^ \t\r\n\x0b\x0cA-Za-z0-9_]|[\t\r\x0b\x0c]"
-_NO_TOKEN = r"^[\t\r\x0b\x0c]$"
+#: The pattern of the model-free tokenizer (white space and digits by Unicode), and the first token id.
+PATTERN = r"\n| *[A-Za-z_][A-Za-z0-9_]*| *\d+| +|[^\sA-Za-z0-9_]"
+FIRST_ID = 3
+
+#: Tokens that go into one Arrow batch.
+BATCH = 1 << 16
 
 #: Tokenizers by name: functions from (docs, key columns, text column) to token rows; register() adds to them.
 TOKENIZERS: dict[str, Callable[..., DataFrame]] = {}
@@ -25,30 +34,109 @@ def register(name: str) -> Callable:
     return add
 
 
+#: Columns of a token as it is made, and those that measure() adds.
+_PLACED = "pos long, tok string, token_str string, token_id long, char_start long, line long, column long"
+_MEASURED = (
+    "metric_entropy double, metric_surprisal double, seg long, function_id string, is_function_start boolean, is_statement_start boolean, "
+    "nesting_depth long, metric_isolated_surprisal double"
+)
+
+
+def _hash(form: str) -> Callable[[bytes], int]:
+    return zlib.crc32 if form == "crc32" else lambda raw: int(hashlib.md5(raw, usedforsecurity=False).hexdigest()[:8], 16)
+
+
+def _contexts(ids: list[int], form: str) -> list[float]:
+    """A number in [0, 3) for each token, from its id and the two before it in the list."""
+    number, n = _hash(form), len(ids)
+    return [number(",".join(map(str, ids[max(0, k - 2) : k + 1])).encode()) % 3000 / 1000.0 for k in range(n)]
+
+
+def _placed(text: str) -> list[list]:
+    """The columns of _PLACED for a whole text."""
+    found = [(m.start(), m.group()) for m in re.finditer(PATTERN, text)]
+    ids: dict[str, int] = {}
+    tok = [t for _, t in found]
+    shown = [NEWLINE_TOKEN if t == "\n" else t.replace(" ", SPACE_MARK) for t in tok]
+    start = np.array([s for s, _ in found], np.int64)
+    newline = np.array([t == "\n" for t in tok], bool)
+    before = np.concatenate([[0], np.cumsum(newline)[:-1]]).astype(np.int64) if tok else np.zeros(0, np.int64)
+    begins = np.concatenate([[0], start[newline] + 1])
+    return [list(range(len(tok))), tok, shown, [ids.setdefault(t, len(ids) + FIRST_ID) for t in shown], start, before + 1, start - begins[before]]
+
+
+def _measured(columns: list[list], form: str, lines: int) -> list[list]:
+    """The columns of _MEASURED: metrics, and syntax attributes of running text as paragraph_attributes() gives them."""
+    _, tok, _, ids, _, line, _ = columns
+    entropy = _contexts(ids, form)
+    block, word = (line - 1) // lines, np.array([t != "\n" for t in tok], bool)
+    first_of = []
+    for by in (block, line):
+        first = np.zeros(len(tok), bool)
+        at = np.flatnonzero(word)
+        first[at[np.unique(by[at], return_index=True)[1]]] = True
+        first_of.append(first)
+    cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(tok)] if tok else []
+    isolated = [v * 1.5 for a, b in zip(cuts[:-1], cuts[1:], strict=True) for v in _contexts(ids[a:b], form)]
+    return [entropy, [v * 1.5 for v in entropy], line - 1, [f"b{k}" for k in block.tolist()], *first_of, (line - 1) % lines, isolated]
+
+
+def _rows(docs: DataFrame, keys: list[str], text: str, schema: str, make: Callable[[str], list[list]]) -> DataFrame:
+    """A row for each token of each text, made text by text: a document's rows stand together in order, without a shuffle."""
+    source = docs.select(*keys, F.col(text).cast("string").alias("__text"))
+    kept = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
+    added = StructType.fromDDL(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        fields = to_arrow_schema(added)
+        for batch in batches:
+            row, held, n = [], [], 0
+
+            def part() -> pa.RecordBatch:
+                at = pa.array(np.concatenate(row))
+                columns = [batch.column(k).take(at) for k in range(len(keys))]  # noqa: B023
+                for k, f in enumerate(fields):
+                    columns.append(pa.concat_arrays([pa.array(c[k], type=f.type) for c in held]))
+                row.clear()
+                held.clear()
+                return pa.RecordBatch.from_arrays(columns, names=[*keys, *fields.names])
+
+            for k, t in enumerate(batch.column(len(keys))):
+                columns = make(t.as_py() or "")
+                for s in range(0, len(columns[0]), BATCH):
+                    held.append([c[s : s + BATCH] for c in columns])
+                    row.append(np.full(len(held[-1][0]), k))
+                    n += len(row[-1])
+                    if n >= BATCH:
+                        yield part()
+                        n = 0
+            if held:
+                yield part()
+
+    return source.mapInArrow(run, f"{kept}, {schema}")
+
+
 @register("regex")
 def tokenize(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per token: keys, pos, tok (as it stands), token_str, token_id, char_start, line, column.
 
     token_str has marks for spaces and newlines. Ids count strings in order of first appearance in the file, from 3.
-    Lines count from 1, columns from 0. One exchange on keys serves all windows here and later ones on the same keys.
+    Lines count from 1, columns from 0. White space other than spaces and newlines gives no token. A null text has none.
     """
-    raw = docs.select(*keys, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), F.lit(0))).alias("at", "tok"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    placed = raw.withColumn("char_start", F.coalesce(F.sum(F.length("tok")).over(before), F.lit(0)).cast("long"))
-    placed = placed.where(~F.col("tok").rlike(_NO_TOKEN)).withColumn("pos", F.row_number().over(order) - 1)
-    newline = F.col("tok") == "\n"
-    placed = placed.withColumns({
-        "line": (F.coalesce(F.sum(newline.cast("int")).over(before), F.lit(0)) + 1).cast("long"),
-        "line_start": F.coalesce(F.max(F.when(newline, F.col("char_start") + 1)).over(before), F.lit(0)),
-        "first_at": F.min("pos").over(Window.partitionBy(*keys, "tok")),
-    })
-    ids = F.dense_rank().over(Window.partitionBy(*keys).orderBy("first_at")) + 2
-    shown = F.replace(F.replace(F.col("tok"), F.lit("\n"), F.lit(NEWLINE_TOKEN)), F.lit(" "), F.lit(SPACE_MARK))
-    return placed.select(
-        *keys, F.col("pos").cast("long"), "tok", shown.alias("token_str"), ids.cast("long").alias("token_id"), "char_start",
-        "line", (F.col("char_start") - F.col("line_start")).cast("long").alias("column"),
-    )
+    return _rows(docs, keys, text, _PLACED, _placed)
+
+
+def measure(docs: DataFrame, keys: list[str], text: str = "text", form: str = "crc32", lines: int = 4) -> DataFrame:
+    """tokenize() with what dummy_metrics(), segments() and paragraph_attributes() add, and the metric within each
+    function alone, in one pass over each text and without windows over token rows."""
+
+    def make(t: str) -> list[list]:
+        columns = _placed(t)
+        return columns + _measured(columns, form, lines)
+
+    return _rows(docs, keys, text, f"{_PLACED}, {_MEASURED}", make)
 
 
 def hash_value(text: Column, form: str = "crc32") -> Column:
@@ -110,11 +198,15 @@ def innermost(tokens: DataFrame, spans: DataFrame, keys: list[str], at: str = "c
     return tokens.join(best, [*keys, "pos"], "left")
 
 
-def starts_span(tokens: DataFrame, spans: DataFrame, keys: list[str], name: str = "is_function_start") -> DataFrame:
-    """Whether a span starts inside the token [char_start, char_start + length)."""
-    place = spans.select(*keys, F.col("span_start").alias("__s")).distinct()
-    ends = F.col("char_start") + F.greatest(F.length("tok"), F.lit(1))
-    hit = tokens.select(*keys, "pos", "char_start", "tok").join(place, keys).where((F.col("__s") >= F.col("char_start")) & (F.col("__s") < ends))
+def starts_span(tokens: DataFrame, spans: DataFrame, keys: list[str], name: str = "is_function_start", width: int = 256) -> DataFrame:
+    """Whether a span starts inside the token [char_start, char_start + length).
+
+    A span's start meets the tokens of its bucket of `width` places; a token goes to each bucket that it reaches into.
+    """
+    place = spans.select(*keys, F.col("span_start").alias("__s")).distinct().withColumn("__bucket", F.floor(F.col("__s") / width))
+    t = tokens.select(*keys, "pos", "char_start", (F.col("char_start") + F.greatest(F.length("tok"), F.lit(1))).alias("__end"))
+    t = t.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("char_start") / width), F.floor((F.col("__end") - 1) / width))))
+    hit = t.join(place, [*keys, "__bucket"]).where((F.col("__s") >= F.col("char_start")) & (F.col("__s") < F.col("__end")))
     hit = hit.select(*keys, "pos").distinct().withColumn(name, F.lit(True))
     return tokens.join(hit, [*keys, "pos"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import has_newline
@@ -53,14 +53,34 @@ def unit_of_token(tokens: DataFrame, keys: list[str], threshold) -> DataFrame:
     return marked.withColumn("su", F.sum("__first").over(running).cast("long")).drop("__first")
 
 
+def boundary_lines(tokens: DataFrame, keys: list[str], by: list[str], thresholds: dict[str, float], aggregates: list[Column]) -> DataFrame:
+    """Tokens aggregated by line (segment and the columns `by`), with su_<label>: the unit of the line.
+
+    A line is summed up where its tokens stand; what is dealt by file and numbered are lines.
+    """
+    seg = tokens if "seg" in tokens.columns else segments(tokens, keys)
+    lines = seg.groupBy(*keys, "seg", *by).agg(*aggregates, F.min("pos").alias("first_pos"), *(F.bool_or(trigger(t)).alias(f"hot_{k}") for k, t in thresholds.items()))
+    line, file = Window.partitionBy(*keys, "seg"), Window.partitionBy(*keys)
+    for k in thresholds:
+        first = (F.col("first_pos") == F.min("first_pos").over(line)) & F.max(f"hot_{k}").over(line)
+        lines = lines.withColumn(f"su_{k}", F.sum(first.cast("long")).over(file.orderBy("first_pos").rowsBetween(Window.unboundedPreceding, 0)))
+    return lines
+
+
 def unit_rows(tokens: DataFrame, keys: list[str], threshold) -> DataFrame:
     """One row per unit: lines, tokens and the triggers within it. A boundary on the first line leaves unit 0 empty."""
-    owned = unit_of_token(tokens, keys, threshold)
-    hit = F.when(F.col("trigger"), F.struct("pos", "token_str", F.col("metric_entropy").alias("entropy")))
-    full = owned.groupBy(*keys, "su").agg(
-        F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.min("pos").alias("start_token"), F.max("pos").alias("end_token"),
-        F.count("*").cast("long").alias("n_tokens"), F.array_sort(F.collect_list(hit)).alias("triggers"),
+    hit = F.when(trigger(threshold), F.struct("pos", "token_str", F.col("metric_entropy").alias("entropy")))
+    lines = boundary_lines(tokens, keys, [], {"u": threshold}, [
+        F.min("line").alias("low"), F.max("line").alias("high"), F.max("pos").alias("last_pos"), F.count("*").alias("n"), F.array_sort(F.collect_list(hit)).alias("hits"),
+    ])
+    # where the first line of a file begins unit 1, an empty row stands for unit 0
+    empty = (F.col("su_u") == 1) & (F.col("first_pos") == F.min("first_pos").over(Window.partitionBy(*keys)))
+    own = F.struct(F.col("su_u").alias("su"), F.lit(True).alias("full"))
+    none = F.struct(F.lit(0).cast("long").alias("su"), F.lit(False).alias("full"))
+    lines = lines.withColumn("empty", empty)
+    rows = lines.withColumn("of", F.explode(F.when(F.col("empty"), F.array(none, own)).otherwise(F.array(own))))
+    full = lambda c: F.when(F.col("of.full"), F.col(c))
+    return rows.groupBy(*keys, F.col("of.su").alias("su")).agg(
+        F.min(full("low")).alias("start_line"), F.max(full("high")).alias("end_line"), F.min(full("first_pos")).alias("start_token"), F.max(full("last_pos")).alias("end_token"),
+        F.coalesce(F.sum(full("n")), F.lit(0)).cast("long").alias("n_tokens"), F.array_sort(F.flatten(F.collect_list(full("hits")))).alias("triggers"),
     )
-    empty = full.groupBy(*keys).agg(F.min("su").alias("least")).where("least > 0").select(*keys, F.lit(0).cast("long").alias("su"))
-    empty = empty.withColumn("n_tokens", F.lit(0).cast("long"))
-    return full.unionByName(empty, allowMissingColumns=True)

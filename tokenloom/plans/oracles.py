@@ -4,14 +4,15 @@ from __future__ import annotations
 
 F_ = "files as (select lang as dataset, doc_id as uid, text from documents)"
 #: Tokens with ids, places, and metrics by md5; `src` has dataset, uid, text.
-_RE = r"\n| *[A-Za-z_][A-Za-z0-9_]*| *[0-9]+| +|[^ \t\r\n\x0b\x0cA-Za-z0-9_]|[\t\r\x0b\x0c]"
+_SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_RE = rf"\n| *[A-Za-z_][A-Za-z0-9_]*| *\p{{Nd}}+| +|[^{_SPACE}A-Za-z0-9_]|[{_SPACE}]"
 
 
 def toks(src: str = "files", p: str = "") -> str:
     return f"""
 {p}raw as (select dataset, uid, unnest(a) as tok, generate_subscripts(a, 1) as i0 from (select dataset, uid, regexp_extract_all(coalesce(text, ''), '{_RE}') as a from {src})),
 {p}placed as (select *, coalesce(sum(length(tok)) over (partition by dataset, uid order by i0 rows between unbounded preceding and 1 preceding), 0)::bigint as char_start from {p}raw),
-{p}kept as (select * exclude (i0), (row_number() over (partition by dataset, uid order by i0) - 1)::bigint as pos from {p}placed where not regexp_full_match(tok, '[\\t\\r\\x0b\\x0c]')),
+{p}kept as (select * exclude (i0), (row_number() over (partition by dataset, uid order by i0) - 1)::bigint as pos from {p}placed where not regexp_full_match(tok, '[{_SPACE}]') or tok in (chr(10)) or tok = ' '),
 {p}lined as (select *, (1 + coalesce(sum((tok = chr(10))::int) over w, 0))::bigint as line, coalesce(max(case when tok = chr(10) then char_start + 1 end) over w, 0) as line_start,
   min(pos) over (partition by dataset, uid, tok) as first_at from {p}kept window w as (partition by dataset, uid order by pos rows between unbounded preceding and 1 preceding)),
 {p}numbered as (select dataset, uid, pos, tok, replace(replace(tok, chr(10), '<0x0A>'), ' ', '▁') as token_str, (dense_rank() over (partition by dataset, uid order by first_at) + 2)::bigint as token_id, char_start, line, char_start - line_start as col, line - 1 as seg from {p}lined),
@@ -72,7 +73,7 @@ ORACLE["summary_order"] = "with t as (select lang as dataset, 'u' || (doc_id % 9
 _P = sorted({*range(0, 100, 5), 67})
 ORACLE["entropy_percentiles"] = T + f", q as (select quantile_cont(e, [{', '.join(str(p / 100) for p in _P)}]) as v from tokens) select unnest([{', '.join(map(str, _P))}])::int as percentile, round(unnest(v), 6) as value from q"
 ORACLE["frequency_bins"] = C + """, t as (select 'all' as scope, * from cheap union all select dataset, * from cheap),
-r as (select scope, ceil(greatest(max(su::double) + 1, 200.0) / 10)::bigint as n from t group by 1), bins as (select scope, unnest(range(n)) as b from r)
+r as (select scope, ceil((greatest(max(su::double), 200.0) + 1) / 10)::bigint as n from t group by 1), bins as (select scope, unnest(range(n)) as b from r)
 select bins.scope, b * 10 as bin_start, (b + 1) * 10 as bin_end, count(score) as n, round(avg(score), 6) as score_mean, round(stddev_samp(score), 6) as score_std, round(avg(words::double), 6) as z_mean
 from bins left join t on t.scope = bins.scope and t.su // 10 = b group by bins.scope, b"""
 ORACLE["bin_trend"] = C + " select dataset, (su // 5 + 0.5::double) * 5 as bin_mid, count(score) as n, round(avg(score), 6) as score_mean from cheap group by 1, 2 having count(score) > 0"
@@ -91,7 +92,7 @@ count(distinct su) as distinct_su, count(distinct loc) as distinct_loc, round(ca
 ORACLE["count_distribution"] = C + ", t as (select dataset, cluster, sum(score)::bigint as k, count(*) as n from cheap where score is not null group by 1, 2) select dataset, k, n, count(*) as clusters from t group by 1, 2, 3"
 
 ORACLE["scored_files"] = "select lang as dataset, count(*) as n, sum(quality)::bigint as k from documents join labels using (doc_id) group by 1"
-ORACLE["scored_legacy"] = "with s as (select (doc_id % 50)::varchar as id, max_by(quality, doc_id) as score from labels group by 1) select (doc_id % 60)::varchar || '__x' as uid, doc_id as doc, score from documents join s on s.id = (doc_id % 60)::varchar where doc_id < 100"
+ORACLE["scored_legacy"] = "with s as (select (doc_id % 50)::varchar as id, max_by(quality, doc_id) as score from labels group by 1) select (doc_id % 60)::varchar || '__x' as uid, doc_id as doc, score from documents join s on s.id = (doc_id % 60)::varchar"
 ORACLE["unique_join"] = C + " select cheap.uid, su, toxic from cheap join labels on doc_id = uid"
 ORACLE["frame_differences"] = C + """, a as (select uid, su::double as su, loc::double as loc from cheap),
 b as (select case when uid % 17 = 0 then -uid else uid end as uid, su + case when uid % 13 = 0 then 1e-3::double else 1e-12::double end as su, case when uid % 19 = 0 then null else loc end as loc from a where uid % 10 <> 0),
@@ -101,7 +102,7 @@ select uid, side, "column", round(x, 6) as calculated, round(y, 6) as stored fro
 ORACLE["missing_ids"] = "with f as (select distinct doc_id + case when doc_id % 7 = 0 then 1000000 else 0 end as uid from labels), e as (select distinct doc_id as uid from documents) select uid, 'missing' as state from e where uid not in (select uid from f) union all select uid, 'extra' from f where uid not in (select uid from e)"
 ORACLE["first_missing"] = "select distinct doc_id as uid from documents where doc_id not in (select doc_id from labels) order by 1 limit 20"
 ORACLE["outcome_groups"] = C + ", t as (select *, max(su) over (partition by dataset) * 0.15::double as lim from cheap where score is not null), g as (select dataset, su, 'A' as grp from t where su >= lim and score = 0 union all select dataset, su, 'B' from t where su <= lim and score = 0 union all select dataset, su, 'C' from t where su <= lim and score = 1) select dataset, grp, count(*) as n, sum(su)::bigint as su from g group by 1, 2"
-ORACLE["enough_rows"] = C + " select dataset, count(*) as n from cheap where dataset in ('en', 'fr', 'de') and score is not null group by 1 having count(*) >= 30"
+ORACLE["enough_rows"] = C + " select dataset, count(*) as n from cheap where score is not null group by 1 having count(*) >= 90"
 ORACLE["datasets_and_all"] = C + " select coalesce(dataset, 'all') as scope, count(*) as n, sum(su)::bigint as su, grouping(dataset)::int as pooled from cheap group by rollup (dataset)"
 ORACLE["distinct_sources"] = "with a as (select distinct source from documents where lang = 'en'), b as (select distinct source from documents where lang = 'fr') select source, 'either' as kind from (select * from a union select * from b) union all select source, 'both' from (select * from a intersect select * from b)"
 
@@ -132,9 +133,9 @@ m as (select *, unnest(range(greatest(1, n // 20), greatest(1, n // 8) + 1)) as
 b as (select dataset, metric_name, min_cnt, i0 // min_cnt as bucket, round(avg(score), 12) as y, round(median(metric), 12) as x, 0 as z, count(*) as n from m2 group by 1, 2, 3, 4 having count(*) >= min_cnt), """ + ranked_buckets("dataset, metric_name, min_cnt") + f""",
 c as (select dataset, metric_name, min_cnt, count(*) as groups, case when count(*) >= 2 then {_corr('rx', 'ry')} end as r from k group by 1, 2, 3)
 select dataset, metric_name, min_cnt, groups, round(r, 6) as r from c qualify row_number() over (partition by dataset, metric_name order by abs(round(r, 10)) desc nulls last, min_cnt) = 1"""
-ORACLE["threshold_sweep"] = T + ", ln as (select dataset, uid, seg, " + ", ".join(f"bool_or({trig(1.6 + 0.4 * k)}) as t{k}" for k in range(3)) + " from tokens group by 1, 2, 3), un as (select dataset, uid, " + ", ".join(f"1 + count(*) filter (t{k}) as t{k}" for k in range(3)) + """ from ln group by 1, 2),
-u as (select dataset, uid, 'num_semantic_units_t0' as threshold, t0 as su from un union all select dataset, uid, 'num_semantic_units_t1', t1 from un union all select dataset, uid, 'num_semantic_units_t2', t2 from un),
-j as (select u.*, quality::double as score from u join labels on doc_id = uid), """ + f"k as (select *, {avg_rank('su', 'threshold, dataset')} as rx, {avg_rank('score', 'threshold, dataset')} as ry from j) select threshold, dataset, count(*) as n, round({_corr('rx', 'ry')}, 6) as r from k group by 1, 2"
+_TH = {f"t{k}": 0.5 + 0.12 * k for k in range(20)}
+ORACLE["threshold_sweep"] = T + ", ln as (select dataset, uid, seg, " + ", ".join(f"bool_or({trig(t)}) as {k}" for k, t in _TH.items()) + " from tokens group by 1, 2, 3), un as (select dataset, uid, " + ", ".join(f"1 + count(*) filter ({k}) as num_semantic_units_{k}" for k in _TH) + """ from ln group by 1, 2),
+u as (unpivot un on columns('num_semantic_units_.*') into name threshold value su), j as (select u.*, quality::double as score from u join labels on doc_id = uid), """ + f"k as (select *, {avg_rank('su', 'threshold, dataset')} as rx, {avg_rank('score', 'threshold, dataset')} as ry from j) select threshold, dataset, count(*) as n, round({_corr('rx', 'ry')}, 6) as r from k group by 1, 2"
 ORACLE["code_level_spearman"] = C + f", k as (select dataset, {avg_rank('su', 'dataset')} as rx, {avg_rank('loc', 'dataset')} as ry from cheap) select dataset, count(*) as n, round({_corr('rx', 'ry')}, 6) as r from k group by 1"
 ORACLE["significance_labels"] = "with t as (select doc_id as uid, case when doc_id % 11 <> 0 then (doc_id % 100) / 1000.0::double end as p from documents) select uid, case when p is null then '' when p < 0.001 then '0.001 ' when p < 0.01 then '<0.01 ' when p < 0.05 then '<0.05 ' else 'n.s.' end as label from t"
 
@@ -154,10 +155,16 @@ ORACLE["information_criteria"] = XY + """, n as (select dataset, count(*) as c f
 f as (select scope, regr_intercept(y, x) as a, regr_slope(y, x) as b from sc2 group by 1), li as (select scope, count(*) as n, sum((y - a - b * x) ** 2) as rss from sc2 join f using (scope) group by 1), """ + step_sql("scope", "sc2") + """,
 al as (select scope, 'linear' as model, n, rss, 3 as k from li union all select scope, 'step', n::bigint, rss, 4 from st), ic as (select scope, model, n, rss, n * ln(case when rss <= 0 then 1e-12 else rss end / n) + 2 * k as aic, n * ln(case when rss <= 0 then 1e-12 else rss end / n) + k * ln(n) as bic from al)
 select scope, model, n, round(rss, 5) as rss, round(aic, 5) as aic, round(bic, 5) as bic, round(aic - min(aic) over (partition by scope), 5) as delta_aic, round(bic - min(bic) over (partition by scope), 5) as delta_bic from ic"""
-ORACLE["hinge_by_dataset"] = XY + """, q as (select quantile_cont(x, 0.05::double) as lo, quantile_cont(x, 0.95::double) as hi from xy), h as (select dataset, k, x, y, greatest(0.0::double, x - (lo + (hi - lo) * k / 39)) as h from xy, q, range(40) r(k)),
+ORACLE["hinge_by_dataset"] = XY + """, q as (select quantile_cont(x, 0.05::double) as lo, quantile_cont(x, 0.95::double) as hi from xy), h as (select dataset, k, x, y, greatest(0.0::double, x - (lo + (hi - lo) * k / 299)) as h from xy, q, range(300) r(k)),
 m as (select k, x - avg(x) over w as x, y - avg(y) over w as y, h - avg(h) over w as h from h window w as (partition by k, dataset)), s as (select k, count(*) as n, sum(x * x) as xx, sum(x * h) as xh, sum(h * h) as hh, sum(x * y) as xy_, sum(h * y) as hy, sum(y * y) as yy from m group by 1),
-f as (select k, n, yy - (xy_ * hh - hy * xh) / (xx * hh - xh * xh) * xy_ - (hy * xx - xy_ * xh) / (xx * hh - xh * xh) * hy as rss from s where xx * hh - xh * xh > 1e-9) select 'all' as scope, n, round(rss, 6) as rss from f order by round(rss, 9), k limit 1"""
-ORACLE["holm_adjusted"] = """with t as (select lang as dataset, doc_id as uid, case when doc_id % 9 <> 0 then (doc_id * 37 % 1009) / 20000.0::double end as p from documents where doc_id < 200), r as (select *, coalesce(p, 1.0::double) as q, count(*) over (partition by dataset) as m, row_number() over (partition by dataset order by coalesce(p, 1.0::double)) as k from t)
+f as (select k, n, yy - (xy_ * hh - hy * xh) / (xx * hh - xh * xh) * xy_ - (hy * xx - xy_ * xh) / (xx * hh - xh * xh) * hy as rss from s where xx * hh - xh * xh > 1e-9 * xx * hh) select 'all' as scope, n, round(rss, 6) as rss from f order by round(rss, 9), k limit 1"""
+ORACLE["hinge_fit"] = XY + """, q as (select dataset, quantile_cont(x, 0.05::double) as lo, quantile_cont(x, 0.95::double) as hi from xy group by 1),
+h as (select dataset, k, x, y, greatest(0.0::double, x - (lo + (hi - lo) * k / 299)) as h from xy join q using (dataset), range(300) r(k)),
+m as (select dataset, k, x - avg(x) over w as x, y - avg(y) over w as y, h - avg(h) over w as h from h window w as (partition by dataset, k)),
+s as (select dataset, k, count(*) as n, sum(x * x) as xx, sum(x * h) as xh, sum(h * h) as hh, sum(x * y) as xy_, sum(h * y) as hy, sum(y * y) as yy from m group by 1, 2),
+f as (select dataset, k, n, case when xx * hh - xh * xh > 1e-9 * xx * hh then yy - (xy_ * hh - hy * xh) / (xx * hh - xh * xh) * xy_ - (hy * xx - xy_ * xh) / (xx * hh - xh * xh) * hy else yy - xy_ * xy_ / xx end as rss from s)
+select dataset, n, round(rss, 6) as rss from f qualify row_number() over (partition by dataset order by round(rss, 9), k) = 1"""
+ORACLE["holm_adjusted"] = """with t as (select lang as dataset, doc_id as uid, case when doc_id % 9 <> 0 then (doc_id * 37 % 1009) / 20000.0::double end as p from documents), r as (select *, coalesce(p, 1.0::double) as q, count(*) over (partition by dataset) as m, row_number() over (partition by dataset order by coalesce(p, 1.0::double)) as k from t)
 select dataset, uid, round(p, 6) as p, round(case when p is not null then least(1.0::double, max((m - k + 1) * q) over (partition by dataset order by q, k rows unbounded preceding)) end, 6) as p_holm from r"""
 ORACLE["sparse_groups"] = C + ", g as (select dataset, count(*) as n, count(distinct cluster) as c, count(*) filter (score < 1) as e, count(*) filter (score > 0) as k, count(distinct su) as d from cheap where score is not null group by 1) select dataset, concat_ws(',', case when n < 60 then 'few_rows' end, case when c < 25 then 'few_clusters' end, case when e < 8 then 'few_errors' end, case when k < 8 then 'few_correct' end, case when d < 5 then 'few_values' end) as reasons from g"
 ORACLE["recovered_counts"] = C + " select dataset, cluster, count(*) as n, sum(score)::bigint as k from cheap where score is not null group by 1, 2"
@@ -170,23 +177,26 @@ select dataset, uid, line, count(*) as n, round(avg(e), 4) as mean_entropy, roun
 ORACLE["line_comparison"] = V + """, b as (select dataset, uid, line, count(*) as n, sum(e) as e from tokens group by 1, 2, 3), a as (select dataset, uid, line, count(*) as n, sum(e) as e from a_tokens group by 1, 2, 3),
 j as (select lm.dataset, lm.uid, case when ol is null then 'added' when nl is null then 'removed' else 'same' end as status, a.n - b.n as nd, a.e - b.e as ed from lm left join b on b.dataset = lm.dataset and b.uid = lm.uid and b.line = ol left join a on a.dataset = lm.dataset and a.uid = lm.uid and a.line = nl)
 select dataset, uid, status, count(*) as lines, sum(nd)::bigint as n_delta, round(sum(ed), 4) as e_delta from j group by 1, 2, 3"""
-ORACLE["region_comparison"] = V + f""", b as (select t.dataset, coalesce(region, 'outside') as region, count(*) as n, sum(e) as s, count(*) filter ({trig(2.4)}) as t from tokens t left join lm on lm.dataset = t.dataset and lm.uid = t.uid and lm.ol = t.line group by 1, 2),
-a as (select t.dataset, coalesce(region, 'outside') as region, count(*) as n, sum(e) as s, count(*) filter ({trig(2.4)}) as t from a_tokens t left join lm on lm.dataset = t.dataset and lm.uid = t.uid and lm.nl = t.line group by 1, 2)
-select dataset, region, coalesce(b.n, 0) as n_before, round(b.s, 3) as sum_entropy_before, coalesce(b.t, 0) as triggers_before, coalesce(a.n, 0) as n_after, round(a.s, 3) as sum_entropy_after, coalesce(a.t, 0) as triggers_after,
-coalesce(a.n, 0) - coalesce(b.n, 0) as n_delta, coalesce(a.t, 0) - coalesce(b.t, 0) as triggers_delta, round(a.s - b.s, 3) as sum_entropy_delta, case region when 'condition' then 1 when 'if_body' then 2 when 'else_body' then 3 when 'else_line' then 4 when 'outside' then 5 else 6 end::bigint as region_order from b full join a using (dataset, region)"""
+_SIDE = "count(*) as n, sum(e) as s, avg(e) as m, count(*) filter ({t}) as t, count(distinct case when {t} then [t.uid, t.line] end) as l"
+ORACLE["region_comparison"] = V + f""", b as (select t.dataset, coalesce(region, 'outside') as region, {_SIDE.format(t=trig(2.4))} from tokens t left join lm on lm.dataset = t.dataset and lm.uid = t.uid and lm.ol = t.line group by 1, 2),
+a as (select t.dataset, coalesce(region, 'outside') as region, {_SIDE.format(t=trig(2.4))} from a_tokens t left join lm on lm.dataset = t.dataset and lm.uid = t.uid and lm.nl = t.line group by 1, 2)
+select dataset, region, coalesce(b.n, 0) as n_before, round(b.s, 3) as sum_entropy_before, round(b.m, 3) as mean_entropy_before, coalesce(b.t, 0) as triggers_before, coalesce(b.l, 0) as boundary_lines_before,
+coalesce(a.n, 0) as n_after, round(a.s, 3) as sum_entropy_after, round(a.m, 3) as mean_entropy_after, coalesce(a.t, 0) as triggers_after, coalesce(a.l, 0) as boundary_lines_after,
+coalesce(a.n, 0) - coalesce(b.n, 0) as n_delta, coalesce(a.t, 0) - coalesce(b.t, 0) as triggers_delta, coalesce(a.l, 0) - coalesce(b.l, 0) as boundary_lines_delta, round(a.s - b.s, 3) as sum_entropy_delta, round(a.m - b.m, 3) as mean_entropy_delta,
+case region when 'condition' then 1 when 'if_body' then 2 when 'else_body' then 3 when 'else_line' then 4 when 'outside' then 5 else 6 end::bigint as region_order from b full join a using (dataset, region)"""
 ORACLE["total_changes"] = V + """, b as (select dataset, uid, count(*)::double as tokens, max(line)::double as loc from tokens group by 1, 2), a as (select dataset, uid, count(*)::double as tokens, max(line)::double as loc from a_tokens group by 1, 2),
 u as (select dataset, uid, 'tokens' as metric, b.tokens as before, a.tokens as after from b join a using (dataset, uid) union all select dataset, uid, 'loc', b.loc, a.loc from b join a using (dataset, uid))
 select *, after - before as delta, case when after > before then 'increased' when after < before then 'decreased' else 'unchanged' end as change from u"""
 ORACLE["repeatability"] = T + ", g as (select dataset, uid, bool_or(uid % 5 = 0 and pos = 3) as o from tokens group by 1, 2) select dataset, uid, 1 as repetition, not o as same_tokens, 0.0::double as max_abs_difference from g union all select dataset, uid, 2, true, case when o then 0.25::double else 0 end from g"
-ORACLE["entropy_reproduction"] = T + f""", p as (select dataset, uid, pos, e as b, e + case uid % 3 when 0 then 0.0::double when 1 then 0.001::double else 0.5::double end * (pos % 2) as a from tokens where pos % 50 <> 7), k as (select *, {avg_rank('a', 'dataset, uid')} as ra, {avg_rank('b', 'dataset, uid')} as rb from p),
+ORACLE["entropy_reproduction"] = T + f""", p as (select dataset, uid, pos, e as b, e + case uid % 4 when 0 then 0.0::double when 1 then 0.001::double when 2 then (pos = 1)::int * 0.05::double else 0.5::double end * (pos % 2) as a from tokens where pos % 50 <> 7), k as (select *, {avg_rank('a', 'dataset, uid')} as ra, {avg_rank('b', 'dataset, uid')} as rb from p),
 r as (select dataset, uid, count(*) as n, avg(abs(a - b)) as mae, max(abs(a - b)) as mx, case when min(a) < max(a) and min(b) < max(b) then corr(ra, rb) end as sp, case when min(a) < max(a) and min(b) < max(b) then corr(a, b) end as pe from k group by 1, 2)
-select dataset, uid, n, round(mae, 5) as mae, round(mx, 5) as max_error, round(sp, 5) as spearman, round(pe, 5) as pearson, case when mx = 0 then 'Perfect' when mae < 1e-2 then 'Acceptable' else 'Error' end as status from r"""
+select dataset, uid, n, round(mae, 5) as mae, round(mx, 5) as max_error, round(sp, 5) as spearman, round(pe, 5) as pearson, case when mx = 0 then 'Perfect' when mx < 1e-2 then 'Acceptable' else 'Error' end as status from r where n >= 2"""
 ORACLE["verification_tallies"] = T + """, f as (select dataset, uid, count(*) as n, max(pos) as last from tokens group by 1, 2),
 c as (select case when uid % 7 = 0 or (uid % 5 = 0 and n = 1) then 'not_in_baseline' when uid % 5 = 0 then 'length_mismatch' when uid % 6 = 1 and last >= 1 then 'token_mismatch' when uid % 4 = 0 then 'high_error' else 'perfect' end as status from f) select status, count(*) as n from c group by 1"""
-ORACLE["worst_files"] = T + " select uid, round(avg(e), 6) as mean_entropy from tokens group by 1 order by 2 desc, 1 limit 3"
+ORACLE["worst_files"] = T + " select uid, round(avg(abs(e + (uid % 50) / 1000.0::double * (pos % 2) - e)), 6) as mae from tokens group by dataset, uid having count(*) >= 2 order by 2 desc, 1 limit 3"
 
-ORACLE["answer_scores"] = """with t as (select conv_id, substring(text, 1, 12) as s from conversations), p as (select conv_id, trim(string_split(list_extract(string_split('so [ANSWER] ''' || s || ''' [/ANSWER] x', '[ANSWER]'), -1), '[/ANSWER]')[1], ' ') as pr, '"' || s || '"' as tr from t),
-n as (select conv_id, pr, regexp_replace(regexp_replace(replace(regexp_replace(pr, '[\\n ]', '', 'g'), '"', ''''), '^[''`]', ''), '[''`]$', '') as a, regexp_replace(regexp_replace(replace(regexp_replace(tr, '[\\n ]', '', 'g'), '"', ''''), '^[''`]', ''), '[''`]$', '') as b from p)
+ORACLE["answer_scores"] = """with t as (select conv_id, text as s, case when turn % 3 = 0 then ''' [END-OF -RESPONSE]' else ''' [END-OF-RESPONSE] x' end as tail from conversations), p as (select conv_id, string_split(list_extract(string_split('so <<<Output>>> ''' || s || tail, '<<<Output>>>'), -1), '[END-OF-RESPONSE]')[1] as pr, '"' || s || '"' as tr from t),
+n as (select conv_id, pr, replace(regexp_replace(regexp_replace(replace(regexp_replace(pr, '[\\n ]', '', 'g'), '"', ''''), '^[''`]', ''), '[''`]$', ''), '[END-OF-RESPONSE]', '') as a, regexp_replace(regexp_replace(replace(regexp_replace(tr, '[\\n ]', '', 'g'), '"', ''''), '^[''`]', ''), '[''`]$', '') as b from p)
 select conv_id, count(*) as n, count(*) filter (a = b) as k, max(pr) as last from n group by 1"""
 ORACLE["pass_rates"] = "with g as (select conv_id, count(*) filter (turn % 4 <> 3) as scored, count(*) filter (turn % 4 <> 3 and length(text) % 2 = 0) as n_correct, count(*) as planned from conversations group by 1) select *, scored = planned as complete, round(case when scored = planned then n_correct / planned::double end, 6) as pass_at_1 from g"
 ORACLE["variant_deltas"] = C + ", g as (select cluster as uid, case when dataset = 'en' then 'original' else dataset end as variant_id, count(*) as scored, count(*) filter (score = 1) as n_correct from cheap where score is not null group by 1, 2), o as (select uid, n_correct / scored::double as base from g where variant_id = 'original') select g.uid, variant_id, scored, n_correct, scored as planned, true as complete, round(n_correct / scored::double, 6) as pass_at_1, round(n_correct / scored::double - base, 6) as pass_at_1_delta from g left join o using (uid) where variant_id <> 'original'"
@@ -201,7 +211,7 @@ select uid, grp, draw_rank, draw_rank <= case grp when 'medium' then 4 else 3 en
 ORACLE["exclusion_reasons"] = C + " select case when score is null then 'no score' when loc < 3 then 'short' when su > 100 then 'long' else 'eligible' end as reason, count(*) as n from cheap group by 1"
 ORACLE["metric_validation"] = T + " select dataset, uid, count(*) filter (pos between 5 and 7) as bad, count(*) filter (pos between 5 and 7) = count(*) as all_missing from tokens group by 1, 2"
 ORACLE["latest_records"] = "select conv_id % 100 as id, max(conv_id) as conv_id, max_by(turn, conv_id * 100000 + turn) as turn, max_by(length(text), conv_id * 100000 + turn) as n from conversations group by 1"
-ORACLE["remapped_paths"] = "select doc_id, source || '/' || doc_id::varchar || '__1/main.py' as path, doc_id::varchar as uid, substr(sha256('/home/u/data/old/data/' || source || '/' || doc_id::varchar || '__1/main.py'), 1, 16) as h from documents"
+ORACLE["remapped_paths"] = "with t as (select doc_id, source, case when doc_id % 7 = 0 then '/home/u/old/' else '/home/u/data/old/data/' end as lead, source || '/' || doc_id::varchar || '__1/main.py' as rest from documents) select doc_id, case when doc_id % 7 = 0 then lead || rest else rest end as path, doc_id::varchar as uid, substr(sha256(lead || rest), 1, 16) as h from t"
 ORACLE["non_blank_lines"] = "select doc_id as uid, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> ''))::bigint as n from documents"
 ORACLE["highlighted_tokens"] = T + ", m as (select *, max(e) over (partition by dataset, uid) as top from tokens) select dataset, uid, count(*) as n, min(pos) as first from m where e >= top * 0.9::double group by 1, 2"
 

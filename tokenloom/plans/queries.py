@@ -13,7 +13,7 @@ from tokenloom.operators import accuracy, bins, compare, correlation, glm, joins
 from tokenloom.operators import code as source_code
 from tokenloom.operators import tokens as tok
 from tokenloom.sources.readers import relative_data_path
-from tokenloom.plans.tables import KEYS, THRESHOLDS, cheap, files, table, tokens, with_isolated
+from tokenloom.plans.tables import KEYS, THRESHOLDS, cheap, files, table, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -93,7 +93,7 @@ def token_ends(spark, d):
 @query
 def isolated_by_window(spark, d):
     """TOK-16/17: values of isolated windows joined by place, the later window first; null outside."""
-    t = with_isolated(tokens(spark, d))
+    t = tokens(spark, d)
     w = t.where("function_id in ('b0', 'b1')").select(*KEYS, F.when(F.col("function_id") == "b0", 0).otherwise(1).alias("ord"), "char_start", "metric_isolated_surprisal")
     j = tok.isolated_windows(t.drop("metric_isolated_surprisal"), w, KEYS)
     return rounded(j.groupBy(*KEYS).agg(F.count("metric_isolated_surprisal").alias("inside"), F.sum("metric_isolated_surprisal").alias("total")), "total", places=4)
@@ -105,7 +105,7 @@ def isolated_by_window(spark, d):
 @query
 def file_summary(spark, d):
     """AG-1 to 7, AG-22: all per-file metrics, units at two thresholds."""
-    m = metrics.file_metrics(with_isolated(tokens(spark, d)), KEYS, THRESHOLDS)
+    m = metrics.file_metrics(tokens(spark, d), KEYS, THRESHOLDS)
     return rounded(m, "ppl", "avg_first_token_surprisal", "avg_context_surprisal_gap", "lm_cc_density", nudge=1e-9)
 
 
@@ -202,7 +202,7 @@ def scored_files(spark, d):
 def scored_legacy(spark, d):
     """J-2, SRC-6b: ids cut at __, the last score stands."""
     s = table(spark, d, "labels").select(F.lit("all").alias("dataset"), F.concat((F.col("doc_id") % 50).cast("string"), F.lit("__"), F.col("doc_id").cast("string")).alias("uid"), F.col("doc_id").alias("ord"), F.col("quality").alias("score"))
-    f = files(spark, d).where("uid < 100").select(F.lit("all").alias("dataset"), F.concat((F.col("uid") % 60).cast("string"), F.lit("__x")).alias("uid"), F.col("uid").alias("doc"))
+    f = files(spark, d).select(F.lit("all").alias("dataset"), F.concat((F.col("uid") % 60).cast("string"), F.lit("__x")).alias("uid"), F.col("uid").alias("doc"))
     return joins.scored_legacy(f, s).select("uid", "doc", "score")
 
 
@@ -243,8 +243,8 @@ def outcome_groups(spark, d):
 
 @query
 def enough_rows(spark, d):
-    """PF-7/8: complete rows of chosen datasets that have enough of them."""
-    t = joins.with_enough_rows(cheap(spark, d).where(F.col("dataset").isin("en", "fr", "de")), ["dataset"], 30, ["score", "su"])
+    """PF-7/8: complete rows of datasets that have enough of them."""
+    t = joins.with_enough_rows(cheap(spark, d), ["dataset"], 90, ["score", "su"])
     return t.groupBy("dataset").agg(F.count("*").alias("n"))
 
 
@@ -303,8 +303,8 @@ def strongest_by_metric(spark, d):
 
 @query
 def threshold_sweep(spark, d):
-    """ST-5: unit counts at several thresholds against scores, as one plan."""
-    th = {f"t{k}": 1.6 + 0.4 * k for k in range(3)}
+    """ST-5: unit counts at twenty thresholds against scores over files, as one plan."""
+    th = {f"t{k}": 0.5 + 0.12 * k for k in range(20)}
     u = units.unit_counts(tokens(spark, d), KEYS, th).unpivot(KEYS, [f"num_semantic_units_{k}" for k in th], "threshold", "su")
     s = table(spark, d, "labels").select(F.col("doc_id").alias("uid"), F.col("quality").cast("double").alias("score"))
     return rounded(correlation.spearman(u.join(s, "uid"), ["threshold", "dataset"], "su", "score"), "r")
@@ -365,14 +365,14 @@ def information_criteria(spark, d):
 
 @query
 def hinge_fit(spark, d):
-    """ST-7: the best hinge over 300 breakpoints. Grid search over solved systems; no SQL equivalent."""
-    return models.hinge(_xy(spark, d), ["dataset"])
+    """ST-7: the best hinge over 300 breakpoints."""
+    return rounded(models.hinge(_xy(spark, d), ["dataset"]), "rss").select("dataset", "n", "rss")
 
 
 @query
 def hinge_by_dataset(spark, d):
     """ST-11: a hinge with intercepts."""
-    h = models.hinge_by_dataset(_xy(spark, d).withColumn("scope", F.lit("all")), ["scope"], points=40)
+    h = models.hinge_by_dataset(_xy(spark, d).withColumn("scope", F.lit("all")), ["scope"])
     return rounded(h, "rss").select("scope", "n", "rss")
 
 
@@ -385,7 +385,7 @@ def logistic_fit(spark, d):
 @query
 def holm_adjusted(spark, d):
     """ST-20: Holm's adjustment within a family, missing p-values counted as 1."""
-    t = files(spark, d).where("uid < 200").select("dataset", "uid", F.when(F.col("uid") % 9 != 0, (F.col("uid") * 37 % 1009) / 20000.0).alias("p"))
+    t = files(spark, d).select("dataset", "uid", F.when(F.col("uid") % 9 != 0, (F.col("uid") * 37 % 1009) / 20000.0).alias("p"))
     return rounded(glm.holm(t, ["dataset"]), "p", "p_holm")
 
 
@@ -427,7 +427,7 @@ def _versions(spark, d) -> tuple[DataFrame, DataFrame]:
     f = files(spark, d)
     kept = F.filter(F.split("text", "\n"), lambda s: F.length(s) > 30)
     after = f.withColumn("text", F.array_join(kept, "\n"))
-    one = lambda x: tok.dummy_metrics(tok.tokenize(x, KEYS), KEYS, "md5")
+    one = lambda x: tok.measure(x, KEYS, form="md5")
     return one(f), one(after)
 
 
@@ -464,7 +464,8 @@ def region_comparison(spark, d):
     hot = units.trigger(2.4)
     x = compare.with_regions(b, m, KEYS).withColumn("trigger_p", hot)
     y = compare.with_regions(a, m, KEYS, "new_line", "orig_line").withColumn("trigger_p", hot)
-    return rounded(compare.region_table(x, y, ["dataset"], "p"), "sum_entropy_before", "sum_entropy_after", "sum_entropy_delta", places=3).drop("boundary_lines_before", "boundary_lines_after", "boundary_lines_delta")
+    x, y = (t.withColumn("file", F.col("uid")) for t in (x, y))
+    return rounded(compare.region_table(x, y, ["dataset"], "p"), *(f"{m}_entropy_{s}" for m in ("sum", "mean") for s in ("before", "after", "delta")), places=3)
 
 
 @query
@@ -486,7 +487,7 @@ def token_alignment(spark, d):
 @query
 def repeatability(spark, d):
     """AG-24: repetitions against the first."""
-    t = tok.dummy_metrics(tok.tokenize(files(spark, d), KEYS), KEYS, "md5").select(*KEYS, "pos", "token_str", "metric_surprisal", "metric_entropy")
+    t = tokens(spark, d).select(*KEYS, "pos", "token_str", "metric_surprisal", "metric_entropy")
     odd = (F.col("uid") % 5 == 0) & (F.col("pos") == 3)
     r1 = t.withColumn("token_str", F.when(odd, F.lit("?")).otherwise(F.col("token_str")))
     r2 = t.withColumn("metric_entropy", F.col("metric_entropy") + F.when(odd, 0.25).otherwise(0.0))
@@ -497,16 +498,16 @@ def repeatability(spark, d):
 @query
 def entropy_reproduction(spark, d):
     """AG-25, J-14: errors against prior values by place."""
-    t = tok.dummy_metrics(tok.tokenize(files(spark, d), KEYS), KEYS, "md5").select(*KEYS, "pos", F.col("metric_entropy").alias("entropy"))
+    t = tokens(spark, d).select(*KEYS, "pos", F.col("metric_entropy").alias("entropy"))
     own = t.withColumn("entropy", F.when(F.col("pos") % 50 == 7, F.lit(None)).otherwise(F.col("entropy")))
-    prior = t.where("pos % 50 <> 7").withColumn("entropy", F.col("entropy") + F.when(F.col("uid") % 3 == 0, 0.0).when(F.col("uid") % 3 == 1, 0.001).otherwise(0.5) * (F.col("pos") % 2))
+    prior = t.where("pos % 50 <> 7").withColumn("entropy", F.col("entropy") + F.when(F.col("uid") % 4 == 0, 0.0).when(F.col("uid") % 4 == 1, 0.001).when(F.col("uid") % 4 == 2, (F.col("pos") == 1).cast("double") * 0.05).otherwise(0.5) * (F.col("pos") % 2))
     return rounded(compare.reproduction(prior, own, KEYS), "mae", "max_error", "spearman", "pearson", places=5)
 
 
 @query
 def verification_tallies(spark, d):
     """AG-26: classes of files against a baseline."""
-    t = tok.dummy_metrics(tok.tokenize(files(spark, d), KEYS), KEYS, "md5").select(*KEYS, "pos", "token_str", "metric_entropy")
+    t = tokens(spark, d).select(*KEYS, "pos", "token_str", "metric_entropy")
     base = t.where("uid % 7 <> 0").where("not (uid % 5 = 0 and pos = 0)")
     base = base.withColumns({"metric_entropy": F.col("metric_entropy") + F.when(F.col("uid") % 4 == 0, 0.01).otherwise(0.0), "token_str": F.when((F.col("uid") % 6 == 1) & (F.col("pos") == 1), "?").otherwise(F.col("token_str"))})
     return compare.verification(base, t, KEYS)
@@ -514,9 +515,11 @@ def verification_tallies(spark, d):
 
 @query
 def worst_files(spark, d):
-    """S-3: the three files of greatest mean entropy."""
-    m = tokens(spark, d).groupBy("uid").agg(F.round(F.avg("metric_entropy"), 6).alias("mean_entropy"))
-    return m.orderBy(F.desc("mean_entropy"), "uid").limit(3)
+    """S-3: the three files of greatest mean error against prior values."""
+    t = tokens(spark, d).select(*KEYS, "pos", F.col("metric_entropy").alias("entropy"))
+    prior = t.withColumn("entropy", F.col("entropy") + (F.col("uid") % 50) / 1000.0 * (F.col("pos") % 2))
+    m = rounded(compare.reproduction(prior, t, KEYS), "mae").select("uid", "mae")
+    return m.orderBy(F.desc("mae"), "uid").limit(3)
 
 
 # -- answers, samples, stages -----------------------------------------------------------------------------------------
@@ -525,7 +528,7 @@ def worst_files(spark, d):
 @query
 def answer_scores(spark, d):
     """U-9, scalar string functions: marked answers made plain and scored."""
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("so [ANSWER] '"), F.substring("text", 1, 12), F.lit("' [/ANSWER] x")).alias("response"), F.concat(F.lit('"'), F.substring("text", 1, 12), F.lit('"')).alias("truth"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("so <<<Output>>> '"), "text", F.when(F.col("turn") % 3 == 0, "' [END-OF -RESPONSE]").otherwise("' [END-OF-RESPONSE] x")).alias("response"), F.concat(F.lit('"'), "text", F.lit('"')).alias("truth"))
     s = accuracy.score_answers(t)
     return s.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if("correct").alias("k"), F.max("prediction").alias("last"))
 
@@ -533,14 +536,14 @@ def answer_scores(spark, d):
 @query
 def pass_rates(spark, d):
     """AG-23: pass@1 where all planned trials are scored."""
-    t = table(spark, d, "conversations").select("conv_id", F.when(F.col("turn") % 4 != 3, "ok").otherwise("error").alias("status"), (F.length("text") % 2 == 0).alias("correct"))
+    t = table(spark, d, "conversations").select("conv_id", F.when(F.col("turn") % 4 != 3, "scored").otherwise("error").alias("status"), (F.length("text") % 2 == 0).alias("correct"))
     return rounded(accuracy.pass_rates(t, ["conv_id"]), "pass_at_1")
 
 
 @query
 def variant_deltas(spark, d):
     """J-13: variants against their originals."""
-    t = cheap(spark, d).where("score is not null").select(F.col("cluster").alias("uid"), F.when(F.col("dataset") == "en", "original").otherwise(F.col("dataset")).alias("variant_id"), F.lit("ok").alias("status"), (F.col("score") == 1).alias("correct"))
+    t = cheap(spark, d).where("score is not null").select(F.col("cluster").alias("uid"), F.when(F.col("dataset") == "en", "original").otherwise(F.col("dataset")).alias("variant_id"), F.lit("scored").alias("status"), (F.col("score") == 1).alias("correct"))
     return rounded(accuracy.against_original(accuracy.pass_rates(t, ["uid", "variant_id"]), ["uid"]), "pass_at_1", "pass_at_1_delta")
 
 
@@ -599,7 +602,8 @@ def latest_records(spark, d):
 @query
 def remapped_paths(spark, d):
     """SRC-12/13: what follows the last data/ of a path, ids without suffix, short hashes."""
-    t = table(spark, d, "documents").select("doc_id", F.concat(F.lit("/home/u/data/old/data/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("__1/main.py")).alias("p"))
+    lead = F.when(F.col("doc_id") % 7 == 0, "/home/u/old/").otherwise("/home/u/data/old/data/")
+    t = table(spark, d, "documents").select("doc_id", F.concat(lead, "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("__1/main.py")).alias("p"))
     return t.select("doc_id", relative_data_path(F.col("p")).alias("path"), fx.base_id(F.regexp_extract("p", "([^/]+)/main\\.py$", 1)).alias("uid"), fx.short_hash(F.col("p")).alias("h"))
 
 
@@ -629,7 +633,7 @@ def _sources(spark, d) -> DataFrame:
 @query
 def block_tree_metrics(spark, d):
     """U-1/2, AG-8/9, SNK-5: block trees of token tables with lm_cc and shape. Parser; no SQL equivalent."""
-    t = tok.dummy_metrics(tok.tokenize(_sources(spark, d), KEYS), KEYS, "md5")
+    t = tok.measure(_sources(spark, d), KEYS, form="md5")
     nodes = source_code.block_trees(t, KEYS, 2.4).where("node_id is not null")
     return metrics.tree_metrics(nodes, KEYS)
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.operators import tokens as tok
-from tokenloom.operators.units import segments
 
 KEYS = ["dataset", "uid"]
 THRESHOLDS = {"p67": 2.01, "p80": 2.4}
@@ -23,13 +22,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token rows of documents with metrics by md5 and text attributes in place of syntax."""
-    rows = tok.tokenize(files(spark, sf_dir), KEYS)
-    rows = tok.paragraph_attributes(tok.dummy_metrics(rows, KEYS, "md5"), KEYS)
-    return segments(rows, KEYS)
-
-
-def with_isolated(rows: DataFrame) -> DataFrame:
-    return tok.dummy_metrics(rows, KEYS, "md5", ["function_id"], isolated=True)
+    return tok.measure(files(spark, sf_dir), KEYS, form="md5")
 
 
 def cheap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pathlib import Path, PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -53,12 +53,16 @@ def csv_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return conform(spark.read.csv(path, header=True, schema=schema, enforceSchema=False), schema)
 
 
+def _place_in_files() -> Column:
+    """Where a row stands: its file, the block of the file, and its turn in the block. How blocks are dealt to tasks does not change the order."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+
+
 def group_csvs(spark: SparkSession, glob: str, schema: StructType) -> DataFrame:
     """CSV files as one table, the first row of each (uid, dataset) by file and place."""
-    rows = spark.read.csv(glob, header=True, schema=schema, enforceSchema=False).withColumn("__file", F.col("_metadata.file_path"))
-    rows = rows.withColumn("__at", F.monotonically_increasing_id())
-    first = Window.partitionBy("uid", "dataset").orderBy("__file", "__at")
-    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__file", "__at")
+    rows = spark.read.csv(glob, header=True, schema=schema, enforceSchema=False).withColumn("__at", _place_in_files())
+    first = Window.partitionBy("uid", "dataset").orderBy("__at")
+    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__at")
 
 
 def _no_duplicates(pairs: list[tuple]) -> dict:
@@ -116,7 +120,7 @@ def expected_ids(ids: DataFrame, legacy: bool = False) -> DataFrame:
 def jsonl_last(spark: SparkSession, path: str, key: str, schema: StructType | None = None) -> DataFrame:
     """JSON lines by key; of repeated keys the last line stands."""
     reader = spark.read.schema(schema) if schema else spark.read
-    rows = reader.json(path).withColumn("__at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+    rows = reader.json(path).withColumn("__at", _place_in_files())
     last = Window.partitionBy(key).orderBy(F.desc("__at"))
     return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__at")
 
@@ -129,8 +133,8 @@ def entropy_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def relative_data_path(path):
-    """What follows the last data/ of a foreign path."""
-    return F.regexp_extract(path, ".*/data/(.*)$", 1)
+    """What follows the last data/ of a foreign path; a path without one stays as it is."""
+    return F.when(path.rlike("/data/"), F.regexp_extract(path, "(?s).*/data/(.*)$", 1)).otherwise(path)
 
 
 def safe_member(name: str) -> str:
