@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.operators.units import segments, trigger
@@ -61,6 +61,24 @@ def file_metrics(tokens: DataFrame, keys: list[str], thresholds: dict[str, float
     return files.join(counts, keys)
 
 
+def check_metrics(tokens: DataFrame, keys: list[str], allow_leading: bool = False, order: str = "pos") -> DataFrame:
+    """One row per file and metric: n, missing, not_finite, and the problem, null where there is none.
+
+    Entropy may not be missing at all; of surprisal the first token's may be, if allow_leading. problem: all missing,
+    missing, or not finite, the first that holds; a metric that is missing everywhere is always one.
+    """
+    first = F.col(order) == F.min(order).over(Window.partitionBy(*keys)) if allow_leading else F.lit(False)
+    parts = []
+    for metric, excused in (("metric_entropy", F.lit(False)), ("metric_surprisal", F.col("__first"))):
+        v = F.col(metric).cast("double")
+        gone, wild = v.isNull() | F.isnan(v), F.coalesce(F.abs(v) == float("inf"), F.lit(False))
+        parts.append(F.struct(F.lit(metric).alias("metric"), gone.alias("gone"), (gone & ~excused).alias("bad"), wild.alias("wild")))
+    each = tokens.withColumn("__first", first).select(*keys, F.explode(F.array(*parts)).alias("m")).select(*keys, "m.*")
+    agg = each.groupBy(*keys, "metric").agg(F.count("*").cast("long").alias("n"), F.count_if("gone").cast("long").alias("missing"), F.count_if("wild").cast("long").alias("not_finite"), F.count_if("bad").alias("bad"))
+    problem = F.when(F.col("missing") == F.col("n"), "all missing").when(F.col("bad") > 0, "missing").when(F.col("not_finite") > 0, "not finite")
+    return agg.withColumn("problem", problem).drop("bad")
+
+
 def tree_metrics(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """lm_cc and the shape of block trees given as node rows (node_id, parent_id, depth from 1).
 

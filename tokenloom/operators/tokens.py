@@ -185,15 +185,21 @@ def isolated_windows(tokens: DataFrame, windows: DataFrame, keys: list[str]) ->
     return tokens.join(best, [*keys, "char_start"], "left")
 
 
+def covering(tokens: DataFrame, spans: DataFrame, keys: list[str], at: str = "char_start", width: int = 256) -> DataFrame:
+    """Tokens with each span [span_start, span_end) over their place, one row for each."""
+    pieces = spans.select(*keys, "span_ord", "span_id", "span_start", "span_end").where("span_end > span_start")
+    pieces = pieces.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("span_start") / width), F.floor((F.col("span_end") - 1) / width))))
+    met = tokens.withColumn("__bucket", F.floor(F.col(at) / width)).join(pieces, [*keys, "__bucket"]).drop("__bucket")
+    return met.where((F.col("span_start") <= F.col(at)) & (F.col(at) < F.col("span_end")))
+
+
 def innermost(tokens: DataFrame, spans: DataFrame, keys: list[str], at: str = "char_start", name: str = "owner", width: int = 256) -> DataFrame:
     """Tokens with the innermost span [span_start, span_end) over their place; of equal starts the later (span_ord).
 
     A range join by buckets of `width` places: a span goes to each bucket that it meets, a token to one, so that the
     join is on equality of keys and bucket.
     """
-    pieces = spans.where("span_end > span_start").withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("span_start") / width), F.floor((F.col("span_end") - 1) / width))))
-    t = tokens.withColumn("__bucket", F.floor(F.col(at) / width))
-    inside = t.select(*keys, "pos", at, "__bucket").join(pieces, [*keys, "__bucket"]).where((F.col("span_start") <= F.col(at)) & (F.col(at) < F.col("span_end")))
+    inside = covering(tokens.select(*keys, "pos", at), spans, keys, at, width)
     best = inside.groupBy(*keys, "pos").agg(F.max_by("span_id", F.struct("span_start", "span_ord")).alias(name), F.count("*").cast("long").alias(f"{name}_depth"))
     return tokens.join(best, [*keys, "pos"], "left")
 

@@ -209,7 +209,10 @@ max((3 - (n - 1) * 2 % 3) * loc) filter (r = (n - 1) * 2 // 3) + coalesce(max((n
 g as (select uid, case when loc * 3 <= c1 then 'short' when loc * 3 <= c2 then 'medium' else 'long' end as grp from cheap, c), d as (select *, row_number() over (partition by grp order by md5('7' || uid::varchar), uid) as draw_rank from g)
 select uid, grp, draw_rank, draw_rank <= case grp when 'medium' then 4 else 3 end as selected from d"""
 ORACLE["exclusion_reasons"] = C + " select case when score is null then 'no score' when loc < 3 then 'short' when su > 100 then 'long' else 'eligible' end as reason, count(*) as n from cheap group by 1"
-ORACLE["metric_validation"] = T + " select dataset, uid, count(*) filter (pos between 5 and 7) as bad, count(*) filter (pos between 5 and 7) = count(*) as all_missing from tokens group by 1, 2"
+ORACLE["metric_validation"] = T + """, g as (select dataset, uid, uid % 4 as k, count(*) as n from tokens group by 1, 2),
+m as (select dataset, uid, 'metric_entropy' as metric, n, (k = 1 and n > 5)::bigint as missing, (k = 2 and n > 7)::bigint as not_finite, k = 1 and n > 5 as bad from g
+union all select dataset, uid, 'metric_surprisal', n, 1 + (k = 3 and n > 2)::bigint, 0, k = 3 and n > 2 from g)
+select dataset, uid, metric, n, missing, not_finite, case when missing = n then 'all missing' when bad then 'missing' when not_finite > 0 then 'not finite' end as problem from m"""
 ORACLE["latest_records"] = "select conv_id % 100 as id, max(conv_id) as conv_id, max_by(turn, conv_id * 100000 + turn) as turn, max_by(length(text), conv_id * 100000 + turn) as n from conversations group by 1"
 ORACLE["remapped_paths"] = "with t as (select doc_id, source, case when doc_id % 7 = 0 then '/home/u/old/' else '/home/u/data/old/data/' end as lead, source || '/' || doc_id::varchar || '__1/main.py' as rest from documents) select doc_id, case when doc_id % 7 = 0 then lead || rest else rest end as path, doc_id::varchar as uid, substr(sha256(lead || rest), 1, 16) as h from t"
 ORACLE["non_blank_lines"] = "select doc_id as uid, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> ''))::bigint as n from documents"

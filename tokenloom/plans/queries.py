@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as fx
-from tokenloom.operators import accuracy, bins, compare, correlation, glm, joins, metrics, models, sampling, units
+from tokenloom.operators import accuracy, bins, compare, correlation, glm, joins, metrics, models, sampling, syntax, units
 from tokenloom.operators import code as source_code
 from tokenloom.operators import tokens as tok
 from tokenloom.sources.readers import relative_data_path
+from tokenloom.plans.samples import SOURCES
 from tokenloom.plans.tables import KEYS, THRESHOLDS, cheap, files, table, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -586,10 +587,13 @@ def exclusion_reasons(spark, d):
 
 @query
 def metric_validation(spark, d):
-    """PF-14: missing and non-finite metrics by file."""
-    t = tokens(spark, d).withColumn("e", F.when(F.col("pos") == 5, F.lit(float("nan"))).when(F.col("pos") == 6, F.lit(None)).when(F.col("pos") == 7, F.lit(float("inf"))).otherwise(F.col("metric_entropy")))
-    bad = F.col("e").isNull() | F.isnan("e") | (F.abs("e") == float("inf"))
-    return t.groupBy(*KEYS).agg(F.count_if(bad).alias("bad"), (F.count_if(bad) == F.count("*")).alias("all_missing"))
+    """PF-14: missing and non-finite metrics by file; the first surprisal may be missing."""
+    kind = F.col("uid") % 4
+    t = tokens(spark, d).withColumns({
+        "metric_entropy": F.when((kind == 1) & (F.col("pos") == 5), F.lit(float("nan"))).when((kind == 2) & (F.col("pos") == 7), F.lit(float("inf"))).otherwise(F.col("metric_entropy")),
+        "metric_surprisal": F.when((F.col("pos") == 0) | (kind == 3) & (F.col("pos") == 2), F.lit(None)).otherwise(F.col("metric_surprisal")),
+    })
+    return metrics.check_metrics(t, KEYS, allow_leading=True)
 
 
 @query
@@ -624,10 +628,17 @@ def highlighted_tokens(spark, d):
 
 
 def _sources(spark, d) -> DataFrame:
-    """Small Python sources, one per benchmark item, with a branch each way."""
-    body = "def f%s(a, b):\n    if a > %s:\n        return a\n    else:\n        b += a\n    for i in range(b):\n        a += i\n    return a + b\n"
-    n = F.col("item_id").cast("string")
-    return table(spark, d, "benchmark").select(F.lit("py").alias("dataset"), F.col("item_id").alias("uid"), F.format_string(body, n, n).alias("text"))
+    """Python sources for the benchmark items: one of the samples for each, and a line that tells items apart."""
+    n = F.col("item_id")
+    text = F.concat(F.get(F.array(*map(F.lit, SOURCES)), (n % len(SOURCES)).cast("int")), F.lit("\nitem = "), n.cast("string"), F.lit("\n"))
+    return table(spark, d, "benchmark").select(F.lit("py").alias("dataset"), n.alias("uid"), text.alias("text"))
+
+
+def _swapped(spark, d) -> DataFrame:
+    """(dataset, uid, before, after, line_map) of the sources that have an if to swap."""
+    s = _sources(spark, d)
+    done = sampling.first_applicable(source_code.swap_table(s, KEYS), KEYS).select(*KEYS, F.col("transformed").alias("after"), "line_map")
+    return s.withColumnRenamed("text", "before").join(done, KEYS)
 
 
 @query
@@ -656,6 +667,28 @@ def complexity(spark, d):
 @query
 def if_else_swaps(spark, d):
     """U-7, S-7, J-9: swapped versions and how their statements align. Parser; no SQL equivalent."""
-    s = _sources(spark, d)
-    done = sampling.first_applicable(source_code.swap_table(s, KEYS), KEYS).select(*KEYS, F.col("transformed").alias("after"))
-    return source_code.alignment_table(s.withColumnRenamed("text", "before").join(done, KEYS), KEYS)
+    return source_code.alignment_table(_swapped(spark, d), KEYS)
+
+
+@query
+def syntax_tokens(spark, d):
+    """TOK-8 to 11, TOK-16 to 18: token rows of Python sources with syntax and isolated metrics. Parser; no SQL equivalent."""
+    t = syntax.syntax_rows(_sources(spark, d), KEYS, form="md5")
+    return rounded(t.groupBy(*KEYS, "function_id").agg(
+        F.count("*").alias("n"), F.count_distinct("ast_type").alias("types"), F.sum("nesting_depth").alias("depths"), F.count_if("is_statement_start").alias("statements"),
+        F.count_if("is_function_start").alias("functions"), F.sum("metric_isolated_surprisal").alias("isolated"),
+    ), "isolated", places=4)
+
+
+@query
+def statement_comparison(spark, d):
+    """J-9, J-10, W-11: statements of swapped versions with both sides' figures. Parser; no SQL equivalent."""
+    return syntax.statement_table(_swapped(spark, d), KEYS, {"p67": 2.4}, form="md5")
+
+
+@query
+def pair_comparison(spark, d):
+    """J-12: the summary of whole comparisons of swapped versions. Parser; no SQL equivalent."""
+    s = _swapped(spark, d)
+    b, a = (tok.measure(s.select(*KEYS, F.col(c).alias("text")), KEYS, form="md5") for c in ("before", "after"))
+    return syntax.compare_pair(b, a, syntax.line_maps(s, KEYS), KEYS, {"p67": 2.4})["summary"]
