@@ -231,6 +231,47 @@ def test_separation():
     assert glm.separated(x, np.array([0, 0, 0, 1, 1, 1.0])) and not glm.separated(x, np.array([0, 1, 0, 1, 0, 1.0])) and not glm.separated(x, np.full(6, 0.5))
 
 
+def test_separation_has_a_proof_either_way():
+    rng = np.random.default_rng(12)
+    for k in range(60):
+        n, p = int(rng.integers(4, 40)), int(rng.integers(1, 4))
+        x = np.concatenate([np.ones((n, 1)), rng.normal(size=(n, p))], axis=1)
+        d = rng.normal(size=p + 1)
+        split = k % 2 == 0
+        y = (x @ d > 0).astype(float) if split else (rng.random(n) < 0.5).astype(float)
+        found = glm.separated(x, y)
+        if split:
+            assert found
+        elif not found:  # then a finite fit exists: Newton steps settle
+            b = np.zeros(p + 1)
+            for _ in range(200):
+                mu = 1 / (1 + np.exp(-x @ b))
+                b = b + 0.5 * np.linalg.solve((x * (mu * (1 - mu))[:, None]).T @ x + 1e-12 * np.eye(p + 1), x.T @ (y - mu))
+            assert np.abs(x.T @ (y - 1 / (1 + np.exp(-x @ b)))).max() < 1e-4
+    assert not glm.separated(np.stack([np.ones(5000), rng.normal(size=5000)], axis=1), (rng.random(5000) < 0.5).astype(float))
+
+
+def test_frozen_input(spark):
+    from tokenloom.plans import audit
+
+    kind = "dataset string, uid string, "
+    m = spark.createDataFrame([("d", u, 10, su) for u, su in (("a", 1), ("b", 2), ("c", 3), ("e", 0), ("f", 4), ("g", 5))], kind + "loc long, num_semantic_units_p67 long")
+    s = spark.createDataFrame([("d", u, v) for u, v in (("a", 0.2), ("b", 0.4), ("c", 1.0), ("e", 0.0), ("f", 0.6), ("x", 1.0))], kind + "score double")
+    n = spark.createDataFrame([("d", u, 5, k) for u, k in (("a", 1), ("b", None), ("c", 5), ("e", 0), ("f", 3), ("g", 0))], kind + "n long, k long")
+    c = spark.createDataFrame([("d", u, "x = 1", "x = 2" if u == "f" else "x  =  1") for u in "abcefg"], kind + "measured_code string, scored_code string")
+    g = spark.createDataFrame([("d", u, "g") for u in "abcefg"], kind + "cluster_id string")
+    got = audit.prepare(m, s, n, c, g, {"p67": 0.6813})
+    assert {(r["uid"], r["k"], r["interval"]) for r in got["input"].collect()} == {("a", 1, 0), ("b", 2, 1), ("c", 5, 2)}
+    assert {r["uid"]: r["reason"] for r in got["excluded"].collect()} == {"e": "missing or empty metric", "f": "code differs", "g": "no score", "x": "no metric row"}
+    assert got["describe"].first()["n"] == 3 and len(got["config"]["key"]) == 16
+    with pytest.raises(Exception, match="differ"):
+        audit.prepare(m, s, n.withColumn("k", F.lit(2).cast("long")), c, g, {"p67": 0.6813})["input"].collect()
+    trials = spark.createDataFrame([("d", "a", 1, True), ("d", "a", 2, False)], kind + "trial long, correct boolean")
+    assert tuple(audit.trial_counts(trials).first())[2:] == (1, 2)
+    report = audit.verify({"same": (m, m, K), "less": (m, m.where("uid <> 'a'"), K)})
+    assert {(r["table"], r["column"]): r["agrees"] for r in report.collect()} == {("same", "loc"): True, ("same", "num_semantic_units_p67"): True, ("less", "loc"): False, ("less", "num_semantic_units_p67"): False}
+
+
 def test_draw():
     rows = [(f"u{k:02d}", k % 11) for k in range(60)]
     assert sampling.exact_quantile([1, 2, 4], Fraction(1, 3)) == Fraction(5, 3)

@@ -88,7 +88,7 @@ def with_regions(tokens: DataFrame, lines: DataFrame, keys: list[str], side: str
 def align_tokens(line_map: DataFrame, before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """Tokens of each mapped line aligned by their longest matching subsequences: equal, only_before, only_after.
 
-    Sides have keys, line, pos, token_str, metric_entropy; each mapped line is one group.
+    Sides have keys, line, pos, token_str, metric_entropy. A file is one group, its mapped lines are aligned in turn.
     """
     pair = [*keys, "orig_line", "new_line"]
     both = line_map.where("orig_line is not null and new_line is not null").select(*pair)
@@ -99,20 +99,22 @@ def align_tokens(line_map: DataFrame, before: DataFrame, after: DataFrame, keys:
     kind = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in pair)
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = (pdf[pdf.side == s].sort_values("pos") for s in "ba")
         out = []
-        for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, x.token_str.tolist(), y.token_str.tolist(), autojunk=False).get_opcodes():
-            if tag == "equal":
-                for i, j in zip(range(i1, i2), range(j1, j2), strict=True):
-                    out.append(("equal", x.pos.iloc[i], y.pos.iloc[j], x.token_str.iloc[i], x.metric_entropy.iloc[i], y.metric_entropy.iloc[j]))
-                continue
-            out += [("only_before", x.pos.iloc[i], None, x.token_str.iloc[i], x.metric_entropy.iloc[i], None) for i in range(i1, i2)]
-            out += [("only_after", None, y.pos.iloc[j], y.token_str.iloc[j], None, y.metric_entropy.iloc[j]) for j in range(j1, j2)]
-        head = pdf.iloc[0][pair].tolist()
-        found = pd.DataFrame([[*head, *r] for r in out], columns=[*pair, "status", "pos_before", "pos_after", "token_str", "entropy_before", "entropy_after"])
-        return found.astype({"pos_before": "Int64", "pos_after": "Int64"})
-
-    return rows.groupBy(*pair).applyInPandas(match, f"{kind}, status string, pos_before long, pos_after long, token_str string, entropy_before double, entropy_after double")
+        pdf = pdf.sort_values(["orig_line", "new_line", "pos"])
+        for line, group in pdf.groupby(["orig_line", "new_line"], sort=False):
+            x, y = ([*group.loc[group.side == s, ["pos", "token_str", "metric_entropy"]].itertuples(index=False, name=None)] for s in "ba")
+            for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, [t for _, t, _ in x], [t for _, t, _ in y], autojunk=False).get_opcodes():
+                if tag == "equal":
+                    out += [(*line, tag, p, q, t, e, f) for (p, t, e), (q, _, f) in zip(x[i1:i2], y[j1:j2], strict=True)]
+                    continue
+                out += [(*line, "only_before", p, None, t, e, None) for p, t, e in x[i1:i2]] + [(*line, "only_after", None, q, t, None, f) for q, t, f in y[j1:j2]]
+        found = pd.DataFrame(out, columns=["orig_line", "new_line", "status", "pos_before", "pos_after", "token_str", "entropy_before", "entropy_after"])
+        found = found.astype({"pos_before": "Int64", "pos_after": "Int64"})
+        for k in keys[::-1]:
+            found.insert(0, k, pdf[k].iloc[0])
+        return found
+
+    return rows.groupBy(*keys).applyInPandas(match, f"{kind}, status string, pos_before long, pos_after long, token_str string, entropy_before double, entropy_after double")
 
 
 def repeatability(tokens: DataFrame, keys: list[str], repetition: str = "repetition") -> DataFrame:

@@ -41,14 +41,19 @@ def design(df: DataFrame, names: list[str], su_center: float = 0.0, loc_center:
     return df.withColumn("x", F.array(*columns))
 
 
-def sums(df: DataFrame, beta: np.ndarray) -> dict:
-    """Gradient, information and score sums by cluster of a logit at beta, as aggregates: X'WX, X'(y - mu), deviance."""
+def distinct_design(df: DataFrame) -> DataFrame:
+    """(x, n, s): rows of one design counted, with the sum of their outcomes: all that the likelihood needs of them."""
+    return df.groupBy("x").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+
+
+def sums(design: DataFrame, beta: np.ndarray) -> dict:
+    """Gradient and information of a logit at beta over distinct designs, as aggregates: X'WX, X'(y - mu)."""
     p = len(beta)
     z = sum((F.col("x")[k] * float(b) for k, b in enumerate(beta)), F.lit(0.0))
-    d = df.select("y", "x", (1 / (1 + F.exp(-z))).alias("mu"))
-    w, r = F.col("mu") * (1 - F.col("mu")), F.col("y") - F.col("mu")
+    d = design.select("n", "s", "x", (1 / (1 + F.exp(-z))).alias("mu"))
+    w, r = F.col("n") * F.col("mu") * (1 - F.col("mu")), F.col("s") - F.col("n") * F.col("mu")
     cells = [F.sum(w * F.col("x")[i] * F.col("x")[j]).alias(f"h{i}_{j}") for i in range(p) for j in range(i, p)]
-    row = d.agg(*cells, *(F.sum(r * F.col("x")[i]).alias(f"g{i}") for i in range(p)), F.count("*").alias("n")).first()
+    row = d.agg(*cells, *(F.sum(r * F.col("x")[i]).alias(f"g{i}") for i in range(p)), F.sum("n").alias("n")).first()
     h = np.zeros((p, p))
     for i in range(p):
         for j in range(i, p):
@@ -57,19 +62,28 @@ def sums(df: DataFrame, beta: np.ndarray) -> dict:
 
 
 def fit(df: DataFrame, names: list[str], tol: float = 1e-10, most: int = 200) -> tuple[np.ndarray, dict]:
-    """Coefficients of the fractional logit of y (in [0, 1]) on x; each round is one aggregation.
+    """Coefficients of the fractional logit of y (in [0, 1]) on x.
 
-    A singular design or a fit that does not settle is an error.
+    Rows are summed by distinct design once; that table is cached, and each round is one aggregation of it. A singular
+    design or a fit that does not settle is an error.
     """
-    beta = np.zeros(len(names))
+    distinct = distinct_design(df).cache()
+    try:
+        return _fit(distinct, len(names), tol, most)
+    finally:
+        distinct.unpersist()
+
+
+def _fit(distinct: DataFrame, p: int, tol: float, most: int) -> tuple[np.ndarray, dict]:
+    beta = np.zeros(p)
     for _ in range(most):
-        s = sums(df, beta)
-        if np.linalg.matrix_rank(s["h"], tol=1e-9 * max(1e-12, np.abs(s["h"]).max())) < len(names):
+        s = sums(distinct, beta)
+        if np.linalg.matrix_rank(s["h"], tol=1e-9 * max(1e-12, np.abs(s["h"]).max())) < p:
             raise ValueError("the design is singular or the outcome separated")
         move = np.linalg.solve(s["h"], s["g"])
         beta = beta + move
         if np.abs(move).max() <= tol * (1 + np.abs(beta).max()):
-            return beta, sums(df, beta)
+            return beta, sums(distinct, beta)
     raise ValueError("no convergence")
 
 
@@ -133,11 +147,40 @@ def sparse_reasons(df: DataFrame, keys: list[str], rows: int = 30, clusters: int
     return agg.select(*keys, F.array_compact(F.array(*why)).alias("reasons"))
 
 
+def nonnegative(a: np.ndarray, b: np.ndarray, tol: float = 1e-10) -> np.ndarray:
+    """x >= 0 of least |a x - b|, by active sets: columns that lower the residual enter, those driven below zero leave."""
+    x, used = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    scale = tol * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
+    for _ in range(30 * a.shape[1] + 30):
+        gain = np.where(used, -np.inf, a.T @ (b - a @ x))
+        k = int(gain.argmax()) if len(gain) else -1
+        if k < 0 or gain[k] <= scale:
+            return x
+        used[k] = True
+        while True:
+            z = np.zeros_like(x)
+            z[used] = np.linalg.lstsq(a[:, used], b, rcond=None)[0]
+            low = used & (z <= 0)
+            if not low.any():
+                break
+            step = (x[low] / np.maximum(x[low] - z[low], 1e-300)).min()
+            x = x + step * (z - x)
+            used &= x > 1e-12
+            x[~used] = 0
+            if not used.any():
+                break
+        if used.any():
+            x = z
+    raise ValueError("no convergence")
+
+
 def separated(x: np.ndarray, y: np.ndarray, tol: float = 1e-7) -> bool:
     """Whether a direction of the design separates outcomes that are all 0 or 1 on its sides (complete or quasi).
 
-    Found by a perceptron on the feasibility of X d >= 0 for ones and <= 0 for zeros with a margin, after the exact
-    test for one column; fractional outcomes pin their rows to X d = 0.
+    Fractional outcomes pin their rows to X d = 0. Rows of the others, with the sign of their outcome, are A; a
+    direction separates if A d >= 0 and not all zero. By the theorem of the alternative there is one unless A' w = 0 for
+    some w with all parts at least 1. The least |A' w| over such w decides: where it is zero there is none, else that
+    A' w is one, so either answer has its proof.
     """
     free = (y > 0) & (y < 1)
     basis = np.eye(x.shape[1])
@@ -150,15 +193,9 @@ def separated(x: np.ndarray, y: np.ndarray, tol: float = 1e-7) -> bool:
     a = a[np.abs(a).max(axis=1) > tol]
     if not len(a):
         return True
-    a = a / np.linalg.norm(a, axis=1, keepdims=True)
-    d = a.mean(axis=0)
-    for _ in range(20_000):
-        m = a @ d
-        k = int(m.argmin())
-        if m[k] >= -tol * np.linalg.norm(d):
-            return bool(np.linalg.norm(d) > tol)
-        d = d + a[k]
-    return False
+    a = np.unique(np.round(a / np.linalg.norm(a, axis=1, keepdims=True), 12), axis=0)
+    d = a.sum(axis=0) + a.T @ nonnegative(a.T, -a.sum(axis=0))
+    return bool(np.linalg.norm(d) > tol)
 
 
 def outside(reference: pd.DataFrame, points: pd.DataFrame, columns: tuple[str, str] = ("su", "logloc")) -> float:

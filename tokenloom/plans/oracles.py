@@ -200,6 +200,17 @@ n as (select conv_id, pr, replace(regexp_replace(regexp_replace(replace(regexp_r
 select conv_id, count(*) as n, count(*) filter (a = b) as k, max(pr) as last from n group by 1"""
 ORACLE["pass_rates"] = "with g as (select conv_id, count(*) filter (turn % 4 <> 3) as scored, count(*) filter (turn % 4 <> 3 and length(text) % 2 = 0) as n_correct, count(*) as planned from conversations group by 1) select *, scored = planned as complete, round(case when scored = planned then n_correct / planned::double end, 6) as pass_at_1 from g"
 ORACLE["variant_deltas"] = C + ", g as (select cluster as uid, case when dataset = 'en' then 'original' else dataset end as variant_id, count(*) as scored, count(*) filter (score = 1) as n_correct from cheap where score is not null group by 1, 2), o as (select uid, n_correct / scored::double as base from g where variant_id = 'original') select g.uid, variant_id, scored, n_correct, scored as planned, true as complete, round(n_correct / scored::double, 6) as pass_at_1, round(n_correct / scored::double - base, 6) as pass_at_1_delta from g left join o using (uid) where variant_id <> 'original'"
+_FROZEN = C + """, every as (select dataset, uid, cluster, su, loc, score is not null as scored from cheap),
+why as (select *, case when uid % 13 = 5 then 'no metric row' when not scored then 'no score' when uid % 11 = 0 then 'code differs' when uid % 17 = 3 then 'no trials' when su // 2 + uid % 2 <= 0 then 'missing or empty metric' end as reason from every where uid % 13 <> 5 or scored)"""
+ORACLE["frozen_exclusions"] = _FROZEN + " select dataset, uid, reason from why where reason is not null"
+ORACLE["frozen_input"] = _FROZEN + """, t as (select dataset, uid, cluster, loc, 'p67' as label, su from why where reason is null union all select dataset, uid, cluster, loc, 'p80', su // 2 + uid % 2 from why where reason is null),
+q as (select label, dataset, quantile_cont(su::double, [1.0::double / 3, 2.0::double / 3]) as q, min(su) as lo, max(su) as hi from t group by 1, 2), c as (select label, dataset, list_distinct(list_filter(q, lambda x: x >= lo and x < hi)) as cuts from q)
+select dataset, uid, label as threshold_label, su::bigint as su, loc, (uid % 6)::bigint as k, 5::bigint as n, round((uid % 6) / 5.0::double, 6) as y, round(ln(1 + loc::double), 6) as logloc, cluster as cluster_id, len(list_filter(cuts, lambda x: x < su))::int as interval from t join c using (label, dataset)"""
+ORACLE["verified_tables"] = C + """, n as (select count(*) as n, count(*) filter (uid % 10 = 0) as m, count(*) filter (uid % 10 <> 0 and uid % 13 = 0) as d from cheap)
+select 'files' as "table", 'su' as "column", n as calculated_rows, n - m as stored_rows, m as unmatched_keys, d as different_rows, case when d > 0 then 0.5::double else 0.0::double end as max_difference, m = 0 and d = 0 as agrees from n
+union all select 'files', 'loc', n, n - m, m, 0, 0.0, m = 0 from n union all select 'totals', 'total', count(distinct dataset), count(distinct dataset), 0, 0, 0.0, true from cheap"""
+ORACLE["audited_joins"] = """with t as (select lang as dataset, (doc_id % 100)::varchar || '__' || doc_id::varchar as uid, doc_id, (doc_id % 100)::varchar as id from documents), s as (select t.*, quality::double as score from t join labels using (doc_id)),
+l as (select dataset, id, max_by(score, doc_id) as legacy_score from s group by 1, 2) select t.dataset, t.uid, legacy_score, s.score from t join l on l.dataset = t.dataset and l.id = t.id left join s on s.doc_id = t.doc_id where coalesce(abs(s.score - legacy_score) > 1e-10, true)"""
 ORACLE["imported_trials"] = "with d as (select conv_id % 40 as task_id, row_number() over (partition by conv_id % 40 order by conv_id, turn, length(text)) - 1 as trial, length(text) % 2 = 0 as correct from conversations) select task_id, trial, correct from d join benchmark on item_id = task_id where task_id % 3 <> 0"
 ORACLE["behaviour_status"] = """with t as (select source as cluster, case when doc_id % 5 <> 0 then doc_id end as c, doc_id % 9 <> 4 as eq, doc_id % 12 = 1 as ti from documents), g as (select cluster, count(c) as n_cases, count(*) filter (eq and not ti) as n_equal, count(*) filter (ti) as n_timeout from t group by 1)
 select *, case when n_cases = 0 then 'unverified' when n_equal + n_timeout < n_cases then 'mismatch' when n_timeout > 0 then 'unverified' else 'match' end as status from g"""

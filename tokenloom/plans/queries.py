@@ -13,6 +13,7 @@ from tokenloom.operators import accuracy, bins, compare, correlation, glm, joins
 from tokenloom.operators import code as source_code
 from tokenloom.operators import tokens as tok
 from tokenloom.sources.readers import relative_data_path
+from tokenloom.plans import audit as frozen
 from tokenloom.plans.samples import SOURCES
 from tokenloom.plans.tables import KEYS, THRESHOLDS, cheap, files, table, tokens
 
@@ -548,6 +549,45 @@ def variant_deltas(spark, d):
     return rounded(accuracy.against_original(accuracy.pass_rates(t, ["uid", "variant_id"]), ["uid"]), "pass_at_1", "pass_at_1_delta")
 
 
+def _frozen(spark, d) -> dict:
+    """An input of a regression out of documents: labelled ones have scores in fifths, some lack trials or have another code."""
+    t = cheap(spark, d)
+    m = t.where("uid % 13 <> 5").select("dataset", "uid", "loc", F.col("su").alias("num_semantic_units_p67"), (F.floor(F.col("su") / 2) + F.col("uid") % 2).alias("num_semantic_units_p80"))
+    s = t.where("score is not null").select("dataset", "uid", ((F.col("uid") % 6) / 5).alias("score"))
+    n = t.where("uid % 17 <> 3").select("dataset", "uid", F.lit(5).cast("long").alias("n"), F.when(F.col("uid") % 2 == 0, F.col("uid") % 6).alias("k"))
+    c = files(spark, d).select("dataset", "uid", F.coalesce("text", F.lit("")).alias("measured_code"), F.concat(F.coalesce("text", F.lit("")), F.when(F.col("uid") % 11 == 0, " !").otherwise("")).alias("scored_code"))
+    return frozen.prepare(m, s, n, c, t.select("dataset", "uid", F.col("cluster").alias("cluster_id")), {"p67": 2.01, "p80": 2.4})
+
+
+@query
+def frozen_input(spark, d):
+    """ST-21: the frozen input of a regression, a row per threshold and file."""
+    return rounded(_frozen(spark, d)["input"].select("dataset", "uid", "threshold_label", "su", "loc", "k", "n", "y", "logloc", "cluster_id", "interval"), "y", "logloc")
+
+
+@query
+def frozen_exclusions(spark, d):
+    """ST-21: files and scores left out of it, with the first reason."""
+    return _frozen(spark, d)["excluded"]
+
+
+@query
+def verified_tables(spark, d):
+    """ST-22, O-5: stored tables against what is recalculated; the stored side has shifted and missing rows."""
+    a = cheap(spark, d).select("dataset", "uid", F.col("su").cast("double").alias("su"), F.col("loc").cast("double").alias("loc"))
+    b = a.where("uid % 10 <> 0").withColumn("su", F.col("su") + F.when(F.col("uid") % 13 == 0, 0.5).otherwise(0.0))
+    w = a.groupBy("dataset").agg(F.sum("su").alias("total"))
+    return frozen.verify({"files": (a, b, KEYS), "totals": (w, w, ["dataset"])})
+
+
+@query
+def audited_joins(spark, d):
+    """O-5, J-2: scores that joining by cut ids changes."""
+    t = files(spark, d).select("dataset", F.concat((F.col("uid") % 100).cast("string"), F.lit("__"), F.col("uid").cast("string")).alias("uid"), F.col("uid").alias("doc"))
+    s = t.join(table(spark, d, "labels").select(F.col("doc_id").alias("doc"), F.col("quality").cast("double").alias("score")), "doc").select("dataset", "uid", F.col("doc").alias("ord"), "score")
+    return frozen.audit(t, s)["changed"].select("dataset", "uid", "legacy_score", "score")
+
+
 @query
 def imported_trials(spark, d):
     """J-15: arrays of results joined to known items."""
