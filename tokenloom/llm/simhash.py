@@ -421,7 +421,7 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     Documents link when the Jaccard likeness of their sets of five-word shingles is at least similarity, computed from
     the whole sets. Pairs to compute it for are those whose 256-bit fingerprints differ in wide_radius(similarity)
     bits or fewer and agree in one of 64 tables of 16 bits: at a likeness of 0.8 two documents do with probability
-    0.98. First a forest of such pairs is verified; then all the others between the components so found, so that a
+    0.98, above it more surely. First a forest of such pairs is verified; then all the others between the components so found, so that a
     group of copies costs a forest a bucket; pairs in the radius but below the likeness are all compared. Nodes of the
     graph are 64-bit hashes of sets; equal sets are one node. A text without words (null, empty, white space) links
     with nothing and names its own component; other nulls, repeated rows and empty tables are treated as in
