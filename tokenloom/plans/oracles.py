@@ -54,7 +54,7 @@ h as (select t.dataset, t.uid, t.pos, bool_or(st.s >= t.char_start and st.s < t.
 select dataset, uid, count(*) filter (hit) as n, (sum(pos) filter (hit))::bigint as places from h group by 1, 2"""
 ORACLE["anchors"] = T + r" select dataset, uid, sum(char_start + case when regexp_full_match(tok, '[ \n]*') then 0 else length(tok) - length(ltrim(tok, ' ' || chr(10))) end)::bigint as anchors from tokens group by 1, 2"
 ORACLE["token_ends"] = T + ", n as (select t.dataset, t.uid, char_start, coalesce(lead(char_start) over (partition by t.dataset, t.uid order by pos), length(text)) as e from tokens t join files f on f.dataset = t.dataset and f.uid = t.uid) select dataset, uid, sum(e - char_start)::bigint as covered from n group by 1, 2"
-ORACLE["isolated_by_window"] = T + ATTR + ISO + " select dataset, uid, count(i) filter (fid in ('b0', 'b1')) as inside, round(sum(i) filter (fid in ('b0', 'b1')), 4) as total from iso group by 1, 2"
+ORACLE["isolated_by_window"] = T + ATTR + ISO + " select dataset, uid, count(i) filter (seg % 7 <> 6) as inside, round(sum(i) filter (seg % 7 <> 6), 4) as total from iso group by 1, 2"
 
 ORACLE["file_summary"] = T + ATTR + ISO + f""",
 dens as (select dataset, uid, fid, sum((1 + depth) * e) as w from iso where sstart group by 1, 2, 3), dd as (select dataset, uid, avg(w) as d from dens group by 1, 2),

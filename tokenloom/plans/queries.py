@@ -96,7 +96,7 @@ def token_ends(spark, d):
 def isolated_by_window(spark, d):
     """TOK-16/17: values of isolated windows joined by place, the later window first; null outside."""
     t = tokens(spark, d)
-    w = t.where("function_id in ('b0', 'b1')").select(*KEYS, F.when(F.col("function_id") == "b0", 0).otherwise(1).alias("ord"), "char_start", "metric_isolated_surprisal")
+    w = t.where("seg % 7 <> 6").select(*KEYS, F.substring("function_id", 2, 9).cast("long").alias("ord"), "char_start", "metric_isolated_surprisal")
     j = tok.isolated_windows(t.drop("metric_isolated_surprisal"), w, KEYS)
     return rounded(j.groupBy(*KEYS).agg(F.count("metric_isolated_surprisal").alias("inside"), F.sum("metric_isolated_surprisal").alias("total")), "total", places=4)
 
