@@ -59,23 +59,31 @@ def _powers(x: np.uint64, n: int) -> np.ndarray:
 
 
 class Chunks:
-    """The chunks of a text: chunk k is lines[low[k]:high[k]]; they overlap. Piece k is lines[starts[k]:ends[k]], one line."""
+    """The chunks of a text, or of several, none over two: chunk k is lines[low[k]:high[k]]; they overlap.
 
-    def __init__(self, text: str):
-        self.lines = lines_of(text)
+    Lines and chunks of several texts are numbered on: those of text t are begins[t]:begins[t + 1] and
+    first[t]:first[t + 1]. Piece k is lines[starts[k]:ends[k]], one line.
+    """
+
+    def __init__(self, *texts: str):
+        parts = [*map(lines_of, texts)]
+        sizes = np.array([*map(len, parts)], np.int64)
+        self.begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.lines = [s for p in parts for s in p]
         self.bare = [s.strip() for s in self.lines]
         n = len(self.lines)
         self.starts, self.ends = np.arange(n), np.arange(1, n + 1)
-        sizes = np.array([t.count(" ") + 1 if t else 0 for t in self.bare], np.int64)
-        #: Words up to each line.
-        self.words = words = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        long = sizes >= LONG_WORDS
+        origin, stop = np.repeat(self.begins[:-1], sizes), np.repeat(self.begins[1:], sizes)
+        count = np.array([t.count(" ") + 1 if t else 0 for t in self.bare], np.int64)
+        words = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        long = count >= LONG_WORDS
         end = np.maximum(np.searchsorted(words, words[:-1] + LEAST_WORDS), self.starts + LEAST_LINES)
         end = np.where(long, self.ends, end)
         begin = np.minimum(np.searchsorted(words, words[1:] - LEAST_WORDS, "right") - 1, self.ends - LEAST_LINES)
         begin = np.where(long, self.starts, begin)
-        pairs = np.concatenate([(self.starts * (n + 1) + end)[end <= n], (begin * (n + 1) + self.ends)[begin >= 0]])
+        pairs = np.concatenate([(self.starts * (n + 1) + end)[end <= stop], (begin * (n + 1) + self.ends)[begin >= origin]])
         self.low, self.high = np.divmod(np.unique(pairs), n + 1)
+        self.first = np.searchsorted(self.low, self.begins)
 
     def counted(self) -> list[int]:
         """Numbers of the chunks, in the order of their places."""
@@ -97,11 +105,12 @@ class Chunks:
         """Whether each line stays when chunks go; of a chunk that overlaps its own first place, what is beyond that."""
         gone = np.unique(np.array(list(gone), np.int64))
         low = self.low[gone]
-        _, first, which = np.unique(self.keys(), return_index=True, return_inverse=True)
-        first = first[which][gone]
-        for k in np.flatnonzero((self.high[first] > low) & ~np.isin(first, gone)).tolist():
-            if self.bytes(first[k]) == self.bytes(gone[k]):
-                low[k] = self.high[first[k]]
+        if len(set(self.bare)) < len(self.bare):  # else no chunk stands twice in the text
+            _, first, which = np.unique(self.keys(), return_index=True, return_inverse=True)
+            first = first[which][gone]
+            for k in np.flatnonzero((self.high[first] > low) & ~np.isin(first, gone)).tolist():
+                if self.bytes(first[k]) == self.bytes(gone[k]):
+                    low[k] = self.high[first[k]]
         cover = np.zeros(len(self.lines) + 1, np.int64)
         np.add.at(cover, low, 1)
         np.add.at(cover, self.high[gone], -1)
@@ -142,14 +151,27 @@ def _filter(keys: DataFrame) -> np.ndarray:
     return words
 
 
+def _some(column: pa.Array) -> Iterator[list[str]]:
+    """Texts of a column, in lists of about BATCH_BYTES characters: arrays of many short texts cost as little as of one."""
+    held, size = [], 0
+    for t in column:
+        held.append(t.as_py())
+        size += len(held[-1])
+        if size >= BATCH_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _chunk_keys(source: DataFrame) -> DataFrame:
     """(h) of all chunks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_remember("linechunks")
         for batch in batches:
-            found = [Chunks(t.as_py()).keys() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["h"])
+            for texts in _some(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(Chunks(*texts).keys())], names=["h"])
 
     return source.select("text").mapInArrow(run, "h long")
 
@@ -160,32 +182,23 @@ def _chunk_rows(source: DataFrame, kind: str, only: np.ndarray) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, pos, h, text, size = [], [], [], [], 0
-
-            def part() -> pa.RecordBatch:
-                at = pa.array(np.concatenate(row))
-                columns = [pa.array(np.concatenate(h)), batch.column("key").take(at), batch.column("th").take(at), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(text, pa.string())]  # noqa: B023
-                for held in (row, pos, h, text):
-                    held.clear()
-                return pa.RecordBatch.from_arrays(columns, names=["h", "key", "th", "pos", "bytes"])
-
-            for k, t in enumerate(batch.column("text")):
-                chunks = Chunks(t.as_py())
+            done = 0
+            for texts in _some(batch.column("text")):
+                chunks = Chunks(*texts)
                 keys = chunks.keys()
                 passed = np.flatnonzero(_passes(words.value, keys))
-                for s in range(0, len(passed), 1000):
-                    some = passed[s : s + 1000]
-                    row.append(np.full(len(some), k))
-                    pos.append(some)
-                    h.append(keys[some])
-                    mine = [*map(chunks.bytes, some.tolist())]
-                    text += mine
-                    size += sum(map(len, mine))
-                    if size >= BATCH_BYTES:
-                        yield part()
-                        size = 0
-            if row:
-                yield part()
+                row = np.searchsorted(chunks.first, passed, "right") - 1
+                pos = passed - chunks.first[row]
+                size = np.cumsum([0, *(len(s) + 1 for s in chunks.bare)])
+                size = np.cumsum(size[chunks.high[passed]] - size[chunks.low[passed]])
+                cuts = np.unique(np.searchsorted(size, np.arange(0, int(size[-1]) if len(size) else 0, BATCH_BYTES), "right")).tolist()
+                for a, b in zip([0, *cuts], [*cuts, len(passed)], strict=True):
+                    if a < b:
+                        at = pa.array(done + row[a:b])
+                        text = pa.array([*map(chunks.bytes, passed[a:b].tolist())], pa.string())
+                        columns = [pa.array(keys[passed[a:b]]), batch.column("key").take(at), batch.column("th").take(at), pa.array(pos[a:b].astype(np.int32)), text]
+                        yield pa.RecordBatch.from_arrays(columns, names=["h", "key", "th", "pos", "bytes"])
+                done += len(texts)
 
     return source.mapInArrow(run, f"h long, key {kind}, th long, pos int, bytes string")
 
@@ -216,12 +229,6 @@ def _firsts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "th", "pos")), h, text], names=["key", "th", "pos", "h", "bytes"])
 
 
-def _rest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, th, pos) out of rows sorted by h, key, th, pos: chunks that stand earlier with the same bytes."""
-    for batch in _later(batches, ["h"]):
-        yield batch.filter(pc.invert(batch.column("first"))).select(["key", "th", "pos"])
-
-
 def _later(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
     """Rows with a column `first`: whether no row of the same group and bytes stands earlier. Rows are sorted by the
     group's columns, key, th, pos; one that repeats a place is none of its own and goes.
@@ -285,8 +292,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     found = _deal(_chunk_rows(source, kind, _filter(repeated.select("h"))), _hot(repeated, most), most)
     found = found.repartition(n, "h", "salt").sortWithinPartitions(*order).select(*order, "bytes")
     first = scratch.save(found.mapInArrow(_firsts, f"key {kind}, th long, pos int, h long, bytes string"), "first")
-    others = first.where("h is not null").repartition(n, "h").sortWithinPartitions("h", "key", "th", "pos").select("h", "key", "th", "pos", "bytes")
-    gone = first.where("h is null").select("key", "th", "pos").unionByName(others.mapInArrow(_rest, f"key {kind}, th long, pos int"))
+    # of the salts' firsts all go but the first of each bytes; a place has one chunk, and there are as many as hot keys
+    place = ["key", "th", "pos"]
+    others = first.where("h is not null")
+    stays = others.groupBy("h", "bytes").agg(F.min(F.struct(*place)).alias("p")).select(*(F.col(f"p.{c}").alias(f"first_{c}") for c in place))
+    same = F.lit(True)
+    for c in place:
+        same = same & F.col(c).eqNullSafe(F.col(f"first_{c}"))
+    others = others.select(*place).join(F.broadcast(stays), same, "left_anti")
+    gone = first.where("h is null").select(*place).unionByName(others)
     gone = gone.groupBy("key", "th").agg(F.collect_set("pos").alias("gone"))
     gone = gone.select(F.col("key").alias("gone_key"), F.col("th").alias("gone_th"), "gone").hint("merge")  # one plan at every size; what is gone grows with the corpus
     marked = rows.withColumn("th", F.xxhash64(F.col(t).cast("string")))
