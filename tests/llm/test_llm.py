@@ -721,11 +721,13 @@ def test_whole_passages_go(spark):
 def test_keys_that_agree_by_chance():
     """Chunks are told apart by bytes, and a group of one key goes on over batches."""
     rows = [(1, 1, 0, "a"), (1, 1, 0, "a"), (1, 2, 0, "b"), (1, 3, 0, "a"), (1, 4, 0, "b"), (1, 4, 1, "b"), (2, 5, 0, "a"), (2, 5, 0, "a"), (2, None, 0, "c"), (2, 6, 0, "c")]
-    schema = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("bytes", pa.string())])
-    table = pa.Table.from_pylist([{"h": h, "key": k, "th": 7, "pos": p, "bytes": b} for h, k, p, b in rows], schema)
-    for n in range(1, 11):
-        gone = [(r["key"], r["pos"]) for batch in linechunks._rest(table.to_batches(n)) for r in batch.to_pylist()]
-        assert sorted(set(gone)) == [(3, 0), (4, 0), (4, 1), (6, 0)]
+    schema = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("key", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("bytes", pa.string())])
+    for salt in (0, 5):
+        table = pa.Table.from_pylist([{"h": h, "salt": salt, "key": k, "th": 7, "pos": p, "bytes": b} for h, k, p, b in rows], schema)
+        for n in range(1, 11):
+            found = [r for batch in linechunks._firsts(table.to_batches(n)) for r in batch.to_pylist()]
+            assert {(r["key"], r["pos"]) for r in found if r["h"] is None} == {(3, 0), (4, 0), (4, 1), (6, 0)}
+            assert {(r["h"], r["key"], r["bytes"]) for r in found if r["h"] is not None} == ({(1, 1, "a"), (1, 2, "b"), (2, 5, "a"), (2, None, "c")} if salt else set())
 
 
 def test_hot_chunks_are_dealt_out(spark, docs, monkeypatch):
@@ -841,3 +843,28 @@ def test_pipeline(spark, tmp_path):
         if name != "best_fit_packing":
             assert after.columns == df.columns and after.where("n_chars <> length(coalesce(text, ''))").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_on_hostile_tables(spark, tmp_path):
+    """Null and repeated ids, unlike texts under one id, empty and very long texts, clashing and dotted columns, empty tables."""
+    import corpus_pipeline
+
+    rnd = random.Random(29)
+    rows = [(k, prose(rnd, 60) + (" drobnik" if k % 6 == 0 else "")) for k in range(60)]
+    rows += [(None, prose(rnd, 50)), (None, None), (1, prose(rnd, 50)), rows[2], (70, None), (71, ""), (72, " \n"), (73, prose(rnd, 9000)), (74, "x" * 40000), (75, "idi" + "o" * 500 + "t"), (76, "0 1 2 3 4 5 6 7 8 9 " * 500)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, `x.y` string, __score double, th int, _0 int"
+    df = spark.createDataFrame([(k, t, "en", "s", None if t is None else len(t), 1, "z", 0.5, 2, 3) for k, t in rows], kind)
+    labels = spark.createDataFrame([(k, 1, int(k % 6 == 0)) for k in range(60)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = df
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"{k}"))
+        if name != "best_fit_packing":
+            assert docs.columns == df.columns
+            assert docs.where("`x.y` <> 'z' or n_lines <> 1 or th <> 2 or _0 <> 3 or __score <> 0.5").count() == 0
+    kept = Counter(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "3")).collect())
+    assert kept[1] == 2 and kept[2] == 1 and kept[None] == 2 and all(kept[k] == 1 for k in (70, 71, 72, 73, 74, 75, 76)) and kept[6] == 0
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df.limit(0), str(tmp_path))
+        assert out.count() == 0 and (name == "best_fit_packing" or out.columns == df.columns)
