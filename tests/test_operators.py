@@ -343,6 +343,30 @@ def test_running_code_is_opt_in(spark):
     assert got["1"]["stdout"] == "hi\n" and got["2"]["exception"] == "ZeroDivisionError" and got["3"]["timeout"]
 
 
+def test_called_expressions(spark):
+    rows = [("u", "1", "def f(a, b):\n    print('in f')\n    return a + b", "f", ["1", "2"]), ("u", "2", "def f(a):\n    return 1 / a", "f", ["0"]), ("u", "3", "def g(s):\n    return s[::-1]", "g", ["'ab\\n'"])]
+    t = accuracy.call_expressions(spark.createDataFrame(rows, "uid string, case_id string, code string, entry string, args array<string>"))
+    with pytest.raises(PermissionError):
+        accuracy.run_calls(t, ["uid"])
+    got = {r["case_id"]: r for r in accuracy.run_calls(t, ["uid"], allow=True).collect()}
+    assert (got["1"]["value"], got["1"]["stdout"]) == ("3", "in f\n") and got["2"]["exception"] == "ZeroDivisionError" and got["2"]["value"] is None
+    assert got["3"]["value"] == "\nba"
+
+
+def test_targets(spark):
+    work = spark.createDataFrame([(u, v) for u in "abc" for v in ("v1", "v2")], "uid string, variant_id string")
+    pick = lambda t: {tuple(r) for r in joins.selected(work, t).collect()}
+    assert pick(["a:v1", "b"]) == {("a", "v1"), ("b", "v1"), ("b", "v2")} and pick(["a:v1", "a"]) == {("a", "v1"), ("a", "v2")} and len(pick([])) == 6
+
+
+def test_tree_documents(spark):
+    t = spark.createDataFrame([("d", "u", k, s, e) for k, (s, e) in enumerate([("x", None), ("<0x0A>", 0.9), ("y", 0.9), ("<0x0A>", 0.0), ("z", 0.0)])], "dataset string, uid string, pos long, token_str string, metric_entropy double")
+    nodes = code.block_trees(t, K, 0.67)
+    tree = json.loads(code.tree_documents(nodes, K).first()["tree"])
+    rows = code.block_tree(["x", "<0x0A>", "y", "<0x0A>", "z"], [None, 0.9, 0.9, 0.0, 0.0], 0.67)[0]
+    assert tree == json.loads(code.tree_json(rows)) and tree["start_line"] == 1 and tree["children"]
+
+
 def test_token_positions(spark):
     t = tok.tokenize(spark.createDataFrame([("d", "u", "ab\tc\n  d")], "dataset string, uid string, text string"), K).orderBy("pos").collect()
     assert [(r["tok"], r["char_start"], r["line"], r["column"]) for r in t] == [("ab", 0, 1, 0), ("c", 3, 1, 3), ("\n", 4, 1, 4), ("  d", 5, 2, 0)]

@@ -96,6 +96,25 @@ def run_cases(programs: DataFrame, keys: list[str], allow: bool = False, timeout
     return programs.select(*keys, "case_id", "code", "stdin").mapInPandas(run, f"{kind}, case_id string, stdout string, returncode long, exception string, timeout boolean")
 
 
+#: What a called expression's value follows in the output of its program.
+_MARK = "\x1evalue "
+
+
+def run_calls(programs: DataFrame, keys: list[str], allow: bool = False, timeout: float = 5.0) -> DataFrame:
+    """Run programs (code, case_id, expression) in child processes and evaluate the expression after the code:
+    value (its str), stdout (before it), returncode, exception, timeout. Off unless allowed, as run_cases()."""
+    tail = F.concat(F.lit("\n\nprint('\\x1evalue ' + str("), F.col("expression"), F.lit("))\n"))
+    done = run_cases(programs.select(*keys, "case_id", F.concat("code", tail).alias("code"), F.lit("").alias("stdin")), keys, allow, timeout)
+    parts = F.split("stdout", _MARK)
+    value = F.when(F.size(parts) > 1, F.regexp_replace(F.element_at(parts, -1), "\n$", ""))
+    return done.withColumns({"value": value, "stdout": F.element_at(parts, 1)})
+
+
+def call_expressions(tests: DataFrame, entry: str = "entry", args: str = "args") -> DataFrame:
+    """tests with expression: the entry called with args, an array of Python literals."""
+    return tests.withColumn("expression", F.concat(F.col(entry), F.lit("("), F.array_join(args, ", "), F.lit(")")))
+
+
 def stdin_cases(tests: str) -> list[dict]:
     """Cases of a JSON text of hidden tests: input, and the outputs that are right."""
     return [{"case_id": str(k), "stdin": c["input"], "expected": [c["output"]] if isinstance(c["output"], str) else list(c["output"])} for k, c in enumerate(json.loads(tests))]

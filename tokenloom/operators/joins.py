@@ -60,6 +60,20 @@ def missing_and_extra(found: DataFrame, expected: DataFrame, keys: list[str]) ->
     return b.join(a, keys, "left_anti").withColumn("state", F.lit("missing")).unionByName(a.join(b, keys, "left_anti").withColumn("state", F.lit("extra")))
 
 
+def selected(work: DataFrame, targets: list[str]) -> DataFrame:
+    """Rows (uid, variant_id) that targets name, each `uid` or `uid:variant`. An id named alone takes all its variants,
+    also where it stands with one too; without targets all rows stay."""
+    if not targets:
+        return work
+    parts = [t.partition(":") for t in targets]
+    whole = sorted({uid for uid, _, variant in parts if not variant})
+    single = sorted({(uid, variant) for uid, _, variant in parts if variant} - {(u, v) for u, _, v in parts if u in whole})
+    chosen = F.col("uid").cast("string").isin(whole)
+    for uid, variant in single:
+        chosen = chosen | ((F.col("uid").cast("string") == uid) & (F.col("variant_id") == variant))
+    return work.where(chosen)
+
+
 def first_missing(found: DataFrame, expected: DataFrame, n: int = 20) -> DataFrame:
     return expected.select("uid").distinct().join(found.select("uid"), "uid", "left_anti").orderBy("uid").limit(n)
 
