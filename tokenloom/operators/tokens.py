@@ -42,43 +42,62 @@ _MEASURED = (
 )
 
 
-def _hash(form: str) -> Callable[[bytes], int]:
-    return zlib.crc32 if form == "crc32" else lambda raw: int(hashlib.md5(raw, usedforsecurity=False).hexdigest()[:8], 16)
+def _values(contexts: list[str], form: str) -> np.ndarray:
+    """A number in [0, 3) for each context."""
+    if form == "crc32":
+        numbers = [zlib.crc32(c.encode()) for c in contexts]
+    else:
+        md5, number = hashlib.md5, int.from_bytes
+        numbers = [number(md5(c.encode()).digest()[:4], "big") for c in contexts]
+    return np.array(numbers, np.int64) % 3000 / 1000.0
 
 
-def _contexts(ids: list[int], form: str) -> list[float]:
+def _contexts(ids: list[int], form: str) -> np.ndarray:
     """A number in [0, 3) for each token, from its id and the two before it in the list."""
-    number, n = _hash(form), len(ids)
-    return [number(",".join(map(str, ids[max(0, k - 2) : k + 1])).encode()) % 3000 / 1000.0 for k in range(n)]
+    s = [*map(str, ids)]
+    return _values([*s[:1], *map(",".join, zip(s[:1], s[1:2], strict=False)), *map(",".join, zip(s, s[1:], s[2:], strict=False))], form)
+
+
+_EVERY = re.compile(PATTERN + r"|\s")
 
 
 def _placed(text: str) -> list[list]:
     """The columns of _PLACED for a whole text."""
-    found = [(m.start(), m.group()) for m in re.finditer(PATTERN, text)]
-    ids: dict[str, int] = {}
-    tok = [t for _, t in found]
-    shown = [NEWLINE_TOKEN if t == "\n" else t.replace(" ", SPACE_MARK) for t in tok]
-    start = np.array([s for s, _ in found], np.int64)
-    newline = np.array([t == "\n" for t in tok], bool)
-    before = np.concatenate([[0], np.cumsum(newline)[:-1]]).astype(np.int64) if tok else np.zeros(0, np.int64)
+    tok = _EVERY.findall(text)  # white space that is no token is found too, so that lengths give places
+    size = np.fromiter(map(len, tok), np.int64, len(tok))
+    start = np.cumsum(size) - size
+    shown: dict[str, str | None] = {}
+    for t in dict.fromkeys(tok):
+        shown[t] = NEWLINE_TOKEN if t == "\n" else t.replace(" ", SPACE_MARK) if t[-1] == " " or not t.isspace() else None
+    if None in shown.values():
+        kept = np.fromiter((shown[t] is not None for t in tok), bool, len(tok))
+        start, tok = start[kept], [t for t in tok if shown[t] is not None]
+    marks = [*map(shown.__getitem__, tok)]
+    ids = {t: k + FIRST_ID for k, t in enumerate(dict.fromkeys(marks))}
+    newline = np.fromiter((t == "\n" for t in tok), bool, len(tok))
+    before = np.cumsum(newline) - newline
     begins = np.concatenate([[0], start[newline] + 1])
-    return [list(range(len(tok))), tok, shown, [ids.setdefault(t, len(ids) + FIRST_ID) for t in shown], start, before + 1, start - begins[before]]
+    return [np.arange(len(tok)), tok, marks, [*map(ids.__getitem__, marks)], start, before + 1, start - begins[before]]
 
 
 def _measured(columns: list[list], form: str, lines: int) -> list[list]:
     """The columns of _MEASURED: metrics, and syntax attributes of running text as paragraph_attributes() gives them."""
     _, tok, _, ids, _, line, _ = columns
-    entropy = _contexts(ids, form)
-    block, word = (line - 1) // lines, np.array([t != "\n" for t in tok], bool)
+    n, entropy = len(tok), _contexts(ids, form)
+    block, word = (line - 1) // lines, np.fromiter((t != "\n" for t in tok), bool, n)
     first_of = []
     for by in (block, line):
-        first = np.zeros(len(tok), bool)
+        first = np.zeros(n, bool)
         at = np.flatnonzero(word)
         first[at[np.unique(by[at], return_index=True)[1]]] = True
         first_of.append(first)
-    cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(tok)] if tok else []
-    isolated = [v * 1.5 for a, b in zip(cuts[:-1], cuts[1:], strict=True) for v in _contexts(ids[a:b], form)]
-    return [entropy, [v * 1.5 for v in entropy], line - 1, [f"b{k}" for k in block.tolist()], *first_of, (line - 1) % lines, isolated]
+    # from the third token of a block on, the context within it is the whole one
+    alone, cuts = entropy.copy(), [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), n] if n else [0]
+    names: list[str] = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        names += [f"b{block[a]}"] * (b - a)
+        alone[a : min(a + 2, b)] = _contexts(ids[a : min(a + 2, b)], form)
+    return [entropy, entropy * 1.5, line - 1, names, *first_of, (line - 1) % lines, alone * 1.5]
 
 
 def _rows(docs: DataFrame, keys: list[str], text: str, schema: str, make: Callable[[str], list[list]]) -> DataFrame:
