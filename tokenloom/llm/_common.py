@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -72,10 +73,16 @@ def remembers(operator: str, forget: Callable[[], None]) -> None:
 
 
 def only_remember(operator: str) -> None:
-    """In a worker that goes on from one operator's tasks to another's: forget what the others remember."""
+    """In a worker that goes on from one operator's tasks to another's: forget what the others remember, and give the
+    memory back to the system."""
     for other, forget in _caches:
         if other != operator:
             forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def column(name: str) -> Column:

@@ -257,7 +257,11 @@ def wide_radius(similarity: float) -> int:
 
 def wide_fingerprint(text: str) -> bytes:
     """A 256-bit SimHash of five-word shingles, ASCII letters lower-cased; zeros for a text without words."""
-    h = shingle_hashes(text, WIDE_SHINGLE)
+    return _wide(shingle_hashes(text, WIDE_SHINGLE))
+
+
+def _wide(h: np.ndarray) -> bytes:
+    """The fingerprint of shingle hashes, repeats included."""
     if not len(h):
         return bytes(WIDE_BITS // 8)
     ones = np.zeros(WIDE_BITS, np.int64)
@@ -352,7 +356,12 @@ def _similar(source: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     radius = wide_radius(similarity)
 
     def prints(texts: list[str]) -> list[list]:
-        return [[wide_fingerprint(t) for t in texts], np.array([_node(_set(t)) for t in texts], np.uint64).view(np.int64)]
+        found, nodes = [], []
+        for t in texts:
+            h = shingle_hashes(t, WIDE_SHINGLE)
+            found.append(_wide(h))
+            nodes.append(_node(np.unique(h)))
+        return [found, np.array(nodes, np.uint64).view(np.int64)]
 
     def fresh():
         only_remember("sketches")
