@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.operators.ranks import largest, placed, written
+
 
 def frequency_table(df: DataFrame, keys: list[str], width: int, x: str = "num_semantic_units", y: str = "pass_at_1", z: str = "lm_cc", least_limit: int = 200) -> DataFrame:
     """Equal-width bins [a, b) from 0 with empty ones kept, so many that they hold the greater of the limit and the
@@ -101,7 +103,9 @@ def assign_intervals(df: DataFrame, cuts: DataFrame, keys: list[str], x: str, na
 
 def describe(df: DataFrame, keys: list[str], columns: list[str], score: str = "score", cluster: str = "cluster_id", pair: tuple[str, str] = ("su", "loc")) -> DataFrame:
     """Counts of rows, clusters and outcomes, rank correlation of a pair, and a summary of each column."""
-    ranked = average_rank(average_rank(df, keys, pair[0], "__ra"), keys, pair[1], "__rb")
+    table = written(df.select(*dict.fromkeys([*keys, *columns, score, cluster, *pair])))
+    size = largest(table, keys)
+    ranked = placed(placed(table, keys, [pair[0]], mean="__ra", size=size), keys, [pair[1]], mean="__rb", size=size)
     stats = []
     for c in columns:
         stats += [F.min(c).cast("double").alias(f"{c}_min"), F.percentile(c, 0.25).alias(f"{c}_q25"), F.percentile(c, 0.5).alias(f"{c}_median"), F.percentile(c, 0.75).alias(f"{c}_q75"), F.max(c).cast("double").alias(f"{c}_max"), F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd")]
@@ -119,6 +123,6 @@ def correlation(a: str, b: str) -> Column:
 
 
 def average_rank(df: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
-    """Ranks within keys from 1, ties at their mean."""
+    """Ranks within keys from 1, ties at their mean, for groups that a task can sort; ranks.placed is for any."""
     order, tie = Window.partitionBy(*keys).orderBy(x), Window.partitionBy(*keys, x)
     return df.withColumn(name, F.rank().over(order) + (F.count("*").over(tie) - 1) / 2)

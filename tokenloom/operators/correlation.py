@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import stats
 from tokenloom.operators.bins import average_rank, correlation
+from tokenloom.operators.ranks import largest, placed, written
 
 #: Decimals of bucket means before ranking: means that are equal may differ in their last bit.
 DECIMALS = 12
@@ -19,9 +20,8 @@ def buckets(df: DataFrame, keys: list[str], size, score: str = "score", metric:
     mean score, median metric and control, count; complete: without a last bucket that is not full.
     """
     size = F.lit(size) if isinstance(size, int) else size
-    df = df.withColumn("__size", size)
-    order = Window.partitionBy(*keys).orderBy(metric, control, uid)
-    dealt = df.withColumn("bucket", F.floor((F.row_number().over(order) - 1) / F.col("__size")))
+    table = written(df.withColumn("__size", size).select(*dict.fromkeys([*keys, score, metric, control, uid, "__size"])))
+    dealt = placed(table, keys, [metric, control, uid], "__n").withColumn("bucket", F.floor((F.col("__n") - 1) / F.col("__size")))
     out = dealt.groupBy(*keys, "bucket").agg(
         F.round(F.avg(score), DECIMALS).alias("mean_score"), F.round(F.median(metric), DECIMALS).alias("median_metric"),
         F.round(F.median(control), DECIMALS).alias("median_control"), F.count("*").cast("long").alias("n"), F.first("__size").alias("__size"),
@@ -50,17 +50,14 @@ def bucket_correlation(b: DataFrame, keys: list[str], partial: bool = False) ->
 def sweep(df: DataFrame, keys: list[str], score: str = "score", metric: str = "metric", control: str = "loc", uid: str = "uid", partial: bool = False) -> DataFrame:
     """r for each bucket size from n // 20 to n // 8 that leaves 9 to 11 full buckets: (keys, min_cnt, groups, r).
 
-    The rows are ranked once, with running sums of the score. A bucket is its size and number: its mean score is the
+    The rows are written and ranked once, with running sums of the score. A bucket is its size and number: its mean score is the
     difference of two running sums, its median metric is looked up at its middle ranks. So the rows of the plan are
     those of df and a few for each bucket. For the partial correlation the control has no order to look its median up
     in, and each row is dealt to its bucket of every size.
     """
-    order = Window.partitionBy(*keys).orderBy(metric, control, uid)
-    before = order.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = df.select(
-        *keys, score, metric, control, (F.row_number().over(order) - 1).cast("long").alias("__at"), F.sum(F.col(score).cast("decimal(30, 15)")).over(before).alias("__sum")
-    )
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    table = written(df.select(*dict.fromkeys([*keys, score, metric, control, uid]), F.col(score).cast("decimal(30, 15)").alias("__exact")))
+    ranked = placed(table, keys, [metric, control, uid], "__at", sums={"__sum": "__exact"}).select(*keys, score, metric, control, (F.col("__at") - 1).alias("__at"), "__sum")
+    sizes = table.groupBy(*keys).agg(F.count("*").alias("__n"))
     low, high = F.greatest(F.lit(1), F.floor(F.col("__n") / 20)), F.greatest(F.lit(1), F.floor(F.col("__n") / 8))
     sizes = sizes.withColumn("min_cnt", F.explode(F.sequence(low.cast("long"), high.cast("long")))).withColumn("__full", F.floor(F.col("__n") / F.col("min_cnt")))
     sizes = sizes.where(F.col("__full").between(9, 11))
@@ -113,5 +110,7 @@ def by_metric(df: DataFrame, keys: list[str], metrics: list[str], least: int = 1
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """(keys, n, r) of average ranks over rows that have both; null for fewer than two rows or a constant side."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_rank(average_rank(both, keys, x, "__x"), keys, y, "__y")
+    table = written(both.select(*dict.fromkeys([*keys, x, y])))
+    size = largest(table, keys)
+    ranked = placed(placed(table, keys, [x], mean="__x", size=size), keys, [y], mean="__y", size=size)
     return ranked.groupBy(*keys).agg(F.count("*").cast("long").alias("n"), correlation("__x", "__y").alias("r"))
