@@ -65,12 +65,12 @@ CELLS = 4096
 def entropy_percentiles(tokens: DataFrame, x: str = "metric_entropy", extra: tuple[int, ...] = (67,)) -> DataFrame:
     """(percentile, value) of the pooled column at 0, 5, ... 95 and the extra ones, exact with linear interpolation.
 
-    Values are counted, and their counts summed in cells of equal width; the cells' running sums tell in which a rank
+    Values are counted and written, and their counts summed in cells of equal width; the cells' running sums tell in which a rank
     lies, and only those cells' values are put in order. One task holds the cells, at most CELLS, or one cell's values.
     """
     points = sorted({*range(0, 100, 5), *extra})
     v = F.col(x).cast("double")
-    values = tokens.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("v")).agg(F.count("*").alias("c"))
+    values = written(tokens.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("v")).agg(F.count("*").alias("c")))
     ends = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
     share = (F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     placed = values.crossJoin(F.broadcast(ends)).withColumn("cell", F.coalesce(F.least(F.floor(share * CELLS), F.lit(CELLS - 1)), F.lit(0)))  # one row

@@ -32,33 +32,27 @@ def density(tokens: DataFrame, keys: list[str]) -> DataFrame:
 def file_metrics(tokens: DataFrame, keys: list[str], thresholds: dict[str, float]) -> DataFrame:
     """All per-file metrics and the unit count of each threshold, from cleaned tokens.
 
-    Two aggregations on one partitioning: by file, line and function sums are taken in one pass over the tokens, then
-    by file. Columns: ppl, loc, total_tokens, num_functions, avg_first_token_surprisal, avg_context_surprisal_gap,
+    One chain of two aggregations, by line and by file, over one pass of the tokens. The density, a mean over functions
+    of sums, is the sum over all of them by their number; a line tells the functions whose statements start in it.
+    Columns: ppl, loc, total_tokens, num_functions, avg_first_token_surprisal, avg_context_surprisal_gap,
     lm_cc_density, num_semantic_units_<label>.
     """
     t = with_gap(tokens if "seg" in tokens.columns else segments(tokens, keys))
     inside = F.col("is_statement_start") & F.col("function_id").isNotNull()
     weight = F.when(inside, (1 + F.coalesce("nesting_depth", F.lit(0))) * F.col("metric_entropy"))
-    lines = t.groupBy(*keys, "seg", "function_id").agg(
+    first = F.when(F.col("is_function_start"), F.col("metric_surprisal"))
+    lines = t.groupBy(*keys, "seg").agg(
         F.sum("metric_surprisal").alias("s"), F.count("metric_surprisal").alias("ns"), F.count("*").alias("n"), F.max("line").alias("line"),
-        F.count_if("is_function_start").alias("nf"), F.sum(F.when(F.col("is_function_start"), F.col("metric_surprisal"))).alias("sf"),
-        F.count(F.when(F.col("is_function_start"), F.col("metric_surprisal"))).alias("nsf"), F.sum("surprisal_gap").alias("g"), F.count("surprisal_gap").alias("ng"),
-        F.bool_or(inside).alias("has"), F.sum(weight).alias("w"), *(F.bool_or(trigger(x)).alias(f"b_{k}") for k, x in thresholds.items()),
+        F.count_if("is_function_start").alias("nf"), F.sum(first).alias("sf"), F.count(first).alias("nsf"), F.sum("surprisal_gap").alias("g"), F.count("surprisal_gap").alias("ng"),
+        F.collect_set(F.when(inside, F.col("function_id"))).alias("names"), F.sum(weight).alias("w"), *(F.bool_or(trigger(x)).alias(f"b_{k}") for k, x in thresholds.items()),
     )
-    functions = lines.groupBy(*keys, "function_id").agg(
-        *(F.sum(c).alias(c) for c in ("s", "ns", "n", "nf", "sf", "nsf", "g", "ng")), F.max("line").alias("line"),
-        F.when(F.bool_or("has"), F.coalesce(F.sum("w"), F.lit(0.0))).alias("w"),
-    )
-    files = functions.groupBy(*keys).agg(
+    functions = F.size(F.array_distinct(F.flatten(F.collect_list("names"))))
+    return lines.groupBy(*keys).agg(
         F.exp(F.sum("s") / F.nullif(F.sum("ns"), F.lit(0))).alias("ppl"), F.coalesce(F.max("line"), F.lit(0)).cast("long").alias("loc"), F.sum("n").alias("total_tokens"), F.sum("nf").alias("num_functions"),
         (F.sum("sf") / F.nullif(F.sum("nsf"), F.lit(0))).alias("avg_first_token_surprisal"), (F.sum("g") / F.nullif(F.sum("ng"), F.lit(0))).alias("avg_context_surprisal_gap"),
-        F.coalesce(F.avg("w"), F.lit(0.0)).alias("lm_cc_density"),
+        F.coalesce(F.sum("w") / F.nullif(functions, F.lit(0)), F.lit(0.0)).alias("lm_cc_density"),
+        *((F.count_if(f"b_{k}") + 1).cast("long").alias(f"num_semantic_units_{k}") for k in thresholds),
     )
-    if not thresholds:
-        return files
-    by_line = lines.groupBy(*keys, "seg").agg(*(F.bool_or(f"b_{k}").alias(f"b_{k}") for k in thresholds))
-    counts = by_line.groupBy(*keys).agg(*((F.count_if(f"b_{k}") + 1).cast("long").alias(f"num_semantic_units_{k}") for k in thresholds))
-    return files.join(counts, keys)
 
 
 def check_metrics(tokens: DataFrame, keys: list[str], allow_leading: bool = False, order: str = "pos") -> DataFrame:
