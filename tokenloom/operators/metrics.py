@@ -32,7 +32,7 @@ def density(tokens: DataFrame, keys: list[str]) -> DataFrame:
 def file_metrics(tokens: DataFrame, keys: list[str], thresholds: dict[str, float]) -> DataFrame:
     """All per-file metrics and the unit count of each threshold, from cleaned tokens.
 
-    One chain of two aggregations, by line and by file, over one pass of the tokens. The density, a mean over functions
+    One chain of aggregations, by line and function, by line and by file, over one pass of the tokens. The density, a mean over functions
     of sums, is the sum over all of them by their number; a line tells the functions whose statements start in it.
     Columns: ppl, loc, total_tokens, num_functions, avg_first_token_surprisal, avg_context_surprisal_gap,
     lm_cc_density, num_semantic_units_<label>.
@@ -41,10 +41,14 @@ def file_metrics(tokens: DataFrame, keys: list[str], thresholds: dict[str, float
     inside = F.col("is_statement_start") & F.col("function_id").isNotNull()
     weight = F.when(inside, (1 + F.coalesce("nesting_depth", F.lit(0))) * F.col("metric_entropy"))
     first = F.when(F.col("is_function_start"), F.col("metric_surprisal"))
-    lines = t.groupBy(*keys, "seg").agg(
+    parts = t.groupBy(*keys, "seg", "function_id").agg(
         F.sum("metric_surprisal").alias("s"), F.count("metric_surprisal").alias("ns"), F.count("*").alias("n"), F.max("line").alias("line"),
         F.count_if("is_function_start").alias("nf"), F.sum(first).alias("sf"), F.count(first).alias("nsf"), F.sum("surprisal_gap").alias("g"), F.count("surprisal_gap").alias("ng"),
-        F.collect_set(F.when(inside, F.col("function_id"))).alias("names"), F.sum(weight).alias("w"), *(F.bool_or(trigger(x)).alias(f"b_{k}") for k, x in thresholds.items()),
+        F.bool_or(inside).alias("has"), F.sum(weight).alias("w"), *(F.bool_or(trigger(x)).alias(f"b_{k}") for k, x in thresholds.items()),
+    )
+    lines = parts.groupBy(*keys, "seg").agg(
+        *(F.sum(c).alias(c) for c in ("s", "ns", "n", "nf", "sf", "nsf", "g", "ng", "w")), F.max("line").alias("line"),
+        F.collect_list(F.when(F.col("has"), F.col("function_id"))).alias("names"), *(F.bool_or(f"b_{k}").alias(f"b_{k}") for k in thresholds),
     )
     functions = F.size(F.array_distinct(F.flatten(F.collect_list("names"))))
     return lines.groupBy(*keys).agg(
