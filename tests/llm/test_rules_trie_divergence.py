@@ -182,6 +182,7 @@ def test_divergence(spark, monkeypatch, block, kept, digit):
     monkeypatch.setattr(divergence, "SORTED", kept)
     monkeypatch.setattr(divergence, "DIGIT", digit)
     monkeypatch.setattr(divergence, "MET", 64)
+    monkeypatch.setattr(divergence, "BUCKET", 50)
     rows = divergent()
     df = spark.createDataFrame(rows, "lang string, source string, text string").selectExpr("*", "1 as term", "2 as value").repartition(3)
     got = [tuple(r) for r in divergence.divergence_audit(df, least_docs=3, ranks=10).collect()]

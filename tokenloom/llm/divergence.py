@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm._common import Scratch, arrow_batches, column, group_starts, shuffle_partitions, spread_join, whole_groups
+from tokenloom.llm._common import Scratch, arrow_batches, column, group_starts, spread_join, whole_groups
 
 LEAST_DOCS, SCALE, RANKS = 10, 1_000_000_000, 10
 #: Distinct (lang, source, term) a task holds before it hands its sums on; sources of a block; rows of terms met at once.
 HELD, BLOCK, MET = 200_000, 64, 1 << 14
+#: Rows of a language's terms that are summed together, so that sums handed on stay few beside the rows.
+BUCKET = 1 << 17
 #: Bits of a digit, and rows of a group that are sorted rather than counted once more.
 DIGIT, SORTED = 10, 100
 
@@ -152,18 +154,19 @@ def _sums(cell: tuple, names: dict[str, int], block: np.ndarray, sums: np.ndarra
 def pair_divergences(found: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value): the divergence of each two sources of a language, both ways, summed over all its terms."""
     blocks = groups.groupBy("lang").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = found.groupBy("lang").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("buckets"))
+    blocks = blocks.join(rows, "lang", "left").na.fill(1, ["buckets"])
     groups = groups.join(blocks, "lang").withColumn("block", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    left = groups.select("lang", "source", "terms", "p0", "block", other)
+    left = groups.select("lang", "source", "terms", "p0", "block", "buckets", other)
     right = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"), F.col("block").alias("other"))
     value = F.when(F.col("terms") > 0, F.col("terms") * _apart(F.col("p0"), F.col("q0"))).otherwise(0)
     base = left.join(right, ["lang", "other"]).where(F.col("source") != F.col("item")).select("lang", "source", "item", value.alias("value"))
-    buckets = shuffle_partitions(groups.sparkSession)
     cells = [F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")]
-    named = left.where("terms > 0").select("lang", *cells, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit(None).cast("string").alias("term"), "source", "block", F.col("p0").alias("p"))
+    named = left.where("terms > 0").select("lang", *cells, F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), F.lit(None).cast("string").alias("term"), "source", "block", F.col("p0").alias("p"))
     placed = found.join(blocks, "lang").withColumn("block", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int"))
-    placed = placed.select("lang", "source", "term", "p", "block", other).select(
-        "lang", *cells, F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", "source", "block", "p"
+    placed = placed.select("lang", "source", "term", "p", "block", "buckets", other).select(
+        "lang", *cells, F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int").alias("bucket"), "term", "source", "block", "p"
     )
     keys = ["lang", "lo", "hi", "bucket"]
     met = named.unionByName(placed).repartition(*keys).sortWithinPartitions(*keys, "term")
