@@ -229,5 +229,32 @@ ORACLE["remapped_paths"] = "with t as (select doc_id, source, case when doc_id %
 ORACLE["non_blank_lines"] = "select doc_id as uid, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> ''))::bigint as n from documents"
 ORACLE["highlighted_tokens"] = T + ", m as (select *, max(e) over (partition by dataset, uid) as top from tokens) select dataset, uid, count(*) as n, min(pos) as first from m where e >= top * 0.9::double group by 1, 2"
 
+#: Python sources as plans.tables.sources() makes them: sl has a row for each statement of eight words, src the texts.
+_SOURCES = """wd as (select lang as dataset, doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') as w from documents),
+pt as (select dataset, doc_id, w, unnest(range(greatest(1, (len(w) + 399) // 400))) as part from wd), pw as (select dataset, doc_id::varchar || '_' || part::varchar as uid, list_slice(w, part * 400 + 1, part * 400 + 400) as w from pt),
+cu as (select dataset, uid, w, unnest(range((len(w) + 7) // 8)) as i from pw), sw as (select dataset, uid, i, list_slice(w, i * 8 + 1, i * 8 + 8) as w from cu),
+sl as (select dataset, uid, i, 'w' || w[1] as name, array_to_string(w, ' ') as said, length(array_to_string(w, ' ')) % 4 as kind, max(i) over (partition by dataset, uid) as top from sw),
+bd as (select *, case when i % 10 = 0 then 'def f' || i::varchar || '(n):' || chr(10) else '' end || '    ' as head, kind = 1 and i = min(i) filter (kind = 1) over (partition by dataset, uid) as swapped from sl),
+st as (select *, head || case kind when 0 then name || ' = "' || said || '"' when 1 then 'if ' || name || ' > n:' || chr(10) || '        n = "' || said || '"' || chr(10) || '    else:' || chr(10) || '        ' || name || ' = n'
+when 2 then name || '("' || said || '", n)' else 'for ' || name || ' in "' || said || '":' || chr(10) || '        n += 1' end || chr(10) as code from bd),
+src as (select dataset, uid, string_agg(code, '' order by i) as text from st group by 1, 2)"""
+ORACLE["complexity"] = f"with {_SOURCES}, " + """n as (select dataset, uid, count(*) filter (kind = 0) as k0, count(*) filter (kind = 1) as k1, count(*) filter (kind = 2) as k2, count(*) filter (kind = 3) as k3, count(*) filter (i % 10 = 0) as f,
+count(distinct name) as names, count(distinct said) as said from sl group by 1, 2),
+h as (select dataset, uid, f + k1 + k3 as cyclomatic, (3 * k1 + 2 * k3)::double as cognitive, 3 + (k0 + k1 > 0)::int + (k1 > 0)::int + (k2 > 0)::int + (k3 > 0)::int as operators,
+3 * f + 2 * k0 + 8 * k1 + 3 * k2 + 6 * k3 as operands, 2 + f + said + names + 2 * (k1 > 0)::int + 3 * (k3 > 0)::int as own from n)
+select dataset, uid, cyclomatic, cognitive, round(operators / 2.0::double * operands / own, 6) as halstead_difficulty from h
+union all select dataset, uid, 1, null, 0.0 from pw where len(w) = 0"""
+ORACLE["statement_owners"] = f"with {_SOURCES}, {toks('src')}, " + """sd as (select *, coalesce(sum(case kind when 1 then 3 when 3 then 2 else 1 end + (i % 10 = 0)::int) over (partition by dataset, uid order by i rows between unbounded preceding and 1 preceding), 0)::bigint as base from sl),
+fd as (select *, max(case when i % 10 = 0 then base end) over (partition by dataset, uid order by i) as f, base + (i % 10 = 0)::int as s, i % 10 = 9 or i = top as last from sd),
+ln as (select dataset, uid, i, list_concat(case when i % 10 = 0 then [{'own': f, 'nl': f}] else [] end, case kind when 1 then [{'own': s, 'nl': s}, {'own': s + 1, 'nl': s}, {'own': s, 'nl': s}, {'own': s + 2, 'nl': case when not last then f end}]
+when 3 then [{'own': s, 'nl': s}, {'own': s + 1, 'nl': case when not last then f end}] else [{'own': s, 'nl': case when not last then f end}] end) as rows from fd),
+un as (select dataset, uid, i, unnest(rows) as r, generate_subscripts(rows, 1) as k from ln), nn as (select dataset, uid, r.own as own, r.nl as nl, row_number() over (partition by dataset, uid order by i, k) as line from un)
+select t.dataset, t.uid, case when tok = chr(10) then nl else own end as owner, count(*) as n from tokens t join nn on nn.dataset = t.dataset and nn.uid = t.uid and nn.line = t.line group by 1, 2, 3"""
+_TOTAL = "select dataset, uid, count(*)::double as total_tokens, max(line)::double as loc, avg(e) as mean_entropy, exp(avg(s)) as ppl, 1.0::double + count(distinct case when {t} then seg end) as su_count_p67 from {x} group by 1, 2"
+ORACLE["pair_comparison"] = f"with {_SOURCES}, " + """swp as (select dataset, uid, string_agg(case when swapped then head || 'if not (' || name || ' > n):' || chr(10) || '        ' || name || ' = n' || chr(10) || '    else:' || chr(10) || '        n = "' || said || '"' || chr(10) else code end, '' order by i) as text from st group by 1, 2 having bool_or(swapped)),
+bef as (select src.* from src semi join swp using (dataset, uid)), """ + f"{toks('bef')}, {toks('swp', 'a_')}, b as ({_TOTAL.format(t=trig(2.4), x='tokens')}), a as ({_TOTAL.format(t=trig(2.4), x='a_tokens')})," + """
+u as (unpivot b on total_tokens, loc, mean_entropy, ppl, su_count_p67 into name metric value before), v as (unpivot a on total_tokens, loc, mean_entropy, ppl, su_count_p67 into name metric value after)
+select dataset, uid, metric, round(before, 6) as before, round(after, 6) as after, round(after - before, 6) as delta, case when after > before then 'increased' when after < before then 'decreased' else 'unchanged' end as change from u join v using (dataset, uid, metric)"""
+
 for _name in ("file_summary", "line_statistics", "line_comparison"):  # means of thousandths can be exact ties, sums of nothing -0.0
     ORACLE[_name] = ORACLE[_name].replace("round(", "round(1e-9::double + ")

@@ -14,8 +14,7 @@ from tokenloom.operators import code as source_code
 from tokenloom.operators import tokens as tok
 from tokenloom.sources.readers import relative_data_path
 from tokenloom.plans import audit as frozen
-from tokenloom.plans.samples import SOURCES
-from tokenloom.plans.tables import KEYS, THRESHOLDS, cheap, files, table, tokens
+from tokenloom.plans.tables import KEYS, THRESHOLDS, cheap, files, sources, table, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -664,19 +663,12 @@ def highlighted_tokens(spark, d):
     return t.where(F.col("metric_entropy") >= F.col("top") * 0.9).groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
-# -- Python sources ---------------------------------------------------------------------------------------------------
-
-
-def _sources(spark, d) -> DataFrame:
-    """Python sources for the benchmark items: one of the samples for each, and a line that tells items apart."""
-    n = F.col("item_id")
-    text = F.concat(F.get(F.array(*map(F.lit, SOURCES)), (n % len(SOURCES)).cast("int")), F.lit("\nitem = "), n.cast("string"), F.lit("\n"))
-    return table(spark, d, "benchmark").select(F.lit("py").alias("dataset"), n.alias("uid"), text.alias("text"))
+# -- Python sources out of documents ---------------------------------------------------------------------------------------------------
 
 
 def _swapped(spark, d) -> DataFrame:
     """(dataset, uid, before, after, line_map) of the sources that have an if to swap."""
-    s = _sources(spark, d)
+    s = sources(spark, d)
     done = sampling.first_applicable(source_code.swap_table(s, KEYS), KEYS).select(*KEYS, F.col("transformed").alias("after"), "line_map")
     return s.withColumnRenamed("text", "before").join(done, KEYS)
 
@@ -684,15 +676,15 @@ def _swapped(spark, d) -> DataFrame:
 @query
 def block_tree_metrics(spark, d):
     """U-1/2, AG-8/9, SNK-5: block trees of token tables with lm_cc and shape. Parser; no SQL equivalent."""
-    t = tok.measure(_sources(spark, d), KEYS, form="md5")
+    t = tok.measure(sources(spark, d), KEYS, form="md5")
     nodes = source_code.block_trees(t, KEYS, 2.4).where("node_id is not null")
     return metrics.tree_metrics(nodes, KEYS)
 
 
 @query
 def statement_owners(spark, d):
-    """J-8, W-10, TOK-8: tokens by owning statement of Python sources. Parser; no SQL equivalent."""
-    s = _sources(spark, d)
+    """J-8, W-10, TOK-8: tokens by owning statement of Python sources."""
+    s = sources(spark, d)
     t = tok.tokenize(s, KEYS)
     owned = tok.innermost(t.withColumn("char_start", tok.anchor(F.col("char_start"), F.col("tok"))), source_code.span_table(s, KEYS, "statements"), KEYS)
     return owned.groupBy(*KEYS, "owner").agg(F.count("*").alias("n"))
@@ -700,8 +692,8 @@ def statement_owners(spark, d):
 
 @query
 def complexity(spark, d):
-    """U-3/4/5: cyclomatic, cognitive and Halstead numbers. Parser; no SQL equivalent."""
-    return source_code.complexity_table(_sources(spark, d), KEYS)
+    """U-3/4/5: cyclomatic, cognitive and Halstead numbers, maintainability."""
+    return rounded(source_code.complexity_table(sources(spark, d), KEYS), "halstead_difficulty")
 
 
 @query
@@ -713,7 +705,7 @@ def if_else_swaps(spark, d):
 @query
 def syntax_tokens(spark, d):
     """TOK-8 to 11, TOK-16 to 18: token rows of Python sources with syntax and isolated metrics. Parser; no SQL equivalent."""
-    t = syntax.syntax_rows(_sources(spark, d), KEYS, form="md5")
+    t = syntax.syntax_rows(sources(spark, d), KEYS, form="md5")
     return rounded(t.groupBy(*KEYS, "function_id").agg(
         F.count("*").alias("n"), F.count_distinct("ast_type").alias("types"), F.sum("nesting_depth").alias("depths"), F.count_if("is_statement_start").alias("statements"),
         F.count_if("is_function_start").alias("functions"), F.sum("metric_isolated_surprisal").alias("isolated"),
@@ -728,7 +720,7 @@ def statement_comparison(spark, d):
 
 @query
 def pair_comparison(spark, d):
-    """J-12: the summary of whole comparisons of swapped versions. Parser; no SQL equivalent."""
+    """J-12: the summary of whole comparisons of swapped versions."""
     s = _swapped(spark, d)
     b, a = (tok.measure(s.select(*KEYS, F.col(c).alias("text")), KEYS, form="md5") for c in ("before", "after"))
-    return syntax.compare_pair(b, a, syntax.line_maps(s, KEYS), KEYS, {"p67": 2.4})["summary"]
+    return rounded(syntax.compare_pair(b, a, syntax.line_maps(s, KEYS), KEYS, {"p67": 2.4})["summary"], "before", "after", "delta")

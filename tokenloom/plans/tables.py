@@ -9,6 +9,8 @@ from tokenloom.operators import tokens as tok
 
 KEYS = ["dataset", "uid"]
 THRESHOLDS = {"p67": 2.01, "p80": 2.4}
+#: Python sources out of documents: words in a statement, statements in a function, and functions in a source.
+WORDS, STATEMENTS, FUNCTIONS = 8, 10, 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +38,33 @@ def cheap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     scores = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("uid")).agg(F.max("quality").cast("double").alias("score"))
     return docs.join(scores, "uid", "left").select("dataset", "uid", "cluster", "su", "loc", "words", "score")
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dataset, uid, text): Python sources made of the words of documents, every word of every text.
+
+    A text's words (runs of A-Z and a-z) make statements of eight, functions of ten statements and sources of five
+    functions, so that a long text gives many sources; uid is the document's id and the source's number. A statement's
+    length, modulo 4, tells its kind: an assignment, an if with else, a call, or a loop. A text without words is one
+    empty source.
+    """
+    size = WORDS * STATEMENTS * FUNCTIONS
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))
+
+    def cut(w, n: int):
+        last = (F.ceil(F.size(w) / n) - 1).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(w, k * n + 1, n))
+
+    def statement(w, k):
+        name, said = F.concat(F.lit("w"), w[0]), F.concat(F.lit('"'), F.array_join(w, " "), F.lit('"'))
+        kind = F.length(said) % 4  # two quotes more than the words
+        head = F.when(k % STATEMENTS == 0, F.concat(F.lit("def f"), k.cast("string"), F.lit("(n):\n"))).otherwise("")
+        body = F.when(kind == 2, F.concat(name, F.lit(" = "), said))
+        body = body.when(kind == 3, F.concat(F.lit("if "), name, F.lit(" > n:\n        n = "), said, F.lit("\n    else:\n        "), name, F.lit(" = n")))
+        body = body.when(kind == 0, F.concat(name, F.lit("("), said, F.lit(", n)"))).otherwise(F.concat(F.lit("for "), name, F.lit(" in "), said, F.lit(":\n        n += 1")))
+        return F.concat(head, F.lit("    "), body, F.lit("\n"))
+
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("dataset"), "doc_id", words.alias("words"))
+    parts = docs.select("dataset", "doc_id", F.posexplode(cut(F.col("words"), size)).alias("part", "words"))
+    text = F.when(F.size("words") > 0, F.array_join(F.transform(cut(F.col("words"), WORDS), statement), "")).otherwise("")
+    return parts.select("dataset", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("part").cast("string")).alias("uid"), text.alias("text"))
