@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.functions.text import normalize_token
+from tokenloom.functions.text import display_text, normalize_token
+from tokenloom.operators import units
 from tokenloom.schema import known
 from tokenloom.operators.bins import average_rank, correlation
 from tokenloom.operators.units import boundary_lines, trigger
@@ -85,6 +86,14 @@ def with_regions(tokens: DataFrame, lines: DataFrame, keys: list[str], side: str
     return tokens.join(m, [*keys, "line"], "left").withColumn("region", F.coalesce("region", F.lit("outside")))
 
 
+def token_table(tokens: DataFrame, lines: DataFrame, keys: list[str], thresholds: dict[str, float], side: str = "orig_line", partner: str = "new_line") -> DataFrame:
+    """Tokens with region and partner line, the text they show, and for each threshold trigger_<label> and su_<label>."""
+    t = tokens.withColumn("text", display_text(F.col("token_str")))
+    for label, threshold in thresholds.items():
+        t = units.unit_of_token(t, keys, threshold).withColumnRenamed("trigger", f"trigger_{label}").withColumnRenamed("su", f"su_{label}").drop("boundary")
+    return with_regions(t, lines, keys, side, partner)
+
+
 def align_tokens(line_map: DataFrame, before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """Tokens of each mapped line aligned by their longest matching subsequences: equal, only_before, only_after.
 

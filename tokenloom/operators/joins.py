@@ -65,13 +65,9 @@ def selected(work: DataFrame, targets: list[str]) -> DataFrame:
     also where it stands with one too; without targets all rows stay."""
     if not targets:
         return work
-    parts = [t.partition(":") for t in targets]
-    whole = sorted({uid for uid, _, variant in parts if not variant})
-    single = sorted({(uid, variant) for uid, _, variant in parts if variant} - {(u, v) for u, _, v in parts if u in whole})
-    chosen = F.col("uid").cast("string").isin(whole)
-    for uid, variant in single:
-        chosen = chosen | ((F.col("uid").cast("string") == uid) & (F.col("variant_id") == variant))
-    return work.where(chosen)
+    rows = sorted({(uid, variant or "") for uid, _, variant in (t.partition(":") for t in targets)})
+    named = work.sparkSession.createDataFrame(rows, "__uid string, __variant string")
+    return work.join(named, (F.col("uid").cast("string") == F.col("__uid")) & ((F.col("__variant") == "") | (F.col("variant_id") == F.col("__variant"))), "left_semi")
 
 
 def first_missing(found: DataFrame, expected: DataFrame, n: int = 20) -> DataFrame:

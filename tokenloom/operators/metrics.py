@@ -77,14 +77,16 @@ def check_metrics(tokens: DataFrame, keys: list[str], allow_leading: bool = Fals
     return agg.withColumn("problem", problem).drop("bad")
 
 
-def tree_metrics(nodes: DataFrame, keys: list[str]) -> DataFrame:
+def tree_metrics(nodes: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
     """lm_cc and the shape of block trees given as node rows (node_id, parent_id, depth from 1).
 
+    weight: a column of nodes' weights, which the width of a level sums; a node without one, and every node by default, counts 1.
+
     lm_cc = (1 - 0.8) * sum of depths + 0.8 * (nodes - 1).
     """
     alpha = 0.8
-    width = nodes.groupBy(*keys, "depth").agg(F.count("*").alias("at_depth"))
-    width = width.groupBy(*keys).agg(F.max("at_depth").cast("long").alias("max_width"))
+    width = nodes.groupBy(*keys, "depth").agg((F.count("*") if weight is None else F.sum(F.coalesce(weight, F.lit(1)))).alias("at_depth"))
+    width = width.groupBy(*keys).agg(F.max("at_depth").alias("max_width"))
     per = nodes.groupBy(*keys).agg(
         F.count("*").cast("long").alias("nodes"), F.sum("depth").cast("long").alias("depth_sum"), (F.sum("depth") * (1 - alpha) + (F.count("*") - 1) * alpha).alias("lm_cc"),
         F.max("depth").cast("long").alias("max_depth"), F.avg("depth").alias("avg_depth"),

@@ -136,6 +136,13 @@ select dataset, metric_name, min_cnt, groups, round(r, 6) as r from c qualify ro
 _TH = {f"t{k}": 0.5 + 0.12 * k for k in range(20)}
 ORACLE["threshold_sweep"] = T + ", ln as (select dataset, uid, seg, " + ", ".join(f"bool_or({trig(t)}) as {k}" for k, t in _TH.items()) + " from tokens group by 1, 2, 3), un as (select dataset, uid, " + ", ".join(f"1 + count(*) filter ({k}) as num_semantic_units_{k}" for k in _TH) + """ from ln group by 1, 2),
 u as (unpivot un on columns('num_semantic_units_.*') into name threshold value su), j as (select u.*, quality::double as score from u join labels on doc_id = uid), """ + f"k as (select *, {avg_rank('su', 'threshold, dataset')} as rx, {avg_rank('score', 'threshold, dataset')} as ry from j) select threshold, dataset, count(*) as n, round({_corr('rx', 'ry')}, 6) as r from k group by 1, 2"
+ORACLE["threshold_correlations"] = T + ", ln as (select dataset, uid, seg, max(line) as line, " + ", ".join(f"bool_or({trig(t)}) as {k}" for k, t in _TH.items()) + " from tokens group by 1, 2, 3), un as (select dataset, uid, max(line) as loc, " + ", ".join(f"1 + count(*) filter ({k}) as num_semantic_units_{k}" for k in _TH) + """ from ln group by 1, 2),
+uu as (unpivot un on columns('num_semantic_units_.*') into name metric_name value metric), lb as (select doc_id as uid, max(quality)::double as score from labels group by 1),
+r as (select uu.*, score, row_number() over (partition by dataset, metric_name order by metric, loc, uid) - 1 as i0, count(*) over (partition by dataset, metric_name) as n from uu join lb using (uid)),
+m as (select *, unnest(range(greatest(1, n // 20), greatest(1, n // 8) + 1)) as min_cnt from r where n >= 10), m2 as (select * from m where n // min_cnt between 9 and 11),
+b as (select dataset, metric_name, min_cnt, i0 // min_cnt as bucket, round(avg(score), 12) as y, round(median(metric::double), 12) as x, 0 as z, count(*) as n from m2 group by 1, 2, 3, 4 having count(*) >= min_cnt), """ + ranked_buckets("dataset, metric_name, min_cnt") + f""",
+c as (select dataset, metric_name, min_cnt, count(*) as groups, case when count(*) >= 2 then {_corr('rx', 'ry')} end as r from k group by 1, 2, 3)
+select dataset, metric_name, min_cnt, groups, round(r, 6) as r from c qualify row_number() over (partition by dataset, metric_name order by abs(round(r, 10)) desc nulls last, min_cnt) = 1"""
 ORACLE["code_level_spearman"] = C + f", k as (select dataset, {avg_rank('su', 'dataset')} as rx, {avg_rank('loc', 'dataset')} as ry from cheap) select dataset, count(*) as n, round({_corr('rx', 'ry')}, 6) as r from k group by 1"
 ORACLE["significance_labels"] = "with t as (select doc_id as uid, case when doc_id % 11 <> 0 then (doc_id % 100) / 1000.0::double end as p from documents) select uid, case when p is null then '' when p < 0.001 then '0.001 ' when p < 0.01 then '<0.01 ' when p < 0.05 then '<0.05 ' else 'n.s.' end as label from t"
 
@@ -149,11 +156,21 @@ p as (select {keys}, k, sum(n) as n, any_value(m) as m, sum(n) filter (x < bp) a
 st as (select {keys}, n, m + s1 / n1 as level_high, m + s2 / n2 as level_low, ss - s1 * s1 / n1 - s2 * s2 / n2 as rss from p where n1 >= 2 and n2 >= 2 qualify row_number() over (partition by {keys} order by round(ss - s1 * s1 / n1 - s2 * s2 / n2, 9), k) = 1)"""
 
 
+def hinge_sql(keys: str, src: str) -> str:
+    return f"""with q as (select {keys}, quantile_cont(x, 0.05::double) as lo, quantile_cont(x, 0.95::double) as hi from {src} group by 1),
+h as (select {keys}, k, x, y, greatest(0.0::double, x - (lo + (hi - lo) * k / 299)) as h from {src} join q using ({keys}), range(300) r(k)),
+m as (select {keys}, k, x - avg(x) over w as x, y - avg(y) over w as y, h - avg(h) over w as h from h window w as (partition by {keys}, k)),
+s as (select {keys}, k, count(*) as n, sum(x * x) as xx, sum(x * h) as xh, sum(h * h) as hh, sum(x * y) as xy_, sum(h * y) as hy, sum(y * y) as yy from m group by 1, 2),
+f as (select {keys}, k, n, case when xx * hh - xh * xh > 1e-9 * xx * hh then yy - (xy_ * hh - hy * xh) / (xx * hh - xh * xh) * xy_ - (hy * xx - xy_ * xh) / (xx * hh - xh * xh) * hy else yy - xy_ * xy_ / xx end as rss from s)
+select {keys}, n, rss from f qualify row_number() over (partition by {keys} order by round(rss, 9), k) = 1"""
+
+
 ORACLE["step_fit"] = XY + ", " + step_sql("dataset", "xy") + " select dataset, n::bigint as n, round(level_high, 6) as level_high, round(level_low, 6) as level_low, round(rss, 6) as rss from st"
 ORACLE["line_by_dataset"] = XY + ", m as (select dataset, x - avg(x) over (partition by dataset) as x, y - avg(y) over (partition by dataset) as y from xy), f as (select sum(x * y) / sum(x * x) as b from m) select 'all' as scope, count(*) as n, count(distinct dataset) as datasets, round(any_value(b), 6) as b, round(sum((y - b * x) ** 2), 6) as rss from m, f"
 ORACLE["information_criteria"] = XY + """, n as (select dataset, count(*) as c from xy group by 1), sc2 as (select 'all' as scope, x, y from xy union all select dataset, x, y from xy join n using (dataset) where c >= 30 union all select 'without_en', x, y from xy where dataset <> 'en'),
 f as (select scope, regr_intercept(y, x) as a, regr_slope(y, x) as b from sc2 group by 1), li as (select scope, count(*) as n, sum((y - a - b * x) ** 2) as rss from sc2 join f using (scope) group by 1), """ + step_sql("scope", "sc2") + """,
-al as (select scope, 'linear' as model, n, rss, 3 as k from li union all select scope, 'step', n::bigint, rss, 4 from st), ic as (select scope, model, n, rss, n * ln(case when rss <= 0 then 1e-12 else rss end / n) + 2 * k as aic, n * ln(case when rss <= 0 then 1e-12 else rss end / n) + k * ln(n) as bic from al)
+hi as (""" + hinge_sql("scope", "sc2") + """),
+al as (select scope, 'linear' as model, n, rss, 3 as k from li union all select scope, 'step', n::bigint, rss, 4 from st union all select scope, 'hinge', n, rss, 5 from hi), ic as (select scope, model, n, rss, n * ln(case when rss <= 0 then 1e-12 else rss end / n) + 2 * k as aic, n * ln(case when rss <= 0 then 1e-12 else rss end / n) + k * ln(n) as bic from al)
 select scope, model, n, round(rss, 5) as rss, round(aic, 5) as aic, round(bic, 5) as bic, round(aic - min(aic) over (partition by scope), 5) as delta_aic, round(bic - min(bic) over (partition by scope), 5) as delta_bic from ic"""
 ORACLE["hinge_by_dataset"] = XY + """, q as (select quantile_cont(x, 0.05::double) as lo, quantile_cont(x, 0.95::double) as hi from xy), h as (select dataset, k, x, y, greatest(0.0::double, x - (lo + (hi - lo) * k / 299)) as h from xy, q, range(300) r(k)),
 m as (select k, x - avg(x) over w as x, y - avg(y) over w as y, h - avg(h) over w as h from h window w as (partition by k, dataset)), s as (select k, count(*) as n, sum(x * x) as xx, sum(x * h) as xh, sum(h * h) as hh, sum(x * y) as xy_, sum(h * y) as hy, sum(y * y) as yy from m group by 1),
@@ -240,21 +257,42 @@ when 2 then name || '("' || said || '", n)' else 'for ' || name || ' in "' || sa
 src as (select dataset, uid, string_agg(code, '' order by i) as text from st group by 1, 2)"""
 ORACLE["complexity"] = f"with {_SOURCES}, " + """n as (select dataset, uid, count(*) filter (kind = 0) as k0, count(*) filter (kind = 1) as k1, count(*) filter (kind = 2) as k2, count(*) filter (kind = 3) as k3, count(*) filter (i % 10 = 0) as f,
 count(distinct name) as names, count(distinct said) as said from sl group by 1, 2),
+fu as (select dataset, uid, i // 10 as fn, count(*) filter (kind = 1) as k1, count(*) filter (kind = 3) as k3, count(distinct name) filter (kind = 1) as names from sl group by 1, 2, 3),
+vo as (select dataset, uid, sum(k1 + k3) as ops, (max(k1) > 0)::int + (max(k3) > 0)::int as signs, sum(names + (k1 + k3 > 0)::int + (k3 > 0)::int) as own from fu group by 1, 2),
+mi as (select dataset, uid, case when ops = 0 then 100.0 else round(least(greatest((171 - 5.2 * ln(3 * ops * log2(signs + own)) - 0.23 * (1 + k1 + k3) - 16.2 * ln(f + k0 + 4 * k1 + k2 + 2 * k3)) * 100 / 171, 0), 100), 2) end::double as maintainability from n join vo using (dataset, uid)),
 h as (select dataset, uid, f + k1 + k3 as cyclomatic, (3 * k1 + 2 * k3)::double as cognitive, 3 + (k0 + k1 > 0)::int + (k1 > 0)::int + (k2 > 0)::int + (k3 > 0)::int as operators,
 3 * f + 2 * k0 + 8 * k1 + 3 * k2 + 6 * k3 as operands, 2 + f + said + names + 2 * (k1 > 0)::int + 3 * (k3 > 0)::int as own from n)
-select dataset, uid, cyclomatic, cognitive, round(operators / 2.0::double * operands / own, 6) as halstead_difficulty from h
-union all select dataset, uid, 1, null, 0.0 from pw where len(w) = 0"""
+select dataset, uid, cyclomatic, cognitive, round(operators / 2.0::double * operands / own, 6) as halstead_difficulty, maintainability from h join mi using (dataset, uid)
+union all select dataset, uid, 1, null, 0.0, 100.0 from pw where len(w) = 0"""
 ORACLE["statement_owners"] = f"with {_SOURCES}, {toks('src')}, " + """sd as (select *, coalesce(sum(case kind when 1 then 3 when 3 then 2 else 1 end + (i % 10 = 0)::int) over (partition by dataset, uid order by i rows between unbounded preceding and 1 preceding), 0)::bigint as base from sl),
 fd as (select *, max(case when i % 10 = 0 then base end) over (partition by dataset, uid order by i) as f, base + (i % 10 = 0)::int as s, i % 10 = 9 or i = top as last from sd),
 ln as (select dataset, uid, i, list_concat(case when i % 10 = 0 then [{'own': f, 'nl': f}] else [] end, case kind when 1 then [{'own': s, 'nl': s}, {'own': s + 1, 'nl': s}, {'own': s, 'nl': s}, {'own': s + 2, 'nl': case when not last then f end}]
 when 3 then [{'own': s, 'nl': s}, {'own': s + 1, 'nl': case when not last then f end}] else [{'own': s, 'nl': case when not last then f end}] end) as rows from fd),
 un as (select dataset, uid, i, unnest(rows) as r, generate_subscripts(rows, 1) as k from ln), nn as (select dataset, uid, r.own as own, r.nl as nl, row_number() over (partition by dataset, uid order by i, k) as line from un)
 select t.dataset, t.uid, case when tok = chr(10) then nl else own end as owner, count(*) as n from tokens t join nn on nn.dataset = t.dataset and nn.uid = t.uid and nn.line = t.line group by 1, 2, 3"""
+_BRACED = """cs as (select *, case when i % 10 = 0 then 'int f' || i::varchar || '(int n) {' || chr(10) else '' end || '    ' || case kind when 0 then name || ' = "' || said || '";' when 1 then 'if (' || name || ' > n) {' || chr(10) || '        n = "' || said || '";' || chr(10) || '    } else {' || chr(10) || '        ' || name || ' = n;' || chr(10) || '    }'
+when 2 then name || '("' || said || '", n);' else 'while (n < ' || name || ') {' || chr(10) || '        n += 1;' || chr(10) || '    }' end || chr(10) || case when i % 10 = 9 or i = top then '}' else '' end as code, case when i % 10 = 9 or i = top then chr(10) else '' end as tail from sl),
+fn as (select dataset, uid, 'f' || (i // 10 * 10)::varchar as function_id, string_agg(code || case when i % 10 = 9 or i = top then '' else tail end, '' order by i) as text, 1 + sum(case kind when 1 then 5 when 3 then 3 else 1 end)::bigint as statements, case when max((kind % 2)::int) > 0 then 2 else 1 end::bigint as deepest from cs group by 1, 2, 3),
+tn as (select dataset, uid, function_id, len(regexp_extract_all(text, '""" + _RE + """'))::bigint as n, statements, 1::bigint as functions, deepest from fn),
+ou as (select dataset, uid, count(*) as f from fn group by 1, 2)"""
+ORACLE["syntax_of_languages"] = f"with {_SOURCES}, {_BRACED} " + """select l as language, dataset, uid, function_id, n, statements, functions, deepest from tn, (values ('c'), ('java')) v(l)
+union all select 'c', dataset, uid, null, f, 0, 0, null from ou union all select 'java', dataset, uid, null, f + 6, 0, 0, 0 from ou"""
+ORACLE["sample_eligibility"] = f"with {_SOURCES}, " + r"""ev as (select dataset, uid, split_part(uid, '_', 1)::bigint as d from pw), fi as (select dataset, uid, sum(1 + (i % 10 = 0)::int + (kind = 3)::int + 3 * (kind = 1)::int) filter (not coalesce(i >= fs, false)) + (any_value(fs) % 10 = 0)::int + 1 as line, any_value(fs) as fs
+from (select *, min(i) filter (kind = 1) over (partition by dataset, uid) as fs from sl) group by 1, 2),
+wh as (select e.dataset, case when d % 7 = 3 then 'not_python' when fs is null then 'no_applicable_if_else: no_if' when d % 5 = 2 or d % 4 = 0 then 'missing_or_invalid_hidden_tests' else 'eligible' end as reason, case when fs is not null then coalesce(line, 1 + (fs % 10 = 0)::int) end as line from ev e left join fi using (dataset, uid))
+select dataset, reason, count(*) as n, sum(line)::bigint as if_lines from wh group by 1, 2"""
 _TOTAL = "select dataset, uid, count(*)::double as total_tokens, max(line)::double as loc, avg(e) as mean_entropy, exp(avg(s)) as ppl, 1.0::double + count(distinct case when {t} then seg end) as su_count_p67 from {x} group by 1, 2"
 ORACLE["pair_comparison"] = f"with {_SOURCES}, " + """swp as (select dataset, uid, string_agg(case when swapped then head || 'if not (' || name || ' > n):' || chr(10) || '        ' || name || ' = n' || chr(10) || '    else:' || chr(10) || '        n = "' || said || '"' || chr(10) else code end, '' order by i) as text from st group by 1, 2 having bool_or(swapped)),
 bef as (select src.* from src semi join swp using (dataset, uid)), """ + f"{toks('bef')}, {toks('swp', 'a_')}, b as ({_TOTAL.format(t=trig(2.4), x='tokens')}), a as ({_TOTAL.format(t=trig(2.4), x='a_tokens')})," + """
 u as (unpivot b on total_tokens, loc, mean_entropy, ppl, su_count_p67 into name metric value before), v as (unpivot a on total_tokens, loc, mean_entropy, ppl, su_count_p67 into name metric value after)
 select dataset, uid, metric, round(before, 6) as before, round(after, 6) as after, round(after - before, 6) as delta, case when after > before then 'increased' when after < before then 'decreased' else 'unchanged' end as change from u join v using (dataset, uid, metric)"""
 
+_ESC = "replace(replace(replace(replace(replace(ltrim(p.tok, ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+ORACLE["highlighted_files"] = T + f""", tp as (select dataset, uid, max(e) as top from tokens group by 1, 2),
+pc as (select p.dataset, p.uid, p.i0, e >= top * 0.9::double as hot, case when regexp_full_match(p.tok, '[{_SPACE}]+') or p.tok = chr(10) then p.tok else left(p.tok, length(p.tok) - length(ltrim(p.tok, ' '))) || case when e >= top * 0.9::double then '<span class="hot" title="' || printf('%.3f', e) || '">' else '<span>' end || {_ESC} || '</span>' end as piece,
+from placed p left join tokens t on t.dataset = p.dataset and t.uid = p.uid and t.char_start = p.char_start left join tp on tp.dataset = p.dataset and tp.uid = p.uid),
+ht as (select dataset, uid, count(*) filter (hot) as n_hot, string_agg(piece, '' order by i0) as html from pc group by 1, 2)
+select f.dataset, f.uid, coalesce(n_hot, 0) as n_hot, length(coalesce(html, '')) as chars, md5(coalesce(html, '')) as digest from files f left join ht on ht.dataset = f.dataset and ht.uid = f.uid"""
+
 for _name in ("file_summary", "line_statistics", "line_comparison"):  # means of thousandths can be exact ties, sums of nothing -0.0
     ORACLE[_name] = ORACLE[_name].replace("round(", "round(1e-9::double + ")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as fx
-from tokenloom.operators import accuracy, bins, compare, correlation, glm, joins, metrics, models, sampling, syntax, units
+from tokenloom.operators import accuracy, bins, compare, correlation, glm, joins, markup, metrics, models, sampling, syntax, units
 from tokenloom.operators import code as source_code
 from tokenloom.operators import tokens as tok
 from tokenloom.sources.readers import relative_data_path
@@ -311,6 +311,18 @@ def threshold_sweep(spark, d):
     return rounded(correlation.spearman(u.join(s, "uid"), ["threshold", "dataset"], "su", "score"), "r")
 
 
+@query
+def threshold_correlations(spark, d):
+    """ST-5: the strongest bucket correlation of unit counts at each of twenty thresholds, by dataset, in one plan."""
+    th = {f"t{k}": 0.5 + 0.12 * k for k in range(20)}
+    t = tokens(spark, d)
+    u = units.unit_counts(t, KEYS, th).join(t.groupBy(*KEYS).agg(F.max("line").alias("loc")), KEYS)
+    s = table(spark, d, "labels").groupBy(F.col("doc_id").alias("uid")).agg(F.max("quality").cast("double").alias("score"))
+    names = [f"num_semantic_units_{k}" for k in th]
+    both = u.join(s, "uid").select(*KEYS, "score", F.col("loc").cast("double").alias("loc"), *(F.col(c).cast("double").alias(c) for c in names))
+    return rounded(correlation.by_metric(both, ["dataset"], names), "r")
+
+
 @query
 def code_level_spearman(spark, d):
     """ST-4: rank correlation over files."""
@@ -358,12 +370,18 @@ def line_by_dataset(spark, d):
 
 @query
 def information_criteria(spark, d):
-    """ST-10, W-9, S-6: AIC and BIC of lines and steps and their distances."""
+    """ST-10, W-9, S-6: AIC and BIC of lines, hinges and steps and their distances."""
     t = models.scopes(_xy(spark, d), "dataset", 30, "en")
-    c = models.compare({"linear": models.linear(t, ["scope"]), "step": models.step(t, ["scope"])}, ["scope"])
+    c = models.compare({"linear": models.linear(t, ["scope"]), "hinge": models.hinge(t, ["scope"]), "step": models.step(t, ["scope"])}, ["scope"])
     return rounded(c, "rss", "aic", "bic", "delta_aic", "delta_bic", places=5)
 
 
+@query
+def model_comparison(spark, d):
+    """ST-9, ST-12: all four models in every scope, with intercepts for datasets too. Iterative; no SQL equivalent."""
+    return models.model_comparison(_xy(spark, d), "dataset", 30, "en")
+
+
 @query
 def hinge_fit(spark, d):
     """ST-7: the best hinge over 300 breakpoints."""
@@ -663,13 +681,21 @@ def highlighted_tokens(spark, d):
     return t.where(F.col("metric_entropy") >= F.col("top") * 0.9).groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
+@query
+def highlighted_files(spark, d):
+    """SNK-11: whole files as markup, tokens at a share of their file's greatest entropy marked."""
+    f = files(spark, d)
+    m = markup.highlighted(f, tok.measure(f, KEYS, form="md5"), KEYS, 0.9)
+    return m.select(*KEYS, "n_hot", F.length("html").cast("long").alias("chars"), F.md5("html").alias("digest"))
+
+
 # -- Python sources out of documents ---------------------------------------------------------------------------------------------------
 
 
 def _swapped(spark, d) -> DataFrame:
     """(dataset, uid, before, after, line_map) of the sources that have an if to swap."""
     s = sources(spark, d)
-    done = sampling.first_applicable(source_code.swap_table(s, KEYS), KEYS).select(*KEYS, F.col("transformed").alias("after"), "line_map")
+    done = sampling.first_applicable(source_code.swap_table(s, KEYS, first=True), KEYS).select(*KEYS, F.col("transformed").alias("after"), "line_map")
     return s.withColumnRenamed("text", "before").join(done, KEYS)
 
 
@@ -712,6 +738,13 @@ def syntax_tokens(spark, d):
     ), "isolated", places=4)
 
 
+@query
+def syntax_of_languages(spark, d):
+    """TOK-8 to 11, TOK-15, TOK-16: tokens, statements and functions of C and Java sources."""
+    parts = [syntax.syntax_rows(sources(spark, d, x), KEYS, form="md5", language=x).withColumn("language", F.lit(x)) for x in ("c", "java")]
+    return parts[0].unionByName(parts[1]).groupBy("language", *KEYS, "function_id").agg(F.count("*").alias("n"), F.count_if("is_statement_start").alias("statements"), F.count_if("is_function_start").alias("functions"), F.max("nesting_depth").alias("deepest"))
+
+
 @query
 def statement_comparison(spark, d):
     """J-9, J-10, W-11: statements of swapped versions with both sides' figures. Parser; no SQL equivalent."""
@@ -724,3 +757,22 @@ def pair_comparison(spark, d):
     s = _swapped(spark, d)
     b, a = (tok.measure(s.select(*KEYS, F.col(c).alias("text")), KEYS, form="md5") for c in ("before", "after"))
     return rounded(syntax.compare_pair(b, a, syntax.line_maps(s, KEYS), KEYS, {"p67": 2.4})["summary"], "before", "after", "delta")
+
+
+@query
+def pair_reports(spark, d):
+    """SNK-9: side-by-side reports of swapped versions. Parser; no SQL equivalent."""
+    s = _swapped(spark, d)
+    b, a = (tok.measure(s.select(*KEYS, F.col(c).alias("text")), KEYS, form="md5") for c in ("before", "after"))
+    lines = syntax.line_maps(s, KEYS)
+    parts = syntax.compare_pair(b, a, lines, KEYS, {"p67": 2.4})
+    return markup.reports(lines, b, a, parts["summary"], KEYS, 2.4)
+
+
+@query
+def sample_eligibility(spark, d):
+    """PF-10: what first keeps each source out of a sample of pairs."""
+    s = sources(spark, d)
+    number = F.regexp_extract("uid", "^([0-9]+)", 1).cast("long")
+    records = s.select(*KEYS, F.when(number % 7 == 3, "C").otherwise("Python").alias("lang_cluster"), F.when(number % 5 != 2, number % 4).alias("n_tests"))
+    return sampling.eligibility(records, source_code.swap_table(s, KEYS, first=True), KEYS).groupBy("dataset", "reason").agg(F.count("*").alias("n"), F.sum("if_line").alias("if_lines"))

@@ -11,6 +11,11 @@ KEYS = ["dataset", "uid"]
 THRESHOLDS = {"p67": 2.01, "p80": 2.4}
 #: Python sources out of documents: words in a statement, statements in a function, and functions in a source.
 WORDS, STATEMENTS, FUNCTIONS = 8, 10, 5
+_BRACES = (("int f", "(int n) {\n"), "{w} = {s};", "if ({w} > n) {\n        n = {s};\n    } else {\n        {w} = n;\n    }", "{w}({s}, n);", "while (n < {w}) {\n        n += 1;\n    }", "}\n")
+TEMPLATES = {
+    "python": (("def f", "(n):\n"), "{w} = {s}", "if {w} > n:\n        n = {s}\n    else:\n        {w} = n", "{w}({s}, n)", "for {w} in {s}:\n        n += 1", ""),
+    "c": _BRACES, "java": _BRACES,
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +45,8 @@ def cheap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(scores, "uid", "left").select("dataset", "uid", "cluster", "su", "loc", "words", "score")
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dataset, uid, text): Python sources made of the words of documents, every word of every text.
+def sources(spark: SparkSession, sf_dir: str, language: str = "python") -> DataFrame:
+    """(dataset, uid, text): Python, C or Java sources made of the words of documents, every word of every text.
 
     A text's words (runs of A-Z and a-z) make statements of eight, functions of ten statements and sources of five
     functions, so that a long text gives many sources; uid is the document's id and the source's number. A statement's
@@ -55,16 +60,29 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         last = (F.ceil(F.size(w) / n) - 1).cast("int")
         return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(w, k * n + 1, n))
 
+    # function head, assignment, if with else, call, loop, end of a function: {w} is the name, {s} the words in quotes
+    head, given, branch, call, loop, end = TEMPLATES[language]
+
+    def filled(template: str, name, said):
+        parts = [p for part in template.split("{w}") for p in (F.lit("{w}"), part)][1:]
+        pieces = []
+        for p in parts:
+            if not isinstance(p, str):
+                pieces.append(name)
+                continue
+            for k, piece in enumerate(p.split("{s}")):
+                pieces += ([said] if k else []) + [F.lit(piece)]
+        return F.concat(*pieces)
+
     def statement(w, k):
         name, said = F.concat(F.lit("w"), w[0]), F.concat(F.lit('"'), F.array_join(w, " "), F.lit('"'))
         kind = F.length(said) % 4  # two quotes more than the words
-        head = F.when(k % STATEMENTS == 0, F.concat(F.lit("def f"), k.cast("string"), F.lit("(n):\n"))).otherwise("")
-        body = F.when(kind == 2, F.concat(name, F.lit(" = "), said))
-        body = body.when(kind == 3, F.concat(F.lit("if "), name, F.lit(" > n:\n        n = "), said, F.lit("\n    else:\n        "), name, F.lit(" = n")))
-        body = body.when(kind == 0, F.concat(name, F.lit("("), said, F.lit(", n)"))).otherwise(F.concat(F.lit("for "), name, F.lit(" in "), said, F.lit(":\n        n += 1")))
-        return F.concat(head, F.lit("    "), body, F.lit("\n"))
+        begins = F.when(k % STATEMENTS == 0, F.concat(F.lit(head[0]), k.cast("string"), F.lit(head[1]))).otherwise("")
+        ends = F.when((k % STATEMENTS == STATEMENTS - 1) | (k == F.ceil(F.size("words") / WORDS) - 1), end).otherwise("")
+        body = F.when(kind == 2, filled(given, name, said)).when(kind == 3, filled(branch, name, said)).when(kind == 0, filled(call, name, said)).otherwise(filled(loop, name, said))
+        return F.concat(begins, F.lit("    "), body, F.lit("\n"), ends)
 
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("dataset"), "doc_id", words.alias("words"))
     parts = docs.select("dataset", "doc_id", F.posexplode(cut(F.col("words"), size)).alias("part", "words"))
-    text = F.when(F.size("words") > 0, F.array_join(F.transform(cut(F.col("words"), WORDS), statement), "")).otherwise("")
+    text = F.when(F.size("words") > 0, F.concat(F.lit("class A {\n" if language == "java" else ""), F.array_join(F.transform(cut(F.col("words"), WORDS), statement), ""), F.lit("}\n" if language == "java" else ""))).otherwise("")
     return parts.select("dataset", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("part").cast("string")).alias("uid"), text.alias("text"))

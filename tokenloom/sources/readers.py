@@ -44,6 +44,13 @@ def token_tree(spark: SparkSession, root: str, pattern: str = "result_*.parquet"
     return conform(named)
 
 
+def token_table(spark: SparkSession, path: str) -> DataFrame:
+    """One token table. A path that is missing, and a file that is no Parquet file by its name, is an error at once."""
+    if not path.endswith(".parquet"):
+        raise ValueError(f"not a Parquet file: {path}")
+    return conform(spark.read.schema(TOKENS).option("recursiveFileLookup", "true").parquet(path))
+
+
 def entropy_only(spark: SparkSession, root: str) -> DataFrame:
     """The one column that pooled percentiles need."""
     return token_tree(spark, root).select("metric_entropy").where("metric_entropy is not null")
@@ -189,4 +196,6 @@ def task_dirs(files: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def same_code(cases: DataFrame, tasks: DataFrame) -> DataFrame:
     """Cases whose trimmed code is their task's."""
-    return cases.join(tasks.select("uid", F.trim("code").alias("__code")), "uid").where(F.trim("text") == F.col("__code")).drop("__code")
+    # line breaks around a code do not count, spaces do
+    bare = lambda c: F.regexp_replace(c, "^\n+|\n+$", "")
+    return cases.join(tasks.select("uid", bare("code").alias("__code")), "uid").where(bare("text") == F.col("__code")).drop("__code")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import html
 import json
 import os
@@ -14,9 +15,17 @@ from tokenloom.functions.text import first_number
 from tokenloom.schema import SUMMARY, conform
 
 
-def write_tokens(tokens: DataFrame, meta: DataFrame, path: str) -> None:
-    """Flat token rows with their file's metadata (columns meta_*) on every row; both have dataset and uid."""
-    tokens.join(meta, ["dataset", "uid"], "left").write.mode("errorifexists").partitionBy("dataset", "uid").parquet(path)
+def write_tokens(tokens: DataFrame, meta: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Flat token rows with their file's metadata (columns meta_*) on every row; both have dataset and uid.
+
+    A folder for each file, as far as a store bears it; with buckets, one for each hash of the file, its rows sorted by file.
+    """
+    rows = tokens.join(meta, ["dataset", "uid"], "left")
+    if buckets:
+        dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("dataset", "uid"), F.lit(buckets)).cast("int"))
+        dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "dataset", "uid", *(c for c in ("pos",) if c in rows.columns)).write.mode("errorifexists").partitionBy("bucket").parquet(path)
+        return
+    rows.write.mode("errorifexists").partitionBy("dataset", "uid").parquet(path)
 
 
 def documents(tokens: DataFrame, meta: DataFrame) -> DataFrame:
@@ -64,6 +73,22 @@ def atomic_json(path: str, value) -> None:
     os.replace(part, target)
 
 
+def atomic_csv(path: str, rows: list[dict], fields: list[str]) -> None:
+    """A small CSV file of the driver with a header, whole or not at all; a row with other fields is an error."""
+    target = Path(path)
+    part = target.with_name(target.name + ".part")
+    with part.open("w", newline="", encoding="utf-8") as f:
+        out = csv.DictWriter(f, fields, lineterminator="\n")
+        out.writeheader()
+        out.writerows(rows)
+    os.replace(part, target)
+
+
+def write_reports(reports: DataFrame, path: str) -> None:
+    """Documents of markup.reports(), each in a folder of its pair."""
+    reports.write.mode("errorifexists").partitionBy(*(c for c in reports.columns if c != "report")).text(path)
+
+
 def new_folder(parent: str, name: str) -> str:
     """A fresh output folder; an existing one is an error."""
     target = Path(parent) / name
