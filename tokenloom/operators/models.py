@@ -162,20 +162,21 @@ def _logistic_rounds(sums: DataFrame, own: list[str], intercepts: str | None) ->
     """
     spark = sums.sparkSession
     level = F.col(intercepts).cast("string") if intercepts else F.lit("")
-    table = sums.select(*own, F.coalesce(level, F.lit("\0")).alias("__level"), "x", "n", (F.col("s") / F.col("n")).alias("mean"), (F.col("ss") - F.col("s") * F.col("s") / F.col("n")).alias("within"), "lo", "hi")
-    groups = table.groupBy(*own).agg(
+    table = sums.select(*(F.col(k).alias(f"__own{i}") for i, k in enumerate(own)), F.coalesce(level, F.lit("\0")).alias("__level"), "x", "n", (F.col("s") / F.col("n")).alias("mean"), (F.col("ss") - F.col("s") * F.col("s") / F.col("n")).alias("within"), "lo", "hi")
+    mine = [f"__own{i}" for i in range(len(own))]
+    groups = table.groupBy(*mine).agg(
         F.sum("n").alias("n"), F.sum("within").alias("within"), F.greatest(F.min("lo"), F.lit(0.0)).alias("lo"), F.least(F.max("hi"), F.lit(1.0)).alias("hi"), F.min("x").alias("first"), F.max("x").alias("last"),
         F.percentile_approx("x", [0.25, 0.5, 0.75], 10000).alias("q"), F.sort_array(F.collect_set("__level")).alias("levels"),
     ).collect()
-    place = ", ".join(f"`__{k}` {sums.schema[k].dataType.simpleString()}" for k in own)
+    place = ", ".join(f"__of{i} {sums.schema[k].dataType.simpleString()}" for i, k in enumerate(own))
 
     def evaluate(trials: list[tuple]) -> dict:
         """Normal matrix, gradient and residual sum of each (group, start, proposal, parameters)."""
-        rows = [(*(groups[g][k] for k in own), g, t, u, *map(float, p[:4]), {v: float(s) for v, s in zip(groups[g]["levels"], [0.0, *p[4:]], strict=True)}) for g, t, u, p in trials]
+        rows = [(*(groups[g][k] for k in mine), g, t, u, *map(float, p[:4]), {v: float(s) for v, s in zip(groups[g]["levels"], [0.0, *p[4:]], strict=True)}) for g, t, u, p in trials]
         small = spark.createDataFrame(rows, f"{place}, g int, t int, u int, a double, b double, k double, x0 double, shift map<string, double>")
         same = F.lit(True)
-        for c in own:
-            same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        for i, c in enumerate(mine):
+            same = same & F.col(c).eqNullSafe(F.col(f"__of{i}"))
         met = table.join(F.broadcast(small), same)  # twelve curves of a group, four proposals each
         z = F.least(F.greatest(F.col("k") * (F.col("x") - F.col("x0")), F.lit(-500.0)), F.lit(500.0))
         met = met.withColumn("q", 1 / (1 + F.exp(-z))).withColumn("w", (F.col("b") - F.col("a")) * F.col("q") * (1 - F.col("q")))
@@ -243,7 +244,7 @@ def _logistic_rounds(sums: DataFrame, own: list[str], intercepts: str | None) ->
     rows = []
     for g, row in enumerate(groups):
         s = min((state[g, t] for t in range(12)), key=lambda s: s["at"][2])
-        rows.append((*(row[k] for k in own), int(row["n"]), *map(float, s["p"][:4]), float(s["at"][2] + row["within"])))
+        rows.append((*(row[k] for k in mine), int(row["n"]), *map(float, s["p"][:4]), float(s["at"][2] + row["within"])))
     return spark.createDataFrame(rows, ", ".join(f"`{k}` {sums.schema[k].dataType.simpleString()}" for k in own) + ", n long, low double, high double, k double, x0 double, rss double")
 
 

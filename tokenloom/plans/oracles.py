@@ -276,7 +276,7 @@ fn as (select dataset, uid, 'f' || (i // 10 * 10)::varchar as function_id, strin
 tn as (select dataset, uid, function_id, len(regexp_extract_all(text, '""" + _RE + """'))::bigint as n, statements, 1::bigint as functions, deepest from fn),
 ou as (select dataset, uid, count(*) as f from fn group by 1, 2)"""
 ORACLE["syntax_of_languages"] = f"with {_SOURCES}, {_BRACED} " + """select l as language, dataset, uid, function_id, n, statements, functions, deepest from tn, (values ('c'), ('java')) v(l)
-union all select 'c', dataset, uid, null, f, 0, 0, null from ou union all select 'java', dataset, uid, null, f + 6, 0, 0, 0 from ou"""
+union all select 'c', dataset, uid, null, f, 0, 0, null from ou union all select 'java', dataset, uid, null, f + 7, 0, 0, 0 from ou"""
 ORACLE["sample_eligibility"] = f"with {_SOURCES}, " + r"""ev as (select dataset, uid, split_part(uid, '_', 1)::bigint as d from pw), fi as (select dataset, uid, sum(1 + (i % 10 = 0)::int + (kind = 3)::int + 3 * (kind = 1)::int) filter (not coalesce(i >= fs, false)) + (any_value(fs) % 10 = 0)::int + 1 as line, any_value(fs) as fs
 from (select *, min(i) filter (kind = 1) over (partition by dataset, uid) as fs from sl) group by 1, 2),
 wh as (select e.dataset, case when d % 7 = 3 then 'not_python' when fs is null then 'no_applicable_if_else: no_if' when d % 5 = 2 or d % 4 = 0 then 'missing_or_invalid_hidden_tests' else 'eligible' end as reason, case when fs is not null then coalesce(line, 1 + (fs % 10 = 0)::int) end as line from ev e left join fi using (dataset, uid))
