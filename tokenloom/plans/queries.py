@@ -12,6 +12,7 @@ from tokenloom.functions import text as fx
 from tokenloom.operators import accuracy, bins, compare, correlation, glm, joins, markup, metrics, models, sampling, syntax, units
 from tokenloom.operators import code as source_code
 from tokenloom.operators import tokens as tok
+from tokenloom.operators.ranks import written
 from tokenloom.sources.readers import relative_data_path
 from tokenloom.plans import audit as frozen
 from tokenloom.plans.tables import KEYS, THRESHOLDS, cheap, files, sources, table, tokens
@@ -696,7 +697,7 @@ def _swapped(spark, d) -> DataFrame:
     """(dataset, uid, before, after, line_map) of the sources that have an if to swap."""
     s = sources(spark, d)
     done = sampling.first_applicable(source_code.swap_table(s, KEYS, first=True), KEYS).select(*KEYS, F.col("transformed").alias("after"), "line_map")
-    return s.withColumnRenamed("text", "before").join(done, KEYS)
+    return written(s.withColumnRenamed("text", "before").join(done, KEYS))  # both versions are read several times
 
 
 @query
