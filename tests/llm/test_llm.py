@@ -14,6 +14,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from written_pii import SENTENCES
+
 from tokenloom.llm import bpe, embeddings, licenses, linechunks, packing, pii, repair, simhash, sketches, toxicity, vocab
 from tokenloom.llm.components import component_roots
 from tokenloom.llm._common import Scratch
@@ -100,6 +102,41 @@ def test_field_has_no_edges():
     assert added("@" * 200) == [] and added("a@" * 100) == []
 
 
+def test_field_has_no_caps():
+    """Chains of any length, any signs between groups, lines between groups, dotted numbers in any writing."""
+    find = pii.Finder(pii.train())
+    added = lambda t: [(t[a:b], k) for a, b, k in find(t)[1]]
+    letters = [chr(97 + k % 26) for k in range(60)]
+    for name in (".".join(letters), "-".join(letters), " dot ".join(letters), " [dot] ".join(letters), "ab." * 5000 + "z"):
+        for at, dot in ((" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "(dot)")):
+            assert added(f"we say\n{name}{at}mail{dot}com") == [(f"{name}{at}mail{dot}com", "email")]
+    for gap in (" ---- ", "     ", " ...... ", "\n"):
+        assert added("card " + gap.join(["4111", *["1111"] * 3]) + " ok") == [(gap.join(["4111", *["1111"] * 3]), "card")]
+    for dot in ("[.]", " . ", "(.)", " dot ", "[dot]", " [dot] "):
+        for parts in (("10", "0", "0", "1"), ("192", "168", "10", "15")):
+            assert added(f"from {dot.join(parts)} it came") == [(dot.join(parts), "ip")]
+        assert added(f"from {dot.join(('300', '1', '1', '1'))} it came") == [] and added(f"from {dot.join('12345')} it came") == []
+    assert added("Phone +49 (0) 30 / 1234567.") == [("+49 (0) 30 / 1234567", "phone")] and added("call 0049 30 1234567") == [("0049 30 1234567", "phone")]
+    assert added("4111 1111\n\n1111 1111") == []
+
+
+def test_field_on_written_sentences():
+    """Whole spans found in sentences that share nothing with the generator."""
+    text, gold = "", set()
+    for part in re.split(r"(\{\{.*?\}\})", SENTENCES.strip(), flags=re.S):
+        kind, bar, value = part[2:-2].partition("|") if part[:2] == "{{" else ("", "", part)
+        value = value if bar else part
+        if bar:
+            gold.add((len(text), len(text) + len(value), kind))
+        text += value
+    base, added = pii.Finder(pii.train())(text)
+    got = set(base) | set(added)
+    right = len(gold & got)
+    wrong, missed = ([(k, text[a:b]) for a, b, k in sorted(s)] for s in (got - gold, gold - got))
+    assert right + len(missed) >= 55
+    assert right >= 0.85 * (right + len(missed)) and right >= 0.85 * (right + len(wrong)), (right, wrong, missed)
+
+
 def test_field_on_unseen_sentences():
     """Precision and recall of added spans, on generated sentences that training has not seen."""
     find, source = pii.Finder(pii.train()), pii._sentences(random.Random(99))

@@ -1,8 +1,8 @@
 """Personal data in whole texts: fixed patterns, and spans that a semi-Markov conditional random field adds.
 
-The field scores whole candidate segments (bounded in tokens) by features of the span: digit grouping, checksums,
-separators, ends, and cue words beside it. Dynamic programming over a region's tokens chooses boundaries and kinds
-jointly. It is trained here, by stochastic gradient on the exact log-likelihood, on generated sentences.
+The field scores whole candidate segments by features of the span: digit grouping, checksums, separators, ends, and
+cue words beside it. A segment is as long as what it may be: a number ends with its digits, an address and a dotted
+number with the chain of their parts. Dynamic programming over a region's tokens chooses boundaries and kinds jointly. It is trained here, by stochastic gradient on the exact log-likelihood, on generated sentences.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from tokenloom.llm._common import arrow_batches, numbered, only_remember, per_te
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: Tokens of a segment at most, digits of a number at least and at most, characters before a segment that its cues are sought in.
-SEGMENT, DIGITS, MOST_DIGITS, CONTEXT = 40, 7, 19, 32
+#: Digits of a number at least and at most, characters before a segment that its cues are sought in.
+DIGITS, MOST_DIGITS, CONTEXT = 7, 19, 32
 #: Log-odds by which the best labelling must beat the one without a span for the span to be reported.
 MARGIN = 1.0
 
@@ -80,15 +80,27 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # -- the semi-Markov field --------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[\n+(@]|[^A-Za-z0-9\n+(@]+")
-_OBSCURED = re.compile(r"[\[({] ?(?:at|AT) ?[\])}]")
-_SPOKEN = re.compile(r"(?<=[A-Za-z0-9]) (?:at|AT) (?=[A-Za-z0-9-]+(?: (?:dot|DOT) [A-Za-z0-9-]+)+)")
-#: A stretch of numbers: digits with at most four signs between two of them, and the sign that can stand before.
-_STRETCH = re.compile(r"[+(]{0,2}[0-9](?:[^0-9A-Za-z@\n]{0,4}[0-9]){6,}")
+#: A stretch of numbers: digits with any signs between two of them, and the sign that can stand before.
+_STRETCH = re.compile(r"[+(]{0,2}[0-9](?:[^0-9A-Za-z@]*+[0-9]){6,}")
+#: Writings of the sign for @, and of the dot: in brackets or as words, and as a sign between spaces (which can also end a sentence).
+_AT_BRACKETS = re.compile(r"[\[({<][ \t]*+(?:[aA][tT]|@)[ \t]*+[\])}>]")
+_DOT = r"(?:[ \t]*+[\[({<][ \t]*+(?:[dD][oO][tT]|\.)[ \t]*+[\])}>][ \t]*+|[ \t]++[dD][oO][tT][ \t]++)"
+_TOD = r"(?:[ \t]*+[\])}>][ \t]*+(?:[tT][oO][dD]|\.)[ \t]*+[\[({<][ \t]*+|[ \t]++[tT][oO][dD][ \t]++)"
+_LOOSE = r"[ \t]++\.[ \t]++"
+_AT_WORD = re.compile(rf"(?<=[ \t])[aA][tT](?=[ \t]++[A-Za-z0-9.-]++{_DOT})")
+_HAS_DOT = re.compile(r"[dD][oO][tT]|[\[({<][ \t]*+\.")
+_RUN, _NAME = r"[A-Za-z0-9._%+-]++", r"[A-Za-z0-9.-]++"
+#: The chain of parts before a sign for @, read backwards, and after it; each as far as sure dots go, and as loose ones go.
+_BEFORE = [re.compile(rf"[ \t]*+({_RUN}(?:{dot}{_RUN})*+)") for dot in (_TOD, rf"(?:{_TOD}|{_LOOSE})")]
+_AFTER = [re.compile(rf"[ \t]*+({_NAME}(?:{dot}{_NAME})*+)") for dot in (_DOT, rf"(?:{_DOT}|{_LOOSE})")]
+#: A chain of numbers with dots, however these are written.
+_CHAIN = re.compile(rf"[0-9]++(?:(?:{_DOT}|[ \t]*+\.[ \t]*+)[0-9]++)*+")
 _CUES = {
     "email": ("email", "mail", "contact", "write"), "ip": ("ip", "host", "server", "address", "login"),
     "card": ("card", "visa", "mastercard", "credit", "payment"), "phone": ("phone", "tel", "call", "mobile", "fax", "telephone"),
 }
-_DOTTED = re.compile(r" ?[\[({] ?(?:dot|DOT) ?[\])}] ?| (?:dot|DOT) ")
+_PLAIN_DOT = re.compile(rf"{_DOT}|{_LOOSE}")
+_PLAIN_AT = re.compile(r"[ \t]*+(?:[\[({<][ \t]*+(?:[aA][tT]|@)[ \t]*+[\])}>]|@)[ \t]*+|[ \t]++[aA][tT][ \t]++")
 _ENDINGS = frozenset("com org net edu gov io de fr es it uk eu info".split())
 _EMAIL_LIKE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 
@@ -97,35 +109,48 @@ def shape_features(kind: str, shape: str, cue: bool) -> list[str]:
     """Features that hang on a span's shape alone: a number with every digit as 0, an address as it stands."""
     out = ["bias", f"cue={cue}"]
     if kind == "email":
-        plain = _DOTTED.sub(".", _OBSCURED.sub("@", _SPOKEN.sub("@", shape))).replace(" @ ", "@").replace(" @", "@").replace("@ ", "@")
+        plain = _PLAIN_DOT.sub(".", _PLAIN_AT.sub("@", shape))
+        spoken = "@" not in shape and not _AT_BRACKETS.search(shape)
         out.append(f"whole={bool(_EMAIL_LIKE.fullmatch(plain))}")
-        out.append(f"spaces={plain.count(' ') > 0}")
-        out.append(f"spoken={bool(_SPOKEN.search(shape))},{plain.rpartition('.')[2].lower() in _ENDINGS}")
+        out.append(f"loose={' . ' in shape}")
+        out.append(f"spoken={spoken},{plain.rpartition('.')[2].lower() in _ENDINGS}")
         return out
     seps = "".join(sorted(set(re.sub(r"[0-9A-Za-z]", "", shape))))
     groups = [len(g) for g in re.findall(r"[0-9]+", shape)]
+    if kind == "ip":
+        return [*out, f"written={'letters' if re.search('[A-Za-z]', shape) else seps}"]
     digits = f"digits={min(sum(groups), 20)}"
     grouped = f"groups={'-'.join(map(str, groups)) if len(groups) <= 6 else 'many'}"
-    letters = bool(re.search(r"[A-Za-z]", shape))
-    return [*out, digits, f"seps={seps}", grouped, f"letters={letters}", f"plus={shape[0] == '+'}", f"even={len(set(groups[:-1])) == 1}", f"cue={cue},{digits}", f"cue={cue},{grouped}"]
+    gaps = re.findall(r"[^0-9]+", shape[1:])
+    even = f"even={len(groups) > 1 and len(set(groups[:-1])) == 1 and groups[-1] <= groups[0]}"
+    return [
+        *out, digits, f"seps={seps}", grouped, f"plus={shape[0] == '+'}", even, f"cue={cue},{digits}", f"cue={cue},{grouped}", f"cue={cue},n={min(len(groups), 7)}",
+        f"gap={min(max(map(len, gaps), default=0), 4)}", f"gaps={min(len({g.strip(' ()') for g in gaps}), 3)}", f"lines={chr(10) in shape}", f"closed={shape.count('(') == shape.count(')')}", f"last={min(groups[-1], 8)}",
+    ]
 
 
 def value_features(kind: str, span: str) -> list[str]:
     """Features of a number's digits."""
     if kind == "card":
         d = _digits(span)
-        return [f"luhn={13 <= len(d) <= 19 and luhn(d)}"]
+        good, groups = 13 <= len(d) <= 19 and luhn(d), [len(g) for g in re.findall(r"[0-9]+", span)]
+        return [f"luhn={good}", f"luhn={good},{len(set(groups[:-1])) <= 1}", f"luhn={good},lines={chr(10) in span}"]
     if kind == "ip":
-        parts = span.split(".")
-        return [f"parts={len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)}"]
+        return [f"parts={all(len(p) <= 3 and int(p) <= 255 for p in re.findall(r'[0-9]+', span))}"]
+    if kind == "phone":
+        lead = "plus" if span[0] == "+" else "open" if span[0] == "(" else "00" if span[:2] == "00" else "0" if span[0] == "0" else "other"
+        return [f"lead={lead}", f"lead={lead},{min(len(re.findall('[0-9]+', span)), 5)}"]
     return []
 
 
+_LEADS, _GOES_ON = re.compile(r"[0-9][ ./-]{1,3}\Z"), re.compile(r"[ ./-]{1,3}[0-9]")
+
+
 def side_features(before: str, after: str) -> list[str]:
     """Features of the characters on both sides."""
     left = "edge" if not before else "word" if before[-1].isalnum() else before[-1] if before[-1] in " \n\"'(:=,." else "mark"
     right = "edge" if not after else "word" if after[0].isalnum() else "sign" if after[0] in "-+/=%" else "mark"
-    return [f"left={left}", f"right={right}"]
+    return [f"left={left}", f"right={right}", f"goes on={bool(_LEADS.search(before))},{bool(_GOES_ON.match(after))}"]
 
 
 _ZEROS = str.maketrans("123456789", "000000000")
@@ -146,24 +171,67 @@ def span_features(kind: str, span: str, before: str, after: str) -> list[str]:
     return [f"{kind}:{f}" for f in found]
 
 
-def _kinds_of(digits: int, dots: int) -> list[str]:
-    """Kinds that a number is tried as; its shape rules out the others."""
-    return [kind for kind, fits in (("phone", DIGITS <= digits <= 15), ("card", 13 <= digits <= MOST_DIGITS), ("ip", digits <= 12 and dots == 3)) if fits]
+def _kinds_of(digits: int) -> list[str]:
+    """Kinds that a number is tried as; its digits rule out the others."""
+    return [kind for kind, fits in (("phone", DIGITS <= digits <= 15), ("card", 13 <= digits <= MOST_DIGITS)) if fits]
 
 
-def _address(span: str) -> bool:
-    """Whether a segment is tried as an address."""
-    return "@" in span or bool(_OBSCURED.search(span) or _SPOKEN.search(span))
+def chains(text: str, base: list[tuple[int, int]] = ()) -> dict[int, list[tuple[int, str]]]:
+    """Candidate addresses and dotted numbers of a text by their ends: (start, kind).
 
+    About each sign for @ outside the stretches of base, an address takes the whole chain of parts on both sides, with
+    loose dots or without; a dotted number is a whole chain of four numbers, of three digits at most. Linear in the text.
+    """
+    out: dict[int, list[tuple[int, str]]] = {}
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_right(base, a, key=lambda t: t[1])
+        return k == len(base) or b <= base[k][0]
+
+    signs = {m.span() for m in _AT_BRACKETS.finditer(text)} if "at" in text or "AT" in text or "At" in text or "@" in text else set()
+    inside = {p for a, b in signs for p in range(a, b) if text[p] == "@"}
+    signs |= {m.span() for m in re.finditer("@", text) if m.start() not in inside} if "@" in text else set()
+    if _HAS_DOT.search(text):
+        signs |= {m.span() for m in _AT_WORD.finditer(text)}
+    floor = 0
+    for a, b in sorted(signs):
+        if free(a, b):
+            floor = max(floor, text.rfind("\n", floor, a) + 1)
+            back = text[floor:a][::-1]
+            starts, ends = set(), set()
+            for before, after in zip(_BEFORE, _AFTER, strict=True):
+                left, right = before.match(back), after.match(text, b)
+                if left and right:
+                    low, high = a - left.end(1), right.end(1)
+                    while low < a and not text[low].isalnum():
+                        low += 1
+                    while high > b and not text[high - 1].isalnum():
+                        high -= 1
+                    if low < a and high > b and text[b:high].strip(" \t.-"):
+                        starts.add(low)
+                        ends.add(high)
+            for high in ends:
+                out.setdefault(high, []).extend((low, "email") for low in sorted(starts, reverse=True))
+        floor = b
+    for m in _CHAIN.finditer(text) if _DIGIT.search(text) else ():
+        a, b = m.span()
+        if b - a >= 7 and not m.group().isdigit():
+            parts = re.findall("[0-9]+", m.group())
+            if len(parts) == 4 and max(map(len, parts)) <= 3 and free(a, b):
+                out.setdefault(b, []).append((a, "ip"))
+    return out
 
-def segments(text: str, low: int, high: int, taken: list[tuple[int, int]] = ()) -> tuple[list[tuple[int, int]], Iterator[list[tuple[int, str]]]]:
+
+def segments(
+    text: str, low: int, high: int, taken: list[tuple[int, int]] = (), found_chains: dict[int, list[tuple[int, str]]] | None = None,
+) -> tuple[list[tuple[int, int]], Iterator[list[tuple[int, str]]]]:
     """Tokens of text[low:high], and for each token's end the segments (first token, kind) that end there, one after another.
 
-    A segment has at most SEGMENT tokens, no newline, a letter or digit at its end, one or +( at its beginning, and
-    overlaps none of the stretches taken. A number has up to MOST_DIGITS digits and no letter; an address one sign or
-    word for @.
+    A segment overlaps none of the stretches taken. A number has DIGITS to MOST_DIGITS digits, any signs between them, no
+    letter and no blank line, and begins with a digit or with one or two of +( before it; all else comes from `chains`.
     """
     tokens = [m.span() for m in _TOKEN.finditer(text, low, high)]
+    whole = chains(text, taken) if found_chains is None else found_chains
 
     def ending() -> Iterator[list[tuple[int, str]]]:
         taken_at = 0
@@ -173,28 +241,33 @@ def segments(text: str, low: int, high: int, taken: list[tuple[int, int]] = ())
                 taken_at += 1
             floor = taken[taken_at - 1][1] if taken_at else 0
             inside = taken_at < len(taken) and taken[taken_at][0] < end
-            if text[last].isalnum() and not inside:
-                digits, dots, ats, letters = 0, 0, 0, False
-                for i in range(j, max(-1, j - SEGMENT), -1):
+            if not inside and "0" <= text[last] <= "9":
+                digits, lines, first = 0, 0, last
+                for i in range(j, -1, -1):
                     a, b = tokens[i]
                     c = text[a]
-                    if a < floor or c == "\n":
+                    if a < floor:
                         break
                     if "0" <= c <= "9":
-                        digits += b - a
-                    elif c == "@" or text[a:b] in ("at", "AT"):
-                        ats, letters = ats + 1, True
-                    elif c.isascii() and c.isalpha():
-                        letters = True
-                    else:
-                        dots += text.count(".", a, b)
-                    if ats > 1 or not letters and digits > MOST_DIGITS:
+                        digits, lines, first = digits + b - a, 0, a
+                        if digits > MOST_DIGITS:
+                            break
+                    elif c == "\n":
+                        lines += 1
+                        if lines > 1:
+                            break
+                        continue
+                    elif c == "@" or c.isascii() and c.isalpha():
                         break
-                    if letters:
-                        if ats and c.isalnum() and _address(text[a:end]):
-                            found.append((i, "email"))
-                    elif digits >= DIGITS and (c.isalnum() or c in "+("):
-                        found += [(i, kind) for kind in _kinds_of(digits, dots)]
+                    elif c not in "+(" or b != first and (b != first - 1 or text[b] not in "+("):
+                        continue
+                    if digits >= DIGITS:
+                        found += [(i, kind) for kind in _kinds_of(digits)]
+            if not inside and end in whole:
+                for a, kind in whole[end]:
+                    i = bisect_left(tokens, a, key=lambda t: t[0])
+                    if a >= max(floor, low) and tokens[i][0] == a:
+                        found.append((i, kind))
             yield found
 
     return tokens, ending()
@@ -206,7 +279,7 @@ def lattice(text: str) -> tuple[list[tuple[int, int]], list[list[tuple[int, str,
     ending: list[list] = [[]]
     for found in ends:
         end = tokens[len(ending) - 1][1]
-        ending.append([(i, kind, span_features(kind, text[(a := tokens[i][0]) : end], text[max(0, a - CONTEXT) : a], text[end : end + 1])) for i, kind in found])
+        ending.append([(i, kind, span_features(kind, text[(a := tokens[i][0]) : end], text[max(0, a - CONTEXT) : a], text[end : end + 4])) for i, kind in found])
     return tokens, ending
 
 
@@ -227,6 +300,8 @@ class Scorer:
 
     @staticmethod
     def _held(known: dict, key, make, most: int = 20_000):
+        if len(key) == 3 and len(key[1]) > 200:
+            return make()
         value = known.get(key)
         if value is None:
             if len(known) >= most:
@@ -235,21 +310,21 @@ class Scorer:
         return value
 
     def __call__(self, kind: str, text: str, a: int, b: int) -> float:
-        span, before, after = text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + 1]
+        span, before, after = text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + 4]
         cue = self._held(self.cues, (kind, before), lambda: has_cue(kind, before))
         key = (kind, _shape(kind, span), cue)
         score = self._held(self.shapes, key, lambda: self._sum(kind, shape_features(*key)))
-        score += self._held(self.sides, (kind, before[-1:], after), lambda: self._sum(kind, side_features(before, after)))
-        return score + self._sum(kind, value_features(kind, span)) if kind in ("card", "ip") else score
+        score += self._held(self.sides, (before[-4:].translate(_ZEROS), kind, after.translate(_ZEROS)), lambda: self._sum(kind, side_features(before, after)))
+        return score + self._sum(kind, value_features(kind, span)) if kind != "email" else score
 
 
-def decode(text: str, scorer: Scorer, low: int = 0, high: int | None = None, taken: list[tuple[int, int]] = ()) -> list[tuple[int, int, str]]:
+def decode(text: str, scorer: Scorer, low: int = 0, high: int | None = None, taken: list[tuple[int, int]] = (), found_chains: dict | None = None) -> list[tuple[int, int, str]]:
     """Spans of the best labelling of text[low:high]. A segment that does not beat its tokens unlabelled by MARGIN is none.
 
     Segments are made and scored as the search comes to their ends, and forgotten: what is held is a number and at most
     one segment for each token.
     """
-    tokens, ends = segments(text, low, len(text) if high is None else high, taken)
+    tokens, ends = segments(text, low, len(text) if high is None else high, taken, found_chains)
     best, back = [0.0], [None]
     for j, found in enumerate(ends, 1):
         top, choice = best[j - 1], None
@@ -275,27 +350,52 @@ def _sentences(rnd: random.Random):
     num = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
     word = lambda: "".join(rnd.choice("aeioustnrlhdc") for _ in range(rnd.randint(2, 9)))
 
-    def card(sep: str) -> str:
-        n = rnd.choice((13, 14, 15, 16, 16, 16))
+    def card() -> str:
+        n = rnd.choice((13, 14, 15, 16, 16, 16, 16, 19))
         d = num(n - 1)
         d = next(d + c for c in "0123456789" if luhn(d + c))
-        return sep.join(d[k : k + 4] for k in range(0, n, 4))
+        if n == 15 and rnd.random() < 0.5:
+            groups = [d[:4], d[4:10], d[10:]]
+        else:
+            size = rnd.choice((1, 4, 4, 4, 4, 4, 4, 8))
+            groups = [d[k : k + size] for k in range(0, n, size)]
+        return rnd.choice(("", "", "", " ", "-", ".", "  ", " - ", " / ", "/", "_", ", ", "\n", rnd.choice(" -._") * rnd.randint(3, 8), " " + "-" * rnd.randint(1, 5) + " ")).join(groups)
 
     def phone() -> str:
         a, b, c = num(3), num(3), num(4)
-        return rnd.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{num(1)} {a} {b} {c}", f"0{num(2)} {num(4)} {num(4)}", f"{b}-{c}", f"00{num(2)} {a} {num(6)}", f"1-{a}-{b}-{c}", f"+{num(2)}/{a}/{num(6)}"))
+        if rnd.random() < 0.5:
+            return rnd.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{num(1)} {a} {b} {c}", f"0{num(2)} {num(4)} {num(4)}", f"{b}-{c}", f"00{num(2)} {a} {num(6)}", f"1-{a}-{b}-{c}", f"+{num(2)}/{a}/{num(6)}"))
+        lead = rnd.choice((f"+{num(2)}", f"+{num(1)}", f"+{num(2)} (0)", f"+{num(2)}(0)", f"00{num(2)}", f"(+{num(2)})", f"(0{num(2)})", f"({a})", f"0{num(2)}", f"0{num(3)}", f"(00{num(2)})"))
+        sep = rnd.choice((" ", "-", ".", "/", " / ", " - ", "  ", " . ", "   ", " -- "))
+        rest = rnd.choice(([num(rnd.choice((2, 3, 4))) for _ in range(rnd.choice((2, 3)))], [num(2) for _ in range(4)], [num(rnd.choice((2, 5))), num(rnd.choice((6, 7)))], [num(rnd.choice((6, 7)))]))
+        return lead + rnd.choice((" ", sep)) + sep.join(rest)
 
     def email() -> str:
-        at, dot = rnd.choice(((" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "."), (" (at) ", "."), (" @ ", "."), ("@", "."), (" at ", " dot "), (" at ", " dot ")))
-        return f"{word()}{rnd.choice(('', '.' + word(), num(2)))}{at}{word()}{dot}{rnd.choice(('com', 'org', 'net', 'de', 'fr'))}"
+        at, dot = rnd.choice((
+            (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "."), (" (at) ", "."), (" @ ", "."), ("@", "[.]"), (" at ", " dot "), (" at ", " dot "), (" AT ", " DOT "),
+            ("{at}", "{dot}"), ("<at>", "<dot>"), ("[@]", "[.]"), (" (@) ", "."), (" @ ", " . "), (" [ at ] ", " [ dot ] "), ("   at   ", "   dot   "), (" @ ", " dot "),
+        ))
+        inner = rnd.choice((".", ".", dot, "_", "-", ""))
+        name = inner.join([word() for _ in range(rnd.choice((1, 1, 2, 2, 3)))]) + rnd.choice(("", "", num(2)))
+        host = dot.join([word() for _ in range(rnd.choice((1, 1, 1, 2)))])
+        return f"{name}{at}{host}{dot}{rnd.choice(('com', 'org', 'net', 'de', 'fr', 'co.uk' if dot == '.' else 'io'))}"
+
+    def ip(parts: int = 4, most: int = 255) -> str:
+        dot = rnd.choice((".", "[.]", "[.]", " . ", " . ", "(.)", " dot ", "[dot]", " [dot] ", "(dot)", ". ", " .", "{.}", " DOT "))
+        return dot.join(str(rnd.randint(0 if most < 256 else 256, most)) for _ in range(parts))
 
     def positive():
-        kind = rnd.choice(("email", "ip", "card", "card", "phone", "phone", "phone"))
-        if kind == "ip":
-            return kind, ".".join(str(rnd.randint(0, 255)) for _ in range(4))
-        return kind, {"email": email, "card": lambda: card(rnd.choice(("", " ", "-", "."))), "phone": phone}[kind]()
+        kind = rnd.choice(("email", "email", "ip", "card", "card", "phone", "phone", "phone"))
+        return kind, {"email": email, "card": card, "phone": phone, "ip": ip}[kind]()
+
+    def listed() -> str:
+        sep = rnd.choice((", ", ", ", " ", " ", "; ", " | ", "\n", "\n", " - ", " / ", " ..... ", "   ", ",", "\t"))
+        size = rnd.choice((1, 2, 2, 3, 4, 5))
+        return sep.join(num(rnd.randint(1, size)) for _ in range(rnd.randint(3, 12)))
 
     def negative() -> str:
+        if rnd.random() < 0.3:
+            return rnd.choice((listed(), listed(), listed(), ip(rnd.choice((3, 5, 6))), ip(4, 999), f"{word()} [at] {word()}", f"{word()} @ {word()}", f"{word()} ........ {num(2)}\n{word()} ........ {num(3)}"))
         return rnd.choice((
             num(rnd.randint(7, 20)), num(rnd.randint(7, 20)), f"{rnd.randint(1900, 2030)}-{num(2)}-{num(2)} {num(2)}:{num(2)}", f"{num(2)}.{num(2)}.{rnd.randint(1900, 2030)}", f"{num(1)},{num(3)},{num(3)}.{num(2)}",
             f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"{num(2)}.{num(5)}, {num(2)}.{num(5)}", f"{rnd.randint(1900, 2030)}/{num(2)}/{num(4)}", f"3.{num(12)}", f"{num(3)}.{num(3)}.{rnd.randint(256, 999)}.{num(3)}",
@@ -323,7 +423,7 @@ def _sentences(rnd: random.Random):
 
 
 @lru_cache(1)
-def train(sentences: int = 900, passes: int = 4, rate: float = 0.3, seed: int = 7) -> dict[str, float]:
+def train(sentences: int = 2000, passes: int = 4, rate: float = 0.3, seed: int = 7) -> dict[str, float]:
     """Weights by stochastic gradient on the log-likelihood of whole segmentations; the same for the same arguments."""
     rnd = random.Random(seed)
     source = _sentences(rnd)
@@ -361,61 +461,27 @@ def train(sentences: int = 900, passes: int = 4, rate: float = 0.3, seed: int =
     return {f: round(x, 6) for f, x in sorted(w.items())}
 
 
-def regions(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Stretches that hold all candidate segments: whole stretches of numbers, and SEGMENT tokens about each sign for @.
+def regions(text: str, taken: list[tuple[int, int]], found_chains: dict[int, list[tuple[int, str]]]) -> list[tuple[int, int]]:
+    """Stretches that hold all candidate segments: whole stretches of numbers, and whole chains of parts, merged where they meet.
 
-    A number is a part of one stretch, and an address of at most SEGMENT tokens lies within so many of its sign, so no
-    candidate goes past a region's edge. Stretches and signs inside one of the fixed patterns' spans give none.
+    A number is a part of one stretch, so no candidate goes past a region's edge. Stretches inside one of those taken give none.
     """
-    found = [(*m.span(), False) for m in _STRETCH.finditer(text)] if _DIGIT.search(text) else []
-    if "@" in text:
-        found += [(*m.span(), True) for m in re.finditer("@", text)]
-    if "at" in text or "AT" in text:
-        found += [(*m.span(), True) for pattern in (_OBSCURED, _SPOKEN) for m in pattern.finditer(text)]
-    if not found:
-        return []
-    found.sort()
-    taken, out, k = sorted((a, b) for a, b, _ in base), [], 0
-    for a, b, address in found:
+    found = [m.span() for m in _STRETCH.finditer(text)] if _DIGIT.search(text) else []
+    found += [(a, b) for b, heads in found_chains.items() for a, _ in heads]
+    out: list[tuple[int, int]] = []
+    k = 0
+    for a, b in sorted(found):
         while k < len(taken) and taken[k][1] <= a:
             k += 1
         if k < len(taken) and taken[k][0] <= a and b <= taken[k][1]:
             continue
-        if address:
-            a, b = _tokens_back(text, a), _tokens_on(text, b)
         if out and a <= out[-1][1]:
-            out[-1] = (min(a, out[-1][0]), max(b, out[-1][1]))
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))
-        while len(out) > 1 and out[-1][0] <= out[-2][1]:
-            last = out.pop()
-            out[-1] = (min(out[-1][0], last[0]), max(out[-1][1], last[1]))
     return out
 
 
-def _tokens_on(text: str, at: int) -> int:
-    for k, m in enumerate(_TOKEN.finditer(text, at)):
-        if k >= SEGMENT or m.group() == "\n":
-            return m.start()
-    return len(text)
-
-
-def _kind_of_character(c: str) -> str:
-    return "a" if c.isascii() and c.isalpha() else "0" if "0" <= c <= "9" else c if c in "\n+(@" else "."
-
-
-def _tokens_back(text: str, at: int) -> int:
-    """The place SEGMENT tokens before `at`, or after the last newline or at the beginning if that is nearer."""
-    n = 0
-    while at and n < SEGMENT and text[at - 1] != "\n":
-        kind = _kind_of_character(text[at - 1])
-        at -= 1
-        while at and kind not in "+(@" and _kind_of_character(text[at - 1]) == kind:
-            at -= 1
-        n += 1
-    return at
-
-
 class Finder:
     """Base spans and added spans of a text."""
 
@@ -424,11 +490,10 @@ class Finder:
 
     def __call__(self, text: str) -> tuple[list, list]:
         base, added = base_spans(text), []
-        where = regions(text, base)
-        if where:
-            taken = _merged(base)
-            for a, b in where:
-                added += decode(text, self.scorer, a, b, _within(taken, a, b))
+        taken = _merged(base)
+        found = chains(text, taken)
+        for a, b in regions(text, taken, found):
+            added += decode(text, self.scorer, a, b, _within(taken, a, b), found)
         return base, added
 
 
