@@ -559,6 +559,22 @@ def test_restored_writings_have_no_bound():
     assert r.spelled("i.d.1.o.t " + "a b " * 5000)[0].startswith("idiot")
 
 
+def test_short_words_are_restored():
+    """Words of three letters, written with signs at either end or letter by letter with any white space and signs between."""
+    text = " ".join(["the ass was an idiot said that an idea is a die class of ideology pass mass as", "idiot idiots ass die dumb"] * 30)
+    c = toxicity.classes(f"  {text}  ").astype(np.int64)
+    r = toxicity.Restorer(toxicity.language_model(np.bincount((c[:-2] << 12) | (c[1:-1] << 6) | c[2:], minlength=64**3)))
+    for token, word in {"a$$": "ass", "@ss": "ass", "a55": "ass", "(a$$)": "ass", "a$$!": "ass", "d1e": "die", "d!e": "die", "!d!ot": "idiot", "|d|ot": "idiot"}.items():
+        assert word in r.words(token), token
+    for token in ("no!", "$100", "a", "--", "@", "$$", "!!!", "100$", ""):
+        assert r.words(token) == tuple(filter(None, [token.strip(toxicity._EDGE)]))
+    for spelled, word in {
+        "a s s": "ass", "so d i e now": "die", "i  d  i  o  t": "idiot", "i\nd\ni\no\nt": "idiot", "i / d / i / o / t": "idiot", "i, d, i, o, t!": "idiot", "(d.i.e)": "die", "i -- d -- i -- o -- t": "idiot",
+    }.items():
+        assert r.spelled(spelled) == [word], spelled
+    assert r.spelled("a b then c-d and don't e") == [] and r.spelled("- " * 1000) == []
+
+
 def test_sample_is_bounded_by_rows(spark):
     """An id that stands very often does not fill the sample; the others still teach."""
     docs = spark.createDataFrame([(1, f"row {k}") for k in range(300)] + [(k, f"good text {k}") for k in range(2, 60)] + [(k, f"vexgrom {k}") for k in range(100, 160)], "doc_id long, text string")

@@ -142,8 +142,14 @@ def _written(path: tuple) -> str:
 
 
 _EDGE = ".,;:!?\"'()[]{}<>*&%$#@+=~^|/\\-_`´«»„“”’…"
-_ODD = re.compile(r"[^\W\d_][0-9@$!|+(€£¥§#*._~^'`´-]+[^\W\d_]|[0-9@$!|+][^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|+]|([^\W\d_])\1\1")
-_SPELLED = re.compile(r"[\s.,_*-](?:[^\W_]|[@$!|])(?:[ ._*-](?:[^\W_]|[@$!|])){3,}(?=[\s.,_*-])")
+#: What is stripped of a token before it is restored: signs that stand for letters stay, but for marks that end sentences.
+_LEFT, _RIGHT = ("".join(c for c in _EDGE if c not in keep) for keep in ("$@!|+", "$@"))
+_ODD = re.compile(
+    r"[^\W\d_][0-9@$!|+(€£¥§#*._~^'`´-]+[^\W\d_]|[0-9@$!|+][^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|+]|([^\W\d_])\1\1|[^\W\d_][@$]|[@$][^\W\d_]|\A[^\W\d_][0-9]{2,3}\Z"
+)
+#: Three or more single letters, or signs for them, with any white space and signs between.
+_SPELLED = re.compile(r"(?<![^\s.,_*/~|(\[\"'-])(?:[^\W_]|[@$!|])(?![^\W_])(?:[\s.,_*/~-]++(?:[^\W_]|[@$!|])(?![^\W_])){2,}")
+_BETWEEN = re.compile(r"[\s.,_*/~-]+")
 _SIGNS = re.compile(r"[\W_]+")
 
 
@@ -157,10 +163,8 @@ class Restorer:
         """Words that one token between white space gives, of any length: itself, what it stands for, and parts joined by signs."""
         token = token.lower()
         plain = token.strip(_EDGE)
-        if len(plain) < 3 and len(token) < 4:
-            return (plain,) if plain else ()
         out = [plain] if plain else []
-        kept = token.rstrip(_EDGE).lstrip(_EDGE.replace("$", "").replace("@", ""))
+        kept = token.rstrip(_RIGHT).lstrip(_LEFT)
         if _ODD.search(kept):
             found = restore(kept, self.lm)
             out.append(found)
@@ -171,10 +175,10 @@ class Restorer:
         return tuple(dict.fromkeys(out))
 
     def spelled(self, text: str) -> list[str]:
-        """Words written letter by letter: each run of single letters joined, and as the model parts it into words."""
+        """Words written letter by letter, three letters or more: each run of single letters joined, and as the model parts it into words."""
         out = []
-        for m in _SPELLED.finditer(f" {text} "):
-            letters = re.sub(r"[\s.,_*-]", "", m.group()).lower()
+        for m in _SPELLED.finditer(text):
+            letters = _BETWEEN.sub("", m.group()).lower()
             joined = letters if letters.isalpha() else restore(letters, self.lm)
             out += dict.fromkeys([joined, *restore(" ".join(letters), self.lm).split()])
         return out
