@@ -324,6 +324,12 @@ def test_complexity():
     assert code.code_match("a=1", "a = 1 # x") == "ast_equal" and code.code_match("a", None) == "missing"
 
 
+def test_sources_beyond_the_parsers_stack():
+    deep = "not " * 20000 + "x"  # the parser runs out of its stack, a MemoryError
+    assert code.code_match(deep, deep + " !") == "different" and code.code_match(deep, deep) == "exact"
+    assert code.cyclomatic(deep) is None and code.cognitive(deep) is None and code.maintainability(deep) is None
+
+
 def test_block_tree_of_a_construct():
     nodes, n = code.block_tree(["x", "=", "1", "<0x0A>", "if", "▁x", ":", "<0x0A>", "▁▁▁▁", "y", "<0x0A>", "else", ":", "<0x0A>", "▁▁▁▁", "z"], [None, 0.9, 0, 0, 0.9, 0, 0, 0, 0, 0, 0, 0.9, 0, 0, 0, 0], 0.67)
     assert n == 4 and [(x["depth"], x["start_line"], x["end_line"]) for x in nodes] == [(1, 1, 5), (2, 1, 1), (2, 2, 5), (3, 4, 5)]
