@@ -453,3 +453,74 @@ def test_alignment_and_repeatability(spark):
     side = lambda toks: spark.createDataFrame([("d", "u", 1, k, t, 1.0) for k, t in enumerate(toks)], "dataset string, uid string, line long, pos long, token_str string, metric_entropy double")
     got = compare.align_tokens(m, side(["a", "b", "c"]), side(["a", "c", "d"]), K)
     assert sorted((r["token_str"], r["status"]) for r in got.collect()) == [("a", "equal"), ("b", "only_before"), ("c", "equal"), ("d", "only_after")]
+
+
+def _rows_and_files(spark, columns):
+    """Tokens of four texts as rows and as files, one text empty, one with a second version's line."""
+    texts = [("d", "a", "one two  one\nthree 4 five\n\n six"), ("d", "b", ""), ("d", "c", "x"), ("d", "e", "one\ttwo\nü three three\n" * 3)]
+    docs = spark.createDataFrame(texts, "dataset string, uid string, text string")
+    return docs, tok.measure(docs, K, form="md5"), tok.by_file(docs, K, form="md5", columns=columns)
+
+
+def test_files_of_tokens_hold_what_rows_hold(spark):
+    columns = ["pos", "tok", "token_str", "char_start", "seg", "metric_entropy", "function_id", "metric_isolated_surprisal"]
+    _, rows, held = _rows_and_files(spark, columns)
+    flat = held.select(*K, F.inline(F.arrays_zip(*columns)))
+    assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, rows.select(*K, *columns).collect()))
+    assert {r["uid"] for r in held.collect()} == {"a", "c", "e"}  # as rows, a text without tokens has nothing
+
+
+def test_comparisons_of_files_equal_those_of_rows(spark):
+    _, rows, held = _rows_and_files(spark, ["token_str", "metric_entropy", "metric_surprisal"])
+    same = lambda x, y: sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
+    # repetitions: the second has another token in one file and one token less in another
+    other = F.when(F.col("uid") == "a", F.when(F.col("pos") == 2, F.lit("?")).otherwise(F.col("token_str"))).otherwise(F.col("token_str"))
+    second = rows.withColumn("token_str", other).withColumn("metric_entropy", F.col("metric_entropy") + 0.25 * (F.col("pos") == 3).cast("int")).where("not (uid = 'e' and pos = 9)")
+    r = rows.withColumn("repetition", F.lit(0)).unionByName(second.withColumn("repetition", F.lit(1)))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "token_str", "metric_surprisal", "metric_entropy")))
+    packed = r.groupBy(*K, "repetition").agg(listed.alias("x")).select(*K, "repetition", "x.token_str", "x.metric_surprisal", "x.metric_entropy")
+    got, want = compare.repeatability(packed, K), compare.repeatability(r, K)
+    assert {x["uid"]: x["same_tokens"] for x in got.collect()} == {x["uid"]: x["same_tokens"] for x in want.collect()} == {"a": False, "c": True, "e": False}
+    assert {x["uid"]: x["max_abs_difference"] for x in got.where("uid <> 'e'").collect()} == {x["uid"]: x["max_abs_difference"] for x in want.where("uid <> 'e'").collect()}
+    # errors against prior values, with missing entropies
+    own = held.select(*K, F.transform("metric_entropy", lambda e, k: F.when(k != 1, e)).alias("entropy"))
+    prior = held.select(*K, F.transform("metric_entropy", lambda e, k: e + k % 2 * 0.001).alias("entropy"))
+    as_rows = lambda df: df.select(*K, F.posexplode("entropy").alias("pos", "entropy"))
+    found = compare.reproduction(prior, own, K)
+    assert same(found, compare.reproduction(as_rows(prior), as_rows(own), K)) and {x["uid"] for x in found.collect()} == {"a", "e"}
+    base = lambda df: df.where("uid <> 'c'")
+    assert same(compare.verification(base(held), held, K), compare.verification(base(rows), rows, K))
+
+
+def test_places_in_files_equal_those_in_rows(spark):
+    docs, rows, held = _rows_and_files(spark, ["char_start", "tok"])
+    spans = spark.createDataFrame([("d", "a", 0, 7, 0, 20), ("d", "a", 1, 8, 4, 9), ("d", "a", 2, 9, 4, 6), ("d", "a", 3, 5, 15, 15), ("d", "e", 0, 1, 6, 30)], "dataset string, uid string, span_ord long, span_id long, span_start long, span_end long")
+    own = tok.innermost(held, spans, K).select(*K, F.inline(F.arrays_zip("char_start", "owner", "owner_depth")))
+    want = tok.innermost(rows, spans, K).select(*K, "char_start", "owner", "owner_depth")
+    assert sorted(map(str, own.collect())) == sorted(map(str, want.collect()))
+    starts = tok.starts_span(held, spans, K).select(*K, F.inline(F.arrays_zip("char_start", "is_function_start")))
+    assert sorted(map(str, starts.collect())) == sorted(map(str, tok.starts_span(rows.drop("is_function_start"), spans, K).select(*K, "char_start", "is_function_start").collect()))
+    windows = spark.createDataFrame([("d", "a", 0, 4, 1.0), ("d", "a", 1, 4, 2.0), ("d", "a", 1, 99, 3.0), ("d", "c", 0, 0, 4.0)], "dataset string, uid string, ord long, char_start long, metric_isolated_surprisal double")
+    lists = windows.groupBy(*K).agg(*(F.collect_list(c).alias(c) for c in ("ord", "char_start", "metric_isolated_surprisal")))
+    got = tok.isolated_windows(held.select(*K, "char_start"), lists, K).select(*K, F.inline(F.arrays_zip("char_start", "metric_isolated_surprisal")))
+    want = tok.isolated_windows(rows.select(*K, "char_start"), windows, K).select(*K, "char_start", "metric_isolated_surprisal")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_regions_of_lines_equal_those_of_tokens(spark):
+    docs, rows, _ = _rows_and_files(spark, ["tok"])
+    m = docs.where("uid <> 'b'").select(*K, F.lit(1).cast("long").alias("orig_line"), F.lit(1).cast("long").alias("new_line"), F.lit("condition").alias("region"))
+    rows = rows.withColumn("file", F.col("uid"))
+    t = compare.with_regions(rows, m, K).withColumn("trigger_p", units.trigger(1.0))
+    lines = compare.with_regions(compare.line_sums(rows, K, {"p": 1.0}), m, K)
+    fixed = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    assert fixed(compare.region_table(t, t, ["dataset"], "p")) == fixed(compare.region_table(lines, lines, ["dataset"], "p"))
+
+
+def test_unit_rows_count_their_triggers(spark):
+    _, rows, _ = _rows_and_files(spark, ["tok"])
+    got = units.unit_rows(rows, K, 1.0).collect()
+    assert got and all(r["n_triggers"] == len(r["triggers"] or []) for r in got) and any(r["n_triggers"] for r in got)
+    counts = units.unit_counts(rows, K, {"p": 1.0}, loc=True)
+    want = rows.groupBy(*K).agg(F.max("line").alias("loc"))
+    assert {(r["uid"], r["loc"]) for r in counts.collect()} == {(r["uid"], r["loc"]) for r in want.collect()}
