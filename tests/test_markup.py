@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tokenloom.functions.text import fixed
 from tokenloom.operators import code, compare, markup, syntax
 from tokenloom.operators import tokens as tok
 from tokenloom.sources import readers, writers
@@ -82,3 +83,29 @@ def test_same_code_ignores_line_breaks_around_it(spark):
     cases = spark.createDataFrame([("a", "a", "\nx = 1\n\n"), ("a", "a__0", " x = 1"), ("a", "a__1", "x = 1")], "uid string, case_id string, text string")
     tasks = spark.createDataFrame([("a", "x = 1\n")], "uid string, code string")
     assert sorted(r["case_id"] for r in readers.same_code(cases, tasks).collect()) == ["a", "a__1"]
+
+
+TEXTS = [
+    ("d", "a", "a = '<b>'\nif x:\n    y = 1\nelse:\n    z = \"|`\"\n", '[{"orig_line": 2, "new_line": 2, "region": "if_header", "text_changed": true}, {"orig_line": 3, "new_line": 5, "region": "then_body"}, {"orig_line": null, "new_line": 4, "region": null}, {"orig_line": 1, "new_line": null}, {"orig_line": 6, "new_line": 6, "region": "after"}]'),
+    ("d", "b", "", '[{"orig_line": 1, "new_line": 1, "region": "<r>"}]'), ("d", "c", "x\n\ny  z\té▁\n" * 20, "[]"), ("d", None, "x\n" * 3 + "w " * 300, '[{"orig_line": 4, "new_line": 4, "region": "after"}]'),
+]
+
+
+@pytest.mark.parametrize("form", ["html", "markdown"])
+def test_reports_of_pairs_where_they_stand(spark, form):
+    s = spark.createDataFrame([(d, u, t, t.replace("x", "not x").replace("y", "zz  z"), m) for d, u, t, m in TEXTS], "dataset string, uid string, before string, after string, line_map string").where("uid is not null")
+    b, a = (tok.measure(s.select(*K, F.col(c).alias("text")), K, form="md5") for c in ("before", "after"))
+    lines, thresholds = syntax.line_maps(s, K), {"p67": 2.4}
+    summary = syntax.compare_pair(b, a, lines, K, thresholds)["summary"]
+    whole = syntax.pair_summaries(s, K, thresholds, form="md5")
+    got = markup.pair_reports(s, K, 2.4, "p67", measure="md5", form=form)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, summary.select(*whole.columns).collect()))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, markup.reports(lines, b, a, summary, K, 2.4, form).collect()))
+    for df in (whole, got):  # nothing is dealt out, sorted or joined
+        assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Sort", "Join", "Window"))
+
+
+def test_numbers_as_spark_writes_them(spark):
+    values = [0.0005, 1.0005, 2.6745, -1.0005, -0.0001, 1234.5675, 0.015 / 3, 2.5, 1e-9, 12.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [tuple(r) for r in df.select(F.format_string("%.3f", "v"), F.format_string("%+.3f", "v"), F.format_string("%.2f", "v")).collect()] == [(fixed(v), fixed(v, 3, "+"), fixed(v, 2)) for v in values]
